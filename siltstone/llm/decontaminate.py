@@ -128,8 +128,7 @@ def with_hits(
 def _search(shared, coverage: float):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("covered", pa.int32()), ("words", pa.int32()), ("tiles", pa.int32())]))
 
-    @F.arrow_udf(HIT)
-    def search(texts: pa.Array) -> pa.Array:
+    def part(texts: pa.Array) -> pa.Array:
         b: Seeds = shared.value
         raw, offsets = tv.buffer_of(texts)
         w = tv.words(raw, offsets, tv.table(tv.SYMBOLS))
@@ -157,6 +156,10 @@ def _search(shared, coverage: float):
                 out[r].append({"item_id": b.ids[k], "covered": covered, "words": len(words), "tiles": len(tiles)})
         return pa.array(out, kind)
 
+    @F.arrow_udf(HIT)
+    def search(texts: pa.Array) -> pa.Array:
+        return tv.over_slices(texts, part, kind)
+
     return search
 
 

@@ -48,7 +48,7 @@ MAX_FREQUENT = 500_000
 #: Shingles in fewer documents than this are never called frequent.
 LEAST_FREQUENT = 24
 #: Shingles that one task counts before it hands on a partial count.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Documents of a bucket that are compared with each other in one block pair.
 BLOCK = 2_000
 #: Levels whose smallest set is below this index frequent shingles alone, too.
@@ -89,6 +89,11 @@ class Threshold:
         return (self.num + self.den) * differ <= (self.den - self.num) * (a + b)
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from tv.slices(batch, text=1)
+
+
 def sets_of(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle, row), distinct and sorted, of a batch whose second column is text."""
     raw, offsets = tv.buffer_of(batch.column(1))
@@ -115,8 +120,8 @@ def partial_counts(df: DataFrame, n: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            values, _ = sets_of(batch, n)
+        for part in parts(batches):
+            values, _ = sets_of(part, n)
             if len(values):
                 held.append(frequency_key(values, buckets))
                 size += len(values)
@@ -258,11 +263,11 @@ def shingle_sets(df: DataFrame, n: int) -> DataFrame:
     """(id, s): the sorted set of each document, as bytes of 64-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, row = sets_of(batch, n)
-            ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
-            parts = np.split(values, ends[:-1]) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "s"])
+        for part in parts(batches):
+            values, row = sets_of(part, n)
+            ends = np.cumsum(np.bincount(row, minlength=part.num_rows))
+            sets = [s.tobytes() for s in np.split(values, ends[:-1])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
     return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, s binary")
 
@@ -340,10 +345,10 @@ def jaccard_components(
     shared = spark.sparkContext.broadcast(signer)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, row = sets_of(batch, n)
-            made = shared.value.batch(values, row, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["id", "n", "f1", "f2", "bits", "sigs"])
+        for part in parts(batches):
+            values, row = sets_of(part, n)
+            made = shared.value.batch(values, row, part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["id", "n", "f1", "f2", "bits", "sigs"])
 
     signed = scratch.save(docs.mapInArrow(sign, f"id {kind}, n long, f1 long, f2 long, bits array<long>, sigs array<long>"), "signed")
     nodes = signed.where("id is not null and n > 0")

@@ -190,8 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def describe(batches):
         for batch in batches:
-            x = features(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in x.T)], names=["id", "y", *FEATURES])
+            for part in tv.slices(batch, text=2):
+                x = features(part.column(2))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c) for c in x.T)], names=["id", "y", *FEATURES])
 
     kind = joined.schema["id"].dataType.simpleString()
     found = joined.mapInArrow(describe, f"id {kind}, y int, {names}").toPandas()
@@ -205,6 +206,6 @@ def with_score(df: DataFrame, model: Gam, text_col: str = "text", name: str = "s
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(features(texts)))
+        return tv.over_slices(texts, lambda part: pa.array(shared.value.score(features(part))), pa.float64())
 
     return df.withColumn(name, score(F.coalesce(F.col(text_col), F.lit(""))))

@@ -8,6 +8,7 @@ stretches of about ``STRETCH`` bytes that end between words, so memory stays bou
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,6 +69,22 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(texts) else raw[:0], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, text: int = 0, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of whole rows with at most ``limit`` bytes of text (a longer text stands alone)."""
+    _, offsets = buffer_of(batch.column(text))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def over_slices(texts: pa.Array, f: Callable[[pa.Array], pa.Array], kind: pa.DataType) -> pa.Array:
+    """``f`` of a string column, computed part by part."""
+    parts = [f(b.column(0)) for b in slices(pa.RecordBatch.from_arrays([texts], names=["t"]))]
+    return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
+
+
 @dataclass
 class Words:
     start: np.ndarray  # byte offset in the buffer
