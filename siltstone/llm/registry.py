@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.shipping import ship
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality, sharding, warc
+from . import decontaminate, html_main, line_dedup, ngram_join, packing, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(docs, n=4, num=85, den=100)
 
 
+def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
         "op9_ngram_join": op9_ngram_join,
+        "op10_html_main": op10_html_main,
     }
 
 
