@@ -3,7 +3,8 @@
 Writer. Every row becomes one record: a ``response`` holding HTTP headers and the payload, or, for equal
 payloads, a ``revisit`` holding the HTTP headers only (their Content-Length stays that of the payload) and
 a reference to the record with the largest id, which is the response. Records leave through Spark's text
-sink, whose line separator is the CRLF that ends a record, so archives can live in any store Spark writes.
+sink, so archives can live in any store Spark writes: plain, with the CRLF that ends a record as the line
+separator, or as one gzip member per record, with an empty member as the separator.
 
 Reader. Archives are read as binary files, plain or with one gzip member per record. A record that fails a
 check (version line, headers, length, closing CRLFs, gzip trailer, payload digest) is not trusted: the
@@ -89,9 +90,10 @@ def originals(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 def write_archives(
     df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_records: int = FILE_RECORDS,
+    min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_records: int = FILE_RECORDS, compress: bool = True,
 ) -> None:
     """Write ``df`` as WARC files under ``path``. Payloads of fewer than ``min_bytes`` are never revisits."""
+    ending = b"\r\n"
     pages = df.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload"),
@@ -99,11 +101,21 @@ def write_archives(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([record(*row, date) for row in rows], pa.binary())], names=["value"])
+            rows = (record(*row, date) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            if compress:
+                rows = (member(r + ending) for r in rows)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
     records = originals(pages, min_bytes).mapInArrow(encode, "value binary").select(F.col("value").cast("string"))
-    records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", file_records).text(path)
+    separator = member(b"").decode("latin-1") if compress else ending.decode()
+    # the encoding concerns the separator only; values are written byte by byte
+    records.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", file_records).text(path)
+
+
+def member(data: bytes) -> bytes:
+    """One gzip member, without a time stamp."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return deflate.compress(data) + deflate.flush()
 
 
 class Invalid(ValueError):
