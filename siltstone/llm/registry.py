@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.shipping import ship
 
-from . import decontaminate, html_main, line_dedup, ngram_join, packing, quality, sharding, warc
+from . import decontaminate, embedding_join, html_main, line_dedup, ngram_join, packing, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -59,6 +63,7 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_join": op1_embedding_join,
         "op2_decontamination": op2_decontamination,
         "op3_line_dedup": op3_line_dedup,
         "op5_warc": op5_warc,
