@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siltstone.shipping import ship
 
-from . import decontaminate, embedding_join, html_main, line_dedup, ngram_join, packing, quality, sharding, warc
+from . import decontaminate, embedding_join, html_main, line_dedup, ngram_join, packing, quality, secret_scan, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.digest(secret_scan.with_findings(docs).drop("text"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -66,14 +72,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_embedding_join": op1_embedding_join,
         "op2_decontamination": op2_decontamination,
         "op3_line_dedup": op3_line_dedup,
+        "op4_secret_scan": op4_secret_scan,
         "op5_warc": op5_warc,
         "op6_quality": op6_quality,
         "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
         "op9_ngram_join": op9_ngram_join,
         "op10_html_main": op10_html_main,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE}
+    found = {"op3_line_dedup": line_dedup.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}
