@@ -55,6 +55,8 @@ BLOCK = 2_000
 LEAST_COMBINED = 20
 #: Classes per shingle of a set at a level.
 CLASSES = 0.07
+#: Least bits of a bitmap per shingle. Few collisions keep its bound close to the true difference.
+BITS = 4
 U = np.uint64
 
 
@@ -222,7 +224,7 @@ class Signer:
     def bitmaps(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """64-bit words of every row's parity bitmap (a power of two of them), and offsets."""
         size = np.bincount(row, minlength=rows)
-        longs = 1 << np.ceil(np.log2(np.maximum(1, size * 0.75 / 64))).astype(np.int64)
+        longs = 1 << np.ceil(np.log2(np.maximum(1, size * BITS / 64))).astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(longs)])
         place = offsets[row] * 64 + ((values >> U(8)).astype(np.int64) & (longs[row] * 64 - 1))
         odd = (np.bincount(place, minlength=int(offsets[-1]) * 64) & 1).astype(np.uint8)
