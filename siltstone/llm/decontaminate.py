@@ -138,6 +138,8 @@ def _search(shared, coverage: float):
         inside = at + b.m <= w.first[row + 1]
         at, item, place, row = at[inside], item[inside], place[inside], row[inside]
         out: list[list[dict]] = [[] for _ in range(len(texts))]
+        if not len(row):
+            return pa.array(out, kind)
         order = np.lexsort((at, item, row))
         at, item, place, row = at[order], item[order], place[order], row[order]
         cut = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(item, prepend=-1))
@@ -160,7 +162,7 @@ def _search(shared, coverage: float):
     def search(texts: pa.Array) -> pa.Array:
         return tv.over_slices(texts, part, kind)
 
-    return search
+    return search.asNondeterministic()  # evaluated once, whatever filters stand above
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
