@@ -208,4 +208,4 @@ def with_score(df: DataFrame, model: Gam, text_col: str = "text", name: str = "s
     def score(texts: pa.Array) -> pa.Array:
         return tv.over_slices(texts, lambda part: pa.array(shared.value.score(features(part))), pa.float64())
 
-    return df.withColumn(name, score(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.withColumn(name, score.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))

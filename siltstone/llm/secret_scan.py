@@ -278,7 +278,7 @@ def with_findings(df: DataFrame, text_col: str = "text", name: str = "findings",
         found = findings(texts.to_pylist(), shared.value)
         return pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in f] for f in found], kind)
 
-    return df.withColumn(name, scan(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.withColumn(name, scan.asNondeterministic()(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", name: str = "findings"):
