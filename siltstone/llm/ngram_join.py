@@ -55,6 +55,8 @@ BLOCK = 2_000
 LEAST_COMBINED = 20
 #: Classes per shingle of a set at a level.
 CLASSES = 0.07
+#: Smallest buckets of a document by which pairs that meet oftener are recognised.
+LOWEST = 12
 #: Least bits of a bitmap per shingle. Few collisions keep its bound close to the true difference.
 BITS = 4
 U = np.uint64
@@ -295,8 +297,9 @@ def verified(pairs: DataFrame, df: DataFrame, n: int, t: Threshold) -> DataFrame
 def block_pairs(members: DataFrame, t: Threshold, kind: str, groups: int) -> DataFrame:
     """Pairs (u, v) of different components within buckets that pass the size and bitmap filters.
 
-    ``members``: sig, i, j (block pair), side (the member's block), id, comp, n, bits. Groups hold many
-    small buckets or one block pair of a large one.
+    ``members``: sig, i, j (block pair), side (the member's block), id, comp, n, bits, low. Groups hold many
+    small buckets or one block pair of a large one. ``low`` has a few of the smallest buckets of a member: a
+    pair that meets in one of them is given by the smallest such bucket only.
     """
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
@@ -305,8 +308,16 @@ def block_pairs(members: DataFrame, t: Threshold, kind: str, groups: int) -> Dat
         ids, comp = group["id"].combine_chunks(), group["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
         n, lists = group["n"].to_numpy().astype(np.int64), group["bits"].combine_chunks()
         words, ends = lists.values.to_numpy().view(U), lists.offsets.to_numpy()
+        low = group["low"].combine_chunks()
+        lows, low_ends = low.values.to_numpy(), low.offsets.to_numpy()
+        least: dict[int, frozenset[int]] = {}
+
+        def smallest(k: int) -> frozenset[int]:
+            if k not in least:
+                least[k] = frozenset(lows[low_ends[k] : low_ends[k + 1]].tolist())
+            return least[k]
+
         cut = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) | np.diff(i, prepend=i[:1]) | np.diff(j, prepend=j[:1]))
-        seen: set[tuple[int, int]] = set()
         us, vs = [], []
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(sig)], strict=True):
             for x in range(a, b - 1):
@@ -324,10 +335,10 @@ def block_pairs(members: DataFrame, t: Threshold, kind: str, groups: int) -> Dat
                     mine = np.bitwise_xor.reduce(words[ends[x] : ends[x + 1]].reshape(-1, at), axis=0)
                     apart = np.bitwise_count(theirs ^ mine).sum(axis=1).astype(np.int64)
                     for y in some[t.may_link(n[some], n[x], apart)].tolist():
-                        if (x, y) not in seen:
-                            seen.add((x, y))
-                            us.append(x)
-                            vs.append(y)
+                        if (both := smallest(x) & smallest(y)) and min(both) != sig[x]:
+                            continue
+                        us.append(x)
+                        vs.append(y)
         return pa.table({"u": ids.take(pa.array(us, pa.int64())), "v": ids.take(pa.array(vs, pa.int64()))})
 
     keyed = members.withColumn("g", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(groups)))
@@ -382,10 +393,12 @@ def jaccard_components(
         .agg(F.min("sig").alias("sig"))
         .select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     )
-    dealt = member.join(mixed, "sig").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    inside = scratch.save(member.join(mixed, "sig").select("sig", "id", "comp", "blocks"), "inside")
+    low = inside.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LOWEST).alias("low"))
+    dealt = inside.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("sig", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "comp")
-    dealt = scratch.save(dealt.join(narrow.select("id", "n", "bits"), "id"), "mixed")
+    dealt = scratch.save(dealt.join(narrow.select("id", "n", "bits").join(low, "id"), "id"), "mixed")
     groups = max(16, dealt.count() // 4_000)
     rest = scratch.save(block_pairs(dealt, t, kind, groups).distinct(), "rest")
     more = scratch.save(verified(rest, docs, n, t), "more")
