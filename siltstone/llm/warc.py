@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .storage import new_path
 
 FILE_RECORDS = 2_000
+CHUNK = 16_384
 PREFIX = "urn:siltstone:record:"
 RECORDS = (
     "path string, part string, offset long, size long, record_id string, record_type string, url string, refers_to string, "
@@ -167,18 +168,22 @@ def parse_member(data: bytes, at: int) -> tuple[int, list[dict]]:
     """The gzip member at an offset, as the records it holds."""
     if data[at : at + 3] != b"\x1f\x8b\x08":
         raise Invalid("no gzip member")
-    inflate = zlib.decompressobj(31)
+    inflate, out, end = zlib.decompressobj(31), [], at
     try:
-        plain = inflate.decompress(memoryview(data)[at:])
+        while not inflate.eof and end < len(data):
+            # by chunks, since what follows a member comes back as a copy
+            out.append(inflate.decompress(data[end : end + CHUNK]))
+            end += CHUNK
     except zlib.error as broken:
         raise Invalid(f"gzip: {broken}") from None
     if not inflate.eof:
         raise Invalid("gzip member is cut off")
+    plain, end = b"".join(out), min(end, len(data)) - len(inflate.unused_data)
     found, place = [], 0
     while place < len(plain):
         place, one = parse_record(plain, place)
         found.append(one)
-    return len(data) - len(inflate.unused_data), found
+    return end, found
 
 
 #: Starts that a search tries: a version line at the start of a line, or a member's magic number.
