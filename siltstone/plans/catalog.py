@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import batch_queries, fold_queries, host_queries, page_queries, roundtrip_queries
+
+_MODULES = (page_queries, host_queries, batch_queries, fold_queries, roundtrip_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
