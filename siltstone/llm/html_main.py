@@ -63,6 +63,11 @@ DROPPED_NAMES = frozenset(
     comment comments commentlist discussion disqus respond reply replies feedback search searchbox form skiplink tags""".split()
 )
 
+#: Names of wrappers that hold an article's text whatever else their names say.
+WRAPPERS = frozenset("article content main body text story post entry page layout wrapper container".split())
+#: Elements that do not end a block.
+UNBROKEN = INLINE | RAW | {"noscript", "template", "svg", "math", "button", "select", "object", "embed", "canvas", "audio", "video"}
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -196,10 +201,15 @@ class Page:
                 self.layout[~e] = (layouts - s * power(n_layouts - ns)) % PRIME
                 self.length[~e] = size - before
 
-    def marked(self, k: int) -> bool:
-        """Whether an element's tag, role or names mark it as no part of an article's text."""
-        if self.tag[k] in DROPPED or self.role[k] in DROPPED_ROLES or self.names[k] & DROPPED_NAMES:
+    def dropped(self, k: int, whole: int) -> bool:
+        """Whether an element's tag, role or names mark it as no part of an article's text.
+
+        A wrapper's names do not count where it holds half of the ``whole`` text.
+        """
+        if self.tag[k] in DROPPED or self.role[k] in DROPPED_ROLES:
             return True
+        if self.names[k] & DROPPED_NAMES:
+            return not (self.names[k] & WRAPPERS and 2 * self.length[k] >= whole)
         return self.tag[k] == "header" and not self._in_article(k)
 
     def _in_article(self, k: int) -> bool:
@@ -220,7 +230,7 @@ class Page:
         for k in range(len(self.tag)):  # parents come first
             inside = k > 0 and out[self.parent[k]]
             kind = "main" if self.role[k] == "main" else self.tag[k]
-            out[k] = inside or (kind not in ("article", "main", "body", "html") and self.marked(k)) or (kind == "article" and bool(self.names[k] & DROPPED_NAMES))
+            out[k] = inside or (kind not in ("main", "body", "html") and self.dropped(k, self.length[0]))
             if not out[k] and kind in ("article", "main", "body") and (kind not in best or self.length[k] > self.length[best[kind]]):
                 best[kind] = k
         for kind in ("article", "main", "body"):
@@ -261,11 +271,10 @@ class Page:
             if not inside:
                 continue
             if skipping is None and e >= 0:
-                drop = self.marked(k) and (self.tag[k] in DROPPED or 2 * self.length[k] < whole or whole == 0)
-                if drop or self.branch(k) and self.path[k] in low and 2 * self.length[k] < whole:
+                if self.dropped(k, whole) or self.branch(k) and self.path[k] in low and 2 * self.length[k] < whole:
                     skipping = k
             if skipping is None:
-                if self.tag[k] in INLINE:
+                if self.tag[k] in UNBROKEN:
                     if self.tag[k] == "br" and e >= 0:
                         words.append(" ")
                 elif self.tag[k] in ("td", "th"):
@@ -274,7 +283,7 @@ class Page:
                     flush()
             elif e < 0 and k == skipping:
                 skipping = None
-                if self.tag[k] not in INLINE:
+                if self.tag[k] not in UNBROKEN:
                     flush()
         flush()
         return "\n".join(blocks)
