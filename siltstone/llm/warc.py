@@ -55,7 +55,7 @@ def digest(payload: bytes) -> str:
 
 def record(page_id, url: str | None, payload: bytes, original, date: str) -> bytes:
     """A whole record but for its last CRLF."""
-    safe = re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0], (url or "").encode())
+    safe = re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], (url or "").encode())
     revisit = original is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
@@ -136,6 +136,8 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict]:
         if not colon:
             raise Invalid("malformed header")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    if not fields.get("warc-type") or not fields.get("warc-record-id"):
+        raise Invalid("a mandatory header is missing")
     if not fields.get("content-length", "").isdigit():
         raise Invalid("no content length")
     start = head_end + 4
@@ -186,8 +188,8 @@ def parse_member(data: bytes, at: int) -> tuple[int, list[dict]]:
     return end, found
 
 
-#: Starts that a search tries: a version line at the start of a line, or a member's magic number.
-START = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r\n|\x1f\x8b\x08")
+#: Starts that a search tries: a version line, or a member's magic number. Only whole valid records count.
+START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
 def salvage(data: bytes) -> Iterator[dict]:
