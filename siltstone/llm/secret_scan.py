@@ -6,8 +6,8 @@ last 16 where it is longer than 48) between 24 characters of context before and
 character, one convolution of width 5, a maximum over each of the three parts, and a logistic output. It is
 written in numpy and trained at first use on labelled findings: by default a set made by a seeded rule
 (keys in the contexts and forms that leaks have, against identifiers, paths, dates, checksums and words),
-or rows the caller labels. Scores are calibrated on a held-out third (Platt scaling), and the threshold is
-the highest one that still recalls ``RECALL`` of the held-out secrets.
+or rows the caller labels. Scores are calibrated on a held-out third (Platt scaling), and the threshold is the
+one of best precision among those that recall ``RECALL`` of the held-out secrets.
 
 Scale: a map over rows; the network is some 4,000 numbers. Whole texts are scanned, in linear time.
 
@@ -164,12 +164,24 @@ def train(windows: list[str], y: np.ndarray, epochs: int = 8, batch: int = 128,
     z = net.forward(x[held])[-1]
     net.scale, net.shift = platt(z, y[held])
     p = net.score(x[held])
-    secrets = np.sort(p[y[held] == 1])
-    # never under one half: a lower value would add findings more often wrong than right
-    net.threshold = max(0.5, float(secrets[int((1 - recall) * len(secrets))])) if len(secrets) else 1.0
+    net.threshold = choose_threshold(p, y[held], recall)
     return net
 
 
+def choose_threshold(p: np.ndarray, y: np.ndarray, recall: float) -> float:
+    """The threshold of best precision among those of one half or more that keep the recall; the lowest of equals.
+
+    Under one half, findings would be wrong more often than right; without secrets to learn from nothing is added.
+    """
+    secrets = np.sort(p[y == 1])
+    if not len(secrets):
+        return 1.1
+    most = max(0.5, float(secrets[int((1 - recall) * len(secrets))]))
+    tried = np.linspace(0.5, most, 50)
+    precision = [(y[p >= t] == 1).mean() if (p >= t).any() else 0.0 for t in tried]
+    return float(tried[int(np.argmax(precision))])
+
+
 def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Scale and shift of a logistic calibration, by Newton's method with smoothed targets."""
     good, bad = (y == 1).sum(), (y == 0).sum()
