@@ -49,6 +49,8 @@ MAX_FREQUENT = 500_000
 LEAST_FREQUENT = 24
 #: Shingles that one task counts before it hands on a partial count.
 FLUSH = 2_000_000
+#: Rows of texts or sets that are in an Arrow batch.
+BATCH_ROWS = 1_000
 #: Documents of a bucket that are compared with each other in one block pair.
 BLOCK = 2_000
 #: Levels whose smallest set is below this index frequent shingles alone, too.
@@ -151,7 +153,7 @@ def frequent_shingles(df: DataFrame, n: int, buckets: int, least: int = LEAST_FR
         made = keys[keep].astype(np.int64) | key[0].as_py() << 32
         return pa.table({"key": pa.array(made), "df": pa.array(sums[keep])})
 
-    scratch = Scratch(df.sparkSession, "frequent")
+    scratch = Scratch(df.sparkSession, "frequent", BATCH_ROWS)
     counts = scratch.save(partial_counts(df, n, buckets).groupBy("bucket").applyInArrow(total, "key long, df long"), "counts")
     sizes = counts.groupBy(F.floor(F.log2("df")).alias("power")).count().collect()  # one row per power of two
     power, room = 63, most
@@ -352,7 +354,7 @@ def jaccard_components(
     t, spark = Threshold(num, den), df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    scratch = Scratch(spark, name)
+    scratch = Scratch(spark, name, BATCH_ROWS)
     buckets = 4 * max(8, docs.rdd.getNumPartitions())
     signer = Signer(frequent_shingles(docs, n, buckets), buckets, t)
     shared = spark.sparkContext.broadcast(signer)

@@ -21,17 +21,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
-    """Tables written to the shared folder; ``drop`` removes those no longer needed."""
+    """Tables written to the shared folder; ``drop`` removes those no longer needed.
+
+    While a table is written, Arrow batches have at most ``batch_rows`` rows, so that rows of long texts or
+    large sets need little memory at a time.
+    """
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.name, self.paths = spark, name, {}
+    def __init__(self, spark: SparkSession, name: str, batch_rows: int = 10_000) -> None:
+        self.spark, self.name, self.batch_rows, self.paths = spark, name, batch_rows, {}
 
     def save(self, df: DataFrame, step: str, compression: str = "zstd") -> DataFrame:
         """Write ``df`` once and return the DataFrame that reads it back."""
         path = new_path(self.spark, f"{self.name}-{step}")
         schema = df.schema
-        df.write.option("compression", compression).parquet(path)
+        before = self.spark.conf.get(BATCH_ROWS)
+        self.spark.conf.set(BATCH_ROWS, str(min(int(before), self.batch_rows)))
+        try:
+            df.write.option("compression", compression).parquet(path)
+        finally:
+            self.spark.conf.set(BATCH_ROWS, before)
         self.paths[step] = path
         return self.spark.read.schema(schema).parquet(path)
 
