@@ -220,6 +220,7 @@ def near_duplicates(
 
     keyed = full.withColumn("g", F.pmod(F.xxhash64("label", "block", "cell", "i", "j"), F.lit(groups)))
     found = scratch.save(keyed.groupBy("g").applyInArrow(compare, f"u {kind}, v {kind}, n long"), "found")
+    scratch.drop("spots")
     counts = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     comp = scratch.save(components(found.where("v is not null").select("u", "v"), scratch, "cc"), "components").withColumnRenamed("id", "rep")
     known = members.join(counts, "rep", "left").join(comp, "rep", "left")

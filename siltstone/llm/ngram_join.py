@@ -405,5 +405,6 @@ def jaccard_components(
     rest = scratch.save(block_pairs(dealt, t, kind, groups).distinct(), "rest")
     more = scratch.save(verified(rest, docs, n, t), "more")
     final = scratch.save(components(links.unionByName(more), scratch, "cc2"), "comp2")
+    scratch.drop(*[step for step in list(scratch.paths) if step not in ("signed", "comp2")])
     out = signed.select("id", "n").join(final, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
