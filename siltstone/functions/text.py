@@ -103,7 +103,7 @@ def retry_after(value: Column, status: Column, now: Column) -> Column:
     seconds = F.when(value.rlike(r"^\s*-?[0-9]+\s*$"), F.trim(value).try_cast("double") * 1000)
     date = F.try_to_timestamp(F.regexp_replace(value, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     millis = F.coalesce(seconds, (F.unix_millis(date) - F.unix_millis(now)).cast("double"))
-    return F.when(status.isin(429, 503), F.least(F.greatest(millis, F.lit(0.0)), F.lit(300_000.0)).cast("long"))
+    return F.when(status.isin(429, 503) & millis.isNotNull(), F.least(F.greatest(millis, F.lit(0.0)), F.lit(300_000.0)).cast("long"))
 
 
 def header(headers: Column, name: str) -> Column:

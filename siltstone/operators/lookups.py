@@ -58,10 +58,10 @@ def tracker_join(df: DataFrame, host_col: str, trackers: DataFrame, keep: bool =
     ``trackers`` may be a table of any size. Rows are told apart by a key made of their host, so each host
     is looked up once and rows keep their number.
     """
-    hosts = df.select(F.col(host_col).alias("h")).distinct().where("h is not null")
-    listed = hosts.where(F.length("h") <= MAX_HOST).select("h", F.explode(suffixes(F.col("h"))).alias("domain"))
-    found = listed.join(small(trackers.select("domain").distinct()), "domain").select("h").distinct()
-    return df.join(found, F.col(host_col) == F.col("h"), "left_semi" if keep else "left_anti")
+    hosts = df.select(F.col(host_col).alias("__h")).distinct().where("__h is not null")
+    parents = hosts.where(F.length("__h") <= MAX_HOST).select("__h", F.explode(suffixes(F.col("__h"))).alias("domain"))
+    found = parents.join(small(trackers.select("domain").distinct()), "domain").select("__h").distinct()
+    return df.join(found, F.col(host_col) == F.col("__h"), "left_semi" if keep else "left_anti")
 
 
 def suffix_rules(spark, rules: list[str] = SUFFIXES) -> DataFrame:
@@ -127,7 +127,7 @@ def with_default(df: DataFrame, key: str, profiles: DataFrame, value: str, defau
 
 def profile_map(text: Column, names: list[str]) -> Column:
     """``id=profile,...`` as a map; entries without an id or with an unknown profile are dropped."""
-    pairs = F.transform(F.split(text, ","), lambda p: F.transform(F.split(p, "=", 2), F.trim))
+    pairs = F.transform(F.split(text, ","), lambda p: F.transform(F.split(p, "=", 2), lambda x: F.trim(x)))
     valid = F.filter(pairs, lambda p: (F.size(p) == 2) & (F.get(p, F.lit(0)) != "") & F.get(p, F.lit(1)).isin(*names))
     entries = F.transform(valid, lambda p: F.struct(F.get(p, F.lit(0)).alias("key"), F.get(p, F.lit(1)).alias("value")))
     last = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]

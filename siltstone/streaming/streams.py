@@ -1,7 +1,7 @@
 """Structured Streaming twins: extraction of arriving pages, windowed audit counts, rolling quotas, health.
 
 Stateful operators are keyed, use event time, and keep the same state class as the batch folds, so a stream
-that is read to its end gives the batch result. State that has not been touched for its time to live goes.
+that is read to its end gives the batch result. A key's state is its open window or its last outcomes.
 """
 
 from __future__ import annotations
@@ -47,23 +47,19 @@ def quota_stream(requests: DataFrame, limit: int = 300, window_ms: int = 60_000)
     """Admissions of a stream of requests (tenant, request_id, at_ms, seeds); the state is the open window."""
 
     def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         at, n = state.get if state.exists else ([], [])
         quota = Quota(list(zip(at, n, strict=True)), 0, int(sum(n)))
         rows = pd.concat(list(batches)).sort_values(["at_ms", "request_id"])  # one trigger's rows of one tenant
         made = [quota.ask(int(r.at_ms), int(r.seeds), limit, window_ms) for r in rows.itertuples()]
         open_ = quota.admitted[quota.head :]
         state.update(([int(a) for a, _ in open_], [int(k) for _, k in open_]))
-        state.setTimeoutDuration(max(1, window_ms))
         yield pd.DataFrame({
             "tenant": rows["tenant"].to_numpy(), "request_id": rows["request_id"].to_numpy(), "ok": [m["ok"] for m in made], "used": [m["used"] for m in made],
         })
 
     kind = requests.schema["tenant"].dataType.simpleString()
     return requests.groupBy("tenant").applyInPandasWithState(
-        admit, f"tenant {kind}, request_id long, ok boolean, used long", QUOTA_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        admit, f"tenant {kind}, request_id long, ok boolean, used long", QUOTA_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
