@@ -1,8 +1,9 @@
 """Main text of web pages, with a style tree for every site.
 
 The pages of a host are merged into a style tree: an element stands at the path of presentations (tag, role
-and classes) that leads to it, and for every such node two distributions are kept over all pages: of its layout (presentations
-of the elements below it) and of its content (the text below it). A node's importance is
+and classes) that leads to it, and for every such node two distributions are kept over all pages: of its
+layout (presentations of the elements below it) and of its content (the text below it). Pages of one title
+count once, so mirrored pages do not make an article look like boilerplate. A node's importance is
 ``(1 - GAMMA) * layout entropy + GAMMA * content entropy``, each divided by the logarithm of the node's
 count, so 0 means alike everywhere and 1 always different. Branches whose node occurs ``LEAST_COUNT`` times
 or more with an importance under ``LEAST_IMPORTANCE`` are removed from each page.
@@ -56,14 +57,15 @@ DROPPED = frozenset(
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 DROPPED_NAMES = frozenset(
-    """ad ads adsense advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner banners
+    """ad ads adsense adsbygoogle advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner banners
     cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup
     login register share sharing sharebar social sidebar sidenav aside widget widgets related recommended recommendations trending menu menus nav
     navbar navigation navi topnav breadcrumb breadcrumbs pagination pager toc header masthead topbar toolbar footer foot colophon copyright disclaimer
-    comment comments commentlist discussion disqus respond reply replies feedback search searchbox form skiplink tags""".split()
+    comment comments commentlist discussion disqus respond reply replies search searchbox form skiplink""".split()
 )
 
-#: Names of wrappers that hold an article's text whatever else their names say.
+#: Names that also describe the layout of wrappers, and names of wrappers that hold an article's text.
+LAYOUTS = frozenset("ad ads aside banner header menu modal nav overlay promo search share sidebar social toc widget widgets".split())
 WRAPPERS = frozenset("article content main body text story post entry page layout wrapper container".split())
 #: Elements that do not end a block.
 UNBROKEN = INLINE | RAW | {"noscript", "template", "svg", "math", "button", "select", "object", "embed", "canvas", "audio", "video"}
@@ -139,7 +141,7 @@ class Page:
                 events.append(~k)
             elif name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(source, at)
-                if name == "textarea":
+                if name in ("textarea", "title"):
                     events.append(source[at : end.start() if end else n])
                 events.append(~k)
                 at = end.end() if end else n
@@ -208,9 +210,12 @@ class Page:
         """
         if self.tag[k] in DROPPED or self.role[k] in DROPPED_ROLES:
             return True
-        if self.names[k] & DROPPED_NAMES:
-            return not (self.names[k] & WRAPPERS and 2 * self.length[k] >= whole)
-        return self.tag[k] == "header" and not self._in_article(k)
+        found = self.names[k] & DROPPED_NAMES
+        if (found <= {"header"} and (found or self.tag[k] == "header")) and self._in_article(k):
+            return False
+        if found:
+            return not (found <= LAYOUTS and self.names[k] & WRAPPERS and 2 * self.length[k] >= whole)
+        return self.tag[k] == "header"
 
     def _in_article(self, k: int) -> bool:
         while k > 0:
@@ -219,6 +224,10 @@ class Page:
                 return True
         return False
 
+    def key(self) -> int:
+        """What tells pages apart: the title, or all text where there is none."""
+        return next((self.content[k] for k, t in enumerate(self.tag) if t == "title" and self.length[k]), self.content[0])
+
     def branch(self, k: int) -> bool:
         """Whether the style tree may remove an element: a container or anything with a class."""
         return self.tag[k] not in INLINE and k > 0 and (self.tag[k] not in PLAIN or self.style[k].count("/") == 2 and not self.style[k].endswith("/"))
@@ -295,34 +304,36 @@ def host_of(url):
 
 
 def site_nodes(pages: DataFrame) -> DataFrame:
-    """(page_id, host, path, layout, content) of the removable branches of pages (page_id, host, html)."""
+    """(page_id, host, page, path, layout, content) of the removable branches of pages (page_id, host, html)."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, columns = [], ([], [], [])
+            rows, columns = [], ([], [], [], [])
             for i, source in enumerate(batch.column(2)):
                 page = Page(source.as_py())
                 page.measure()
+                own = page.key()
                 for k in range(1, len(page.tag)):
                     if page.branch(k) and page.length[k]:
                         rows.append(i)
-                        for column, value in zip(columns, (page.path[k], page.layout[k], page.content[k]), strict=True):
+                        for column, value in zip(columns, (own, page.path[k], page.layout[k], page.content[k]), strict=True):
                             column.append(value - (1 << 64) if value >= 1 << 63 else value)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.int64()) for c in columns)],
-                names=["page_id", "host", "path", "layout", "content"],
+                names=["page_id", "host", "page", "path", "layout", "content"],
             )
 
-    return pages.select("page_id", "host", "html").mapInArrow(run, f"page_id {kind}, host string, path long, layout long, content long")
+    return pages.select("page_id", "host", "html").mapInArrow(run, f"page_id {kind}, host string, page long, path long, layout long, content long")
 
 
 def unimportant(nodes: DataFrame, least: float = LEAST_IMPORTANCE, count: int = LEAST_COUNT, gamma: float = GAMMA) -> DataFrame:
     """(host, path) of the style-tree nodes of low importance."""
+    once = nodes.groupBy("host", "page", "path", "layout", "content").agg(F.lit(1).alias("one"))
     entropies = []
     for column in ("layout", "content"):
-        times = nodes.groupBy("host", "path", column).agg(F.count("*").alias("c"))
+        times = once.groupBy("host", "path", column).agg(F.count("*").alias("c"))
         total = F.sum("c")
         entropy = (F.log(total) - F.sum(F.col("c") * F.log("c")) / total) / F.greatest(F.log(total), F.lit(1e-9))
         entropies.append(times.groupBy("host", "path").agg(total.alias("n"), entropy.alias(f"h_{column}")))
