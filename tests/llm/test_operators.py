@@ -461,6 +461,7 @@ def main_of(source):
         ("<article><ul><li>one<li>two</ul><table><tr><td>1<td>2</table>&nbsp;&#65;&#x42;</article>", "one\ntwo\n1 2\nAB"),
         ("", ""), ("just text", "just text"), ("<p>a<p>b", "a\nb"), ("<article><p>un<b>closed", "unclosed"), ("a < b and <3", "a < b and <3"),
         ("<div class=sidebar-layout><article><p>kept</p></article></div>", "kept"),
+        ("<article><div class='entry-header'><h1>T</h1></div><p>x</p><div class=post-comments><p>a thread that is longer than the article</p></div></article>", "T\nx"),
         ("<article class=comment><p>a much longer remark of a reader</p></article><article><p>story</p></article>", "story"),
     ],
 )
@@ -469,12 +470,14 @@ def test_main_text(source, expected):
 
 
 def test_style_tree_removes_what_is_alike_on_a_site(spark):
-    body = lambda k: f"<body><div class='x1'>Read our terms of use today</div><div class='story'><p>Story {k} tells of {k * 7} things.</p><p>And more {k}</p></div></body>"
+    body = lambda k: f"<title>{k}</title><body><div class='x1'>Read our terms of use today</div><div class='story'><p>Story {k} tells of {k * 7} things.</p><p>And more {k}</p></div></body>"
     pages = [(k, f"http://same.example/{k}", body(k)) for k in range(20)] + [(100, "http://other.example/", body(3))]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_main.main_text(df).collect()}
     assert got[5] == "Story 5 tells of 35 things.\nAnd more 5"
     assert got[100].startswith("Read our terms")  # one page tells nothing about its site
+    copies = spark.createDataFrame([(k, "http://same.example/", body(3)) for k in range(50)], "page_id long, url string, html string")
+    assert {r.text for r in html_main.main_text(copies).collect()} == {got[100]}  # nor do copies of it
 
 
 def test_main_text_is_linear():
