@@ -77,6 +77,34 @@ def without_hidden(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?is)<([a-z][a-z0-9]*)(?=[\s>])(?=[^>]*?{hidden}){_ATTRS}>(?:(?!<\1[\s>]).)*?</\1\s*>", " ")
 
 
+def hidden_classes(c: Column) -> Column:
+    """Classes that a page's style elements set to ``display:none`` by a selector of that class alone.
+
+    At-rules (print and other media) are not looked into.
+    """
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?s)/\*.*?\*/", " "), r"(?s)@[^{;]*\{(?:[^{}]|\{[^{}]*\})*\}", " ")
+    rule = F.lit(r"(?is)(?:^|[},])\s*\.([A-Za-z_][A-Za-z0-9_-]*)\s*\{[^}]*display\s*:\s*none")
+    return F.array_distinct(F.flatten(F.transform(elements(c, "style"), lambda t: F.regexp_extract_all(plain(t), rule, F.lit(1)))))
+
+
+def without_classes(c: Column, classes: Column) -> Column:
+    """Elements with one of the classes removed, where they hold no element of their own name."""
+    before = r"""(?is)<([a-z][a-z0-9]*)(?=[\s>])(?=[^>]*?\sclass\s*=\s*["']?(?:[^"'>]*\s)?(?:"""
+    after = rf""")(?=[\s"'>])){_ATTRS}>(?:(?!<\1[\s>]).)*?</\1\s*>"""
+    pattern = F.concat(F.lit(before), F.array_join(classes, "|"), F.lit(after))
+    return F.when(F.size(classes) > 0, F.regexp_replace(c, pattern, F.lit(" "))).otherwise(c)
+
+
+def capped(c: Column, n: int) -> Column:
+    """The first n characters; a cut inside a tag, or inside a script or the like, moves back before it."""
+    def cut(x: Column) -> Column:
+        head = F.regexp_replace(F.substring(x, 1, n), r"(?s)<[^<>]{0,30}$", "")
+        inert = r"(?is)<(script|style|template|noscript|svg)(?=[\s>])(?:(?!</\1[\s>]).)*$"
+        return F.when(F.length(x) <= n, x).otherwise(F.regexp_replace(head, inert, ""))
+
+    return let(_html(c), cut)
+
+
 def decode(c: Column) -> Column:
     """Character references decoded in one pass: the ampersand's last, so nothing is decoded twice."""
     return let(c, lambda x: F.when(x.contains("&"), _decode(x)).otherwise(x))
@@ -117,6 +145,16 @@ def body(c: Column) -> Column:
 def visible_text(c: Column) -> Column:
     """Text a reader sees: scripts, styles, hidden parts, comments and tags removed, references decoded."""
     inner = without_hidden(without(body(c), "script", "style", "noscript", "template"))
+    return _text_of(inner)
+
+
+def visible_text_of(c: Column, classes: Column) -> Column:
+    """Visible text of a part of a page whose style elements hide ``classes``."""
+    inner = without_hidden(without_classes(without(body(c), "script", "style", "noscript", "template"), classes))
+    return _text_of(inner)
+
+
+def _text_of(inner: Column) -> Column:
     return glue_numbers(collapse(decode(without_tags(without_comments(inner)))))
 
 

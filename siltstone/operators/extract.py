@@ -52,9 +52,9 @@ def extract(fetches: DataFrame) -> DataFrame:
     """
     is_html = text.is_html_type(F.col("content_type"))
     page = fetches.withColumn("source", F.substring(decoded(F.coalesce("body", F.lit(b"")), F.col("content_type")), 1, MAX_CHARS))
-    page = page.withColumn("scope", html.scope(F.col("source")))
+    page = page.withColumn("hidden", html.hidden_classes(F.col("source"))).withColumn("scope", html.scope(html.without_classes(F.col("source"), F.col("hidden"))))
     page = page.withColumns({
-        "text": F.when(is_html, html.visible_text(F.col("scope.html"))).otherwise(F.col("source")),
+        "text": F.when(is_html, html.visible_text_of(F.col("scope.html"), F.col("hidden"))).otherwise(F.col("source")),
         "title": F.when(is_html, html.title(F.col("source"))),
         "canonical_url": F.when(is_html, html.canonical_link(F.col("source"))),
         "json_ld": F.when(is_html, html.json_ld(F.col("source"))).otherwise(F.array().cast("array<string>")),
@@ -75,7 +75,7 @@ def extract(fetches: DataFrame) -> DataFrame:
     content = classify.has_content(F.col("scope.html"), F.col("text_length"), F.col("word_count"), F.col("scope.kind") != "body")
     page = page.withColumn("gate", classify.gate(F.col("content_type"), F.col("structured"), content))
     kind = classify.content_kind(F.col("content_type"), F.col("bearing_types"), F.get(F.array(F.col("meta")["og:type"]), F.lit(0)), F.coalesce("final_url", "url"), F.col("gate.js_required"))
-    return page.withColumns({
+    return page.drop("hidden").withColumns({
         "content_kind": kind,
         "resolved_via": classify.resolved_via(
             F.col("status"), F.col("content_type"), F.col("gate.reason"), F.col("json_ld"), F.col("state_keys"), F.coalesce(F.size("meta"), F.lit(0))

@@ -83,3 +83,16 @@ def answer_outcome(text: Column, wants_json: Column) -> Column:
 def prompt(content: Column, title: Column, description: Column, json_ld: Column) -> Column:
     """What a model is shown: title, description, body and structured data, those that exist."""
     return F.concat_ws("\n\n", F.concat(F.lit("Title: "), title), F.concat(F.lit("Description: "), description), content, F.concat(F.lit("Structured data:\n"), json_ld))
+
+
+def fenced(content: Column, nonce: Column) -> Column:
+    """Untrusted text between marks that it cannot hold, since the nonce is made after it."""
+    mark = lambda word: F.concat(F.lit(f"<<<{word} "), nonce, F.lit(">>>"))
+    return F.concat_ws("\n", mark("CONTENT"), content, mark("END"))
+
+
+def request_text(task: Column, prompt_: Column, schema: Column, budget: Column, content: Column, nonce: Column) -> Column:
+    """The user's message to a model: the request, what shape to answer in, and the fenced text."""
+    limit = F.coalesce(F.concat(F.lit(" Use at most "), budget.cast("string"), F.lit(" tokens.")), F.lit(""))
+    shape = F.when(task == "extract", F.concat(F.lit("\nAnswer with JSON only"), F.coalesce(F.concat(F.lit(" that meets this schema: "), schema), F.lit("")), F.lit("."))).otherwise("")
+    return F.concat(F.lit("Request: "), prompt_, limit, shape, F.lit("\n\n"), fenced(content, nonce))

@@ -216,3 +216,22 @@ def test_schema_keywords():
     assert schema.unsupported({"items": [{}]}).endswith("tuple") and schema.unsupported({"pattern": "(a+)+"}).endswith("unsafe") and schema.unsupported({"minimum": 1}) is None
     with pytest.raises(ValueError):
         schema.valid(F.lit("1"), {"if": {}})
+
+
+def test_hidden_classes(spark):
+    page = """<style>.gone { color: red; display : none } .a .b{display:none} @media print { .print{display:none} } /* .c{display:none} */ .x,.off{display:none}</style>
+    <p>one</p><div class="big gone">two</div><p class='off'>three</p><p class=print>four</p><div class="gone-not">five</div>"""
+    row = spark.createDataFrame([(page,), (None,)], "h string").withColumn("k", html.hidden_classes(F.col("h")))
+    got = row.select("k", html.visible_text_of(F.col("h"), F.col("k")).alias("t")).collect()
+    assert got[0].k == ["gone", "off"] and got[0].t == "one four five" and got[1].t == ""
+
+
+def test_capped(spark):
+    cases = {"<p>abc</p><p>def</p>": "<p>abc</p><p>", "<p>abc</p> <p>def</p>": "<p>abc</p> ", "<p>abcdef</p>": "<p>abcdef</p>", "<p>a</p><script>var x = 1": "<p>a</p>", "x" * 20: "x" * 13}
+    assert column(spark, list(cases), lambda c: html.capped(c, 13)) == list(cases.values())
+
+
+def test_recovered_options():
+    rest, applied, found = schema.recover_options({"type": "object", "budget": 5, "debug": "x", "properties": {"budget": {}}, "maxBytes": 3}, {"maxBytes": 9}, lambda k, v: isinstance(v, int))
+    assert rest == {"type": "object", "debug": "x", "properties": {"budget": {}}} and applied == {"budget": 5} and found == ["budget", "maxBytes"]
+    assert schema.unsupported(rest) == "$.debug" and schema.recover_options("x", {}, bool) == ("x", {}, [])
