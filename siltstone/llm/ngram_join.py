@@ -162,9 +162,9 @@ def frequent_shingles(df: DataFrame, n: int, buckets: int, least: int = LEAST_FR
         if room < 0:
             break
         power = row["power"]
-    found = [r[0] for r in counts.where(F.floor(F.log2("df")) >= power).select("key").toLocalIterator()] if power < 63 else []
+    found = counts.where(F.floor(F.log2("df")) >= power).select("key").toArrow().column(0).to_numpy()  # at most ``most`` numbers
     scratch.drop()
-    return np.sort(np.array(found, dtype=np.int64).astype(U))
+    return np.sort(found.astype(np.int64).view(U))
 
 
 class Signer:
