@@ -83,6 +83,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+# Components in SQL: the smallest node that links reach, label by label until nothing changes.
+_REACH = """reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT reach.a, links.v FROM reach JOIN links ON links.u = reach.b),
+component AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a)"""
+
+ORACLES = {
+    "op1_embedding_join": f"""WITH RECURSIVE x AS (SELECT vec_id AS id, label, [CAST(e AS DOUBLE) FOR e IN embedding] AS v FROM embeddings),
+        ok AS (SELECT * FROM x WHERE label IS NOT NULL AND len(list_filter(v, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_dot_product(v, v) > 0),
+        links AS (SELECT p.id AS u, q.id AS v FROM ok p JOIN ok q ON p.label = q.label AND p.id <> q.id
+            WHERE list_dot_product(p.v, q.v) / sqrt(list_dot_product(p.v, p.v) * list_dot_product(q.v, q.v)) >= 0.98),
+        nodes AS (SELECT id FROM x), {_REACH}
+        SELECT x.id AS vec_id, (SELECT count(*) FROM links WHERE u = x.id) AS n_links, c AS component_id, x.id = c AS kept FROM x JOIN component USING (id)""",
+    "op3_line_dedup": line_dedup.ORACLE,
+    "op5_warc": """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), m AS (SELECT h, max(page_id) AS best FROM p GROUP BY h),
+        b AS (SELECT p.*, best, array_to_string([lpad(bin(instr('0123456789abcdef', substr(sha1(h), i, 1)) - 1), 4, '0') FOR i IN range(1, 41)], '') AS bits FROM p JOIN m USING (h))
+        SELECT page_id, strlen(h) AS payload_bytes,
+            array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum([CAST(substr(bits, 5 * i + k, 1) AS INTEGER) << (5 - k) FOR k IN range(1, 6)]) AS BIGINT), 1) FOR i IN range(0, 32)], '') AS payload_digest,
+            CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to, url FROM b""",
+    "op9_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT id, list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, greatest(2, len(w) - 2))]) AS s, len(w) AS n FROM w),
+        k AS (SELECT id, CASE WHEN n = 0 THEN [] ELSE s END AS s FROM s), g AS (SELECT id, len(s) AS n, unnest(s) AS t FROM k),
+        o AS (SELECT p.id AS u, q.id AS v, p.n AS pn, q.n AS qn, count(*) AS shared FROM g p JOIN g q ON p.t = q.t AND p.id <> q.id GROUP BY ALL),
+        links AS (SELECT u, v FROM o WHERE 100 * shared >= 85 * (pn + qn - shared)), nodes AS (SELECT id FROM k), {_REACH}
+        SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM k JOIN component USING (id)""",
+    # The stored pages have one article of headings and paragraphs each.
+    "op10_html_main": """WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?is)<article>(.*?)</article>', 1), '(?i)</?(?:p|h1)>') AS parts FROM pages),
+        t AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'),
+            '[\\s\\x{00A0}]+', ' ', 'g')) FOR x IN parts] AS parts FROM a)
+        SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text, length(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10))) AS n_chars FROM t""",
+    "pipeline": corpus_pipeline.ORACLE_SQL,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    found = {"op3_line_dedup": line_dedup.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: sql for name, sql in ORACLES.items() if sql}

@@ -51,3 +51,18 @@ def test_registry_names():
     names = list(registry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_stages_with_odd_rows(spark, sf_dir):
+    rows = [
+        (1, "one two three four five six seven", "en", "s", 5), (1, "one two three four five six seven", "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0),
+        (None, "one two three four five six seven", "en", "s", 1), (None, None, None, None, None), (4, " ".join(f"w{i % 601}" for i in range(50_000)), "en", "s", 9),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' AS n", "'y' AS id", "'z' AS __score")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name != "packing":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+        ids = [r.doc_id for r in out.collect()]
+        assert (name == "packing" or len(ids) <= len(rows)) and (name == "quality" or {2, 3, 4, None} <= set(ids))
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
