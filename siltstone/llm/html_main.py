@@ -2,17 +2,17 @@
 
 The pages of a host are merged into a style tree: an element stands at the path of presentations (tag, role
 and classes) that leads to it, and for every such node two distributions are kept over all pages: of its
-layout (presentations of the elements below it) and of its content (the text below it). Pages of one title
-count once, so mirrored pages do not make an article look like boilerplate. A node's importance is
+layout (presentations of the elements below it) and of its content (the text below it). Pages of one main
+text count once, so mirrored pages do not make an article look like boilerplate. A node's importance is
 ``(1 - GAMMA) * layout entropy + GAMMA * content entropy``, each divided by the logarithm of the node's
 count, so 0 means alike everywhere and 1 always different. Branches whose node occurs ``LEAST_COUNT`` times
 or more with an importance under ``LEAST_IMPORTANCE`` are removed from each page.
 
 Some boilerplate differs on every page (menus that name other pages), and the articles of mirrored pages are
 alike, so entropy alone is not enough either way: elements that HTML itself or their names mark as
-menus, headers, footers, asides, forms, adverts, notices or reader comments go as well, the page's
-``article`` (or ``main``) is taken where there is one, and plain paragraphs, headings, lists and
-tables are never removed for their importance.
+menus, headers, footers, asides, forms, adverts, notices or reader comments go as well, all of the page's
+articles (or ``main``) are taken where they hold half of the text that is left, and plain paragraphs, headings,
+lists and tables are never removed for their importance.
 
 Scale: pages are parsed by a map; node counts are combined before the shuffle, so a host with a third of
 all pages is a few counts a task; what must be removed is joined by (host, node), then by page.
@@ -225,37 +225,60 @@ class Page:
         return False
 
     def key(self) -> int:
-        """What tells pages apart: the title, or all text where there is none."""
-        return next((self.content[k] for k, t in enumerate(self.tag) if t == "title" and self.length[k]), self.content[0])
+        """What tells pages apart: the main text, or all text where there is none."""
+        text = self.text(frozenset())
+        return xxhash.xxh3_64_intdigest(text) if text else self.content[0]
 
     def branch(self, k: int) -> bool:
         """Whether the style tree may remove an element: a container or anything with a class."""
         return self.tag[k] not in INLINE and k > 0 and (self.tag[k] not in PLAIN or self.style[k].count("/") == 2 and not self.style[k].endswith("/"))
 
-    def root(self) -> int:
-        """The element that holds the main text: the longest article, else main, else the body."""
-        out: dict[int, bool] = {}
-        best: dict[str, int] = {}
-        for k in range(len(self.tag)):  # parents come first
-            inside = k > 0 and out[self.parent[k]]
+    def roots(self, low: frozenset[int]) -> list[int]:
+        """The elements that hold the main text, in page order: all outermost articles, where they hold half of the
+        text of main (or of the body) that is kept; else main and the articles outside it, by the same rule; else the body.
+        """
+        count = len(self.tag)
+        whole, body = self.length[0], 0
+        out, kept = [False] * count, [0] * count
+        found: dict[str, list[int]] = {"article": [], "main": []}
+        within = {kind: [False] * count for kind in found}
+        for k in range(count):  # parents come first
+            up = self.parent[k]
             kind = "main" if self.role[k] == "main" else self.tag[k]
-            out[k] = inside or (kind not in ("main", "body", "html") and self.dropped(k, self.length[0]))
-            if not out[k] and kind in ("article", "main", "body") and (kind not in best or self.length[k] > self.length[best[kind]]):
-                best[kind] = k
-        for kind in ("article", "main", "body"):
-            if kind in best and (self.length[best[kind]] or kind == "body"):
-                return best[kind]
-        return 0
+            gone = self.dropped(k, whole) or self.branch(k) and self.path[k] in low and 2 * self.length[k] < whole
+            out[k] = k > 0 and out[up] or kind not in ("main", "body", "html") and gone
+            for name, inside in within.items():
+                inside[k] = k > 0 and inside[up]
+                if kind == name and not out[k] and not inside[k]:
+                    inside[k] = True
+                    found[name].append(k)
+            if kind == "body" and not out[k] and (not body or self.length[k] > self.length[body]):
+                body = k
+        at = [0]
+        for e in self.events:
+            if isinstance(e, str):
+                if not out[at[-1]]:
+                    kept[at[-1]] += len(" ".join(html_library.unescape(e).split()))
+            elif e > 0:
+                at.append(e)
+            elif e < -1:
+                at.pop()
+        for k in range(count - 1, 0, -1):
+            kept[self.parent[k]] += kept[k]
+        articles, mains = ([k for k in found[kind] if kept[k]] for kind in ("article", "main"))
+        size = lambda ks: sum(kept[k] for k in ks)
+        # main and the articles outside it; articles around it count as a whole
+        wide = sorted([k for k in mains if not within["article"][k]] + [k for k in articles if not within["main"][k]])
+        if articles and 2 * size(articles) >= size(wide if mains else [0]) and 2 * size(articles) >= kept[0]:
+            return articles
+        if mains and 2 * size(wide) >= kept[0]:
+            return wide
+        return [body if kept[body] == kept[0] else 0]
 
     def text(self, low: frozenset[int]) -> str:
         """Blocks of the main text; ``low`` holds the paths of unimportant branches."""
-        root = self.root()
-        kept = {root}
-        while root > 0:
-            root = self.parent[root]
-            kept.add(root)
-        root = max(kept)
-        whole = self.length[root]
+        roots = set(self.roots(low))
+        whole = 0
         blocks: list[str] = []
         words: list[str] = []
         skipping = None
@@ -272,10 +295,9 @@ class Page:
                     words.append(html_library.unescape(e))
                 continue
             k = e if e >= 0 else ~e
-            if k == root:
-                inside = e >= 0
-                if not inside:
-                    break
+            if k in roots:
+                inside, whole = e >= 0, self.length[k]
+                flush()
                 continue
             if not inside:
                 continue

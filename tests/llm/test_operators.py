@@ -480,6 +480,27 @@ def test_style_tree_removes_what_is_alike_on_a_site(spark):
     assert {r.text for r in html_main.main_text(copies).collect()} == {got[100]}  # nor do copies of it
 
 
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("<article><p>first part</p></article><nav>menu</nav><article><p>second part is longer</p></article>", "first part\nsecond part is longer"),
+        ("<main><p>the whole story stands here</p><p>and goes on for long</p></main><article><p>a card</p></article>", "the whole story stands here\nand goes on for long\na card"),
+        ("<body><article><p>a card</p></article><div><p>the whole story stands in a plain division</p></div></body>", "a card\nthe whole story stands in a plain division"),
+        ("<main><article><p>a card</p></article><div><p>the whole story is beside it</p></div></main>", "a card\nthe whole story is beside it"),
+        ("<body><p>a</p></body><p>after the body</p>", "a\nafter the body"),
+    ],
+)
+def test_main_text_of_several_parts_is_whole(source, expected):
+    assert main_of(source) == expected
+
+
+def test_pages_of_one_title_are_told_apart_by_their_text(spark):
+    words = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(20)]
+    body = lambda k: f"<title>The Site</title><div class='x1'>Read our terms of use today</div><div class='story'><p>Story {words[k]} {k}</p><p>{words[-k]}</p></div>"
+    df = spark.createDataFrame([(k, f"http://same.example/{k}", body(k)) for k in range(20)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_main.main_text(df).collect()} == {k: f"Story {words[k]} {k}\n{words[-k]}" for k in range(20)}
+
+
 def test_main_text_is_linear():
     import time
 
