@@ -9,7 +9,8 @@ separator, or as one gzip member per record, with an empty member as the separat
 Reader. Archives are read as binary files, plain or with one gzip member per record. A record that fails a
 check (version line, headers, length, closing CRLFs, gzip trailer, payload digest) is not trusted: the
 reader searches for the next member or version line that starts a valid record, goes on from there, and
-logs the bytes between as a quarantined gap with the reason.
+logs the bytes between as a quarantined gap with the reason. The other records of a member that holds a bad
+one are kept, and so are those before the place where a member's stream breaks.
 
 Scale: equal payloads meet by digest in a map-side combined maximum that is joined back (narrow keys,
 splittable where one payload is very common); html is shuffled at most once. Archives hold at most
@@ -123,13 +124,18 @@ class Invalid(ValueError):
     """Why bytes at some place are no valid record."""
 
 
+#: What ends a record's headers, however long they are: an empty line, or the next record where it is missing.
+HEAD_END = re.compile(rb"\r\n(?:\r\n|WARC/1\.[01]\r\n)")
+
+
 def parse_record(data: bytes, at: int) -> tuple[int, dict]:
     """The record at an offset of uncompressed bytes and where the next one starts."""
     if not re.compile(rb"WARC/1\.[01]\r\n").match(data, at):
         raise Invalid("no version line")
-    head_end = data.find(b"\r\n\r\n", at, at + 65_536)
-    if head_end < 0:
+    ending = HEAD_END.search(data, at)
+    if ending is None or ending[0] != b"\r\n\r\n":
         raise Invalid("headers do not end")
+    head_end = ending.start()
     fields = {}
     for line in data[at:head_end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -166,53 +172,84 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict]:
     }
 
 
-def parse_member(data: bytes, at: int) -> tuple[int, list[dict]]:
-    """The gzip member at an offset, as the records it holds."""
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The bytes of the gzip member at an offset as far as they inflate, where they end, and why there are no more, or ''."""
+    stream, out, end = zlib.decompressobj(31), [], at
+    while not stream.eof and end < len(data):
+        try:
+            # by chunks, since what follows a member comes back as a copy
+            out.append(stream.decompress(data[end : end + CHUNK]))
+        except zlib.error as broken:
+            # a failing call gives nothing: once more, byte by byte up to the failure
+            stream = zlib.decompressobj(31)
+            stream.decompress(data[at:end])
+            try:
+                while True:
+                    out.append(stream.decompress(data[end : end + 1]))
+                    end += 1
+            except zlib.error:
+                return b"".join(out), end, f"gzip: {broken}"
+        end += CHUNK
+    end = min(end, len(data)) - len(stream.unused_data)
+    return b"".join(out), end, "" if stream.eof else "gzip member is cut off"
+
+
+def parse_member(data: bytes, at: int) -> tuple[int, list[dict], str]:
+    """The gzip member at an offset: where it ends, the records and gaps it holds, and what is wrong with the stream, or ''.
+
+    Where only the trailer is wrong and every record looks right, nothing tells which one is not, so none is trusted.
+    """
     if data[at : at + 3] != b"\x1f\x8b\x08":
         raise Invalid("no gzip member")
-    inflate, out, end = zlib.decompressobj(31), [], at
-    try:
-        while not inflate.eof and end < len(data):
-            # by chunks, since what follows a member comes back as a copy
-            out.append(inflate.decompress(data[end : end + CHUNK]))
-            end += CHUNK
-    except zlib.error as broken:
-        raise Invalid(f"gzip: {broken}") from None
-    if not inflate.eof:
-        raise Invalid("gzip member is cut off")
-    plain, end = b"".join(out), min(end, len(data)) - len(inflate.unused_data)
-    found, place = [], 0
-    while place < len(plain):
-        place, one = parse_record(plain, place)
-        found.append(one)
-    return end, found
+    plain, end, broken = inflate(data, at)
+    found = list(salvage(plain, VERSION))
+    gaps = [one for one in found if one["part"] == "gap"]
+    if found and len(gaps) == len(found) or broken and (not found or re.search("incorrect (data|length) check", broken) and not gaps):
+        raise Invalid(broken or gaps[0]["reason"])
+    return end, found, broken
 
 
 #: Starts that a search tries: a version line, or a member's magic number. Only whole valid records count.
+VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """Records of an archive in order, and a ``gap`` for every stretch of bytes that is in none of them."""
+def salvage(data: bytes, starts: re.Pattern = START) -> Iterator[dict]:
+    """Records of an archive in order, and a ``gap`` for every stretch of bytes that is in none of them.
+
+    Records and gaps of a gzip member have the member's offset and size. A member whose stream is broken is a gap,
+    after the records that its beginning holds.
+    """
     at, gap, reason = 0, None, ""
+    rescued: list[dict] = []  # of the last broken member, which ends at ``until``
+    until = 0
     while at < len(data):
         try:
-            if data[at : at + 2] == b"\x1f\x8b":
-                end, found = parse_member(data, at)
+            if starts is START and data[at : at + 2] == b"\x1f\x8b":
+                end, found, broken = parse_member(data, at)
+                if broken:
+                    rescued, until = [{**one, "offset": at, "size": end - at} for one in found if one["part"] == "record"], end
+                    if gap is not None:
+                        yield {"part": "gap", "offset": gap, "size": at - gap, "reason": reason}
+                        gap = None
+                    yield from rescued
+                    raise Invalid(broken)
             else:
                 end, one = parse_record(data, at)
-                found = [one]
+                if at < until and any(one.items() <= other.items() for other in rescued):
+                    raise Invalid("part of a broken gzip member")  # stored there without compression
+                found = [{"part": "record", **one}]
         except Invalid as why:
             if gap is None:
                 gap, reason = at, str(why)
-            following = START.search(data, at + 1)
+            following = starts.search(data, at + 1)
             at = following.start() if following else len(data)
             continue
         if gap is not None:
             yield {"part": "gap", "offset": gap, "size": at - gap, "reason": reason}
             gap = None
         for one in found:
-            yield {"part": "record", "offset": at, "size": end - at, **one}
+            yield {**one, "offset": at, "size": end - at}
         at = end
     if gap is not None:
         yield {"part": "gap", "offset": gap, "size": len(data) - gap, "reason": reason}

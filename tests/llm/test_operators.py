@@ -259,6 +259,33 @@ def test_warc_salvage(compress):
     assert at == len(data) + 40
 
 
+@pytest.mark.parametrize("compress", [False, True])
+def test_warc_keeps_rows_of_long_urls(spark, tmp_path, compress):
+    urls = ["http://a/" + "x" * 70_000, "http://a/" + " " * 30_000 + "y", "http://a/WARC/1.1"]
+    df = spark.createDataFrame([(k, u, f"<p>{k}</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    warc.write_archives(df, str(tmp_path / "archive"), compress=compress)
+    got = warc.read_archives(spark, str(tmp_path / "archive")).collect()
+    assert sorted(r.url for r in got if r.part == "record") == sorted(u.replace(" ", "%20") for u in urls) and len(got) == 3
+
+
+def test_warc_salvages_members_of_several_records():
+    made = lambda k: warc.record(k, f"http://x/{k}", hashlib.sha512(str(k).encode()).hexdigest().encode() * 3, None, "2024-01-01T00:00:00Z") + b"\r\n"
+    records = [made(k) for k in range(8)]
+    ids = lambda data: [int(r["record_id"].rpartition(":")[2]) for r in warc.salvage(data) if r["part"] == "record"]
+    assert ids(warc.member(b"".join(records))) == list(range(8))
+    bad = records[2][:-60] + b"?" + records[2][-59:]
+    rows = list(warc.salvage(warc.member(b"".join([*records[:2], bad, *records[3:5]])) + warc.member(records[5])))
+    assert [r["part"] for r in rows] == ["record", "record", "gap", "record", "record", "record"] and rows[2]["reason"] == "payload digest differs"
+    member = warc.member(b"".join(records[:6]))
+    for data in (member[:-200], member[:-200] + warc.member(records[7]), member[:-200] + b"\xff" * 300 + warc.member(records[7])):
+        got = ids(data)
+        assert got[:3] == [0, 1, 2] and len(set(got)) == len(got) and (got[-1] == 7) == (len(data) > len(member) - 200)
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    plain = stored.compress(b"".join(records[:4])) + stored.flush()
+    assert ids(plain[:-40]) == [0, 1, 2]
+    assert ids(member[:-8] + b"\x00" * 4 + member[-4:]) == []  # nothing tells which record is wrong
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------
 
 
