@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts and benchmark items are sequences of words of letters and digits, case folded, so punctuation and
-layout do not hide a copy. Seeds are the runs of ``min_match`` words of the benchmark. A document meets the
+Texts and benchmark items are sequences of words of letters and digits, case folded by Unicode, so punctuation and
+layout do not hide a copy; every character of a script without spaces is a word (``folded``). Seeds are the runs of ``min_match`` words of the benchmark. A document meets the
 items with which it shares seeds; an item goes on if its shared seeds could cover the threshold. Then tiles
 are laid: all runs of words common to the document and the item are found from Karp-Rabin hashes of their
 seeds, the longest one that overlaps nothing marked is marked, and so on until none of ``min_match`` words
@@ -11,13 +11,15 @@ passages in another order are caught as well.
 Scale: a map over documents against the benchmark's seeds. These are broadcast in blocks of whole items
 with at most ``MAX_WORDS`` words (16 bytes each); a larger benchmark takes a pass for each block.
 
-Cases: null text has no words; items of fewer than ``min_match`` words are never found; repeated rows are
-treated alike; an empty benchmark finds nothing; equal matches are marked in order of item, then document
+Cases: null text has no words; items of fewer than ``min_match`` words are found with ``short_items`` only, and then
+wherever all of their words follow each other; repeated rows are treated alike; an empty benchmark finds nothing; equal matches are marked in order of item, then document
 position; items with a null id are left out.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +36,50 @@ MAX_WORDS = 2_000_000
 HIT = "array<struct<item_id: bigint, covered: int, words: int, tiles: int>>"
 U = np.uint64
 
+#: Characters that show nothing, and letters of scripts that put no spaces between words.
+INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
+SPACELESS = re.compile(
+    "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\ua9e0-\ua9ff\uaa60-\uaa7f\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+)
+BEYOND_ASCII = re.compile(r"[^\w\x00-\x7f]")
+
+
+def folded(text: str) -> str:
+    """A text whose words ASCII separators part: compatible forms and case folded, other separators as spaces."""
+    if text.isascii():
+        return text
+    text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", INVISIBLE.sub("", text)).casefold())
+    # a mark belongs to the letter before it
+    text = BEYOND_ASCII.sub(lambda m: m[0] if unicodedata.category(m[0])[0] == "M" else " ", text)
+    return SPACELESS.sub(r" \g<0> ", text)
+
+
+def words_of(texts: pa.Array) -> tv.Words:
+    raw, offsets = tv.buffer_of(texts)
+    if len(raw) and raw.max() > 127:
+        rows = texts.fill_null("").cast(pa.large_binary()).to_pylist()
+        raw, offsets = tv.buffer_of(pa.array([folded(t.decode("utf-8", "replace")) for t in rows], pa.large_string()))
+    return tv.words(raw, offsets, tv.table(tv.SYMBOLS))
+
 
 class Seeds:
-    """A block of benchmark items: words of every item, and seed hash -> (item, position)."""
+    """A block of benchmark items: words of every item, and seed hash -> (item, position).
 
-    def __init__(self, ids: list[int], texts: list[str], min_match: int) -> None:
-        raw, offsets = tv.buffer_of(pa.array(texts, pa.large_string()))
-        w = tv.words(raw, offsets, tv.table(tv.SYMBOLS))
+    ``short`` has the items of fewer words than a seed by their number of words: sorted hashes, ids and words.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], min_match: int, short_items: bool = False) -> None:
+        w = words_of(pa.array(texts, pa.large_string()))
+        self.short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        count = np.diff(w.first)
+        for n in range(1, min_match) if short_items else ():
+            own = np.flatnonzero(count == n)
+            if len(own):
+                every = w.hash[w.first[own][:, None] + np.arange(n)]
+                seed = np.array([tv.combine(x, n)[0] for x in every], U)
+                order = np.argsort(seed, kind="stable")
+                self.short[n] = seed[order], np.array(ids)[own][order], every[order]
         keep = [k for k in range(len(ids)) if w.first[k + 1] - w.first[k] >= min_match]
         self.ids = [ids[k] for k in keep]
         self.words = [w.hash[w.first[k] : w.first[k + 1]] for k in keep]
@@ -63,6 +102,22 @@ class Seeds:
         return np.repeat(at, times), self.item[which], self.place[which]
 
 
+    def short_hits(self, w: tv.Words) -> Iterator[tuple[int, int, int]]:
+        """(row, item id, words) of the short items that rows hold, each once."""
+        for n, (seed, ids, every) in self.short.items():
+            made = tv.combine(w.hash, n)
+            low, high = np.searchsorted(seed, made, "left"), np.searchsorted(seed, made, "right")
+            at = np.flatnonzero(high > low)
+            row = np.searchsorted(w.first, at, "right") - 1
+            within = at + n <= w.first[row + 1]
+            at, row = at[within], row[within]
+            _, once = np.unique(np.stack([row, low[at]]), axis=1, return_index=True)
+            for p, r in zip(at[once].tolist(), row[once].tolist(), strict=True):
+                for k in range(low[p], high[p]):
+                    if np.array_equal(every[k], w.hash[p : p + n]):
+                        yield r, int(ids[k]), n
+
+
 def tile(doc: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray, m: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (position in the document, position in the item, length) of every tile.
 
@@ -97,30 +152,30 @@ def tile(doc: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.ndar
     return tiles
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, max_words: int) -> Iterator[Seeds]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, max_words: int, short_items: bool) -> Iterator[Seeds]:
     """The benchmark's items, some at a time; the driver holds one block."""
     rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     ids, texts, size = [], [], 0
     for row in rows.orderBy("i", "t").toLocalIterator():
-        n = row.t.count(" ") + row.t.count("\n") + 1
+        n = len(folded(row.t).split()) + 1
         if ids and size + n > max_words:
-            yield Seeds(ids, texts, min_match)
+            yield Seeds(ids, texts, min_match, short_items)
             ids, texts, size = [], [], 0
         ids.append(row.i)
         texts.append(row.t)
         size += n
     if ids:
-        yield Seeds(ids, texts, min_match)
+        yield Seeds(ids, texts, min_match, short_items)
 
 
 def with_hits(
     df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", name: str = "hits",
-    min_match: int = MIN_MATCH, coverage: float = COVERAGE, max_words: int = MAX_WORDS,
+    min_match: int = MIN_MATCH, coverage: float = COVERAGE, max_words: int = MAX_WORDS, short_items: bool = False,
 ) -> DataFrame:
     """``df`` and an array of the items that each row's text contains: item_id, covered, words, tiles."""
     context = df.sparkSession.sparkContext
     found = F.array().cast(HIT)
-    for block in blocks(benchmark, item_col, item_text, min_match, max_words):
+    for block in blocks(benchmark, item_col, item_text, min_match, max_words, short_items):
         found = F.concat(found, _search(context.broadcast(block), coverage)(F.coalesce(F.col(text_col), F.lit(""))))
     return df.withColumn(name, found)
 
@@ -130,14 +185,15 @@ def _search(shared, coverage: float):
 
     def part(texts: pa.Array) -> pa.Array:
         b: Seeds = shared.value
-        raw, offsets = tv.buffer_of(texts)
-        w = tv.words(raw, offsets, tv.table(tv.SYMBOLS))
+        w = words_of(texts)
         every = tv.combine(w.hash, b.m)
         at, item, place = b.hits(every)
         row = np.searchsorted(w.first, at, "right") - 1
         inside = at + b.m <= w.first[row + 1]
         at, item, place, row = at[inside], item[inside], place[inside], row[inside]
         out: list[list[dict]] = [[] for _ in range(len(texts))]
+        for r, i, n in b.short_hits(w):
+            out[r].append({"item_id": i, "covered": n, "words": n, "tiles": 1})
         if not len(row):
             return pa.array(out, kind)
         order = np.lexsort((at, item, row))

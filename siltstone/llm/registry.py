@@ -24,7 +24,7 @@ def op1_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import (
-    decontaminate, embedding_join, html_main, line_dedup, ngram_join, packing, quality, secret_scan, sharding, textvec, warc,
+    decontaminate, embedding_join, html_main, line_dedup, ngram_join, packing, quality, registry, secret_scan, sharding, textvec, warc,
 )
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -156,6 +156,23 @@ def test_decontamination_catches_reordered_passages(spark):
     assert {r.doc_id for r in decontaminate.clean_documents(df, bench).collect()} == {1, 3, 6}
 
 
+def test_decontamination_in_other_scripts_and_of_short_items(spark, tmp_path):
+    items = {
+        1: "Der große Ärger über die Öfen währt schon lange Zeit", 2: "春眠不觉晓，处处闻啼鸟。夜来风雨声", 3: "吾輩は猫である。名前はまだ無い。", 4: "one two three four five six seven eight",
+        5: "zwei Wörter", 6: "word", 7: "don't stop—believing in “quoted” words – ever", 8: "…",
+    }
+    docs = {
+        1: items[1].upper(), 2: "前文" + items[2].replace("，", " ").replace("。", "\n") + "后文", 3: "これ、" + items[3], 4: items[4].replace(" ", "\u00a0"),
+        5: "hier sind (ZWEI WÖRTER) und mehr", 6: "wording wordy swords", 7: 'so DON’T STOP - believing in "quoted" words -- ever again', 8: "nichts davon … hier", 9: "zwei andere Wörter",
+        10: "one\u00ad two\u200b three ｆｏｕｒ five six seven eight",
+    }
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = registry.queries()["op2_decontamination"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (7, 7), (10, 4)]
+    assert all(r.covered == r.words for r in found) and {r.words for r in found if r.item_id == 5} == {2}
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------
 
 
