@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and a character convolutional network over further candidates.
 
-Base findings are the matches of three fixed patterns. A candidate is any other run of 16 or more key
-characters that has letters and digits. The network sees the characters of the candidate (its first 32 and
-last 16 where it is longer than 48) between 24 characters of context before and 8 after: an embedding per
+Base findings are the matches of three fixed patterns. A candidate is any other run of key
+characters, or the rest of one beside a base finding: of 8 or more with a digit, or of 16 or more. The network sees
+the characters of the candidate (its first 32 and last 16 where it is longer than 48; such a candidate is also
+seen in overlapping windows of 48 and in parts, so that it is seen whole) between 24 characters of context before and 8 after: an embedding per
 character, one convolution of width 5, a maximum over each of the three parts, and a logistic output. It is
 written in numpy and trained at first use on labelled findings: by default a set made by a seeded rule
 (keys in the contexts and forms that leaks have, against identifiers, paths, dates, checksums and words),
@@ -31,7 +32,8 @@ KINDS = ("assign", "access", "hex", "net")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+PART = re.compile(r"[A-Za-z0-9+_-]{8,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RECALL = 0.98
 BEFORE, HEAD, TAIL, AFTER = 24, 32, 16, 8
@@ -59,26 +61,41 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters with letters and digits that no base finding touches."""
-    if not any(len(t) >= 16 and not t.isalpha() for t in text.split()):
-        return []
+    """Runs of key characters, without what base findings cover, of 8 or more with a digit, or of 16 or more."""
     out, k = [], 0
-    reach = sorted((s, e) for _, s, e in base)
+    reach: list[list[int]] = []  # base findings, overlapping ones as one
+    for s, e in sorted((s, e) for _, s, e in base):
+        if reach and s <= reach[-1][1]:
+            reach[-1][1] = max(reach[-1][1], e)
+        else:
+            reach.append([s, e])
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        start, end = m.start() + len(run) - len(run.lstrip(".=-/+_")), m.end() - len(run) + len(run.rstrip(".-/+_"))
-        if end - start < 16:
+        if m.end() - m.start() < 16 and m[0].isalpha():
             continue
-        body = text[start:end]
-        if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
-            continue
-        while k < len(reach) and reach[k][1] <= start:
+        at, last = m.span()
+        while k < len(reach) and reach[k][1] <= at:
             k += 1
-        if not any(s < end and start < e for s, e in reach[k : k + 4]):
-            out.append((start, end))
+        free, j = [], k
+        while j < len(reach) and reach[j][0] < last:
+            free.append((at, reach[j][0]))
+            at, j = max(at, reach[j][1]), j + 1
+        for start, end in (*free, (at, last)):
+            run = text[start:end]
+            start, end = start + len(run) - len(run.lstrip(".=-/+_")), end - len(run) + len(run.rstrip(".-/+_"))
+            if end - start >= 16 or end - start >= 8 and any(c.isdigit() for c in text[start:end]):
+                out.append((start, end))
     return out
 
 
+def views(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The spans to score for a candidate: itself, and where it is too long to be seen whole, its windows and parts."""
+    seen, size = [(start, end)], HEAD + TAIL
+    if end - start > size:
+        seen += [(min(at, end - size), min(at, end - size) + size) for at in range(start, end - size // 2, size // 2)]
+        seen += [m.span() for m in PART.finditer(text, start, end) if m.end() - m.start() <= size]
+    return seen
+
+
 def window(text: str, start: int, end: int) -> str:
     """The characters the network sees, at fixed places; NUL where there is none."""
     before = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
@@ -218,8 +235,23 @@ def labelled_findings(n: int = 3_000, seed: int = 11) -> tuple[list[str], np.nda
     words = lambda k: " ".join(word() for _ in range(k))
     number = lambda a, b: str(int(rng.integers(a, b)))
 
+    cluster = ("b", "c", "ch", "d", "f", "g", "gn", "h", "l", "lt", "m", "n", "nd", "ng", "p", "pf", "qu", "r", "rs", "s", "sch", "st", "t", "th", "tz", "v", "x", "z")
+    vowel = ("a", "e", "i", "o", "u", "au", "ei", "eu", "eau", "io", "ou", "ui")
+
+    def letters(least: int) -> str:
+        """A word of letters only, as prose has it."""
+        made = pick(("", "", "", "un", "ver", "inter"))
+        while len(made) < least:
+            made += (word() if rng.random() < 0.3 else "") + pick(cluster) + pick(vowel) + pick(("", "", pick(cluster)))
+        return pick((made, made, made.capitalize(), made.upper()))
+
+    def path() -> str:
+        return pick(("/", "/", "-", "_", ".")).join(letters(int(rng.integers(3, 12))) for _ in range(12))[: int(rng.integers(16, 49))]
+
     def secret() -> tuple[str, str]:
-        kind, size = int(rng.integers(5)), int(rng.integers(20, 56))
+        kind, size = int(rng.integers(6)), int(rng.integers(20, 56))
+        if kind == 5:
+            return pick(LEADS), chars(LOWER + LOWER.upper(), size)
         if kind == 0:
             return (pick(LEADS) if rng.random() < 0.5 else ""), pick(PREFIXES) + chars(ALNUM, size)
         if kind == 1:
@@ -229,7 +261,9 @@ def labelled_findings(n: int = 3_000, seed: int = 11) -> tuple[list[str], np.nda
         return pick(LEADS), chars(alphabet, size) + ("=" if kind == 3 and rng.random() < 0.5 else "")
 
     def harmless() -> tuple[str, str]:
-        kind = int(rng.integers(9))
+        kind = int(rng.integers(15))
+        if kind >= 9:
+            return (pick(PLAIN_LEADS) if rng.random() < 0.3 else ""), path() if kind == 14 else letters(int(rng.integers(14, 24)))
         lead = pick(PLAIN_LEADS) if rng.random() < 0.6 else ""
         year = number(1990, 2030)
         made = (
@@ -251,8 +285,11 @@ def labelled_findings(n: int = 3_000, seed: int = 11) -> tuple[list[str], np.nda
         lead, body = secret() if label else harmless()
         quote = pick(("", "", "'", '"'))
         text = f"{words(4)}{pick((' ', chr(10), '. '))}{lead}{quote}"
+        # a view into a longer run
+        inner = rng.random() < 0.25
+        text += path() + "/" if inner else ""
         start = len(text)
-        text += body + quote + pick((" ", ".", ", ", "\n")) + words(3)
+        text += body + ("/" + path() if inner else "") + quote + pick((" ", ".", ", ", "\n")) + words(3)
         if len(body) >= 16:
             windows.append(window(text, start, start + len(body)))
             y.append(label)
@@ -267,13 +304,23 @@ def default_net(n: int = 3_000) -> Net:
 def findings(texts: list[str], net: Net) -> list[list[tuple[str, int, int]]]:
     """All findings of every text, by start, then kind."""
     every = [base_spans(t) for t in texts]
-    places = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t, every[i])]
+    places = [(i, s, e, v) for i, t in enumerate(texts) for s, e in candidates(t, every[i]) for v in views(t, s, e)]
+    found: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
     for at in range(0, len(places), 4_096):
         part = places[at : at + 4_096]
-        p = net.score(codes([window(texts[i], s, e) for i, s, e in part]))
-        for (i, s, e), ok in zip(part, p >= net.threshold, strict=True):
+        p = net.score(codes([window(texts[i], *v) for i, _, _, v in part]))
+        for (i, s, e, v), ok in zip(part, p >= net.threshold, strict=True):
             if ok:
-                every[i].append(("net", s, e))
+                found.setdefault((i, s, e), []).append(v)
+    for (i, s, e), seen in found.items():
+        # a candidate that is no secret as a whole may hold some; overlapping ones are one
+        end = s
+        for start, stop in [(s, e)] if (s, e) in seen else sorted(seen):
+            if start < end:
+                every[i][-1] = ("net", every[i][-1][1], max(end, stop))
+            else:
+                every[i].append(("net", start, stop))
+            end = max(end, stop)
     return [sorted(f, key=lambda s: (s[1], _ORDER[s[0]])) for f in every]
 
 
