@@ -256,12 +256,16 @@ def srcset_first(c: Column) -> Column:
     return F.split_part(F.trim(F.split_part(c, F.lit(","), F.lit(1))), F.lit(" "), F.lit(1))
 
 
+#: Tags of one name that are read for images.
+MAX_IMAGE_TAGS = 200
+
+
 def image_candidates(c: Column) -> Column:
     """Addresses of images: Open Graph first, then img and source elements, in order."""
     og = open_graph(c)
     keys = [F.get(F.array(og[k]), F.lit(0)) for k in ("og:image", "og:image:url", "og:image:secure_url")]
     of = lambda a: F.coalesce(attribute(a, "src"), srcset_first(attribute(a, "srcset")))
-    marked = F.transform(F.slice(F.concat(start_tags(c, "img"), start_tags(c, "source")), 1, 400), of)
+    marked = F.transform(F.concat(F.slice(start_tags(c, "img"), 1, MAX_IMAGE_TAGS), F.slice(start_tags(c, "source"), 1, MAX_IMAGE_TAGS)), of)
     return F.array_compact(F.concat(F.array(*keys), marked))
 
 

@@ -235,3 +235,9 @@ def test_recovered_options():
     rest, applied, found = schema.recover_options({"type": "object", "budget": 5, "debug": "x", "properties": {"budget": {}}, "maxBytes": 3}, {"maxBytes": 9}, lambda k, v: isinstance(v, int))
     assert rest == {"type": "object", "debug": "x", "properties": {"budget": {}}} and applied == {"budget": 5} and found == ["budget", "maxBytes"]
     assert schema.unsupported(rest) == "$.debug" and schema.recover_options("x", {}, bool) == ("x", {}, [])
+
+
+def test_image_flood_keeps_source_tags(spark):
+    page = "".join(f'<img src="/{k}.png">' for k in range(500)) + '<source srcset="last.webp 1x">'
+    found = spark.createDataFrame([(page,)], "h string").select(html.image_candidates(F.col("h"))).first()[0]
+    assert len(found) == 201 and found[199:] == ["/199.png", "last.webp"]
