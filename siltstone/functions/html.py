@@ -28,7 +28,8 @@ APP_ROOTS = ("__next", "app", "gatsby-focus-wrapper", "root", "svelte")
 STATE_KEYS = ("__NEXT_DATA__", "__NUXT_DATA__", "__INITIAL_STATE__", "__PRELOADED_STATE__", "__APOLLO_STATE__")
 MAX_IMAGES, MAX_IMAGE_URL = 12, 2048
 
-_ATTRS = r"""(?:[^<>"']|"[^"]*"|'[^']*')*"""
+# possessive runs: Java's matcher recurses for every turn of a group that it may have to give back
+_ATTRS = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 
 
 def _html(c: Column) -> Column:
@@ -74,7 +75,7 @@ def without_tags(c: Column) -> Column:
 def without_hidden(c: Column) -> Column:
     """Elements with ``hidden`` or ``display:none`` removed, where they hold no element of their own name."""
     hidden = r"""(?:\shidden(?=[\s>=/])|style\s*=\s*(?:"[^"]*display\s*:\s*none[^"]*"|'[^']*display\s*:\s*none[^']*'))"""
-    return F.regexp_replace(c, rf"(?is)<([a-z][a-z0-9]*)(?=[\s>])(?=[^>]*?{hidden}){_ATTRS}>(?:(?!<\1[\s>]).)*?</\1\s*>", " ")
+    return F.regexp_replace(c, rf"(?is)<([a-z][a-z0-9]*)(?=[\s>])(?=[^>]*?{hidden}){_ATTRS}>(?:[^<]++|<(?!\1[\s>]|/\1\s*>))*+</\1\s*>", " ")
 
 
 def hidden_classes(c: Column) -> Column:
@@ -82,7 +83,7 @@ def hidden_classes(c: Column) -> Column:
 
     At-rules (print and other media) are not looked into.
     """
-    plain = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?s)/\*.*?\*/", " "), r"(?s)@[^{;]*\{(?:[^{}]|\{[^{}]*\})*\}", " ")
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?s)/\*.*?\*/", " "), r"(?s)@[^{;]*\{(?:[^{}]++|\{[^{}]*+\})*+\}", " ")
     rule = F.lit(r"(?is)(?:^|[},])\s*\.([A-Za-z_][A-Za-z0-9_-]*)\s*\{[^}]*display\s*:\s*none")
     return F.array_distinct(F.flatten(F.transform(elements(c, "style"), lambda t: F.regexp_extract_all(plain(t), rule, F.lit(1)))))
 
@@ -90,7 +91,7 @@ def hidden_classes(c: Column) -> Column:
 def without_classes(c: Column, classes: Column) -> Column:
     """Elements with one of the classes removed, where they hold no element of their own name."""
     before = r"""(?is)<([a-z][a-z0-9]*)(?=[\s>])(?=[^>]*?\sclass\s*=\s*["']?(?:[^"'>]*\s)?(?:"""
-    after = rf""")(?=[\s"'>])){_ATTRS}>(?:(?!<\1[\s>]).)*?</\1\s*>"""
+    after = rf""")(?=[\s"'>])){_ATTRS}>(?:[^<]++|<(?!\1[\s>]|/\1\s*>))*+</\1\s*>"""
     pattern = F.concat(F.lit(before), F.array_join(classes, "|"), F.lit(after))
     return F.when(F.size(classes) > 0, F.regexp_replace(c, pattern, F.lit(" "))).otherwise(c)
 
@@ -99,7 +100,7 @@ def capped(c: Column, n: int) -> Column:
     """The first n characters; a cut inside a tag, or inside a script or the like, moves back before it."""
     def cut(x: Column) -> Column:
         head = F.regexp_replace(F.substring(x, 1, n), r"(?s)<[^<>]{0,30}$", "")
-        inert = r"(?is)<(script|style|template|noscript|svg)(?=[\s>])(?:(?!</\1[\s>]).)*$"
+        inert = r"(?is)<(script|style|template|noscript|svg)(?=[\s>])(?:[^<]++|<(?!/\1[\s>]))*+$"
         return F.when(F.length(x) <= n, x).otherwise(F.regexp_replace(head, inert, ""))
 
     return let(_html(c), cut)
