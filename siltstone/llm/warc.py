@@ -14,8 +14,8 @@ one are kept, and so are those before the place where a member's stream breaks.
 
 Scale: equal payloads meet by digest in a map-side combined maximum that is joined back (narrow keys,
 splittable where one payload is very common); html is shuffled at most once. Archives hold at most
-``FILE_RECORDS`` records, so a reading task has one bounded file at a time. Foreign archives are bounded
-by the 2 GB that a binary column holds.
+``FILE_RECORDS`` records of at most ``LARGE`` bytes each, or at most ``FILE_BYTES`` of larger ones (and at least one), so a
+reading task has one bounded file at a time. Foreign archives are bounded by the 2 GB that a binary column holds.
 
 Cases: null html is the empty payload; a null id is written as the word ``null`` and read back as null;
 rows that repeat both id and payload are all responses; line breaks in a URL are percent-encoded.
@@ -33,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .storage import Scratch, new_path, remove
 
 FILE_RECORDS = 2_000
+#: Bytes of URL and payload of a record that shares its archive with few others, and of these together.
+LARGE, FILE_BYTES = 32_768, 64 << 20
 CHUNK = 16_384
 PREFIX = "urn:siltstone:record:"
 RECORDS = (
@@ -108,10 +110,16 @@ def write_archives(
                 rows = (member(r + ending) for r in rows)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
 
-    records = originals(pages, min_bytes).mapInArrow(encode, "value binary").select(F.col("value").cast("string"))
     separator = member(b"").decode("latin-1") if compress else ending.decode()
-    # the encoding concerns the separator only; values are written byte by byte
-    records.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", file_records).text(path)
+    size = F.length("payload") + F.coalesce(F.octet_length("url"), F.lit(0))
+    longest = pages.select(size.alias("size")).where(F.col("size") > LARGE).agg(F.max("size")).first()[0]
+    # equal payloads are equally long, but their URLs may differ, so only the payload decides who meets
+    rows = originals(pages, min_bytes)
+    classes = [(size <= LARGE, file_records)] + ([(size > LARGE, max(1, min(file_records, FILE_BYTES // longest)))] if longest else [])
+    for chosen, most in classes:
+        records = rows.where(chosen).mapInArrow(encode, "value binary").select(F.col("value").cast("string"))
+        # the encoding concerns the separator only; values are written byte by byte
+        records.write.mode("append").option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", most).text(path)
 
 
 def member(data: bytes) -> bytes:
@@ -136,12 +144,16 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict]:
     if ending is None or ending[0] != b"\r\n\r\n":
         raise Invalid("headers do not end")
     head_end = ending.start()
-    fields = {}
+    fields, last = {}, None
     for line in data[at:head_end].split(b"\r\n")[1:]:
+        if last and line[:1] in (b" ", b"\t"):  # a folded line goes on with the value before it
+            fields[last] = f"{fields[last]} {line.strip().decode('utf-8', 'replace')}".strip()
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise Invalid("malformed header")
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        last = name.strip().lower().decode("latin-1")
+        fields[last] = value.strip().decode("utf-8", "replace")
     if not fields.get("warc-type") or not fields.get("warc-record-id"):
         raise Invalid("a mandatory header is missing")
     if not fields.get("content-length", "").isdigit():
@@ -277,14 +289,14 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
 
 
 def archive_round_trip(df: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write pages (page_id, url, html), read the archives back: one row per page's record."""
+    """Write pages (page_id, url, html), read the archives back: one row per page's record. The archives are removed."""
     path = new_path(df.sparkSession, "warc")
     write_archives(df, path, min_bytes=min_bytes)
     number = lambda c: F.expr(f"try_cast(substring({c}, {len(PREFIX) + 1}) as bigint)")
-    return (
-        read_archives(df.sparkSession, path, payloads=False)
-        .where("part = 'record'")
-        .select(
-            number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "url"
-        )
+    read = read_archives(df.sparkSession, path, payloads=False).where("part = 'record'")
+    digests = read.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "url"
     )
+    kept = Scratch(df.sparkSession, "warc").save(digests, "read")
+    remove(df.sparkSession, path)
+    return kept
