@@ -6,8 +6,9 @@ are then placed by best-fit decreasing: the tightest open sequence that still ha
 in a segment tree over remaining capacities (0..length), in logarithmic time per piece.
 
 Scale: tokenising is a map over rows. Packing sees narrow rows only (ids and lengths, no tokens) in groups
-of about ``GROUP`` pieces by a hash of (document, piece), each a random sample of all lengths, so the loss
-against one global packing is at most about one partly filled sequence a group.
+of about ``GROUP`` pieces by a hash of (document, piece), each a random sample of all lengths. A group leaves at
+most one sequence filled to one half or less; these are packed once more, ``OPEN`` at a time, as if each were a
+piece, so all groups together lose a few sequences only.
 
 Cases: null text is the empty text, whose only token is the separator; repeated rows are packed once each;
 a null id is a value like any other; an empty table gives an empty result.
@@ -16,6 +17,7 @@ a null id is a value like any other; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import Scratch
 
@@ -32,6 +35,8 @@ LENGTH = 2048
 SEPARATOR = 0
 #: Pieces packed together; a group's rows are some 60 bytes each.
 GROUP = 40_000
+#: Half-empty sequences (one a group) that are packed together.
+OPEN = 4_000
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -43,13 +48,15 @@ def default_tokenizer() -> str:
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """text -> list of ids, by the vocabulary of a byte-level BPE file; special strings are ordinary text.
+    """text -> list of ids, as the file's own library gives them without special tokens around a text.
 
-    The file's own library and this one give the same ids (a test compares them); this one needs a
-    quarter of the time. Ids are the merge ranks in such files.
+    Texts that hold an added token of the file (such as its end-of-text mark) go through that library; others
+    through one that needs a quarter of the time and gives the same ids (a test compares them). Ids are the
+    merge ranks in such files.
     """
     import public_tokenizers
     import tiktoken
+    import tokenizers
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -58,7 +65,16 @@ def encoder(path: str):
     to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
     special = {t["content"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not special:
+        return fast
+    own = tokenizers.Tokenizer.from_file(path)
+    holds = re.compile("|".join(map(re.escape, sorted(special))), re.I).search  # tokens that match in any case, too
+
+    def encode(text: str) -> list[int]:
+        return own.encode(text, add_special_tokens=False).ids if holds(text) else fast(text)
+
+    return encode
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -158,20 +174,39 @@ def best_fit(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(pieces: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:
     """``pieces`` (doc_id, piece, length and others) with ``sequence_id`` and ``offset`` (long)."""
-    from pyspark.sql import types as T
-
-    keyed = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*pieces.schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "__fill"))])
 
     def place(key: tuple, group: pa.Table) -> pa.Table:
         group = group.drop_columns(["__group"])
         order = [("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")]
         group = group.sort_by(order)  # the same packing however rows arrive
-        sequence, offset = best_fit(group["length"].to_numpy().astype(np.int64), length)
-        group = group.append_column("sequence_id", pa.array(sequence * groups + key[0].as_py()))
-        return group.append_column("offset", pa.array(offset))
+        sizes = group["length"].to_numpy().astype(np.int64)
+        sequence, offset = best_fit(sizes, length)
+        filled = np.bincount(sequence, sizes).astype(np.int64)[sequence]
+        for name, values in (("sequence_id", sequence * groups + key[0].as_py()), ("offset", offset), ("__fill", filled)):
+            group = group.append_column(name, pa.array(values))
+        return group
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.drop_columns(["__group"])
+        ids, first, of = np.unique(group["sequence_id"].to_numpy(), return_index=True, return_inverse=True)
+        sequence, offset = best_fit(group["__fill"].to_numpy()[first], length)
+        # a sequence takes the id of the one at its beginning
+        head = np.empty(sequence.max() + 1, np.int64)
+        head[sequence[offset == 0]] = ids[offset == 0]
+        moved = {"sequence_id": head[sequence][of], "offset": group["offset"].to_numpy() + offset[of]}
+        for name, values in moved.items():
+            group = group.set_column(group.column_names.index(name), name, pa.array(values))
+        return group
 
-    return keyed.groupBy("__group").applyInArrow(place, schema)
+    keyed = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    placed = keyed.groupBy("__group").applyInArrow(place, schema)
+    if groups == 1:
+        return placed.drop("__fill")
+    placed = Scratch(pieces.sparkSession, "packing").save(placed, "placed")
+    half = F.col("__fill") * 2 <= length
+    again = placed.where(half).withColumn("__group", F.pmod(F.xxhash64("sequence_id"), F.lit(-(-groups // OPEN))))
+    return placed.where(~half).unionByName(again.groupBy("__group").applyInArrow(merge, schema)).drop("__fill")
 
 
 def pack_documents(
