@@ -9,7 +9,8 @@ is left. The share of an item's words under tiles decides, wherever in the docum
 passages in another order are caught as well.
 
 Scale: a map over documents against the benchmark's seeds. These are broadcast in blocks of whole items
-with at most ``MAX_WORDS`` words (16 bytes each); a larger benchmark takes a pass for each block.
+with at most ``MAX_WORDS`` words (16 bytes each), or of a single longer item; a larger benchmark takes a pass for
+each block. A block passes through the driver, which makes its seeds; hits of all blocks are found in one scan.
 
 Cases: null text has no words; items of fewer than ``min_match`` words are found with ``short_items`` only, and then
 wherever all of their words follow each other; repeated rows are treated alike; an empty benchmark finds nothing; equal matches are marked in order of item, then document
@@ -101,7 +102,6 @@ class Seeds:
         which = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
         return np.repeat(at, times), self.item[which], self.place[which]
 
-
     def short_hits(self, w: tv.Words) -> Iterator[tuple[int, int, int]]:
         """(row, item id, words) of the short items that rows hold, each once."""
         for n, (seed, ids, every) in self.short.items():
@@ -122,8 +122,12 @@ def tile(doc: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.ndar
     """Greedy string tiling: (position in the document, position in the item, length) of every tile.
 
     ``doc_at`` and ``item_at`` are the places of all shared runs of m words. Each round finds the maximal
-    unmarked runs on every diagonal and marks the longest; only its overlaps change for the next round.
+    unmarked runs on every diagonal and marks the longest; only its overlaps change for the next round. Seeds of
+    equal hash but other words are left out first.
     """
+    run = np.arange(m)
+    same = (doc[doc_at[:, None] + run] == item[item_at[:, None] + run]).all(axis=1)
+    doc_at, item_at = doc_at[same], item_at[same]
     free_doc, free_item = np.ones(len(doc) + 1, bool), np.ones(len(item) + 1, bool)
     tiles: list[tuple[int, int, int]] = []
     while len(doc_at):
@@ -145,7 +149,7 @@ def tile(doc: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.ndar
         best = start[length == longest]
         best = best[np.lexsort((d[best], i[best]))]
         for p, q in zip(d[best].tolist(), i[best].tolist(), strict=True):
-            if free_doc[p : p + longest].all() and free_item[q : q + longest].all() and np.array_equal(doc[p : p + longest], item[q : q + longest]):
+            if free_doc[p : p + longest].all() and free_item[q : q + longest].all():
                 free_doc[p : p + longest] = False
                 free_item[q : q + longest] = False
                 tiles.append((p, q, int(longest)))
@@ -157,7 +161,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, max
     rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     ids, texts, size = [], [], 0
     for row in rows.orderBy("i", "t").toLocalIterator():
-        n = len(folded(row.t).split()) + 1
+        n = len(words_of(pa.array([row.t], pa.large_string())).hash) + 1
         if ids and size + n > max_words:
             yield Seeds(ids, texts, min_match, short_items)
             ids, texts, size = [], [], 0
@@ -221,12 +225,22 @@ def _search(shared, coverage: float):
     return search.asNondeterministic()  # evaluated once, whatever filters stand above
 
 
+def _unused(df: DataFrame, name: str = "__hits") -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document and item it contains: id, item_id, covered, words, tiles, coverage."""
-    rows = with_hits(df, benchmark, name="__hits", **options).select(F.col(id_col), F.explode("__hits").alias("h"))
+    name = _unused(df)
+    rows = with_hits(df, benchmark, name=name, **options).select(F.col(id_col), F.explode(name).alias("h"))
     return rows.select(id_col, "h.item_id", "h.covered", "h.words", "h.tiles", (F.col("h.covered") / F.col("h.words")).alias("coverage"))
 
 
 def clean_documents(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` that contain no item, with their columns as they are."""
-    return with_hits(df, benchmark, name="__hits", **options).where(F.size("__hits") == 0).drop("__hits")
+    name = _unused(df)
+    return with_hits(df, benchmark, name=name, **options).where(F.size(name) == 0).drop(name)
