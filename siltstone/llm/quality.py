@@ -6,11 +6,12 @@ shallow tree over one feature's bins to that feature's lookup table, then does t
 features whose coarse grids explain most of what is left. A score is the logistic of a sum of table
 entries, so scoring is binning and additions over whole batches.
 
-Training takes at most ``MAX_ROWS`` labelled rows (those with the smallest hash of their id) and brings
-their features, not their texts, to the driver. Scoring is a map over all rows.
+Training takes at most ``MAX_ROWS`` labels (those with the smallest hash of their id) and of the rows that have
+them again at most as many, and brings their features, not their texts, to the driver. Scoring is a map over all rows.
 
 Cases: null text scores as the empty text; labels that are null are not used; rows that repeat count as
-often as they occur; without labelled rows the model is a constant (smoothed share of good rows, 0.5).
+often as they occur; without labelled rows the model is a constant (smoothed share of good rows, 0.5); an input
+column of the name that the score gets is replaced.
 """
 
 from __future__ import annotations
@@ -195,7 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c) for c in x.T)], names=["id", "y", *FEATURES])
 
     kind = joined.schema["id"].dataType.simpleString()
-    found = joined.mapInArrow(describe, f"id {kind}, y int, {names}").toPandas()
+    described = joined.mapInArrow(describe, f"id {kind}, y int, {names}")
+    # an id that many rows share gives no more than the bound
+    found = described.orderBy(F.xxhash64("id"), "y", F.xxhash64(*FEATURES)).limit(max_rows).toPandas()
     found = found.sort_values(["id", "y", *FEATURES], kind="stable")  # sums do not depend on the order of tasks
     return fit(found[list(FEATURES)].to_numpy(), found["y"].to_numpy(dtype=np.float64))
 
