@@ -44,7 +44,8 @@ def test_quality(docs, spark):
 def test_decontamination(docs, bench):
     got = decontaminate.contaminated(docs, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(4, 1), (5, 1)}
-    clean = decontaminate.clean_documents(docs.drop("__hits"), bench)
+    clean = decontaminate.clean_documents(docs, bench)
+    assert clean.columns == docs.columns and all(r["__hits"] == "own __hits" for r in clean.collect())
     assert clean.count() == len(ROWS) - 2 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 

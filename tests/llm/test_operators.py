@@ -359,8 +359,7 @@ def test_ids_equal_those_of_the_files_own_library():
     from tokenizers import Tokenizer
 
     theirs = Tokenizer.from_file(packing.default_tokenizer())
-    theirs.encode_special_tokens = True
-    texts = ["", " a  b\n\n c\t", "Éàü ñ 東京 🙂", "don't 12,345.67 %%%", "<|endoftext|>", "x" * 3_000, open(__file__).read()]
+    texts = ["", " a  b\n\n c\t", "Éàü ñ 東京 🙂", "don't 12,345.67 %%%", "<|endoftext|>", "one<|endoftext|> two <|ENDOFTEXT|>", "x" * 3_000, open(__file__).read()]
     ours = packing.encoder(packing.default_tokenizer())
     assert [ours(t) for t in texts] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
 
