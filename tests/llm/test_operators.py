@@ -75,24 +75,57 @@ def test_embedding_join_is_brute_force(spark, monkeypatch):
     assert (got.kept == (got.vec_id == got.component_id)).all()
 
 
-def test_embedding_blocks_find_every_close_pair():
+@pytest.mark.parametrize("grid", [1, 3])
+def test_embedding_blocks_find_every_close_pair(grid):
     plan = embedding_join.Plan(64, 0.98)
     rng = np.random.default_rng(5)
     u = rng.normal(size=(500, 64))
-    v = u + rng.normal(size=(500, 64)) * 0.15
-    a, b = plan.rotated(u), plan.rotated(v)
-    close = ((a - b) ** 2).sum(1) <= 0.04
+    v = u + rng.normal(size=(500, 64)) * rng.choice([0.05, 0.13, 0.15], size=(500, 1))
+    a, b = plan.steps(u), plan.steps(v)
+    close = (u * v).sum(1) / np.sqrt((u * u).sum(1) * (v * v).sum(1)) >= 0.98
     met = np.zeros(500, bool)
-    for k, s in enumerate(plan.blocks):
-        near = ((a - b)[:, s] ** 2).sum(1) <= plan.share[k]
-        ra, ca = plan.cells(a, k)
-        rb, cb = plan.cells(b, k)
-        home = plan.home(a, b, k)
+    for k in range(len(plan.blocks)):
+        near = plan.apart(a, b, k) <= plan.share[k]
+        ra, ca = plan.cells(a, k, grid)
+        rb, cb = plan.cells(b, k, grid)
+        home = plan.home(a, b, k, grid)
         mine = [{c for r, c in zip(rr, cc, strict=True) if r == i} for rr, cc in ((ra, ca), (rb, cb)) for i in range(500)]
         for i in np.flatnonzero(near):
             assert home[i] in mine[i] and home[i] in mine[500 + i]
         met |= near
-    assert close.any() and met[close].all()
+    assert close.any() and not close.all() and met[close].all()
+
+
+@pytest.mark.parametrize("cell", [5, 40, 8_000])
+def test_embedding_pairs_at_the_edge_of_a_share_count_once(spark, monkeypatch, cell):
+    """Pairs that lie in two blocks at once, right at their shares, and vectors of other lengths."""
+    monkeypatch.setattr(embedding_join, "CELL", cell)
+    plan = embedding_join.Plan(16, 0.98)
+    rng = np.random.default_rng(9)
+    share = [np.sqrt(s) / embedding_join.STEPS for s in plan.share]
+    rows = []
+    for _ in range(60):
+        y = rng.normal(size=16)
+        y /= np.linalg.norm(y)
+        for tilt in (0, 1):
+            z = y.copy()
+            for s, r in zip(plan.blocks, share, strict=True):
+                z[s.start + 1] += tilt * r * rng.choice([0.98, 0.9999, 1.0, 1.0001])
+            turned = np.empty(16)
+            turned[plan.order] = np.concatenate([z[s] @ turn.T for s, turn in plan.turns])
+            rows.append(turned.tolist())
+    rows += [r[:4] for r in rows[:30]] + [[x * 1e-200 for x in rows[0]], [x * 1e200 for x in rows[0]]]
+    df = spark.createDataFrame([(k, r, 0) for k, r in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = embedding_join.near_duplicates(df).toPandas().sort_values("vec_id")
+    want = [0] * len(rows)
+    for i, p in enumerate(rows):
+        for j, q in enumerate(rows[:i]):
+            if len(p) == len(q):
+                a, b = (np.array(v) / np.abs(v).max() for v in (p, q))
+                if a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.98:
+                    want[i] += 1
+                    want[j] += 1
+    assert got.n_links.tolist() == want and sum(want) > 60
 
 
 # --- 2 ---------------------------------------------------------------------------------------------------------
