@@ -17,7 +17,9 @@ Links within a bucket of the index are found without writing down its pairs: eve
 with the bucket's smallest (a number of pairs linear in the bucket), components of these links are formed,
 and only buckets that still hold several components go on to a blockwise comparison of documents from
 different components. Pairs must pass the size filter and a parity bitmap filter (a lower bound of the
-symmetric difference) before the sets themselves are compared. Equal sets link by a 128-bit fingerprint
+symmetric difference) before the sets themselves are compared: few pairs by a join with their sets; blocks in
+which more than ``DENSE`` pairs a document pass get the sets of their documents, compare them in place, and give a
+forest of links, so what is written is linear in a block. Equal sets link by a 128-bit fingerprint
 and their size. No link between components is lost, so the components are exact.
 
 Scale: every step is a map over rows or a shuffle by shingle, signature or document; hot signatures are
@@ -25,8 +27,8 @@ combined before the shuffle or joined in a way adaptive execution can split, lar
 block pairs, and nothing but the bounded list of frequent shingles reaches the driver.
 
 Cases: null or blank text is the empty set, linked with nothing; a text of fewer than n words is one
-shingle; a null id is given no component; rows that repeat an id count as one node; very long texts are
-read whole.
+shingle; a null id is given no component; rows that repeat an id count as one node with the links of all its
+texts; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -53,6 +55,12 @@ FLUSH = 2_000_000
 BATCH_ROWS = 1_000
 #: Documents of a bucket that are compared with each other in one block pair.
 BLOCK = 2_000
+#: Shingles of the documents of a block, on average.
+BLOCK_SHINGLES = 2_000_000
+#: Pairs for each document of a block that may be written down.
+DENSE = 4
+#: Rows, and bytes of bitmaps or sets, that a group of block pairs has on average.
+GROUP_ROWS, GROUP_BYTES = 4_000, 32 << 20
 #: Levels whose smallest set is below this index frequent shingles alone, too.
 LEAST_COMBINED = 20
 #: Classes per shingle of a set at a level.
@@ -281,7 +289,7 @@ def shingle_sets(df: DataFrame, n: int) -> DataFrame:
 def verified(pairs: DataFrame, df: DataFrame, n: int, t: Threshold) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold; sets are made for the documents of pairs only."""
     need = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = shingle_sets(df.join(need, "id", "left_semi").dropDuplicates(["id"]), n)
+    sets = shingle_sets(df.join(need, "id", "left_semi"), n).distinct()  # an id may have several texts
 
     @F.arrow_udf("boolean")
     def reach(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -293,58 +301,116 @@ def verified(pairs: DataFrame, df: DataFrame, n: int, t: Threshold) -> DataFrame
         return pa.array(out, pa.bool_())
 
     left, right = sets.select(F.col("id").alias("u"), F.col("s").alias("a")), sets.select(F.col("id").alias("v"), F.col("s").alias("b"))
-    return pairs.join(left, "u").join(right, "v").where(reach("a", "b")).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").where(reach("a", "b")).select("u", "v").distinct()
+
+
+class Bucketed:
+    """A group of block pairs in order, and the pairs of documents in them that pass the filters."""
+
+    def __init__(self, group: pa.Table, t: Threshold) -> None:
+        self.t = t
+        self.group = group = group.sort_by([("sig", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        self.sig, self.i, self.j, self.side = (group[c].to_numpy() for c in ("sig", "i", "j", "side"))
+        self.comp = group["comp"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        self.n, lists, low = group["n"].to_numpy().astype(np.int64), group["bits"].combine_chunks(), group["low"].combine_chunks()
+        self.words, self.ends = lists.values.to_numpy().view(U), lists.offsets.to_numpy()
+        self.lows, self.low_ends = low.values.to_numpy(), low.offsets.to_numpy()
+        self.least: dict[int, frozenset[int]] = {}
+        sig = self.sig
+        new = np.diff(sig, prepend=~sig[:1]) | np.diff(self.i, prepend=self.i[:1]) | np.diff(self.j, prepend=self.j[:1])
+        cut = np.flatnonzero(new).tolist()
+        self.blocks = list(zip(cut, [*cut[1:], len(sig)], strict=True))
+
+    def smallest(self, k: int) -> frozenset[int]:
+        if k not in self.least:
+            self.least[k] = frozenset(self.lows[self.low_ends[k] : self.low_ends[k + 1]].tolist())
+        return self.least[k]
+
+    def partners(self, x: int, end: int) -> Iterator[int]:
+        """Rows after x in its block pair, of other components (as they are now), that may link with it."""
+        t, n, ends = self.t, self.n, self.ends
+        other = np.arange(x + 1, end)
+        other = other[self.comp[other] != self.comp[x]]
+        if self.i[x] != self.j[x]:
+            other = other[self.side[other] != self.side[x]]
+        small, large = np.minimum(n[other], n[x]), np.maximum(n[other], n[x])
+        other = other[t.den * small >= t.num * large]
+        width = np.diff(ends)[other]
+        for w in np.unique(width).tolist():  # bitmaps of one width at a time
+            some = other[width == w]
+            at = np.minimum(w, ends[x + 1] - ends[x])
+            theirs = np.bitwise_xor.reduce(self.words[ends[some][:, None] + np.arange(w)].reshape(len(some), -1, at), axis=1)
+            mine = np.bitwise_xor.reduce(self.words[ends[x] : ends[x + 1]].reshape(-1, at), axis=0)
+            apart = np.bitwise_count(theirs ^ mine).sum(axis=1).astype(np.int64)
+            for y in some[t.may_link(n[some], n[x], apart)].tolist():
+                # a pair that meets in some of its smallest buckets is given by the first of these only
+                if not ((both := self.smallest(x) & self.smallest(y)) and min(both) != self.sig[x]):
+                    yield y
 
 
 def block_pairs(members: DataFrame, t: Threshold, kind: str, groups: int) -> DataFrame:
-    """Pairs (u, v) of different components within buckets that pass the size and bitmap filters.
+    """Pairs (u, v) of different components within buckets that pass the size and bitmap filters; of dense block pairs their key (sig, i, j) instead.
 
     ``members``: sig, i, j (block pair), side (the member's block), id, comp, n, bits, low. Groups hold many
-    small buckets or one block pair of a large one. ``low`` has a few of the smallest buckets of a member: a
-    pair that meets in one of them is given by the smallest such bucket only.
+    small buckets or one block pair of a large one.
     """
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("sig", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        sig, i, j, side = (group[c].to_numpy() for c in ("sig", "i", "j", "side"))
-        ids, comp = group["id"].combine_chunks(), group["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
-        n, lists = group["n"].to_numpy().astype(np.int64), group["bits"].combine_chunks()
-        words, ends = lists.values.to_numpy().view(U), lists.offsets.to_numpy()
-        low = group["low"].combine_chunks()
-        lows, low_ends = low.values.to_numpy(), low.offsets.to_numpy()
-        least: dict[int, frozenset[int]] = {}
-
-        def smallest(k: int) -> frozenset[int]:
-            if k not in least:
-                least[k] = frozenset(lows[low_ends[k] : low_ends[k + 1]].tolist())
-            return least[k]
-
-        cut = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) | np.diff(i, prepend=i[:1]) | np.diff(j, prepend=j[:1]))
+        g = Bucketed(group, t)
+        us, vs, dense = [], [], []
+        for a, b in g.blocks:
+            mark, most = len(us), DENSE * (b - a)
+            for x in range(a, b - 1):
+                for y in g.partners(x, b):
+                    us.append(x)
+                    vs.append(y)
+                if len(us) - mark > most:
+                    del us[mark:], vs[mark:]
+                    dense.append(a)
+                    break
+        ids, none = g.group["id"].combine_chunks(), pa.nulls(len(us), pa.int64())
+        empty = pa.nulls(len(dense), ids.type)
+        keys = {c: pa.concat_arrays([none.cast(g.group[c].type), g.group[c].combine_chunks().take(pa.array(dense, pa.int64()))]) for c in ("sig", "i", "j")}
+        return pa.table({
+            "u": pa.concat_arrays([ids.take(pa.array(us, pa.int64())), empty]), "v": pa.concat_arrays([ids.take(pa.array(vs, pa.int64())), empty]), **keys
+        })
+
+    keyed = members.withColumn("g", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(groups)))
+    return keyed.groupBy("g").applyInArrow(compare, f"u {kind}, v {kind}, sig long, i int, j int").where("u is null or u != v")
+
+
+def block_forest(members: DataFrame, t: Threshold, kind: str, groups: int) -> DataFrame:
+    """A forest of the links (u, v) between components in block pairs whose members have their sets ``s``."""
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        g = Bucketed(group, t)
+        sets = g.group["s"].combine_chunks()
         us, vs = [], []
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(sig)], strict=True):
+        for a, b in g.blocks:
+            own = [np.frombuffer(sets[k].as_buffer(), U) for k in range(a, b)]
             for x in range(a, b - 1):
-                other = np.arange(x + 1, b)
-                other = other[comp[other] != comp[x]]
-                if i[x] != j[x]:
-                    other = other[side[other] != side[x]]
-                small, large = np.minimum(n[other], n[x]), np.maximum(n[other], n[x])
-                other = other[t.den * small >= t.num * large]
-                width = np.diff(ends)[other]
-                for w in np.unique(width).tolist():  # bitmaps of one width at a time
-                    some = other[width == w]
-                    at = np.minimum(w, ends[x + 1] - ends[x])
-                    theirs = np.bitwise_xor.reduce(words[ends[some][:, None] + np.arange(w)].reshape(len(some), -1, at), axis=1)
-                    mine = np.bitwise_xor.reduce(words[ends[x] : ends[x + 1]].reshape(-1, at), axis=0)
-                    apart = np.bitwise_count(theirs ^ mine).sum(axis=1).astype(np.int64)
-                    for y in some[t.may_link(n[some], n[x], apart)].tolist():
-                        if (both := smallest(x) & smallest(y)) and min(both) != sig[x]:
-                            continue
+                p = own[x - a]
+                for y in g.partners(x, b):
+                    q = own[y - a]
+                    if g.comp[x] == g.comp[y] or not len(p) or not len(q):
+                        continue
+                    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                    if t.den * both >= t.num * (len(p) + len(q) - both):
                         us.append(x)
                         vs.append(y)
+                        part = g.comp[a:b]
+                        part[part == g.comp[y]] = g.comp[x]
+        ids = g.group["id"].combine_chunks()
         return pa.table({"u": ids.take(pa.array(us, pa.int64())), "v": ids.take(pa.array(vs, pa.int64()))})
 
     keyed = members.withColumn("g", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(groups)))
-    return keyed.groupBy("g").applyInArrow(compare, f"u {kind}, v {kind}").where("u != v")
+    return keyed.groupBy("g").applyInArrow(compare, f"u {kind}, v {kind}")
+
+
+def groups_of(members: DataFrame, size) -> int:
+    """How many groups keep ``members`` within ``GROUP_ROWS`` and ``GROUP_BYTES`` on average."""
+    rows, total = members.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return max(16, rows // GROUP_ROWS, total // GROUP_BYTES)
 
 
 def jaccard_components(
@@ -368,9 +434,9 @@ def jaccard_components(
     signed = scratch.save(docs.mapInArrow(sign, f"id {kind}, n long, f1 long, f2 long, bits array<long>, sigs array<long>"), "signed")
     nodes = signed.where("id is not null and n > 0")
     narrow = nodes.select("id", "n", "f1", "f2", "bits")
-    index = nodes.select("id", F.explode("sigs").alias("sig"))
+    index = nodes.select("id", "n", F.explode("sigs").alias("sig"))
     pivots = index.groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot != last").select("sig", "pivot")
-    shared_sigs = scratch.save(index.join(pivots, "sig").select("sig", "id", "pivot"), "shared")
+    shared_sigs = scratch.save(index.join(pivots, "sig").select("sig", "id", "n", "pivot"), "shared")
 
     # Every member against the smallest of its bucket.
     star = shared_sigs.where("id != pivot").select("id", "pivot").distinct()
@@ -386,14 +452,14 @@ def jaccard_components(
     comp = scratch.save(components(links, scratch, "cc1"), "comp1")
 
     # Buckets that still hold several components.
-    member = shared_sigs.select("sig", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    member = shared_sigs.select("sig", "id", "n").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
     mixed = (
         member.groupBy("sig")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(id))").alias("x1"), F.expr("bit_xor(xxhash64(7, id))").alias("x2"))
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("shingles"), F.expr("bit_xor(xxhash64(id))").alias("x1"), F.expr("bit_xor(xxhash64(7, id))").alias("x2"))
         .where("lo != hi")
         .groupBy("m", "x1", "x2")  # buckets of the same members are looked at once
-        .agg(F.min("sig").alias("sig"))
-        .select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        .agg(F.min("sig").alias("sig"), F.max("shingles").alias("shingles"))
+        .select("sig", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     )
     inside = scratch.save(member.join(mixed, "sig").select("sig", "id", "comp", "blocks"), "inside")
     low = inside.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, LOWEST).alias("low"))
@@ -401,9 +467,13 @@ def jaccard_components(
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("sig", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "comp")
     dealt = scratch.save(dealt.join(narrow.select("id", "n", "bits").join(low, "id"), "id"), "mixed")
-    groups = max(16, dealt.count() // 4_000)
-    rest = scratch.save(block_pairs(dealt, t, kind, groups).distinct(), "rest")
-    more = scratch.save(verified(rest, docs, n, t), "more")
+    rest = scratch.save(block_pairs(dealt, t, kind, groups_of(dealt, F.size("bits") * 8)).distinct(), "rest")
+    dense = scratch.save(dealt.join(rest.where("u is null").select("sig", "i", "j"), ["sig", "i", "j"], "left_semi"), "dense")
+    found = verified(rest.where("u is not null").select("u", "v"), docs, n, t)
+    if not dense.isEmpty():
+        sets = shingle_sets(docs.join(dense.select("id").distinct(), "id", "left_semi"), n).distinct()
+        found = found.unionByName(block_forest(dense.join(sets, "id"), t, kind, groups_of(dense, F.col("n") * 8)))
+    more = scratch.save(found, "more")
     final = scratch.save(components(links.unionByName(more), scratch, "cc2"), "comp2")
     scratch.drop(*[step for step in list(scratch.paths) if step not in ("signed", "comp2")])
     out = signed.select("id", "n").join(final, "id", "left")
