@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, line_dedup, packing, quality, storage, warc
+from siltstone.llm import decontaminate, line_dedup, ngram_join, packing, quality, storage, warc
 
 
 def test_lines_of_one_id_and_different_texts(spark):
@@ -104,3 +104,53 @@ def test_shared_folder(spark):
 def test_score_of_a_clashing_name_is_replaced(spark):
     df = spark.createDataFrame([(1, "text", "own")], "doc_id long, text string, score string")
     assert 0 <= quality.with_score(df, quality.Gam()).select(F.col("score")).first()[0] <= 1
+
+
+def test_near_clusters_without_links_write_few_pairs(spark, monkeypatch):
+    """Two groups of near copies just below the threshold of each other: work on them stays, what is written is linear."""
+    words = [f"w{i}" for i in range(400)]
+    other = words[:36] + [f"x{i}" for i in range(14)] + words[50:]
+    texts, m = [], 150
+    for base in (words, other):
+        for k in range(m):
+            own = list(base)
+            own[60 + 2 * k] = f"own{k}"
+            texts.append(" ".join(own))
+    texts[m // 2] = " ".join(words[:43] + other[43:])  # links both
+    texts += [" ".join(own[20:]) for own in (words,)]
+    written = {}
+    save = storage.Scratch.save
+
+    def counted(self, df, step, *rest):
+        out = save(self, df, step, *rest)
+        written[step] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "save", counted)
+    monkeypatch.setattr(ngram_join, "DENSE", 1)
+    for keep in (True, False):
+        used = texts if keep else texts[: m // 2] + texts[m // 2 + 1 :]
+        df = spark.createDataFrame(list(enumerate(used)), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df, n=1, num=962, den=1000).collect()}
+        sets = [set(t.split()) for t in used]
+        parent = list(range(len(used)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a in range(len(sets)):
+            for b in range(a):
+                if 1000 * len(sets[a] & sets[b]) >= 962 * len(sets[a] | sets[b]):
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+        assert got == {d: find(d) for d in got}
+        assert written["rest"] + written["more"] <= 6 * len(used), written
+
+
+def test_any_text_of_a_repeated_id_links(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, one), (5, two), (7, one), (9, two), (11, "other words entirely")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=4, num=85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (7, 5), (9, 5), (11, 11)]
