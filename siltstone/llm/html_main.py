@@ -1,21 +1,24 @@
 """Main text of web pages, with a style tree for every site.
 
 The pages of a host are merged into a style tree: an element stands at the path of presentations (tag, role
-and classes) that leads to it, and for every such node two distributions are kept over all pages: of its
-layout (presentations of the elements below it) and of its content (the text below it). Pages of one main
-text count once, so mirrored pages do not make an article look like boilerplate. A node's importance is
-``(1 - GAMMA) * layout entropy + GAMMA * content entropy``, each divided by the logarithm of the node's
-count, so 0 means alike everywhere and 1 always different. Branches whose node occurs ``LEAST_COUNT`` times
-or more with an importance under ``LEAST_IMPORTANCE`` are removed from each page.
-
-Some boilerplate differs on every page (menus that name other pages), and the articles of mirrored pages are
-alike, so entropy alone is not enough either way: elements that HTML itself or their names mark as
-menus, headers, footers, asides, forms, adverts, notices or reader comments go as well, all of the page's
-articles (or ``main``) are taken where they hold half of the text that is left, and plain paragraphs, headings,
-lists and tables are never removed for their importance.
-
-Scale: pages are parsed by a map; node counts are combined before the shuffle, so a host with a third of
-all pages is a few counts a task; what must be removed is joined by (host, node), then by page.
+and classes) that leads to it. A node of the tree has features: the layouts of its elements (presentations of the
+elements below them) and the texts that stand there. A feature on d of the node's m pages has the entropy log d over
+these pages, so its importance is ``1 - log d / log(m + 0.5)``: near 0 where it is on every page of some, 1 where it is on
+one page only, or where a site has one page. The importance of an element is
+``(1 - GAMMA) * importance of its layout + GAMMA * mean importance of its texts``, weighted by their lengths.
+Branches of an importance under ``LEAST_IMPORTANCE`` are removed from each page. Pages of one main text count once,
+so mirrored pages do not make an article look like boilerplate.
+
+Names shift what the tree says: an element one of whose names is made of words for menus, headers, footers, sidebars, adverts,
+notices or reader comments and of words for layout only goes in any case, as do elements that HTML itself or their role marks
+so; where such a word stands among others, an importance under ``LEAST_NAMED`` is enough. Some boilerplate differs on every
+page (menus that name other pages), and the articles of mirrored pages are alike, so entropy alone is not enough either
+way: all of the page's articles (or ``main``) are taken where they hold half of the text that is left, and plain
+paragraphs, headings, lists and tables, and what holds half of a page's text, are never removed for their importance.
+
+Scale: pages are parsed by a map; a page gives each of its features once, features are counted with a map-side combine, so a
+host with a third of all pages is one of many counts. Features on two pages or more go back to the pages: as sorted numbers that are
+broadcast if they are at most ``MAX_SHARED``, else by joins on the feature and on the page, with the same result.
 
 Cases: null html is the empty page, whose text is empty; a null or odd URL is a site of its own; repeated
 rows keep their count; unclosed, nested and very long markup is read in linear time.
@@ -27,6 +30,7 @@ import html as html_library
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,8 +39,9 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 GAMMA = 0.9
-LEAST_IMPORTANCE = 0.15
-LEAST_COUNT = 8
+LEAST_IMPORTANCE, LEAST_NAMED = 0.15, 0.6
+#: Features that are broadcast, 12 bytes each.
+MAX_SHARED = 1_000_000
 
 # Element names of HTML and words that name parts of pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,7 +66,13 @@ DROPPED_NAMES = frozenset(
     cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup
     login register share sharing sharebar social sidebar sidenav aside widget widgets related recommended recommendations trending menu menus nav
     navbar navigation navi topnav breadcrumb breadcrumbs pagination pager toc header masthead topbar toolbar footer foot colophon copyright disclaimer
-    comment comments commentlist discussion disqus respond reply replies search searchbox form skiplink""".split()
+    comment comments commentlist discussion disqus respond reply replies search searchbox skiplink""".split()
+)
+#: Words that say nothing about what an element holds.
+NEUTRAL = frozenset(
+    """area list wrapper wrap container box bar block section item items inner outer content body text link links button buttons group row col column columns
+    left right top bottom main site page global primary secondary small large mobile desktop fixed sticky inline unit slot zone panel pane input label title
+    heading icon icons count thread tree meta info message reader user post posts article articles blog web center first last id""".split()
 )
 
 #: Names that also describe the layout of wrappers, and names of wrappers that hold an article's text.
@@ -84,6 +95,7 @@ class Page:
         self.tag: list[str] = ["#root"]
         self.style: list[str] = ["#root"]  # presentation: tag, role and classes
         self.names: list[frozenset[str]] = [frozenset()]
+        self.named: list[frozenset[str]] = [frozenset()]  # words for boilerplate of names that say nothing else
         self.role: list[str] = [""]
         self.parent: list[int] = [-1]
         self.events: list[int | str] = [0]
@@ -151,7 +163,7 @@ class Page:
         close(0)
 
     def _element(self, name: str, attributes: str, parent: int) -> int:
-        classes, role, names = "", "", set()
+        classes, role, names, named = "", "", set(), set()
         if attributes and "=" in attributes:
             for key, *values in ATTRIBUTE.findall(attributes):
                 value = html_library.unescape("".join(values))
@@ -159,25 +171,29 @@ class Page:
                     role = value.strip().lower()
                 else:
                     for token in value.split():
-                        parts = [p.lower() for p in NAME.findall(token)]
-                        names.update((*parts, token.lower()))
+                        parts = {p.lower() for p in NAME.findall(token)} | ({token.lower()} & DROPPED_NAMES)
+                        names |= parts
+                        if all(p in DROPPED_NAMES or p in NEUTRAL or p.isdigit() or len(p) == 1 for p in parts):
+                            named |= parts & DROPPED_NAMES
                     if key.lower() == "class":
                         classes = ".".join(sorted(value.split()))
         self.tag.append(name)
         self.style.append(f"{name}/{role}/{classes}")
         self.names.append(frozenset(names))
+        self.named.append(frozenset(named))
         self.role.append(role)
         self.parent.append(parent)
         return len(self.tag) - 1
 
-    def measure(self) -> None:
-        """For every element: path, hashes of the layout and the text below it, and the text's length."""
+    def measure(self, site: str = "") -> None:
+        """For every element: its path on a site, the feature of its layout and the length of the text below it; for every text its feature."""
         count = len(self.tag)
-        self.path, self.layout, self.content, self.length = [0] * count, [0] * count, [0] * count, [0] * count
-        texts = layouts = 0
+        self.path, self.layout, self.length = [0] * count, [0] * count, [0] * count
+        self.texts: list[tuple[int, int, int]] = []  # element, feature, length
+        layouts = n_layouts = 0
         powers = [1]
-        size = n_texts = n_layouts = 0
-        at_open: dict[int, tuple[int, int, int, int, int]] = {}
+        at_open: dict[int, tuple[int, int]] = {}
+        at: list[int] = []
 
         def power(k: int) -> int:
             while len(powers) <= k:
@@ -188,20 +204,47 @@ class Page:
             if isinstance(e, str):
                 clean = " ".join(html_library.unescape(e).split())
                 if clean:
-                    texts = (texts * BASE + xxhash.xxh3_64_intdigest(clean)) % PRIME
-                    n_texts += 1
-                    size += len(clean)
+                    self.texts.append((at[-1], xxhash.xxh3_64_intdigest(clean, seed=self.path[at[-1]]), len(clean)))
+                    self.length[at[-1]] += len(clean)
             elif e >= 0:
-                up = self.path[self.parent[e]] if e else 0
+                up = self.path[self.parent[e]] if e else xxhash.xxh3_64_intdigest(site)
                 self.path[e] = xxhash.xxh3_64_intdigest(self.style[e], seed=up)
                 layouts = (layouts * BASE + xxhash.xxh3_64_intdigest(self.style[e]) % PRIME) % PRIME
                 n_layouts += 1
-                at_open[e] = (texts, n_texts, layouts, n_layouts, size)
+                at_open[e] = layouts, n_layouts
+                at.append(e)
             else:
-                t, nt, s, ns, before = at_open.pop(~e)
-                self.content[~e] = (texts - t * power(n_texts - nt)) % PRIME
-                self.layout[~e] = (layouts - s * power(n_layouts - ns)) % PRIME
-                self.length[~e] = size - before
+                s, ns = at_open.pop(~e)
+                below = (layouts - s * power(n_layouts - ns)) % PRIME
+                self.layout[~e] = xxhash.xxh3_64_intdigest(below.to_bytes(8), seed=self.path[~e])
+                at.pop()
+        for k in range(count - 1, 0, -1):
+            self.length[self.parent[k]] += self.length[k]
+        self.importance = [1.0] * count
+
+    def features(self) -> tuple[list[int], list[int]]:
+        """(path, feature) of the layouts and texts that the style tree counts, each once; a path itself counts its pages."""
+        found = {(self.path[k], self.layout[k]) for k in range(1, len(self.tag)) if self.branch(k) and self.length[k]}
+        found |= {(self.path[k], feature) for k, feature, _ in self.texts}
+        found |= {(path, path) for path, _ in found}
+        return [p for p, _ in found], [f for _, f in found]
+
+    def weigh(self, shared: dict[int, float]) -> None:
+        """Set the importance of every element from that of the features that pages share."""
+        sums = [0.0] * len(self.tag)
+        for k, feature, n in self.texts:
+            sums[k] += n * shared.get(feature, 1.0)
+        for k in range(len(self.tag) - 1, 0, -1):
+            sums[self.parent[k]] += sums[k]
+            if self.length[k]:
+                self.importance[k] = (1 - GAMMA) * shared.get(self.layout[k], 1.0) + GAMMA * sums[k] / self.length[k]
+
+    def gone(self, k: int, whole: int) -> bool:
+        """Whether an element is no part of the main text, by its tag, role or names, or by the style tree."""
+        if self.dropped(k, whole):
+            return True
+        least = LEAST_NAMED if self.names[k] & DROPPED_NAMES else LEAST_IMPORTANCE
+        return self.importance[k] < least and self.branch(k) and 2 * self.length[k] < whole
 
     def dropped(self, k: int, whole: int) -> bool:
         """Whether an element's tag, role or names mark it as no part of an article's text.
@@ -210,7 +253,7 @@ class Page:
         """
         if self.tag[k] in DROPPED or self.role[k] in DROPPED_ROLES:
             return True
-        found = self.names[k] & DROPPED_NAMES
+        found = self.named[k]
         if (found <= {"header"} and (found or self.tag[k] == "header")) and self._in_article(k):
             return False
         if found:
@@ -225,15 +268,14 @@ class Page:
         return False
 
     def key(self) -> int:
-        """What tells pages apart: the main text, or all text where there is none."""
-        text = self.text(frozenset())
-        return xxhash.xxh3_64_intdigest(text) if text else self.content[0]
+        """What tells pages apart: the main text as it is without the style tree, or all text where there is none."""
+        return xxhash.xxh3_64_intdigest(self.text() or repr([feature for _, feature, _ in self.texts]))
 
     def branch(self, k: int) -> bool:
         """Whether the style tree may remove an element: a container or anything with a class."""
         return self.tag[k] not in INLINE and k > 0 and (self.tag[k] not in PLAIN or self.style[k].count("/") == 2 and not self.style[k].endswith("/"))
 
-    def roots(self, low: frozenset[int]) -> list[int]:
+    def roots(self) -> list[int]:
         """The elements that hold the main text, in page order: all outermost articles, where they hold half of the
         text of main (or of the body) that is kept; else main and the articles outside it, by the same rule; else the body.
         """
@@ -245,7 +287,7 @@ class Page:
         for k in range(count):  # parents come first
             up = self.parent[k]
             kind = "main" if self.role[k] == "main" else self.tag[k]
-            gone = self.dropped(k, whole) or self.branch(k) and self.path[k] in low and 2 * self.length[k] < whole
+            gone = self.gone(k, whole)
             out[k] = k > 0 and out[up] or kind not in ("main", "body", "html") and gone
             for name, inside in within.items():
                 inside[k] = k > 0 and inside[up]
@@ -275,9 +317,9 @@ class Page:
             return wide
         return [body if kept[body] == kept[0] else 0]
 
-    def text(self, low: frozenset[int]) -> str:
-        """Blocks of the main text; ``low`` holds the paths of unimportant branches."""
-        roots = set(self.roots(low))
+    def text(self) -> str:
+        """Blocks of the main text."""
+        roots = set(self.roots())
         whole = 0
         blocks: list[str] = []
         words: list[str] = []
@@ -302,7 +344,7 @@ class Page:
             if not inside:
                 continue
             if skipping is None and e >= 0:
-                if self.dropped(k, whole) or self.branch(k) and self.path[k] in low and 2 * self.length[k] < whole:
+                if self.gone(k, whole):
                     skipping = k
             if skipping is None:
                 if self.tag[k] in UNBROKEN:
@@ -325,64 +367,82 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def site_nodes(pages: DataFrame) -> DataFrame:
-    """(page_id, host, page, path, layout, content) of the removable branches of pages (page_id, host, html)."""
-    kind = pages.schema["page_id"].dataType.simpleString()
+def signed(values: list[int]) -> pa.Array:
+    """Unsigned 64-bit numbers as Spark's longs."""
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def site_features(pages: DataFrame) -> DataFrame:
+    """(own, page, path, feature) of pages (own, host, html): the features of every page; ``page`` is equal for mirrored pages of a host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, columns = [], ([], [], [], [])
-            for i, source in enumerate(batch.column(2)):
+            rows, keys, paths, found = [], [], [], []
+            for i, (host, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 page = Page(source.as_py())
-                page.measure()
-                own = page.key()
-                for k in range(1, len(page.tag)):
-                    if page.branch(k) and page.length[k]:
-                        rows.append(i)
-                        for column, value in zip(columns, (own, page.path[k], page.layout[k], page.content[k]), strict=True):
-                            column.append(value - (1 << 64) if value >= 1 << 63 else value)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.int64()) for c in columns)],
-                names=["page_id", "host", "page", "path", "layout", "content"],
-            )
-
-    return pages.select("page_id", "host", "html").mapInArrow(run, f"page_id {kind}, host string, page long, path long, layout long, content long")
-
-
-def unimportant(nodes: DataFrame, least: float = LEAST_IMPORTANCE, count: int = LEAST_COUNT, gamma: float = GAMMA) -> DataFrame:
-    """(host, path) of the style-tree nodes of low importance."""
-    once = nodes.groupBy("host", "page", "path", "layout", "content").agg(F.lit(1).alias("one"))
-    entropies = []
-    for column in ("layout", "content"):
-        times = once.groupBy("host", "path", column).agg(F.count("*").alias("c"))
-        total = F.sum("c")
-        entropy = (F.log(total) - F.sum(F.col("c") * F.log("c")) / total) / F.greatest(F.log(total), F.lit(1e-9))
-        entropies.append(times.groupBy("host", "path").agg(total.alias("n"), entropy.alias(f"h_{column}")))
-    layout, content = entropies
-    both = layout.where(F.col("n") >= count).join(content.drop("n"), ["host", "path"])
-    return both.where((1 - gamma) * F.col("h_layout") + gamma * F.col("h_content") < least).select("host", "path")
-
-
-def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, url, text and n_chars (long)."""
+                page.measure(host)
+                path, feature = page.features()
+                rows += [i] * len(path)
+                keys += [page.key()] * len(path)
+                paths += path
+                found += feature
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), signed(keys), signed(paths), signed(found)], names=["own", "page", "path", "feature"])
+
+    return pages.select("own", "host", "html").mapInArrow(run, "own long, page long, path long, feature long")
+
+
+def shared_features(found: DataFrame) -> DataFrame:
+    """(feature, importance) of the features on two pages or more of their node."""
+    times = found.select("page", "path", "feature").distinct().groupBy("path", "feature").agg(F.count("*").alias("d"))
+    pages = times.where("path = feature").select("path", F.col("d").alias("m"))
+    oft = times.where("path != feature and d > 1").join(pages, "path")
+    importance = 1 - F.log("d") / F.log(F.col("m") + 0.5)
+    return oft.select("feature", F.greatest(importance, F.lit(0.0)).cast("float").alias("importance"))
+
+
+def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = MAX_SHARED) -> DataFrame:
+    """One row per page: id, url, text and n_chars (long). Up to ``most`` shared features are broadcast."""
     scratch = Scratch(df.sparkSession, "sites")
     pages = df.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
-    )
-    nodes = scratch.save(site_nodes(pages), "nodes")
-    hits = nodes.select("page_id", "host", "path").distinct().join(unimportant(nodes), ["host", "path"], "left_semi")
-    low = hits.groupBy(F.col("page_id").alias("i"), F.col("host").alias("h")).agg(F.collect_set("path").alias("low"))
-
-    @F.arrow_udf("string")
-    def extract(sources: pa.Array, lows: pa.Array) -> pa.Array:
-        out = []
-        for source, paths in zip(sources, lows, strict=True):
-            page = Page(source.as_py())
-            page.measure()
-            out.append(page.text(frozenset(p % (1 << 64) for p in paths.as_py() or ())))
-        return pa.array(out, pa.string())
-
-    joined = pages.join(low, F.col("page_id").eqNullSafe(F.col("i")) & (F.col("host") == F.col("h")), "left")
-    texts = joined.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), extract("html", "low").alias("text"))
+    ).withColumn("own", F.xxhash64("page_id", "url", "html"))
+    found = scratch.save(site_features(pages), "features")
+    shared = scratch.save(shared_features(found), "shared")
+    if shared.count() <= most:
+        table = shared.toArrow()  # at most ``most`` rows of 12 bytes
+        order = np.argsort(table["feature"].to_numpy())
+        known = df.sparkSession.sparkContext.broadcast((table["feature"].to_numpy()[order], table["importance"].to_numpy()[order]))
+
+        @F.arrow_udf("string")
+        def extract(sources: pa.Array, hosts: pa.Array) -> pa.Array:
+            features, importances = known.value
+            out = []
+            for source, host in zip(sources.to_pylist(), hosts.to_pylist(), strict=True):
+                page = Page(source)
+                page.measure(host)
+                own = np.array([f for _, f, _ in page.texts] + page.layout, np.uint64).view(np.int64)
+                at = np.searchsorted(features, own)
+                at[at == len(features)] = 0
+                hit = np.flatnonzero(features[at] == own) if len(features) else []
+                page.weigh({int(own[k]) % (1 << 64): float(importances[at[k]]) for k in hit})
+                out.append(page.text())
+            return pa.array(out, pa.string())
+
+        texts = pages.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), extract("html", "host").alias("text"))
+    else:
+        hits = found.select(F.col("own").alias("o"), "feature").distinct().join(shared, "feature")
+        hits = hits.groupBy("o").agg(F.collect_list("feature").alias("features"), F.collect_list("importance").alias("importances"))
+
+        @F.arrow_udf("string")
+        def extract(sources: pa.Array, hosts: pa.Array, features: pa.Array, importances: pa.Array) -> pa.Array:
+            out = []
+            for source, host, own, weights in zip(*(c.to_pylist() for c in (sources, hosts, features, importances)), strict=True):
+                page = Page(source)
+                page.measure(host)
+                page.weigh(dict(zip([f % (1 << 64) for f in own or ()], weights or (), strict=True)))
+                out.append(page.text())
+            return pa.array(out, pa.string())
+
+        joined = pages.join(hits, F.col("own") == F.col("o"), "left")
+        texts = joined.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), extract("html", "host", "features", "importances").alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -107,10 +107,12 @@ ORACLES = {
         o AS (SELECT p.id AS u, q.id AS v, p.n AS pn, q.n AS qn, count(*) AS shared FROM g p JOIN g q ON p.t = q.t AND p.id <> q.id GROUP BY ALL),
         links AS (SELECT u, v FROM o WHERE 100 * shared >= 85 * (pn + qn - shared)), nodes AS (SELECT id FROM k), {_REACH}
         SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM k JOIN component USING (id)""",
-    # The stored pages have one article of headings and paragraphs each.
-    "op10_html_main": """WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?is)<article>(.*?)</article>', 1), '(?i)</?(?:p|h1)>') AS parts FROM pages),
-        t AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'),
-            '[\\s\\x{00A0}]+', ' ', 'g')) FOR x IN parts] AS parts FROM a)
+    # Menus, adverts and footers go from the body, what is left is the text: the stored pages have no other boilerplate.
+    "op10_html_main": r"""WITH b AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<body[^>]*>(.*?)(?:</body>|$)', 1), '(?is)<!--.*?-->|<(?:script|style)[^>]*>.*?</(?:script|style)>', '', 'g') AS h FROM pages),
+        k AS (SELECT page_id, url, regexp_replace(h, '(?is)<nav>.*?</nav>|<footer>.*?(?:</footer>|$)|<div class="ad">.*?</div>', '<hr>', 'g') AS h FROM b),
+        a AS (SELECT page_id, url, string_split_regex(h, '(?i)</?(?:p|h1|div|article|hr)(?:\s[^>]*)?>') AS parts FROM k),
+        t AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?i)<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'),
+            '[\s\x{00A0}]+', ' ', 'g')) FOR x IN parts] AS parts FROM a)
         SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text, length(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10))) AS n_chars FROM t""",
     "pipeline": corpus_pipeline.ORACLE_SQL,
 }

@@ -580,7 +580,7 @@ def test_words_and_shingles_of_batches(monkeypatch):
 def main_of(source):
     page = html_main.Page(source)
     page.measure()
-    return page.text(frozenset())
+    return page.text()
 
 
 @pytest.mark.parametrize(
@@ -602,6 +602,42 @@ def test_main_text(source, expected):
     assert main_of(source) == expected
 
 
+def a_site(name, n, rng):
+    """Pages of a site and their true texts: boilerplate without telling names, odd names in the text, several articles."""
+    word = lambda k: " ".join("".join(rng.choice(list("aeionrstlc"), size=rng.integers(3, 9))) for _ in range(k))
+    legal, pitch, links = word(12), word(9), [word(1) for _ in range(5)]
+    pages = []
+    for k in range(n):
+        parts = [word(25) for _ in range(4)]
+        text = (
+            f"<div class='form-group'><p>{parts[0]}</p></div><div class='social-history'><p>{parts[1]}</p></div><section id='comment-on-policy'><p>{parts[2]}</p></section>"
+            if k % 2 else f"<article><p>{parts[0]}</p><p>{parts[1]}</p></article><article><p>{parts[2]}</p></article>"
+        )
+        picked = "".join(f"<div><a href='/{x}'>{x}</a></div>" for x in rng.permutation(links))
+        html = f"<title>{k}</title><body><div>{pitch}</div><div class='z1'>{picked}</div><div class='z2'>{text}<p>{parts[3]}</p></div><div>{legal}</div></body>"
+        pages.append((f"http://{name}/{k}", html, parts))
+    return pages
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_style_tree_finds_the_text_of_generated_sites(spark, most):
+    rng = np.random.default_rng(1)
+    rows = [row for name, n in (("large.example", 20), ("three.example", 3), ("one.example", 1)) for row in a_site(name, n, rng)]
+    df = spark.createDataFrame([(k, url, html) for k, (url, html, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_main.main_text(df, most=most).collect()}
+    for k, (url, _, want) in enumerate(rows):
+        if "one.example" in url:  # one page tells nothing about its site: articles are all that is known
+            continue
+        # articles are taken alone where they hold half of the text
+        assert got[k] == (want if "form-group" in rows[k][1] else want[:3]), url
+    without = []
+    for url, html, _ in rows:
+        page = html_main.Page(html)
+        page.measure()
+        without.append(page.text().split("\n"))
+    assert sum(got[k] != w for k, w in enumerate(without)) >= 10  # the tree decides
+
+
 def test_style_tree_removes_what_is_alike_on_a_site(spark):
     body = lambda k: f"<title>{k}</title><body><div class='x1'>Read our terms of use today</div><div class='story'><p>Story {k} tells of {k * 7} things.</p><p>And more {k}</p></div></body>"
     pages = [(k, f"http://same.example/{k}", body(k)) for k in range(20)] + [(100, "http://other.example/", body(3))]
