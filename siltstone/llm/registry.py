@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from siltstone.shipping import ship
 
 from . import decontaminate, embedding_join, html_main, line_dedup, ngram_join, packing, quality, secret_scan, sharding, warc
@@ -79,7 +78,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_ngram_join": op9_ngram_join,
         "op10_html_main": op10_html_main,
-        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -114,9 +112,8 @@ ORACLES = {
         t AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?i)<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'),
             '[\s\x{00A0}]+', ' ', 'g')) FOR x IN parts] AS parts FROM a)
         SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text, length(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10))) AS n_chars FROM t""",
-    "pipeline": corpus_pipeline.ORACLE_SQL,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in ORACLES.items() if sql}
+    return dict(ORACLES)

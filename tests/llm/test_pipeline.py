@@ -2,6 +2,7 @@
 
 import re
 
+import __spark_entry__
 import corpus_pipeline
 from siltstone.llm import registry
 
@@ -47,12 +48,23 @@ def test_stages(spark, sf_dir):
     assert len(set(after) - set(kept["benchmark"]) - whole) <= 0.02 * len(after)
 
 
-def test_registry_names():
-    names = list(registry.queries())
+def test_registered_names():
+    names = list(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
 
 
+def test_rows_of_one_id_are_decided_by_a_rule(spark, sf_dir):
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [
+        (1, words, "en", "b", 3), (1, words, "en", "a", 2), (1, words, "en", "b", 1), (1, "another text of this id", "en", "a", 9), (2, words + " more", "en", "a", 1),
+        (3, "alone", "en", "a", 1), (None, "alone", "en", "a", 1), (None, "alone", "en", "a", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()), key=repr)
+    assert got == sorted([rows[1], rows[3], rows[5], rows[6], rows[7]], key=repr)
+
+
 def test_stages_with_odd_rows(spark, sf_dir):
     rows = [
         (1, "one two three four five six seven", "en", "s", 5), (1, "one two three four five six seven", "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0),
