@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import urls
 from .core import let
 from .text import collapse
 
@@ -159,30 +160,6 @@ def _text_of(inner: Column) -> Column:
     return glue_numbers(collapse(decode(without_tags(without_comments(inner)))))
 
 
-def scope(c: Column) -> Column:
-    """struct(kind, html): the first article, or main where its text is half as long again, else the body."""
-    clean = without(without_comments(without(_html(c), "script", "style", "noscript", "template")), "aside", "nav", "footer")
-    size = lambda x: F.length(collapse(decode(without_tags(x))))
-    first = lambda x, tag: F.get(elements(x, tag), F.lit(0))
-
-    def choose(f: Column) -> Column:
-        article, main = f["article"], f["main"]
-        both = F.when(size(main) >= 1.5 * size(article), "main").otherwise("article")
-        return F.when(article.isNotNull() & main.isNotNull(), both).when(article.isNotNull(), "article").when(main.isNotNull(), "main").otherwise("body")
-
-    def scoped(f: Column) -> Column:
-        return let(
-            choose(f),
-            lambda kind: F.struct(
-                kind.alias("kind"),
-                F.when(kind == "article", f["article"]).when(kind == "main", f["main"]).otherwise(without(body(f["source"]), "aside", "nav")).alias("html"),
-            ),
-        )
-
-    both = lambda x: F.struct(first(x, "article").alias("article"), first(x, "main").alias("main"), _html(c).alias("source"))
-    return let(let(clean, both), scoped)
-
-
 def title(c: Column) -> Column:
     """The first title's text, null where it is empty or absent."""
     return F.nullif(collapse(decode(without_tags(F.coalesce(F.get(elements(c, "title"), F.lit(0)), F.lit(""))))), F.lit(""))
@@ -261,13 +238,34 @@ def srcset_first(c: Column) -> Column:
 MAX_IMAGE_TAGS = 200
 
 
-def image_candidates(c: Column) -> Column:
-    """Addresses of images: Open Graph first, then img and source elements, in order."""
+def image_candidates(c: Column, json_ld_images: Column | None = None) -> Column:
+    """Addresses of images: Open Graph first, then those of JSON-LD, then img and source elements, in order."""
     og = open_graph(c)
     keys = [F.get(F.array(og[k]), F.lit(0)) for k in ("og:image", "og:image:url", "og:image:secure_url")]
-    of = lambda a: F.coalesce(attribute(a, "src"), srcset_first(attribute(a, "srcset")))
-    marked = F.transform(F.concat(F.slice(start_tags(c, "img"), 1, MAX_IMAGE_TAGS), F.slice(start_tags(c, "source"), 1, MAX_IMAGE_TAGS)), of)
-    return F.array_compact(F.concat(F.array(*keys), marked))
+    first = lambda a, *names: F.coalesce(*[attribute(a, n) for n in names])
+    tags = lambda name: F.slice(start_tags(c, name), 1, MAX_IMAGE_TAGS)
+    marked = F.concat(
+        F.transform(tags("img"), lambda a: first(a, "src", "data-src", "data-lazy-src")), F.transform(tags("source"), lambda a: srcset_first(first(a, "srcset", "data-srcset")))
+    )
+    linked = F.array().cast("array<string>") if json_ld_images is None else json_ld_images
+    return F.filter(F.array_compact(F.concat(F.array(*keys), linked, marked)), lambda u: F.trim(u) != "")
+
+
+def images(c: Column, page_url: Column, json_ld_images: Column | None = None) -> Column:
+    """Up to ``MAX_IMAGES`` distinct http addresses of a page's images, resolved, without fragments, credentials and internal hosts."""
+    clean = lambda u: F.regexp_replace(F.regexp_replace(u, "#.*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@", "$1")
+    base = F.struct(urls.part(page_url, "scheme").alias("s"), urls.host(page_url).alias("h"), urls.part(page_url, "path").alias("p"))
+    absolute = let(base, lambda b: F.transform(image_candidates(c, json_ld_images), lambda u: clean(resolve(b["s"], b["h"], b["p"], F.trim(u)))))
+    usable = F.filter(
+        absolute, lambda u: F.coalesce(urls.part(u, "scheme").isin("http", "https") & ~urls.is_internal_image_host(urls.host(u)) & (F.length(u) <= MAX_IMAGE_URL), F.lit(False))
+    )
+    return F.slice(F.array_distinct(usable), 1, MAX_IMAGES)
+
+
+def revealed_boundaries(c: Column) -> Column:
+    """Ids of the streamed parts that a page's own scripts reveal."""
+    calls = F.regexp_extract_all(_html(c), F.lit(r"(\$RC\s*\([^)]*\))"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(calls, lambda x: F.regexp_extract_all(x, F.lit(r"\b(S:\d+)\b"), F.lit(1)))))
 
 
 def resolve(base_scheme: Column, base_host: Column, base_path: Column, target: Column) -> Column:
@@ -295,3 +293,10 @@ def board_embed(c: Column) -> Column:
     board = F.regexp_extract(_html(c), r"""jobs\.lever\.co/([A-Za-z0-9._-]{1,128})(?=["'/?#]|$)""", 1)
     hits.append(F.when(~board.isin("", ".", ".."), F.struct(F.lit("lever").alias("platform"), board.alias("token"))))
     return F.coalesce(*hits)
+
+
+def ashby_job(url: Column, page: Column) -> Column:
+    """Address of the job that a page embeds: its ``ashby_jid`` under the organisation whose board the page embeds; null without either."""
+    job = F.nullif(F.try_parse_url(url, F.lit("QUERY"), F.lit("ashby_jid")), F.lit(""))
+    board = F.nullif(F.regexp_extract(_html(page), r"(?i)jobs\.ashbyhq\.com/([a-z0-9_-]+)/embed", 1), F.lit(""))
+    return F.concat(F.lit("https://jobs.ashbyhq.com/"), board, F.lit("/"), job)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import urls
 from .core import let
 
 # Types whose nodes carry a page's content, those of the article family, and links to nested nodes.
@@ -68,25 +71,99 @@ def _harvest(node: Column, own: Column, lead: bool) -> Column:
     )
 
 
-def nested(texts: Column) -> Column:
-    """Variant nodes of JSON texts, depth first for two levels: the node, its graph, then its links."""
-    below = lambda v, path: F.coalesce(
-        F.try_variant_get(v, path, "array<variant>"), F.when(F.try_variant_get(v, path, "map<string,variant>").isNotNull(), F.array(F.try_variant_get(v, path, "variant"))),
-        F.array().cast("array<variant>"),
-    )
-    roots = F.flatten(F.transform(texts, lambda t: F.coalesce(F.try_variant_get(F.try_parse_json(t), "$", "array<variant>"), F.array(F.try_parse_json(t)))))
+#: Levels at which nodes are looked for: a script's own nodes, and three below them.
+MAX_DEPTH = 4
+
+
+def _many(v: Column, path: str) -> Column:
+    """Nodes at a path: an array's, arrays inside it opened twice, or a single one."""
+    none = F.array().cast("array<variant>")
+    listed = lambda x, at: F.try_variant_get(x, at, "array<variant>")
+    opened = lambda a: F.flatten(F.transform(a, lambda x: F.coalesce(listed(x, "$"), F.array(x))))
+    one = F.when(F.try_variant_get(v, path, "map<string,variant>").isNotNull(), F.array(F.try_variant_get(v, path, "variant")))
+    return F.coalesce(opened(opened(listed(v, path))), one, none)
+
+
+def roots(texts: Column) -> Column:
+    """The nodes of JSON texts, in order."""
+    return F.flatten(F.transform(texts, lambda t: let(F.try_parse_json(t), lambda v: _many(v, "$"))))
+
+
+def nested(texts: Column, ends: Callable[[Column], Column] | None = None) -> Column:
+    """Variant nodes of JSON texts, depth first: each node, then its graph, then its links. Nodes for which ``ends`` holds are not entered."""
     paths = ['$["@graph"]', *[f"$.{link}" for link in LINKS]]
-    children = lambda v: F.concat(*[below(v, p) for p in paths])
-    branch = lambda v: F.concat(F.array(v), children(v))
-    return F.flatten(F.transform(roots, lambda r: F.concat(F.array(r), F.flatten(F.transform(children(r), branch)))))
+
+    def branch(v: Column, depth: int) -> Column:
+        if depth == MAX_DEPTH - 1:
+            return F.array(v)
+        below = F.flatten(F.transform(F.concat(*[_many(v, p) for p in paths]), lambda x: branch(x, depth + 1)))
+        whole = F.concat(F.array(v), below)
+        return whole if ends is None else F.when(ends(v), F.array(v)).otherwise(whole)
+
+    return F.flatten(F.transform(roots(texts), lambda r: branch(r, 0)))
+
+
+def is_posting(v: Column) -> Column:
+    return F.array_contains(types(v), "socialmediaposting")
+
+
+def bearing_types(v: Column, is_pin: Column) -> Column:
+    """The content types for which a node carries text; a social post counts on a pin's page only, by its body."""
+    carries = lambda t: F.when(t == "socialmediaposting", is_pin & field(v, "articleBody").isNotNull()).otherwise(_harvest(v, F.array(t), False).isNotNull())
+    return F.filter(types(v), lambda t: t.isin(*CONTENT_TYPES) & carries(t))
 
 
 def bearing(texts: Column, is_pin: Column) -> Column:
-    """Nodes of a content type that carry text; social posts count on pin pages only."""
-    social = lambda v: F.array_contains(types(v), "socialmediaposting")
-    caption = lambda v: F.coalesce(field(v, "articleBody"), field(v, "headline"), field(v, "description"))
-    ok = lambda v: harvest(v).isNotNull() | (is_pin & social(v) & caption(v).isNotNull())
-    return F.filter(nested(texts), ok)
+    """Nodes of a content type that carry text; what hangs below such a node is not looked at."""
+    ok = lambda v: harvest(v).isNotNull() | (is_pin & is_posting(v) & field(v, "articleBody").isNotNull())
+    return F.filter(nested(texts, ok), ok)
+
+
+def postings(texts: Column) -> Column:
+    """All social posts among the nodes."""
+    return F.filter(nested(texts), is_posting)
+
+
+def pin_caption(texts: Column, url: Column) -> Column:
+    """On a pin's page the body of the post that refers to the pin, else of the first post."""
+    pin = urls.pin_id(url)
+    text_at = lambda v, path: F.try_variant_get(v, path, "string")
+    refs = lambda v: F.array_compact(F.array(*[text_at(v, p) for p in ('$["@id"]', "$.url", "$.mainEntityOfPage", '$.mainEntityOfPage["@id"]', "$.mainEntityOfPage.url")]))
+    own = lambda v: F.exists(refs(v), lambda r: urls.is_pin_page(r) & (urls.pin_id(r) == pin))
+    chosen = lambda found: F.coalesce(F.get(F.filter(found, own), F.lit(0)), F.get(found, F.lit(0)))
+    return F.when(urls.is_pin_page(url), let(let(postings(texts), chosen), lambda v: field(v, "articleBody")))
+
+
+def lead(found: Column, texts: Column, url: Column, has_text: Column) -> Column:
+    """What structured data puts before a page's text: the first content node's text, else a pin's caption; markup removed.
+
+    ``found`` are the bearing nodes; where the page has text of its own, an article gives its headline rather than its body.
+    """
+    first = F.filter(found, lambda v: F.exists(types(v), lambda t: t.isin(*[c for c in CONTENT_TYPES if c != "socialmediaposting"])))
+    harvested = F.get(F.transform(first, lambda v: F.when(has_text, harvest(v, True)).otherwise(harvest(v))), F.lit(0))
+    plain = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), "(?i)&[a-z]+;", " "), r"\s+", " "))
+    return plain(F.coalesce(harvested, pin_caption(texts, url)))
+
+
+def candidates(texts: Column) -> Column:
+    """Top nodes and the nodes of their graphs, in order."""
+    return F.flatten(F.transform(roots(texts), lambda v: F.concat(F.array(v), _many(v, '$["@graph"]'))))
+
+
+def preferred_title(raw: Column, texts: Column) -> Column:
+    """A page's title: that of its structured data, unless the page's own title holds it."""
+    named = lambda v: F.coalesce(*[F.nullif(F.trim(F.try_variant_get(v, f"$.{n}", "string")), F.lit("")) for n in ("title", "name", "headline")])
+    content = lambda v: F.exists(types(v), lambda t: t.isin(*[c for c in CONTENT_TYPES if c != "socialmediaposting"])) & harvest(v).isNotNull()
+    found = F.get(F.array_compact(F.transform(F.filter(candidates(texts), content), named)), F.lit(0))
+    return let(F.struct(raw.alias("raw"), found.alias("own")), lambda t: F.when(t["own"].isNull() | F.coalesce(F.lower(t["raw"]).contains(F.lower(t["own"])), F.lit(False)), t["raw"]).otherwise(t["own"]))
+
+
+def image_addresses(texts: Column) -> Column:
+    """Image addresses of top nodes and of the nodes of their graphs."""
+    one = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$.url", "string"), F.try_variant_get(v, "$.contentUrl", "string"))
+    plain = lambda v, key: F.coalesce(F.transform(F.try_variant_get(v, f"$.{key}", "array<variant>"), one), F.array(one(F.try_variant_get(v, f"$.{key}", "variant"))))
+    own = lambda v: F.when(F.array_contains(types(v), "imageobject"), F.concat(plain(v, "url"), plain(v, "contentUrl"))).otherwise(F.concat(plain(v, "image"), plain(v, "thumbnailUrl")))
+    return F.array_compact(F.flatten(F.transform(candidates(texts), own)))
 
 
 def content_kind_of_types(all_types: Column) -> Column:
@@ -102,4 +179,4 @@ def content_kind_of_types(all_types: Column) -> Column:
 def is_paywalled(texts: Column) -> Column:
     """Whether a node or a node of its graph says that it is not free."""
     flag = lambda v: F.coalesce(F.lower(F.try_variant_get(v, "$.isAccessibleForFree", "string")) == "false", F.lit(False))
-    return F.exists(nested(texts), flag)
+    return F.exists(candidates(texts), flag)

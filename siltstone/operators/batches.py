@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,12 +45,12 @@ def distinct_in_order(rows: DataFrame, value: str, order: str = "ord", by: str |
 
 
 def failures(*parts: DataFrame, columns: tuple[str, ...] = ("ord", "url", "code", "message")) -> DataFrame:
-    """Rejects and failed rows in class order, then input order."""
+    """Rejects and failed rows; ``class``, then ``ord`` is their order."""
     out = None
     for rank, part in enumerate(parts):
         ranked = part.select(F.lit(rank).alias("class"), *columns)
         out = ranked if out is None else out.unionByName(ranked)
-    return out.orderBy("class", "ord")
+    return out
 
 
 def merge_attempts(attempts: DataFrame) -> DataFrame:
@@ -91,3 +91,23 @@ def shown_hosts(hosts: Column, n: int = 8) -> Column:
 
 def action_count(actions: Column, *kinds: str) -> Column:
     return F.size(F.filter(actions, lambda a: a["type"].isin(*kinds))).cast("long")
+
+
+def longest_of(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """(by, value): the longest text of each group; of equals the first in order."""
+    size = F.struct(F.length(value).alias("n"), (-F.col(order)).alias("o"))
+    return rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.max_by(value, size).alias(value))
+
+
+def longest_few(rows: DataFrame, by: str, value: str, order: str, k: int = 3) -> DataFrame:
+    """The ``k`` longest texts of each group, with their rank; of equals the first in order. The limit is applied before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.length(value).desc(), order))
+    return rows.where(F.col(value).isNotNull()).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def compared_sets(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
+    """(left_only, right_only, common): how many distinct values are in one set or in both."""
+    marked = left.select(value, F.lit(1).alias("side")).unionByName(right.select(value, F.lit(2).alias("side")))
+    sides = marked.where(F.col(value).isNotNull()).groupBy(value).agg(F.bit_or("side").alias("side"))
+    count = lambda n: F.coalesce(F.count_if(F.col("side") == n), F.lit(0))
+    return sides.agg(count(1).alias("left_only"), count(2).alias("right_only"), count(3).alias("common"))

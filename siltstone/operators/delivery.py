@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import SEED_SNIPPET, clip, printable
@@ -40,35 +40,57 @@ def action_label(a: Column) -> Column:
     return F.concat_ws(":", a["type"], a["reason"], a["method"], a["resource"], a["url"])
 
 
+#: Characters that a section or a JSON row has at least: its frame.
+LEAST_SECTION = 10
+
+
+def _first(rows: DataFrame, batch: str, most: int) -> DataFrame:
+    """The first rows of every batch by ``ord``; the limit is applied before the shuffle."""
+    return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(batch).orderBy("ord"))).where(F.col("__rank") <= most).drop("__rank")
+
+
 def bulk_text(rows: DataFrame, batch: str, fence: Column, cap: int = TEXT_CAP) -> DataFrame:
     """(batch, text, form): sections of a batch's rows (ord, url, status, body) in order: full, else slim, else cut.
 
-    A batch has at most some hundred rows, so its text is a bounded aggregate.
+    Lengths are summed first; then only the sections that the cap can show are put together, in the chosen form, so
+    a batch of any size is a bounded text.
     """
     section = lambda body: F.concat(F.lit("== "), fence, F.lit(" "), F.col("url"), F.lit(" ["), F.col("status"), F.lit("]\n"), body)
-    both = rows.select(batch, F.struct("ord", section(F.col("body")).alias("full"), section(clip(F.col("body"), SEED_SNIPPET)).alias("slim")).alias("s"))
-    listed = both.groupBy(batch).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    joined = lambda k: F.array_join(F.transform("s", lambda x: x[k]), "\n\n")
-    made = listed.select(batch, joined("full").alias("full"), joined("slim").alias("slim"))
-    form = F.when(F.length("full") <= cap, "full").when(F.length("slim") <= cap, "slim").otherwise("cut")
-    text = F.when(form == "full", F.col("full")).when(form == "slim", F.col("slim")).otherwise(F.substring("slim", 1, cap))
-    return made.select(batch, text.alias("text"), form.alias("form"))
+    made = rows.select(batch, "ord", section(F.col("body")).alias("full"), section(clip(F.col("body"), SEED_SNIPPET)).alias("slim"))
+    whole = lambda c: F.sum(F.length(c)) + 2 * (F.count("*") - 1)
+    form = F.when(whole("full") <= cap, "full").when(whole("slim") <= cap, "slim").otherwise("cut")
+    forms = made.groupBy(F.col(batch).alias("__batch")).agg(form.alias("form"))
+    shown = _first(made, batch, cap // LEAST_SECTION + 1).join(forms, F.col(batch).eqNullSafe(F.col("__batch")))
+    part = F.struct("ord", F.when(F.col("form") == "full", F.col("full")).otherwise(F.col("slim")).alias("t"))
+    listed = shown.groupBy(batch, "form").agg(F.array_sort(F.collect_list(part)).alias("s"))
+    return listed.select(batch, F.substring(F.array_join(F.transform("s", lambda x: x["t"]), "\n\n"), 1, cap).alias("text"), "form")
 
 
 def bulk_json(rows: DataFrame, batch: str, cap: int = JSON_CAP) -> DataFrame:
-    """(batch, json, form): a batch's rows as JSON: full, else without bodies, else with clipped addresses and few failures."""
-    sets = rows.select(
-        batch,
-        F.struct("ord", "url", "status", "code", "body").alias("full"),
-        F.struct("ord", "url", "status", "code").alias("lean"),
-        F.struct("ord", clip(F.col("url"), COMPACT_URL).alias("url"), "status").alias("compact"),
+    """(batch, json, form): a batch's rows as JSON: full, else lean (without bodies), else compact (a count and the first failures
+    with clipped addresses), else bare (a count).
+
+    Lengths are summed first, so only what the cap can show is put together.
+    """
+    made = rows.select(
+        batch, "ord", "status", F.to_json(F.struct("ord", "url", "status", "code", "body")).alias("full"), F.to_json(F.struct("ord", "url", "status", "code")).alias("lean"),
+        F.to_json(F.struct("ord", clip(F.col("url"), COMPACT_URL).alias("url"), "status")).alias("compact"),
+    )
+    frame = len('{"results":[]}')
+    whole = lambda c: F.sum(F.length(c)) + F.count("*") - 1 + frame
+    form = F.when(whole("full") <= cap, "full").when(whole("lean") <= cap, "lean").otherwise("compact")
+    forms = made.groupBy(F.col(batch).alias("__batch")).agg(form.alias("form"), F.count("*").alias("n"))
+    fails = _first(made.where("status = 'fail'"), batch, COMPACT_FAILURES)
+    own = F.col(batch).eqNullSafe(F.col("__batch"))
+    few = forms.where("form = 'compact'").join(fails, own, "left").groupBy("__batch", "n").agg(
+        F.array_sort(F.collect_list(F.when(F.col("compact").isNotNull(), F.struct("ord", F.col("compact").alias("t"))))).alias("s")
+    )
+    text = lambda s: F.array_join(F.transform(s, lambda x: x["t"]), ",")
+    counted = lambda inner: F.concat(F.lit('{"count":'), F.col("n").cast("string"), F.lit(',"failures":['), inner, F.lit("]}"))
+    short = few.select(F.col("__batch").alias(batch), counted(text("s")).alias("c"), counted(F.lit("")).alias("bare")).select(
+        batch, F.when(F.length("c") <= cap, F.col("c")).otherwise(F.col("bare")).alias("json"), F.when(F.length("c") <= cap, "compact").otherwise("bare").alias("form")
     )
-    listed = sets.groupBy(batch).agg(*[F.array_sort(F.collect_list(k)).alias(k) for k in ("full", "lean", "compact")])
-    few = F.slice(F.filter("compact", lambda r: r["status"] == "fail"), 1, COMPACT_FAILURES)
-    forms = {
-        "full": F.to_json(F.struct(F.col("full").alias("results"))), "lean": F.to_json(F.struct(F.col("lean").alias("results"))),
-        "compact": F.to_json(F.struct(F.size("compact").alias("count"), few.alias("failures"))),
-    }
-    made = listed.select(batch, *[c.alias(k) for k, c in forms.items()])
-    form = F.when(F.length("full") <= cap, "full").when(F.length("lean") <= cap, "lean").otherwise("compact")
-    return made.select(batch, F.when(form == "full", F.col("full")).when(form == "lean", F.col("lean")).otherwise(F.col("compact")).alias("json"), form.alias("form"))
+    shown = _first(made, batch, cap // LEAST_SECTION + 1).join(forms.where("form != 'compact'"), own)
+    part = F.struct("ord", F.when(F.col("form") == "full", F.col("full")).otherwise(F.col("lean")).alias("t"))
+    long = shown.groupBy(batch, "form").agg(F.array_sort(F.collect_list(part)).alias("s"))
+    return long.select(batch, F.concat(F.lit('{"results":['), text("s"), F.lit("]}")).alias("json"), "form").unionByName(short)

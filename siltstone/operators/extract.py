@@ -1,7 +1,8 @@
 """From stored responses to records: scope, text, structured data, evidence, verdicts, hashes.
 
-One declarative plan over columns; no Python runs on the executors. Expensive expressions (scope, text,
-nodes) are columns of their own and are referred to, so each is computed once per page.
+One declarative plan over columns. Two linear scans in Arrow batches (``functions.markup``) give a page's scope with its
+text, and its embedded JSON; all else is built-in expressions. Expensive ones are columns of their own and are referred
+to, so each is computed once per page.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions import classify, html, nodes, text, urls
+from siltstone.functions import classify, html, markup, nodes, text, urls
 
 MAX_BODY, MAX_CHARS = 5 * 1024 * 1024, 5_000_000
 NO_ERRORS = "array<struct<code: string, message: string>>"
@@ -48,57 +49,68 @@ def decoded(body: Column, content_type: Column) -> Column:
 def extract(fetches: DataFrame) -> DataFrame:
     """One row per response with title, text, structured data, gate evidence and verdicts.
 
-    Responses that are not HTML keep their body as text. Repeated and null bodies are as good as any.
+    Responses that are not HTML keep their body as text. Repeated and null bodies are as good as any. A column
+    ``headers`` (map<string, array<string>>) is used for bot walls where there is one.
     """
     is_html = text.is_html_type(F.col("content_type"))
-    page = fetches.withColumn("source", F.substring(decoded(F.coalesce("body", F.lit(b"")), F.col("content_type")), 1, MAX_CHARS))
-    page = page.withColumn("hidden", html.hidden_classes(F.col("source"))).withColumn("scope", html.scope(html.without_classes(F.col("source"), F.col("hidden"))))
+    page = fetches if "headers" in fetches.columns else fetches.withColumn("headers", F.create_map().cast("map<string,array<string>>"))
+    page = page.withColumn("whole", decoded(F.coalesce("body", F.lit(b"")), F.col("content_type")))
+    page = page.withColumn("source", html.capped(F.col("whole"), MAX_CHARS))
+    page = page.withColumns({"scope": markup.scope(F.col("source")), "embedded": markup.embedded_json(F.when(is_html, F.col("source")))})
     page = page.withColumns({
-        "text": F.when(is_html, html.visible_text_of(F.col("scope.html"), F.col("hidden"))).otherwise(F.col("source")),
-        "title": F.when(is_html, html.title(F.col("source"))),
+        "text": F.when(is_html, F.col("scope.text")).otherwise(F.col("source")),
+        "json_ld": F.col("embedded.json_ld"), "state": F.col("embedded.state"), "state_keys": F.map_keys("embedded.state"),
         "canonical_url": F.when(is_html, html.canonical_link(F.col("source"))),
-        "json_ld": F.when(is_html, html.json_ld(F.col("source"))).otherwise(F.array().cast("array<string>")),
         "meta": F.when(is_html, html.meta(F.col("source"))),
-        "state_keys": F.when(is_html, html.state_keys(F.col("source"))).otherwise(F.array().cast("array<string>")),
         "script_count": html.tag_count(F.col("source"), "script"),
         "app_root_found": html.has_app_root(F.col("source")),
         "is_pin": urls.is_pin_page(F.coalesce("final_url", "url")),
+        "errors": F.concat(
+            F.col("embedded.errors"), F.coalesce("errors", F.array().cast(NO_ERRORS)),
+            F.when(F.length("whole") > MAX_CHARS, F.array(F.struct(F.lit("extract_truncated").alias("code"), F.lit(f"Extraction input capped at {MAX_CHARS} chars").alias("message")))).otherwise(F.array().cast(NO_ERRORS)),
+        ),
+    })
+    linked = lambda value, kind: F.when(F.size("json_ld") > 0, value).otherwise(F.array().cast(kind))
+    page = page.withColumns({
+        "title": F.when(is_html, F.when(F.size("json_ld") > 0, nodes.preferred_title(html.title(F.col("source")), F.col("json_ld"))).otherwise(html.title(F.col("source")))),
+        "images": F.when(is_html, html.images(F.col("source"), F.coalesce("final_url", "url"), linked(nodes.image_addresses(F.col("json_ld")), "array<string>"))),
+        "bearing": linked(nodes.bearing(F.col("json_ld"), F.col("is_pin")), "array<variant>"),
     })
-    page = page.withColumn("bearing", F.when(F.size("json_ld") > 0, nodes.bearing(F.col("json_ld"), F.col("is_pin"))).otherwise(F.array().cast("array<variant>")))
+    page = page.withColumns({"text_length": F.length("text"), "word_count": text.word_count(F.col("text"))})
     page = page.withColumns({
-        "text_length": F.length("text"), "word_count": text.word_count(F.col("text")),
-        "bearing_types": F.flatten(F.transform("bearing", nodes.types)),
-        "lead": F.get(F.transform("bearing", lambda v: nodes.harvest(v, lead=True)), F.lit(0)),
+        "bearing_types": F.flatten(F.transform("bearing", lambda v: nodes.bearing_types(v, F.col("is_pin")))),
+        "lead": F.when(F.size("json_ld") > 0, nodes.lead(F.col("bearing"), F.col("json_ld"), F.coalesce("final_url", "url"), _substantial(F.col("text"), F.col("word_count")))),
         "paywalled": F.when(F.size("json_ld") > 0, nodes.is_paywalled(F.col("json_ld"))).otherwise(False),
         "structured": classify.usable_structure(F.col("bearing"), F.col("state_keys")),
+        "bot": classify.bot_signal(classify.bot_evidence(F.col("headers"), F.col("source"), F.col("status"))),
     })
-    content = classify.has_content(F.col("scope.html"), F.col("text_length"), F.col("word_count"), F.col("scope.kind") != "body")
+    content = classify.has_content(F.col("scope.html"), F.col("text_length"), F.col("word_count"), F.col("scope.kind").isin("article", "main"))
     page = page.withColumn("gate", classify.gate(F.col("content_type"), F.col("structured"), content))
     kind = classify.content_kind(F.col("content_type"), F.col("bearing_types"), F.get(F.array(F.col("meta")["og:type"]), F.lit(0)), F.coalesce("final_url", "url"), F.col("gate.js_required"))
-    return page.drop("hidden").withColumns({
-        "content_kind": kind,
+    return page.withColumns({
+        "content_kind": kind, "code_text": text.status_text(F.col("status")),
         "resolved_via": classify.resolved_via(
             F.col("status"), F.col("content_type"), F.col("gate.reason"), F.col("json_ld"), F.col("state_keys"), F.coalesce(F.size("meta"), F.lit(0))
         ),
-        "content_sha256": text.sha256(F.col("source")),
-    }).drop("bearing")
+        "content_sha256": text.sha256(F.col("whole")),
+    }).drop("bearing", "embedded", "whole")
 
 
 def records(extracted: DataFrame, output: str = "raw", fetched_at: str = "1970-01-01T00:00:00.000Z") -> DataFrame:
     """Final records of extracted pages: tier, access, quality, status and both hashes.
 
     The time is a parameter, so results can be repeated. A shell page that may not be rendered is a
-    ``render-blocked`` record.
+    ``render-blocked`` record; a page that shows a challenge to bots is no content, whatever its text says.
     """
+    walled = F.col("bot.signal").isNotNull()
     js = F.col("gate.js_required") & (F.col("status") < 400)
     rows = extracted.withColumns({
         "tier": F.when(js, "render-blocked").otherwise("1"),
-        "result": F.when(F.col("lead").isNotNull() & ~_substantial(F.col("text"), F.col("word_count")), F.concat_ws("\n\n", "lead", F.nullif("text", F.lit("")))).otherwise(F.col("text")),
-        "errors": F.when(F.col("status") >= 400, F.array_append("errors", F.struct(F.lit("http_error").alias("code"), F.concat(F.lit("HTTP "), F.col("status").cast("string")).alias("message")))).otherwise(F.col("errors")),
+        "result": F.when(F.col("lead").isNotNull() & (F.col("lead") != ""), F.concat_ws("\n\n", "lead", F.nullif("text", F.lit("")))).otherwise(F.col("text")),
+        "errors": F.when(F.col("status") >= 400, F.array_append("errors", F.struct(F.lit("http_error").alias("code"), F.trim(F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(" "), F.col("code_text"))).alias("message")))).otherwise(F.col("errors")),
     })
-    false = F.lit(False)
-    access = classify.access(F.col("tier"), F.col("status"), F.col("result"), js, F.col("errors"), false, F.lit(None).cast("string"), F.col("paywalled"))
-    quality = classify.content_quality(F.col("tier"), F.col("status"), F.col("result"), F.col("bytes"), F.size("bearing_types") > 0, false)
+    access = classify.access(F.col("tier"), F.col("status"), F.col("result"), js, F.col("errors"), walled, F.col("bot.provider"), F.col("paywalled"))
+    quality = classify.content_quality(F.col("tier"), F.col("status"), F.col("result"), F.col("bytes"), F.size("bearing_types") > 0, walled)
     digest = text.provenance_hash(
         url=F.col("url"), finalUrl=F.col("final_url"), tier=F.col("tier"), code=F.col("status"), output=F.lit(output), resolvedVia=F.col("resolved_via"),
         jsRequired=js, contentSha256=F.col("content_sha256"), fetchedAt=F.lit(fetched_at),
@@ -118,19 +130,23 @@ def with_rendered(records_: DataFrame, rendered: DataFrame) -> DataFrame:
 
     ``rendered`` holds the pages that were rendered; the DOM goes through the same extraction.
     """
-    wanted = records_.where("tier = 'render-blocked'").select("seed_id", "url", "final_url", "status", "redirects")
+    wanted = records_.where("tier = 'render-blocked'").select("seed_id", "url", "final_url", "status", "redirects", "errors")
     fetched = wanted.join(rendered, "seed_id").select(
         "seed_id", "url", "final_url", "status", F.lit("text/html").alias("content_type"), F.col("dom_html").cast("binary").alias("body"),
-        F.length("dom_html").cast("long").alias("bytes"), "redirects", F.array().cast(NO_ERRORS).alias("errors"),
+        F.length("dom_html").cast("long").alias("bytes"), "redirects", "errors",
     )
     promoted = records(extract(fetched)).withColumn("tier", F.lit("3"))
+    # errors of the first attempt come before those of the rendered page
+    promoted = promoted.withColumn("errors", F.array_distinct("errors"))
     return records_.join(promoted.select("seed_id"), "seed_id", "left_anti").unionByName(promoted)
 
 
 def tracker_free(body: Column, main_host: Column, listed: list[str]) -> Column:
-    """A text for a model without the addresses of third-party trackers."""
-    found = F.array_distinct(F.regexp_extract_all(body, F.lit(r"""(https?://[^\s"'<>)\]]+)"""), F.lit(1)))
+    """A text for a model without the addresses of third-party trackers; an address that another one begins with is left in that one."""
+    address = r"""https?://[^\s"'<>)\]]+"""
     from .lookups import is_tracker
 
-    bad = F.filter(found, lambda u: is_tracker(urls.host(u), listed) & ~urls.is_first_party(urls.host(u), main_host))
-    return F.aggregate(bad, body, lambda out, u: F.replace(out, u, F.lit("")))
+    # the text between addresses, and the addresses: both lists in order
+    between, found = F.split(body, address, -1), F.regexp_extract_all(body, F.lit(f"({address})"), F.lit(1))
+    kept = F.transform(found, lambda u: F.when(is_tracker(urls.host(u), listed) & ~urls.is_first_party(urls.host(u), main_host), "").otherwise(u))
+    return F.array_join(F.zip_with(between, F.array_append(kept, F.lit("")), lambda t, u: F.concat(t, u)), "")

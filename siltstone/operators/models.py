@@ -2,70 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lookups import small
+from siltstone.functions.text import token_estimate
+
+
+#: Models that a catalogue may have; it travels as one array.
+MAX_MODELS = 20_000
+
+
+def _catalogue(models: DataFrame) -> Column:
+    """The models as an array, the best first: a scalar subquery."""
+    if models.limit(MAX_MODELS + 1).count() > MAX_MODELS:
+        raise ValueError(f"a catalogue has at most {MAX_MODELS} models")
+    static = F.when(F.col("local"), 0.45).otherwise(0.0) + F.when(F.col("free"), 0.0).otherwise(0.25) + F.col("cost_weight")
+    order = F.struct((F.col("rank") + F.col("demotion")).alias("a"), F.col("demotion").alias("b"), static.alias("c"), F.lower("m_model").alias("d"), F.col("m_model").alias("e"))
+    listed = F.array_sort(F.collect_list(F.struct(order.alias("order"), F.struct(*models.columns).alias("m"))))
+    return models.agg(F.transform(listed, lambda x: x["m"]).alias("m")).scalar()
+
+
+def _fits(m: Column) -> Column:
+    """Whether a model may serve the request of the row."""
+    reserve = F.coalesce(F.least("reserve", m["max_output"]), m["max_output"])
+    return F.coalesce(
+        (F.col("provider").isNull() | (m["m_provider"] == F.col("provider")))
+        & (F.col("model").isNull() | (m["m_model"] == F.col("model")))
+        & ~F.coalesce(F.array_contains("exclude", m["m_model"]), F.lit(False))
+        & (~F.coalesce("local_only", F.lit(False)) | m["local"])
+        & ((F.col("task") != "extract") | m["supports_json"])
+        & (m["context"] >= F.col("input_tokens") + reserve),
+        F.lit(False),
+    )
 
 
 def fitting(requests: DataFrame, models: DataFrame) -> DataFrame:
-    """Requests × models that may serve them.
+    """Requests and the models that may serve them, one row for each that fits.
 
     requests: request_id, task, input_tokens, provider, model, exclude (array), local_only, reserve;
     models: m_provider, m_model, local, free, supports_json, context, max_output, rank, cost_weight, demotion.
-    The catalogue is a small rule table; each request meets each of its rows once.
+    The catalogue is one array of at most ``MAX_MODELS``, filtered in place for every request: no pairs are formed.
     """
-    reserve = F.coalesce(F.least("reserve", "max_output"), F.col("max_output"))
-    ok = (
-        (F.col("provider").isNull() | (F.col("m_provider") == F.col("provider")))
-        & (F.col("model").isNull() | (F.col("m_model") == F.col("model")))
-        & ~F.coalesce(F.array_contains("exclude", F.col("m_model")), F.lit(False))
-        & (~F.coalesce("local_only", F.lit(False)) | F.col("local"))
-        & ((F.col("task") != "extract") | F.col("supports_json"))
-        & (F.col("context") >= F.col("input_tokens") + reserve)
-    )
-    return requests.join(small(models), ok)
+    found = requests.withColumn("__models", _catalogue(models)).withColumn("__m", F.explode(F.filter("__models", _fits)))
+    return found.select(*requests.columns, "__m.*")
 
 
 def choose(requests: DataFrame, models: DataFrame) -> DataFrame:
     """One row per request: the chosen provider and model, or ``none`` and why."""
-    count = models.limit(1).count()
-    static = F.when(F.col("local"), 0.45).otherwise(0.0) + F.when(F.col("free"), 0.0).otherwise(0.25) + F.col("cost_weight")
-    order = [F.col("rank") + F.col("demotion"), F.col("demotion"), static, F.lower("m_model"), F.col("m_model")]
-    ranked = fitting(requests, models).withColumn("__rn", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
-    best = ranked.where("__rn = 1").select("request_id", F.col("m_provider").alias("chosen_provider"), F.col("m_model").alias("chosen_model"))
+    best = requests.withColumn("__models", _catalogue(models)).withColumn("__best", F.get(F.filter("__models", _fits), F.lit(0)))
     why = (
-        F.when(F.lit(count == 0), "unconfigured")
+        F.when(F.size("__models") == 0, "unconfigured")
         .when(F.coalesce("local_only", F.lit(False)), "sensitive_content_no_local_provider")
         .when(F.col("provider").isNotNull(), "provider_unconfigured")
         .when(F.col("model").isNotNull(), "model_unavailable")
         .otherwise("no_model_fit")
     )
-    joined = requests.join(best, "request_id", "left")
-    return joined.select(
-        *requests.columns, F.coalesce("chosen_provider", F.lit("none")).alias("chosen_provider"), "chosen_model",
-        F.when(F.col("chosen_model").isNull(), why).alias("reason"),
+    return best.select(
+        *requests.columns, F.coalesce("__best.m_provider", F.lit("none")).alias("chosen_provider"), F.col("__best.m_model").alias("chosen_model"),
+        F.when(F.col("__best").isNull(), why).alias("reason"),
     )
 
 
+def is_free_text_model(price: Column, model: Column, takes: Column, gives: Column) -> Column:
+    """Whether a listed model is free and writes prose from text: no coding, image, sound, ranking or embedding model."""
+    tags = F.lower(F.concat_ws(" ", F.coalesce(model, F.lit("")), F.coalesce(gives, F.lit(""))))
+    other = tags.rlike(r"\b(?:code|coder|coding)\b") | tags.rlike("image|text-to-image|diffusion|tts|speech|audio|whisper|rerank|embed")
+    return F.coalesce(price == "0", F.lit(False)) & F.coalesce(takes, F.lit("text")).contains("text") & ~other
+
+
 COMPLETION = (
-    "struct<model: string, choices: array<struct<message: struct<content: string>, finish_reason: string>>, "
-    "usage: struct<prompt_tokens: bigint, completion_tokens: bigint, cost: double>>"
+    "struct<model: string, choices: array<struct<message: struct<content: string>, finish_reason: string, error: struct<message: string>>>, "
+    "error: struct<message: string, code: string>, usage: struct<prompt_tokens: bigint, completion_tokens: bigint, cost: string>>"
 )
 CHAT = "struct<model: string, message: struct<content: string>, done_reason: string, prompt_eval_count: bigint, eval_count: bigint>"
 
 
 def completion(body: Column) -> Column:
-    """struct(text, truncated, in_tokens, out_tokens, cost) of a provider's answer, in either of two shapes."""
+    """struct(text, truncated, in_tokens, out_tokens, cost, error) of a provider's answer, in either of two shapes.
+
+    An answer without text is an error: what the provider says, else that the completion is empty and why it ended.
+    """
     a, b = F.from_json(body, COMPLETION), F.from_json(body, CHAT)
     choice = F.get(a["choices"], F.lit(0))
+    said = F.coalesce(*[F.nullif(F.trim(m), F.lit("")) for m in (a["error"]["message"], choice["error"]["message"])])
+    ended = F.coalesce(choice["finish_reason"], b["done_reason"])
+    text = F.nullif(F.coalesce(choice["message"]["content"], b["message"]["content"]), F.lit(""))
+    empty = F.concat(F.lit("empty completion"), F.coalesce(F.when(~ended.isin("stop"), F.concat(F.lit(" (finish_reason="), ended, F.lit(")"))), F.lit("")))
+    error = F.when(said.isNotNull(), F.concat_ws(": ", F.coalesce(a["error"]["code"], choice["finish_reason"], F.lit("error")), said)).when(text.isNull(), empty)
     return F.struct(
-        F.coalesce(choice["message"]["content"], b["message"]["content"]).alias("text"),
-        (F.coalesce(choice["finish_reason"], b["done_reason"]) == "length").alias("truncated"),
+        F.when(error.isNull(), text).alias("text"), F.coalesce(ended == "length", F.lit(False)).alias("truncated"),
         F.coalesce(a["usage"]["prompt_tokens"], b["prompt_eval_count"]).alias("in_tokens"),
         F.coalesce(a["usage"]["completion_tokens"], b["eval_count"]).alias("out_tokens"),
-        a["usage"]["cost"].alias("cost"),
-    )
+        a["usage"]["cost"].try_cast("double").alias("cost"), error.alias("error"),
+    )
 
 
 def unfenced(c: Column) -> Column:
@@ -96,3 +125,24 @@ def request_text(task: Column, prompt_: Column, schema: Column, budget: Column,
     limit = F.coalesce(F.concat(F.lit(" Use at most "), budget.cast("string"), F.lit(" tokens.")), F.lit(""))
     shape = F.when(task == "extract", F.concat(F.lit("\nAnswer with JSON only"), F.coalesce(F.concat(F.lit(" that meets this schema: "), schema), F.lit("")), F.lit("."))).otherwise("")
     return F.concat(F.lit("Request: "), prompt_, limit, shape, F.lit("\n\n"), fenced(content, nonce))
+
+
+def finalised(text: Column, wants_json: Column, json_schema, reported: Column) -> Column:
+    """struct(result, outcome, issue, out_tokens) of a model's answer: trimmed text, or JSON that meets a schema.
+
+    No JSON, and a schema that cannot be checked, are hard failures; JSON that does not meet its schema is kept, with the first
+    failure as its issue.
+    """
+    from .schema import outcome as checked
+
+    plain = F.trim(F.coalesce(text, F.lit("")))
+    inner = unfenced(plain)
+    parsed = F.try_parse_json(inner)
+    check = checked(inner, json_schema)
+    hard = wants_json & (parsed.isNull() | check["unsupported"])
+    result = F.when(hard, None).when(wants_json, F.to_json(parsed)).otherwise(plain)
+    return F.struct(
+        result.alias("result"), F.when(hard | (~wants_json & (plain == "")), "hard_fail").when(wants_json & ~check["valid"], "soft").otherwise("success").alias("outcome"),
+        F.when(wants_json & parsed.isNull(), "extract_invalid_json").when(wants_json, check["message"]).alias("issue"),
+        F.coalesce(reported, token_estimate(F.coalesce(result, F.lit("")))).alias("out_tokens"),
+    )

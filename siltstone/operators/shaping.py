@@ -61,6 +61,6 @@ def entry_class(url_error: Column, is_board: Column, is_embed: Column) -> Column
 
 
 def realign(results: DataFrame, seeds: DataFrame, order: str = "ord") -> DataFrame:
-    """Results put back to their seeds, in input order; seeds without a result keep nulls."""
+    """Results put back to their seeds; ``order`` is the input order. Seeds without a result keep nulls."""
     extra = [c for c in results.columns if c == order or c not in seeds.columns]
-    return seeds.join(results.select(*extra), order, "left").orderBy(order)
+    return seeds.join(results.select(*extra), order, "left")

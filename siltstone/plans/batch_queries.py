@@ -52,7 +52,7 @@ def cap_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seeds(spark, sf_dir).where("ord < 2000")
+    rows = seeds(spark, sf_dir)
     shaped = rows.select(
         "ord", F.concat(F.lit("https://h/"), F.col("ord").cast("string")).alias("url"),
         F.when(F.pmod("ord", F.lit(9)) == 0, "invalid").when(F.pmod("ord", F.lit(10)) == 0, "board").otherwise("seed").alias("cls"), "status", "event_type",
@@ -104,7 +104,7 @@ def bulk_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("role") == "user", "fail").otherwise("pass").alias("status"), F.lit(200).alias("code"), F.coalesce("text", F.lit("")).alias("body"),
     )
     texts = delivery.bulk_text(rows, "batch", F.lit("f0"), cap=2_000).select("batch", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), F.col("form").alias("text_form"))
-    shapes = delivery.bulk_json(rows, "batch", cap=1_500).select("batch", F.col("form").alias("json_form"))
+    shapes = delivery.bulk_json(rows, "batch", cap=420).select("batch", F.col("form").alias("json_form"), F.length("json").cast("long").alias("json_length"))
     return texts.join(shapes, "batch")
 
 
@@ -151,7 +151,7 @@ SQL = {
     "egress_host_counts": """SELECT host, count(*) AS touches FROM (SELECT unnest(list_distinct(['h' || (user_id % 20), 'h' || (event_id % 7), 'h' || (event_id % 3), 'h' || (event_id * 3 % 11)])) AS host
         FROM events) GROUP BY host""",
     "cap_breaches": f"""WITH {_SEEDS}, f AS (SELECT batch, event_type, min(ord) AS o FROM s GROUP BY ALL) SELECT batch, string_agg(event_type, ',' ORDER BY o) AS kinds FROM f GROUP BY batch""",
-    "failure_rows": f"""WITH {_SEEDS}, c AS (SELECT *, CASE WHEN ord % 9 = 0 THEN 0 WHEN ord % 10 = 0 THEN 1 ELSE 2 END AS class FROM s WHERE ord < 2000)
+    "failure_rows": f"""WITH {_SEEDS}, c AS (SELECT *, CASE WHEN ord % 9 = 0 THEN 0 WHEN ord % 10 = 0 THEN 1 ELSE 2 END AS class FROM s)
         SELECT CAST(class AS BIGINT) AS class, ord, 'https://h/' || ord AS url, CASE class WHEN 0 THEN 'invalid_url' WHEN 1 THEN 'tier2_board_not_supported_in_bulk'
             ELSE CASE WHEN ord % 4 = 0 THEN 'fetch_error' ELSE 'http_503' END END AS code, event_type AS message FROM c WHERE class < 2 OR status = 'fail'""",
     "retry_merge": f"""WITH {_SEEDS}, r AS (SELECT *, status = 'fail' AND ord % 50 <= 30 AND ord % 13 <> 0 AS again FROM s)
@@ -170,11 +170,14 @@ SQL = {
         k AS (SELECT *, CASE WHEN length(body) <= 500 THEN body ELSE regexp_replace(substr(body, 1, 499), '[\s\p{Z}]+$', '') || '…' END AS slim FROM r),
         j AS (SELECT batch, string_agg('== f0 ' || url || ' [' || status || ']' || chr(10) || body, chr(10) || chr(10) ORDER BY ord, body) AS f,
                 string_agg('== f0 ' || url || ' [' || status || ']' || chr(10) || slim, chr(10) || chr(10) ORDER BY ord, body) AS s,
-                12 + sum(length('{"ord":' || ord || ',"url":"' || url || '","status":"' || status || '","code":200,"body":' || to_json(body) || '}') + 1) AS nf,
-                12 + sum(length('{"ord":' || ord || ',"url":"' || url || '","status":"' || status || '","code":200}') + 1) AS nl FROM k GROUP BY batch)
+                13 + sum(length('{"ord":' || ord || ',"url":"' || url || '","status":"' || status || '","code":200,"body":' || to_json(body) || '}') + 1) AS nf,
+                13 + sum(length('{"ord":' || ord || ',"url":"' || url || '","status":"' || status || '","code":200}') + 1) AS nl, count(*) AS n FROM k GROUP BY batch),
+        q AS (SELECT batch, sum(length('{"ord":' || ord || ',"url":"' || url || '","status":"fail"}') + 1) - 1 AS nc FROM (SELECT * FROM r WHERE status = 'fail' QUALIFY row_number() OVER (PARTITION BY batch ORDER BY ord) <= 30) GROUP BY batch),
+        c AS (SELECT *, length('{"count":' || n || ',"failures":[]}') AS nb, nb + coalesce(nc, 0) AS nx FROM j LEFT JOIN q USING (batch))
         SELECT batch, sha256(CASE WHEN length(f) <= 2000 THEN f WHEN length(s) <= 2000 THEN s ELSE substr(s, 1, 2000) END) AS text_hash,
             CASE WHEN length(f) <= 2000 THEN 'full' WHEN length(s) <= 2000 THEN 'slim' ELSE 'cut' END AS text_form,
-            CASE WHEN nf + 1 <= 1500 THEN 'full' WHEN nl + 1 <= 1500 THEN 'lean' ELSE 'compact' END AS json_form FROM j""",
+            CASE WHEN nf <= 420 THEN 'full' WHEN nl <= 420 THEN 'lean' WHEN nx <= 420 THEN 'compact' ELSE 'bare' END AS json_form,
+            CAST(CASE WHEN nf <= 420 THEN nf WHEN nl <= 420 THEN nl WHEN nx <= 420 THEN nx ELSE nb END AS BIGINT) AS json_length FROM c""",
     "shown_hosts": """WITH l AS (SELECT event_id, list_transform(range(1, user_id % 14 + 2), lambda i: CASE WHEN i % 5 = 0 THEN '[ip-literal]' ELSE 'h' || i || '.com' END) AS h FROM events),
         u AS (SELECT event_id, list_filter(h, lambda x, i: list_position(h, x) = i) AS h FROM l)
         SELECT event_id, CASE WHEN len(h) <= 8 THEN array_to_string(h, ' ') ELSE array_to_string(h[1:7], ' ') || ' (+' || (len(h) - 7) || ' more)' END AS hosts FROM u""",

@@ -47,7 +47,7 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_runner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's first 60 events as a batch's seeds over few hosts. Its rules feed back into each other, so its twin is a test."""
+    """A user's events as a batch's seeds over few hosts. Its rules feed back into each other, so its twin is a test."""
     name = lambda c: F.concat(F.lit("h"), c.cast("string"))
     rows = _events(spark, sf_dir).select(
         "event_id", "user_id", name(F.pmod("event_id", F.lit(5))).alias("host"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import classify, html, text
+from siltstone.functions import classify, html, markup, text
 from siltstone.operators.extract import extract, fetches_from_pages, records
 
 from .tables import table
@@ -27,7 +27,7 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    scoped = pages.select("page_id", html.scope(F.col("html")).alias("s")).withColumn("text", html.visible_text(F.col("s.html")))
+    scoped = pages.select("page_id", markup.scope(F.col("html")).alias("s")).withColumn("text", F.col("s.text"))
     return scoped.select(
         "page_id", F.col("s.kind").alias("landmark"), "text", F.length("text").cast("long").alias("text_length"), text.word_count(F.col("text")).cast("long").alias("word_count")
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import html, nodes, text, urls
+from siltstone.functions import html, nodes, text
 from siltstone.operators import boards, extract, schema
 
 from .tables import table
@@ -20,7 +20,7 @@ def _escaped(c):
 
 def jsonld_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles in a JSON-LD graph: types, headline and lead come back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring(text.collapse(F.coalesce("text", F.lit(""))), 1, 300).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.collapse(F.coalesce("text", F.lit(""))).alias("t"))
     kind = F.when(F.pmod("doc_id", F.lit(3)) == 0, "JobPosting").when(F.pmod("doc_id", F.lit(3)) == 1, "https://schema.org/NewsArticle").otherwise("Organization")
     node = F.to_json(F.struct(kind.alias("@type"), F.concat(F.lit("H"), F.col("doc_id").cast("string")).alias("headline"), F.col("t").alias("description")))
     page = F.concat(F.lit('<html><head><script type="application/ld+json">{"@graph":['), F.replace(node, F.lit("</"), F.lit("<\\/")), F.lit("]}</script></head><body></body></html>"))
@@ -47,7 +47,7 @@ def meta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hidden_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text between hidden parts, scripts and comments."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring(text.collapse(F.coalesce("text", F.lit(""))), 1, 200).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.collapse(F.coalesce("text", F.lit(""))).alias("t"))
     page = F.concat(
         F.lit('<body><script>var a = "<p>no</p>";</script><div hidden>gone</div><p>'), _escaped(F.col("t")), F.lit('</p><span style="color:red; display: none">gone too</span><!-- gone --><p>&#65;&#x42;&amp;lt; $ 10 .90</p></body>'),
     )
@@ -56,20 +56,18 @@ def hidden_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image addresses from Open Graph and markup, resolved, internal ones dropped, each once."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 3000")
+    orders = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey").cast("string")
     page = F.concat(
         F.lit('<meta property="og:image" content="https://cdn.example.com/'), key, F.lit('.png"><img src="/a/'), key, F.lit('.jpg"><img src="//cdn.example.com/'), key,
         F.lit('.png"><source srcset="b.webp 1x, c.webp 2x"><img src="http://127.0.0.1/x.png"><img alt="none">'),
     )
-    resolved = F.transform(html.image_candidates(page), lambda u: html.resolve(F.lit("https"), F.lit("example.com"), F.lit("/dir/page"), u))
-    usable = F.filter(resolved, lambda u: ~urls.is_internal_image_host(urls.host(u)) & (F.length(u) <= html.MAX_IMAGE_URL) & urls.part(u, "scheme").isin("http", "https"))
-    return orders.select("o_orderkey", F.array_join(F.slice(F.array_distinct(usable), 1, html.MAX_IMAGES), " ").alias("images"))
+    return orders.select("o_orderkey", F.array_join(html.images(page, F.lit("https://example.com/dir/page")), " ").alias("images"))
 
 
 def board_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as jobs of boards of three platforms, by brand."""
-    parts = table(spark, sf_dir, "part")
+    """Parts as jobs of boards of three platforms, by brand and a stretch of keys, so a board is bounded."""
+    parts = table(spark, sf_dir, "part").withColumn("board", F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / 1_000).cast("string")))
     key, name, kind = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_type")
     job = {
         "ashby": F.struct(
@@ -85,7 +83,7 @@ def board_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     rosters = None
     for k, (platform, one) in enumerate(job.items()):
-        own = parts.where(F.pmod("p_partkey", F.lit(3)) == k).groupBy(F.col("p_brand").alias("board")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("j")))), lambda x: x["j"]).alias("jobs"))
+        own = parts.where(F.pmod("p_partkey", F.lit(3)) == k).groupBy("board").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("j")))), lambda x: x["j"]).alias("jobs"))
         body = F.to_json("jobs") if platform == "lever" else F.to_json(F.struct("jobs"))
         part = own.select(F.lit(platform).alias("platform"), "board", body.alias("body"))
         rosters = part if rosters is None else rosters.unionByName(part)
@@ -121,11 +119,16 @@ def provenance_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", digest.alias("provenance_hash"))
 
 
+PROMPT_CHARS = 2_000
+
+
 def conversation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation as one prompt, in order, with its token estimate."""
+    """Turns of a conversation as prompts of about ``PROMPT_CHARS`` characters, in order, with their token estimates."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
+    before = F.coalesce(F.sum(F.length("line")).over(Window.partitionBy("conv_id").orderBy("turn", "line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
-    return rows.groupBy("conv_id").agg(joined.alias("prompt")).select("conv_id", F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_hash"), text.token_estimate(F.col("prompt")).alias("tokens"))
+    prompts = rows.withColumn("chunk", F.floor(before / PROMPT_CHARS).cast("long")).groupBy("conv_id", "chunk").agg(joined.alias("prompt"))
+    return prompts.select("conv_id", "chunk", F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_hash"), text.token_estimate(F.col("prompt")).alias("tokens"))
 
 
 def capped_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,16 +146,16 @@ _T = r"trim(regexp_replace(coalesce(text, ''), '[\s\p{Z}]+', ' ', 'g'))"
 
 SQL = {
     "jsonld_roundtrip": f"""SELECT doc_id, CASE WHEN doc_id % 3 = 2 OR (doc_id % 3 = 0 AND t = '') THEN '' WHEN doc_id % 3 = 0 THEN 'jobposting' ELSE 'newsarticle' END AS types,
-        CASE WHEN doc_id % 3 = 0 THEN nullif(t, '') WHEN doc_id % 3 = 1 THEN 'H' || doc_id END AS lead,
-        CASE WHEN doc_id % 3 = 0 AND t <> '' THEN 'job' WHEN doc_id % 3 = 1 THEN 'article' END AS kind FROM (SELECT doc_id, trim(substr({_T}, 1, 300)) AS t FROM documents)""",
+        CASE WHEN doc_id % 3 = 0 THEN CASE WHEN length(t) > 4096 THEN substr(t, 1, 4095) || '…' ELSE nullif(t, '') END WHEN doc_id % 3 = 1 THEN 'H' || doc_id END AS lead,
+        CASE WHEN doc_id % 3 = 0 AND t <> '' THEN 'job' WHEN doc_id % 3 = 1 THEN 'article' END AS kind FROM (SELECT doc_id, {_T} AS t FROM documents)""",
     "meta_roundtrip": """SELECT p_partkey, p_name || ' & "x" <' AS title, p_brand AS brand, CAST(p_size AS VARCHAR) AS size, CAST(3 AS BIGINT) AS n, '/p?a=1&b=2' AS canonical FROM part""",
-    "hidden_roundtrip": rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(substr({_T}, 1, 200)) || CASE WHEN substr({_T}, 1, 200) = '' THEN '' ELSE ' ' END || 'AB&lt; $ 10 .90',
+    "hidden_roundtrip": rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_T} || CASE WHEN {_T} = '' THEN '' ELSE ' ' END || 'AB&lt; $ 10 .90',
         '([€£¥₹$])\s+(\d[\d ,]*)\s*\.\s*(\d{{1,4}})', '\1\2.\3', 'g'), '(\d)\s+\.(\d)', '\1.\2', 'g'), '(\d)\s+([€£¥₹])', '\1\2', 'g') AS text FROM documents""",
     "image_roundtrip": """SELECT o_orderkey, 'https://cdn.example.com/' || o_orderkey || '.png https://example.com/a/' || o_orderkey || '.jpg https://example.com/dir/b.webp' AS images
-        FROM orders WHERE o_orderkey < 3000""",
-    "board_roundtrip": """WITH p AS (SELECT *, (['ashby', 'greenhouse', 'lever'])[p_partkey % 3 + 1] AS platform FROM part),
-        l AS (SELECT *, row_number() OVER (PARTITION BY platform, p_brand ORDER BY p_partkey) - 1 AS ord, count(*) OVER (PARTITION BY platform, p_brand) AS n FROM p WHERE platform <> 'ashby' OR p_size <> 7)
-        SELECT platform, p_brand AS board, ord, n AS job_count, n > 10 AS truncated, CAST(p_partkey AS VARCHAR) AS id, p_name AS title, 'https://j/' || p_partkey AS url,
+        FROM orders""",
+    "board_roundtrip": """WITH p AS (SELECT *, p_brand || '-' || (p_partkey // 1000) AS board, (['ashby', 'greenhouse', 'lever'])[p_partkey % 3 + 1] AS platform FROM part),
+        l AS (SELECT *, row_number() OVER (PARTITION BY platform, board ORDER BY p_partkey) - 1 AS ord, count(*) OVER (PARTITION BY platform, board) AS n FROM p WHERE platform <> 'ashby' OR p_size <> 7)
+        SELECT platform, board, ord, n AS job_count, n > 10 AS truncated, CAST(p_partkey AS VARCHAR) AS id, p_name AS title, 'https://j/' || p_partkey AS url,
             CASE WHEN platform = 'greenhouse' THEN p_type END AS location, CASE WHEN platform = 'ashby' THEN p_type END AS department, CASE WHEN platform = 'lever' THEN p_type END AS team,
             CASE WHEN platform = 'ashby' THEN CAST(p_size > 25 AS VARCHAR) END AS remote,
             CASE WHEN platform = 'lever' THEN strftime(make_timestamp((1553186035299 + p_partkey * 1000) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END AS published_at,
@@ -165,7 +168,9 @@ SQL = {
     "props_schema_check": """SELECT event_id, k >= 10 AND k < 90 AND k NOT IN (13, 77) AS valid FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""",
     "provenance_hash": """SELECT page_id, sha256('{"url":' || to_json(url) || ',"finalUrl":' || to_json(url) || ',"tier":1,"code":200,"output":"raw","resolvedVia":"tier1-html","jsRequired":false,"contentSha256":"'
         || sha256(html) || '","fetchedAt":null,"transformProvider":null,"transformModel":null}') AS provenance_hash FROM pages""",
-    "conversation_prompts": """SELECT conv_id, sha256(p) AS prompt_hash, greatest(1, CAST(ceil(length(p) / 4.0) AS BIGINT)) AS tokens
-        FROM (SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn, role || ': ' || coalesce(text, '')) AS p FROM conversations GROUP BY conv_id)""",
+    "conversation_prompts": f"""WITH l AS (SELECT conv_id, turn, role || ': ' || coalesce(text, '') AS line FROM conversations),
+        c AS (SELECT *, CAST(coalesce(sum(length(line)) OVER (PARTITION BY conv_id ORDER BY turn, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {PROMPT_CHARS} AS BIGINT) AS chunk FROM l)
+        SELECT conv_id, chunk, sha256(p) AS prompt_hash, greatest(1, CAST(ceil(length(p) / 4.0) AS BIGINT)) AS tokens
+        FROM (SELECT conv_id, chunk, string_agg(line, chr(10) ORDER BY turn, line) AS p FROM c GROUP BY conv_id, chunk)""",
     "capped_bodies": "SELECT page_id, CAST(least(strlen(html), 2000) AS BIGINT) AS kept, strlen(html) > 2000 AS truncated FROM pages",
 }

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.functions import classify, html, nodes, text, urls
+from siltstone.functions import classify, html, markup, nodes, text, urls
 from siltstone.operators import extract, lookups, schema
 
 
@@ -117,7 +117,7 @@ def test_html(spark):
     c = F.col("h")
     got = row.select(
         html.title(c).alias("title"), html.visible_text(c).alias("text"), html.meta(c).alias("meta"), html.canonical_link(c).alias("link"), html.has_app_root(c).alias("root"),
-        html.tag_count(c, "p").alias("p"), html.scope(c)["kind"].alias("kind"), html.open_graph(c).alias("og"),
+        html.tag_count(c, "p").alias("p"), markup.scope(c)["kind"].alias("kind"), html.open_graph(c).alias("og"),
     ).first()
     assert got.title == "A & B" and got.text == "one four $10.90" and got.meta == {"description": 'd "q"', "og:type": "article"}
     assert got.link == "/c?x=1&y=2" and got.root and got.kind == "body" and got.og == {"og:type": "article"}
@@ -128,7 +128,7 @@ def test_scope(spark):
         "<main>" + "m " * 50 + "</main><article>" + "a " * 20 + "</article>": "main", "<article>" + "a " * 50 + "</article><main>" + "m " * 50 + "</main>": "article",
         "<main>x</main>": "main", "<p>x</p>": "body", "<!-- <article>x</article> --><p>y</p>": "body", "": "body", None: "body",
     }
-    assert column(spark, list(cases), lambda c: html.scope(c)["kind"]) == list(cases.values())
+    assert column(spark, list(cases), lambda c: markup.scope(c)["kind"]) == list(cases.values())
 
 
 def test_json_ld(spark):
@@ -212,8 +212,11 @@ def test_schema_checks(spark):
 
 
 def test_schema_keywords():
-    assert schema.unsupported({"type": "object", "properties": {"a": {"$ref": "#"}}}) == "$.properties.$ref"
-    assert schema.unsupported({"items": [{}]}).endswith("tuple") and schema.unsupported({"pattern": "(a+)+"}).endswith("unsafe") and schema.unsupported({"minimum": 1}) is None
+    assert schema.unsupported({"type": "object", "properties": {"a": {"$ref": "#"}}}) == ("unsupported", "$ref", "$.properties.a")
+    assert schema.unsupported({"items": [{}]}) == ("tuple_items", "items", "$.items") and schema.unsupported({"minimum": 1}) is None
+    assert schema.keyword_message(("unsupported", "budget", "$")).startswith('"budget" at $ is an argument')
+    unsafe = ["(a+)+", "(a|ab)*", "(a|a)+", "((a*)b)?", "x" * 129, "("]
+    assert all(schema.pattern_problem(p) for p in unsafe) and not any(schema.pattern_problem(p) for p in ("^a+b*$", "(ab|cd)+", "(a+)b", r"\(a+\)+"))
     with pytest.raises(ValueError):
         schema.valid(F.lit("1"), {"if": {}})
 
@@ -234,7 +237,7 @@ def test_capped(spark):
 def test_recovered_options():
     rest, applied, found = schema.recover_options({"type": "object", "budget": 5, "debug": "x", "properties": {"budget": {}}, "maxBytes": 3}, {"maxBytes": 9}, lambda k, v: isinstance(v, int))
     assert rest == {"type": "object", "debug": "x", "properties": {"budget": {}}} and applied == {"budget": 5} and found == ["budget", "maxBytes"]
-    assert schema.unsupported(rest) == "$.debug" and schema.recover_options("x", {}, bool) == ("x", {}, [])
+    assert schema.unsupported(rest) == ("unsupported", "debug", "$") and schema.recover_options("x", {}, bool) == ("x", {}, [])
 
 
 def test_image_flood_keeps_source_tags(spark):
