@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -30,7 +30,6 @@ GLUE = [
 ]
 REVEAL = re.compile(r"\$RC\s*\([^)]*\)")
 DECLARED = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*([^;!]*)")
-RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
 # Elements without content, elements whose content is no markup, and names of elements that hold a page's text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INERT = frozenset("script style noscript template title textarea".split())
@@ -77,6 +76,28 @@ def shown(text: str) -> str:
     return text
 
 
+def rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, body) of a style sheet's own rules; at-rules are passed over with all that they hold."""
+    plain, at = [], 0
+    while (start := css.find("/*", at)) >= 0:
+        plain.append(css[at:start])
+        end = css.find("*/", start + 2)
+        at = len(css) if end < 0 else end + 2
+    css = " ".join([*plain, css[at:]])
+    last = depth = 0
+    selectors = ""
+    for m in re.finditer(r"[{}]", css):
+        if depth:  # inside an at-rule
+            depth += 1 if m[0] == "{" else -1
+        elif m[0] == "{":
+            selectors = css[last : m.start()].rpartition(";")[2].strip()
+            depth = selectors.startswith("@")
+        elif selectors:
+            yield selectors, css[last : m.start()]
+            selectors = ""
+        last = m.end()
+
+
 def hidden_classes(styles: list[tuple[dict[str, str], str]]) -> set[str]:
     """Classes that the style elements of a screen hide by a selector of the class alone; the last rule of a class counts."""
     last: dict[str, bool] = {}
@@ -87,8 +108,7 @@ def hidden_classes(styles: list[tuple[dict[str, str], str]]) -> set[str]:
         )
         if not screen or own.get("type", "").strip().lower() not in ("", "text/css"):
             continue
-        css = re.sub(r"@[^{;]*\{(?:[^{}]++|\{[^{}]*+\})*+\}", " ", re.sub(r"/\*.*?\*/", " ", css, flags=re.S))
-        for selectors, body in RULE.findall(css):
+        for selectors, body in rules(css):
             hides = any(v.strip().lower() == "none" for v in DECLARED.findall(body))
             for one in selectors.split(","):
                 if m := re.fullmatch(r"\.([A-Za-z0-9_-]+)", one.strip()):
@@ -105,6 +125,7 @@ class Page:
         self.raw: list[str] = []
         self.own: list[str] = []
         self.scripts: list[tuple[str, str]] = []  # attributes and content
+        self.styles: list[tuple[str, str]] = []
         at, last, absent = 0, source.rfind(">"), set()
         low = source.lower()
         while at < len(source):
@@ -129,8 +150,9 @@ class Page:
                 if name == "textarea":
                     self._add("text", "", " " + source[at:end].replace("<", "&lt;") + " ")
                 else:
-                    self.scripts.append((m[3], source[at:end])) if name == "script" else None
-                    self._add("inert", name, source[m.start() : stop], m[3] if name == "style" else "")
+                    if name in ("script", "style"):
+                        (self.scripts if name == "script" else self.styles).append((m[3], source[at:end]))
+                    self._add("inert", name, source[m.start() : stop])
                 at = stop
             else:
                 self._add("void" if name in VOID or m[3].endswith("/") else "open", name, m[0], m[3])
@@ -142,11 +164,13 @@ class Page:
         self.raw.append(raw)
         self.own.append(own)
 
+    def revealed(self) -> set[str]:
+        """Ids of the streamed parts that the page's own scripts reveal."""
+        return {i for _, content in self.scripts for call in REVEAL.findall(content) for i in re.findall(r"\bS:\d+\b", call)}
+
     def hide(self, revealed: set[str]) -> None:
         """Mask hidden elements with all that they hold; an inline display decides before classes and attributes."""
-        bodies = [re.fullmatch(r"(?s)<[^>]*>(.*?)(?:</[^>]*>?)?", self.raw[k]) for k in range(len(self.raw)) if self.kind[k] == "inert" and self.name[k] == "style"]
-        owns = [attributes(self.own[k]) for k in range(len(self.raw)) if self.kind[k] == "inert" and self.name[k] == "style"]
-        classes = hidden_classes([(own, m[1]) for own, m in zip(owns, bodies, strict=True) if m])
+        classes = hidden_classes([(attributes(own), css) for own, css in self.styles])
 
         def hides(raw: str) -> bool:
             if not re.search(r"(?i)hidden|display|class", raw):
@@ -224,7 +248,7 @@ class Page:
         return out
 
     def html(self, span: tuple[int, int]) -> str:
-        return "".join(" " if self.off[k] and self.kind[k] in ("open", "inert") else "" if self.off[k] else self.raw[k] for k in range(*span))
+        return "".join(" " if self.off[k] and self.kind[k] in ("open", "inert", "comment") else "" if self.off[k] else self.raw[k] for k in range(*span))
 
     def text(self, span: tuple[int, int]) -> str:
         """Visible text of a span; of a drawing only its painted text elements."""
@@ -267,7 +291,7 @@ class Page:
 def scope_of(source: str) -> dict[str, str]:
     """kind, html and text of the part of a page that holds its content."""
     page = Page(source)
-    revealed = {i for _, content in page.scripts for call in REVEAL.findall(content) for i in re.findall(r"\bS:\d+\b", call)}
+    revealed = page.revealed()
     page.hide(revealed)
     page.drop("aside", "nav")
     footers = list(page.off)
@@ -396,13 +420,104 @@ def visible(html: Column) -> Column:
         out = []
         for t in _rows(texts):
             page = Page(t)
-            page.hide(set(re.findall(r"\bS:\d+\b", " ".join(c for _, s in page.scripts for c in REVEAL.findall(s)))))
+            page.hide(page.revealed())
             out.append(page.text(page.body()))
         return pa.array(out, pa.string())
 
     return scan(html)
 
 
+def start_tags(html: Column, name: str, limit: int | None = None) -> Column:
+    """array<struct(attrs, start, end)>: the start tags of a name in order, attributes by lower-case name, places in characters."""
+    kind = pa.list_(pa.struct([("attrs", pa.map_(pa.string(), pa.string())), ("start", pa.int32()), ("end", pa.int32())]))
+
+    @F.arrow_udf("array<struct<attrs: map<string,string>, start: int, end: int>>")
+    def scan(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in _rows(texts):
+            page, at, found = Page(t), 0, []
+            for k, raw in enumerate(page.raw):
+                if page.name[k] == name and page.kind[k] in ("open", "void", "inert") and (limit is None or len(found) < limit):
+                    tag = TOKEN.match(raw)
+                    found.append({"attrs": list(attributes(tag[3]).items()), "start": at, "end": at + tag.end()})
+                at += len(raw)
+            out.append(found)
+        return pa.array(out, kind)
+
+    return scan(html)
+
+
+def first_attribute(html: Column, tag: str, attribute: str, where: str, value: str) -> Column:
+    """An attribute of the first tag of a name whose attribute ``where`` holds ``value`` among its words; null without one."""
+    words = lambda t: F.split(F.lower(F.coalesce(t["attrs"][where], F.lit(""))), r"\s+")
+    return F.get(F.filter(start_tags(html, tag), lambda t: F.array_contains(words(t), value)), F.lit(0))["attrs"][attribute]
+
+
+def _spans(html: Column, pick: Callable[[Page], list[tuple[int, int]]]) -> Column:
+    @F.arrow_udf("array<string>")
+    def scan(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in _rows(texts):
+            page = Page(t)
+            page.off = [False] * len(page.off)
+            out.append(["".join(page.raw[a:b]) for a, b in pick(page)])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return scan(html)
+
+
+def elements(html: Column, name: str) -> Column:
+    """Contents of the elements of a name in order; the first close ends one, without one it runs to the end."""
+    return _spans(html, lambda page: page.elements(name))
+
+
+def _kept(html: Column, mask: Callable[[Page], None]) -> Column:
+    @F.arrow_udf("string")
+    def scan(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in _rows(texts):
+            page = Page(t)
+            page.off = [False] * len(page.off)
+            mask(page)
+            out.append(page.html((0, len(page.raw))))
+        return pa.array(out, pa.string())
+
+    return scan(html)
+
+
+def without(html: Column, *names: str) -> Column:
+    """A page without elements of these names, each with those of its name inside it; one without an end takes the rest along."""
+    return _kept(html, lambda page: page.drop(*names))
+
+
+def without_hidden(html: Column) -> Column:
+    """A page without its hidden elements and all that they hold; parts that its scripts reveal stay."""
+    return _kept(html, lambda page: page.hide(page.revealed()))
+
+
+def without_inert(html: Column) -> Column:
+    """A page without comments, scripts, styles, templates and titles; a text area is its text."""
+
+    def mask(page: Page) -> None:
+        page.off = [k == "inert" or k == "comment" and raw.startswith("<!--") for k, raw in zip(page.kind, page.raw, strict=True)]
+
+    return _kept(html, mask)
+
+
+def drawing_text(html: Column) -> Column:
+    """Painted text of a page's drawings, in order."""
+
+    @F.arrow_udf("string")
+    def scan(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in _rows(texts):
+            page = Page(t)
+            out.append(" ".join(x for a, b in page.elements("svg") if (x := page.text((a - 1, min(b + 1, len(page.raw)))))))
+        return pa.array(out, pa.string())
+
+    return scan(html)
+
+
 def without_verbose(text: str) -> str | None:
     """A JSON text without ``articleBody`` and ``description`` anywhere, and without what is empty then."""
 

@@ -35,10 +35,15 @@ def types(node: Column) -> Column:
     return F.transform(F.slice(raw, 1, MAX_TYPES), short_type)
 
 
+def text_at(node: Column, path: str) -> Column:
+    """The text at a path; null where there is none, or something else than a text."""
+    return F.when(F.schema_of_variant(F.try_variant_get(node, path, "variant")) == "STRING", F.try_variant_get(node, path, "string"))
+
+
 def field(node: Column, name: str) -> Column:
     """A text field, trimmed; longer ones end in an ellipsis; null if blank or no text."""
     cut = lambda v: F.when(F.length(v) > MAX_FIELD, F.concat(F.substring(v, 1, MAX_FIELD - 1), F.lit("…"))).otherwise(v)
-    return let(F.nullif(F.trim(F.try_variant_get(node, f"$.{name}", "string")), F.lit("")), cut)
+    return let(F.nullif(F.trim(text_at(node, f"$.{name}")), F.lit("")), cut)
 
 
 def harvest(node: Column, lead: bool = False) -> Column:
@@ -127,7 +132,6 @@ def postings(texts: Column) -> Column:
 def pin_caption(texts: Column, url: Column) -> Column:
     """On a pin's page the body of the post that refers to the pin, else of the first post."""
     pin = urls.pin_id(url)
-    text_at = lambda v, path: F.try_variant_get(v, path, "string")
     refs = lambda v: F.array_compact(F.array(*[text_at(v, p) for p in ('$["@id"]', "$.url", "$.mainEntityOfPage", '$.mainEntityOfPage["@id"]', "$.mainEntityOfPage.url")]))
     own = lambda v: F.exists(refs(v), lambda r: urls.is_pin_page(r) & (urls.pin_id(r) == pin))
     chosen = lambda found: F.coalesce(F.get(F.filter(found, own), F.lit(0)), F.get(found, F.lit(0)))
@@ -152,7 +156,7 @@ def candidates(texts: Column) -> Column:
 
 def preferred_title(raw: Column, texts: Column) -> Column:
     """A page's title: that of its structured data, unless the page's own title holds it."""
-    named = lambda v: F.coalesce(*[F.nullif(F.trim(F.try_variant_get(v, f"$.{n}", "string")), F.lit("")) for n in ("title", "name", "headline")])
+    named = lambda v: F.coalesce(*[F.nullif(F.trim(text_at(v, f"$.{n}")), F.lit("")) for n in ("title", "name", "headline")])
     content = lambda v: F.exists(types(v), lambda t: t.isin(*[c for c in CONTENT_TYPES if c != "socialmediaposting"])) & harvest(v).isNotNull()
     found = F.get(F.array_compact(F.transform(F.filter(candidates(texts), content), named)), F.lit(0))
     return let(F.struct(raw.alias("raw"), found.alias("own")), lambda t: F.when(t["own"].isNull() | F.coalesce(F.lower(t["raw"]).contains(F.lower(t["own"])), F.lit(False)), t["raw"]).otherwise(t["own"]))
@@ -160,7 +164,7 @@ def preferred_title(raw: Column, texts: Column) -> Column:
 
 def image_addresses(texts: Column) -> Column:
     """Image addresses of top nodes and of the nodes of their graphs."""
-    one = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$.url", "string"), F.try_variant_get(v, "$.contentUrl", "string"))
+    one = lambda v: F.coalesce(text_at(v, "$"), text_at(v, "$.url"), text_at(v, "$.contentUrl"))
     plain = lambda v, key: F.coalesce(F.transform(F.try_variant_get(v, f"$.{key}", "array<variant>"), one), F.array(one(F.try_variant_get(v, f"$.{key}", "variant"))))
     own = lambda v: F.when(F.array_contains(types(v), "imageobject"), F.concat(plain(v, "url"), plain(v, "contentUrl"))).otherwise(F.concat(plain(v, "image"), plain(v, "thumbnailUrl")))
     return F.array_compact(F.flatten(F.transform(candidates(texts), own)))

@@ -7,6 +7,7 @@ to, so each is computed once per page.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +32,32 @@ def capped_body(body: Column, limit: int = MAX_BODY) -> Column:
     return F.struct(F.substring(body, 1, limit).alias("body"), (F.length(body) > limit).alias("truncated"))
 
 
+# Labels of web pages' charsets and Python's names for what they mean.
+CHARSETS = {
+    "iso-8859-1": "cp1252", "latin1": "cp1252", "latin-1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252", "windows-1252": "cp1252", "cp1252": "cp1252", "x-cp1252": "cp1252",
+    "utf-16": "utf-16-le", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be", "gb2312": "gb18030", "gbk": "gb18030", "gb18030": "gb18030", "big5": "big5hkscs", "shift_jis": "cp932",
+    "shift-jis": "cp932", "sjis": "cp932", "x-sjis": "cp932", "euc-jp": "euc_jp", "iso-2022-jp": "iso2022_jp", "euc-kr": "cp949", "ks_c_5601-1987": "cp949", "koi8-r": "koi8_r",
+    "koi8-u": "koi8_u", "macintosh": "mac_roman", "windows-874": "cp874", "iso-8859-11": "cp874", "tis-620": "cp874", "iso-8859-9": "cp1254",
+    **{f"windows-{n}": f"cp{n}" for n in (1250, 1251, 1253, 1254, 1255, 1256, 1257, 1258)}, **{f"iso-8859-{n}": f"iso8859_{n}" for n in (2, 3, 4, 5, 6, 7, 8, 10, 13, 14, 15, 16)},
+}
+
+
 def decoded(body: Column, content_type: Column) -> Column:
     """Bytes as text: the header's charset, else a meta charset among the first 1024 bytes, else UTF-8.
 
-    Latin and UTF-16 names are decoded by the engine; other names, and bad bytes, go through UTF-8 with
-    replacement characters.
+    Unknown names go through UTF-8; bad bytes become replacement characters. Only bodies in another charset than UTF-8 leave
+    the JVM.
     """
     head = F.make_valid_utf8(F.substring(body, 1, 1024))
     prescan = F.lower(F.regexp_extract(F.regexp_replace(head, r"(?s)<!--.*?-->", ""), r"""(?i)<meta\b[^>]*?charset\s*=\s*["']?([A-Za-z0-9_-]+)""", 1))
     name = F.coalesce(text.charset(content_type), F.when(text.is_html_type(content_type), F.nullif(prescan, F.lit(""))), F.lit("utf-8"))
-    latin = name.isin("iso-8859-1", "latin1", "us-ascii", "ascii")
-    return (
-        F.when(latin, F.decode(body, "ISO-8859-1")).when(name.isin("utf-16le", "utf-16"), F.decode(body, "UTF-16LE")).when(name == "utf-16be", F.decode(body, "UTF-16BE")).otherwise(F.make_valid_utf8(body))
-    )
+    other = F.try_element_at(F.create_map(*[F.lit(x) for pair in CHARSETS.items() for x in pair]), name)
+
+    @F.arrow_udf("string")
+    def decode(bodies: pa.Array, codecs: pa.Array) -> pa.Array:
+        return pa.array([None if c.as_py() is None else b.as_py().decode(c.as_py(), "replace") for b, c in zip(bodies, codecs, strict=True)], pa.string())
+
+    return F.coalesce(decode(F.when(other.isNotNull(), body), F.when(body.isNotNull(), other)), F.make_valid_utf8(body))
 
 
 def extract(fetches: DataFrame) -> DataFrame:

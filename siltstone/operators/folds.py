@@ -13,21 +13,22 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], init: Callable[[], Any], step: Callable[[Any, dict], dict], added: str) -> DataFrame:
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], init: Callable[[], Any], step: Callable[[Any, dict], dict], added: str, uses: list[str] | None = None) -> DataFrame:
     """``df`` with the columns ``added`` (DDL) that ``step(state, row)`` returns for every row, key by key, in order.
 
-    ``step`` changes the state in place. Rows with a null key form a key of their own.
+    ``step`` changes the state in place and sees the columns ``uses`` (all by default); the others pass by as Arrow arrays. Rows with a null key form a
+    key of their own.
     """
     fields = T.StructType.fromDDL(added).fields
     base = df.select(*[c for c in df.columns if c not in {f.name for f in fields}])
     sorted_rows = base.repartition(*keys).sortWithinPartitions(*keys, *order)
     schema = T.StructType([*base.schema.fields, *fields])
-    names = [f.name for f in fields]
+    names, uses = [f.name for f in fields], base.columns if uses is None else uses
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -37,11 +38,12 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], init: Callabl
         state = None
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for row in batch.to_pylist():
-                now = tuple(row[k] for k in keys)
+            lists = [batch.column(c).to_pylist() for c in (*keys, *uses)]
+            for values in zip(*lists, strict=True):
+                now = values[: len(keys)]
                 if now != key:
                     key, state = now, init()
-                made = step(state, row)
+                made = step(state, dict(zip(uses, values[len(keys) :], strict=True)))
                 for column, name in zip(out, names, strict=True):
                     column.append(made.get(name))
             arrays = [*batch.columns, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
@@ -88,7 +90,7 @@ def quota_admission(df: DataFrame, tenant: str, at_ms: str, seeds: str, order: l
             return {"ok": False, "code": "bulk_quota_store_error"}
         return state.ask(row[at_ms], row[seeds], limit, window_ms)
 
-    return ordered_fold(df, [tenant], [at_ms, *(order or [])], Quota, step, QUOTA)
+    return ordered_fold(df, [tenant], [at_ms, *(order or [])], Quota, step, QUOTA, list(dict.fromkeys([tenant, at_ms, seeds])))
 
 
 # --- model health ----------------------------------------------------------------------------------------------
@@ -117,12 +119,14 @@ class Health:
 
 def model_health(df: DataFrame, model: str, order: list[str], outcome: str) -> DataFrame:
     """``df`` with the demotion (0 or 1) of its model after each outcome."""
-    return ordered_fold(df, [model], order, Health, lambda state, row: {"demotion": state.record(row[outcome])}, "demotion int")
+    return ordered_fold(df, [model], order, Health, lambda state, row: {"demotion": state.record(row[outcome])}, "demotion int", [outcome])
 
 
 # --- budgets ---------------------------------------------------------------------------------------------------
 
 MIB = 1024 * 1024
+#: Rows of a key that one task sums where sums need no feedback.
+CHUNK = 100_000
 
 
 @dataclass
@@ -163,13 +167,30 @@ def sequential_budget(
             s.stopped, reason = True, reason or "egress_bytes"
         return {"dispatch": True, "run_transform": transform, "reason": reason, "bytes_so_far": s.bytes, "cost_so_far": s.cost}
 
-    return ordered_fold(df, [batch], order, Budget, step, BUDGET)
+    return ordered_fold(df, [batch], order, Budget, step, BUDGET, [bytes_col, cost_col])
 
 
-def running_bytes(df: DataFrame, batch: str, order: str, bytes_col: str, per_seed: int, cap: int) -> DataFrame:
-    """The byte budget where every settled size is at most a page: then no feedback is left and a window does it."""
-    before = F.coalesce(F.sum(bytes_col).over(Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("bytes_before", before.cast("long")).withColumn("dispatch", F.col("bytes_before") + per_seed <= cap)
+def chunked(df: DataFrame, key: str, order: str, rows: int) -> Column:
+    """A number that deals the rows of every key into stretches of a whole-number ``order`` column, about ``rows`` each where it is even."""
+    least, most, n, keys = df.agg(F.min(order), F.max(order), F.count("*"), F.approx_count_distinct(key)).first()
+    width = max(1, ((most or 0) - (least or 0) + 1) * rows // max(1, n))
+    return F.floor((F.col(order) - (least or 0)) / width).cast("long")
+
+
+def running_bytes(df: DataFrame, batch: str, order: str, bytes_col: str, per_seed: int, cap: int, chunk: int = CHUNK) -> DataFrame:
+    """The byte budget where every settled size is at most a page: then no feedback is left and sums do it.
+
+    Sums of stretches of a batch are put in order first, and rows are summed within their stretch, so a batch of any size is
+    many tasks. ``order`` is a whole number.
+    """
+    dealt = df.withColumn("__c", chunked(df, batch, order, chunk))
+    sums = dealt.groupBy(batch, "__c").agg(F.coalesce(F.sum(bytes_col), F.lit(0)).alias("__s"))
+    upto = F.coalesce(F.sum("__s").over(Window.partitionBy(batch).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(F.col(batch).alias("__b"), F.col("__c").alias("__d"), upto.alias("__o"))
+    joined = dealt.join(offsets, F.col(batch).eqNullSafe(F.col("__b")) & F.col("__c").eqNullSafe(F.col("__d")))
+    inside = F.coalesce(F.sum(bytes_col).over(Window.partitionBy(batch, "__c").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = joined.withColumn("bytes_before", (F.col("__o") + inside).cast("long")).withColumn("dispatch", F.col("bytes_before") + per_seed <= cap)
+    return out.drop("__b", "__c", "__d", "__o")
 
 
 # --- rates -----------------------------------------------------------------------------------------------------
@@ -197,7 +218,31 @@ def token_bucket(df: DataFrame, host: str, at_ms: str, order: list[str] | None =
         b.tokens, b.at = have - 1, now
         return {"start_ms": int(now), "waited_ms": int(now - start)}
 
-    return ordered_fold(df, [host], [at_ms, *(order or [])], Bucket, step, "start_ms long, waited_ms long")
+    return ordered_fold(df, [host], [at_ms, *(order or [])], Bucket, step, "start_ms long, waited_ms long", [at_ms])
+
+
+def request_starts(df: DataFrame, host: str, at_ms: str, order: list[str] | None = None, burst: int = 2, refill_ms: int = 1000, chunk: int = CHUNK) -> DataFrame:
+    """``token_bucket`` in whole milliseconds, without a fold: for hosts of any number of requests.
+
+    Request i starts at the latest of its own time and of t(j) + (i - j - burst + 1) * refill over all requests j up to i, which is a
+    running maximum of t(j) - j * refill. Stretches of a host are numbered and their maxima put in order first, so
+    a host of any size is many tasks. Times are whole milliseconds.
+    """
+    ties = [at_ms, *(order or [])]
+    dealt = df.withColumn("__c", chunked(df, host, at_ms, chunk))
+    local = Window.partitionBy(host, "__c").orderBy(*ties)
+    numbered = dealt.withColumn("__i", F.row_number().over(local))
+    debt = F.col(at_ms) - F.col("__i") * refill_ms
+    tops = numbered.groupBy(host, "__c").agg(F.count("*").alias("__n"), F.max(debt).alias("__m"))
+    before = Window.partitionBy(host).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    shifted = tops.withColumn("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    shifted = shifted.withColumn("__t", F.max(F.col("__m") - F.col("__p") * refill_ms).over(before))
+    offsets = shifted.select(F.col(host).alias("__h"), F.col("__c").alias("__d"), "__p", "__t")
+    joined = numbered.join(offsets, F.col(host).eqNullSafe(F.col("__h")) & F.col("__c").eqNullSafe(F.col("__d")))
+    top = F.greatest(F.col("__t"), F.max(debt).over(local) - F.col("__p") * refill_ms)
+    start = F.greatest(F.col(at_ms), top + (F.col("__p") + F.col("__i") - burst + 1) * refill_ms).cast("long")
+    out = joined.withColumn("start_ms", start).withColumn("waited_ms", (F.col("start_ms") - F.col(at_ms)).cast("long"))
+    return out.drop("__c", "__i", "__h", "__d", "__p", "__t")
 
 
 # --- render pools ----------------------------------------------------------------------------------------------
@@ -222,7 +267,7 @@ def render_pools(df: DataFrame, render: str, order: list[str], size: str, essent
             p.other += n if fits else 0
         return {"fits": fits, "essential_bytes": p.essential, "other_bytes": p.other}
 
-    return ordered_fold(df, [render], order, Pools, step, "fits boolean, essential_bytes long, other_bytes long")
+    return ordered_fold(df, [render], order, Pools, step, "fits boolean, essential_bytes long, other_bytes long", [size, essential])
 
 
 # --- batch runner ----------------------------------------------------------------------------------------------
@@ -233,40 +278,64 @@ class Runner:
     budget: Budget = field(default_factory=Budget)
     touches: dict[str, int] = field(default_factory=dict)
     closed: set[str] = field(default_factory=set)
+    asked: dict[str, tuple[int, int]] = field(default_factory=dict)  # by host: requests, and the greatest of time - number * delay
+    rendered: int = 0
     clock: int = 0
 
 
-RUNNER = "outcome string, reason string, bytes_so_far long, quarantined array<string>"
+RUNNER = "outcome string, reason string, started_ms long, bytes_so_far long, cost_so_far double, transformed boolean, rendered boolean, quarantined array<string>"
 
 
 def run_batch(
     df: DataFrame, batch: str, order: list[str], host_cap: int = 10, per_seed: int = 5 * MIB, cap: int = 100 * MIB, wall_ms: int = 55_000,
+    burst: int = 2, delay_ms: int = 1_000, cost_per_seed: float = 0.05, cost_cap: float = 0.5, render_cap: int = 10, render_bytes: int = 48 * MIB,
 ) -> DataFrame:
-    """The sequential schedule of a batch over columns host, hosts (all that the fetch touches), bytes, duration_ms.
+    """The sequential schedule of a batch over columns host, hosts (all that the fetch touches), bytes, duration_ms, cost, renders.
 
-    For each seed in order: wall clock, byte stop, its own host's count, byte reservation; then it runs, its
-    hosts are counted once each, and a host other than its own that reaches the cap closes for later seeds.
-    Hosts of one batch are few (a batch has at most some hundred seeds), so the state stays small.
+    For each seed in order: wall clock, byte stop, its own host's count, the host's rate, the wall clock again (a wait may pass it),
+    reservation of a page's bytes, of a transform's cost (else it runs raw), and of a render (else it runs without). Then it runs; what it
+    really took is settled, its hosts are counted once each, and a host other than its own that reaches the cap closes for
+    later seeds. Reservations are given back with the settling. Bytes that pass the cap end the batch, cost that passes its cap lets
+    later seeds run raw. Hosts of one batch are few (a batch has at most some hundred seeds), so the state stays small.
     """
 
     def step(r: Runner, row: dict) -> dict:
-        made = {"bytes_so_far": r.budget.bytes, "quarantined": sorted(r.closed)}
+        made = {
+            "bytes_so_far": r.budget.bytes, "cost_so_far": r.budget.cost, "quarantined": sorted(r.closed), "started_ms": None, "transformed": False, "rendered": False,
+        }
+        skipped = lambda why: made | {"outcome": "skipped", "reason": why}
+        host = row["host"]
         if r.clock >= wall_ms:
-            return made | {"outcome": "skipped", "reason": "bulk_deadline_exceeded"}
+            return skipped("bulk_deadline_exceeded")
         if r.budget.stopped:
-            return made | {"outcome": "skipped", "reason": "bulk_budget_exceeded"}
-        if row["host"] in r.closed or r.touches.get(row["host"], 0) >= host_cap:
-            return made | {"outcome": "skipped", "reason": "bulk_per_host_cap"}
+            return skipped("bulk_budget_exceeded")
+        if host in r.closed or r.touches.get(host, 0) >= host_cap:
+            return skipped("bulk_per_host_cap")
+        n, top = r.asked.get(host, (0, r.clock))
+        n, top = n + 1, max(top, r.clock - (n + 1) * delay_ms) if n else r.clock - delay_ms
+        start = max(r.clock, top + (n - burst + 1) * delay_ms)  # as in request_starts
+        if start >= wall_ms:
+            return skipped("bulk_deadline_exceeded")
         if r.budget.bytes + per_seed > cap:
             r.budget.stopped = True
-            return made | {"outcome": "skipped", "reason": "bulk_budget_exceeded"}
-        r.clock += row["duration_ms"] or 0
+            return skipped("bulk_budget_exceeded")
+        r.asked[host] = n, top
+        transform = row["cost"] is not None and not r.budget.raw_only and cost_per_seed > 0 and r.budget.cost + cost_per_seed <= cost_cap
+        render = bool(row["renders"]) and r.rendered < render_cap and r.budget.bytes + per_seed + render_bytes <= cap
+        r.rendered += render
+        r.clock = start + (row["duration_ms"] or 0)
         r.budget.bytes += row["bytes"] or 0
         r.budget.stopped = r.budget.bytes > cap
-        for host in dict.fromkeys(row["hosts"] or []):
-            r.touches[host] = r.touches.get(host, 0) + 1
-            if host != row["host"] and r.touches[host] >= host_cap:
-                r.closed.add(host)
-        return {"outcome": "ran", "reason": None, "bytes_so_far": r.budget.bytes, "quarantined": sorted(r.closed)}
-
-    return ordered_fold(df, [batch], order, Runner, step, RUNNER)
+        if transform:
+            r.budget.cost += row["cost"]
+            r.budget.raw_only = r.budget.cost > cost_cap
+        for touched in dict.fromkeys(row["hosts"] or []):
+            r.touches[touched] = r.touches.get(touched, 0) + 1
+            if touched != host and r.touches[touched] >= host_cap:
+                r.closed.add(touched)
+        return {
+            "outcome": "ran", "reason": None, "started_ms": start, "bytes_so_far": r.budget.bytes, "cost_so_far": r.budget.cost, "transformed": transform, "rendered": render,
+            "quarantined": sorted(r.closed),
+        }
+
+    return ordered_fold(df, [batch], order, Runner, step, RUNNER, ["host", "hosts", "bytes", "duration_ms", "cost", "renders"])

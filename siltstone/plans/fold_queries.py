@@ -46,20 +46,26 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "start_ms", "waited_ms")
 
 
+def request_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = folds.request_starts(_events(spark, sf_dir), "user_id", "at_ms", ["event_id"], 3, 9_000_000, 40)
+    return found.select("event_id", "start_ms", "waited_ms")
+
+
 def batch_runner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as a batch's seeds over few hosts. Its rules feed back into each other, so its twin is a test."""
     name = lambda c: F.concat(F.lit("h"), c.cast("string"))
     rows = _events(spark, sf_dir).select(
         "event_id", "user_id", name(F.pmod("event_id", F.lit(5))).alias("host"),
         F.array(name(F.pmod("event_id", F.lit(5))), name(F.pmod(F.col("event_id") * 7, F.lit(9)))).alias("hosts"), "bytes", F.lit(900).alias("duration_ms"),
+        F.when(F.pmod("event_id", F.lit(3)) == 0, F.col("cost")).alias("cost"), (F.pmod("event_id", F.lit(4)) == 0).alias("renders"),
     )
-    found = folds.run_batch(rows, "user_id", ["event_id"])
-    return found.select("event_id", "outcome", "reason", "bytes_so_far", F.array_join("quarantined", ",").alias("quarantined"))
+    found = folds.run_batch(rows, "user_id", ["event_id"], cost_per_seed=0.0625)
+    return found.select("event_id", "outcome", "reason", "started_ms", "bytes_so_far", "cost_so_far", "transformed", "rendered", F.array_join("quarantined", ",").alias("quarantined"))
 
 
 QUERIES = {
     "quota_admission": quota_admission, "health_demotion": health_demotion, "budget_sequential": budget_sequential, "budget_running": budget_running,
-    "token_bucket": token_bucket, "batch_runner": batch_runner,
+    "token_bucket": token_bucket, "request_starts": request_starts, "batch_runner": batch_runner,
 }
 
 _E = """e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, CAST(floor(value) AS BIGINT) % 20 + 1 AS n, CAST(floor(value * 40000) AS BIGINT) AS bytes,
@@ -110,4 +116,13 @@ SQL = {
                 SELECT *, least(2.0, tok + (now_ - last) / 16384000.0) AS have FROM (
                     SELECT e.user_id, e.k, e.event_id, e.ms, t.tok, t.last, greatest(CAST(e.ms AS DOUBLE), t.last) AS now_ FROM t JOIN e ON e.user_id = t.user_id AND e.k = t.k + 1))))
         SELECT event_id, start_ms, waited AS waited_ms FROM t""",
+    # tokens in milliseconds of refill
+    "request_starts": f"""WITH RECURSIVE {_E.format(order='ts, event_id')},
+        t(user_id, k, tok, last, event_id, start_ms, waited) AS (
+            SELECT user_id, k, 18000000, ms, event_id, ms, CAST(0 AS BIGINT) FROM e WHERE k = 1
+            UNION ALL
+            SELECT user_id, k, least(27000000, tok + st - last) - 9000000, st, event_id, st, st - ms
+            FROM (SELECT *, now_ + greatest(0, 9000000 - have) AS st FROM (SELECT *, least(27000000, tok + now_ - last) AS have FROM (
+                    SELECT e.user_id, e.k, e.event_id, e.ms, t.tok, t.last, greatest(e.ms, t.last) AS now_ FROM t JOIN e ON e.user_id = t.user_id AND e.k = t.k + 1))))
+        SELECT event_id, start_ms, waited AS waited_ms FROM t""",
 }

@@ -335,6 +335,22 @@ def render_pool_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.render_pools(rows, "u", ["event_id"], "size", "essential", 6_000, 9_000).select("event_id", "fits", "essential_bytes", "other_bytes")
 
 
+def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of catalogue pages: tags with their attributes, elements, and what is left without nested, hidden and inert ones."""
+    key = F.col("p_partkey").cast("string")
+    page = F.concat(
+        F.lit('<ul CLASS="a" data-k="'), key, F.lit("\"><li class='x' class='y'>"), F.col("p_brand"), F.lit("</li><li hidden>"), F.col("p_type"), F.lit("<b>!</b></li></ul><nav>n<nav>"), key,
+        F.lit("</nav>m</nav><svg><text>"), F.col("p_name"), F.lit("</text><defs><text>no</text></defs></svg><!-- c --><script>x</script>"),
+    )
+    tags = markup.start_tags(page, "li")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.size(tags).cast("long").alias("items"), tags[0]["attrs"]["class"].alias("class"), (tags[1]["start"] - tags[0]["end"]).cast("long").alias("between"),
+        markup.first_attribute(page, "ul", "data-k", "class", "a").alias("data_k"), F.array_join(markup.elements(page, "li"), "|").alias("contents"),
+        markup.without(page, "nav", "svg").alias("without"), markup.without_hidden(page).alias("seen"), markup.without_inert(page).alias("live"), markup.drawing_text(page).alias("drawn"),
+        markup.visible(page).alias("text"),
+    )
+
+
 def board_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rosters of parts as boards: capped jobs, counts and titles."""
     parts = table(spark, sf_dir, "part").select(F.lower(F.regexp_replace("p_brand", "#", "")).alias("board"), "p_partkey")
@@ -345,7 +361,7 @@ def board_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     status_texts, response_headers, forward_plans, blocked_resources, oversized_batches, render_units, longest_texts, longest_text, customer_supplier_nations, output_modes, rows_not_run,
     free_models, completions, finalised_answers, schema_failures, nested_pages, streamed_pages, state_roundtrip, linked_nodes, title_choice, pin_captions, lean_structures, bot_walls,
-    render_reasons, error_split, address_families, redacted_addresses, embedded_boards, capped_html, tracker_free_texts, seed_classes, client_profiles, render_pool_log, board_titles,
+    render_reasons, error_split, address_families, redacted_addresses, embedded_boards, capped_html, tracker_free_texts, seed_classes, client_profiles, render_pool_log, page_parts, board_titles,
 )}
 
 _STATUS = ", ".join(f"({k}, '{v.replace(chr(39), chr(39) * 2)}')" for k, v in text.STATUS_TEXT.items())
@@ -424,6 +440,11 @@ SQL = {
             UNION ALL SELECT u, r, event_id, ok, CASE WHEN es AND ok THEN a + v ELSE a END, CASE WHEN NOT es AND ok THEN b + v ELSE b END
             FROM (SELECT n.*, p.a, p.b, CASE WHEN es THEN p.a < 6000 ELSE p.b + v <= 9000 END AS ok FROM p JOIN n ON n.u = p.u AND n.r = p.r + 1))
         SELECT event_id, fits, a AS essential_bytes, b AS other_bytes FROM p WHERE r > 0""",
+    "page_parts": """WITH p AS (SELECT *, '<ul CLASS="a" data-k="' || p_partkey || '">' AS ul, '<li class=''x'' class=''y''>' || p_brand || '</li>' AS one, '<li hidden>' || p_type || '<b>!</b></li>' AS two,
+            '<nav>n<nav>' || p_partkey || '</nav>m</nav>' AS nav, '<svg><text>' || p_name || '</text><defs><text>no</text></defs></svg>' AS svg FROM part)
+        SELECT p_partkey, CAST(2 AS BIGINT) AS items, 'x' AS class, length(p_brand) + 5 AS between, CAST(p_partkey AS VARCHAR) AS data_k, p_brand || '|' || p_type || '<b>!</b>' AS contents,
+            ul || one || two || '</ul>' || '  ' || '<!-- c --><script>x</script>' AS without, ul || one || ' </ul>' || nav || svg || '<!-- c --><script>x</script>' AS seen,
+            ul || one || two || '</ul>' || nav || svg || '  ' AS live, p_name AS drawn, p_brand || ' n ' || p_partkey || ' m ' || p_name AS text FROM p""",
     "board_titles": """WITH b AS (SELECT lower(replace(p_brand, '#', '')) AS board, count(*) AS n FROM part GROUP BY ALL)
         SELECT board, n AS job_count, n > 20 AS truncated, least(n, 20) AS kept, n || ' open role(s) · Lever · ' || board AS title FROM b""",
 }

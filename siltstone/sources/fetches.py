@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import gzip
 import importlib
+import ipaddress
 import json
 import zlib
 from collections.abc import Iterator
 from typing import Protocol
+from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from siltstone.functions import urls
+
 SCHEMA = (
     "seed_id long, url string, final_url string, status int, content_type string, headers map<string,array<string>>, body binary, bytes long, "
     "truncated boolean, redirects array<struct<url: string, status: int>>, rejected boolean, reject_code string"
@@ -65,10 +69,42 @@ def inflate(body: bytes, encoding: str) -> tuple[bytes, str | None]:
             return b"", "body_read_error"
 
 
-def fetch(client: Client, seed_id: int, url: str, max_body: int = MAX_BODY, max_hops: int = MAX_HOPS) -> tuple:
-    """One seed as a row: redirects are followed up to a limit, an https page never leads to an http one."""
-    from urllib.parse import urljoin, urlsplit
+NETWORKS = [ipaddress.ip_network(block) for block in (*urls.PRIVATE_V4, *urls.PRIVATE_V6)]
+
+
+def guarded(url: str) -> str | None:
+    """Why an address may not be asked for: its scheme, credentials, port or a private host; null if it may.
+
+    Names are resolved by the client, which must check what they resolve to with ``is_public`` as well.
+    """
+    try:
+        parts = urlsplit(url)
+        host, port = parts.hostname or "", parts.port
+    except ValueError:
+        return "invalid_url"
+    if parts.scheme not in ("http", "https"):
+        return "unsupported_scheme"
+    if parts.username is not None or parts.password is not None:
+        return "userinfo_url"
+    if not host:
+        return "invalid_url"
+    if port in urls.BLOCKED_PORTS:
+        return "blocked_port"
+    name = host.rstrip(".").lower()
+    return None if name != "localhost" and not name.endswith(".localhost") and is_public(name) else "private_address"
+
+
+def is_public(address: str) -> bool:
+    """Whether an address literal lies in no private or reserved range; true for names."""
+    try:
+        literal = ipaddress.ip_address(address)
+    except ValueError:
+        return True
+    return not any(literal.version == n.version and literal in n for n in NETWORKS)
 
+
+def fetch(client: Client, seed_id: int, url: str, max_body: int = MAX_BODY, max_hops: int = MAX_HOPS) -> tuple:
+    """One seed as a row: every hop is guarded, redirects are followed up to a limit, an https page never leads to an http one."""
     hops: list[tuple[str, int]] = []
     at = url
 
@@ -76,9 +112,8 @@ def fetch(client: Client, seed_id: int, url: str, max_body: int = MAX_BODY, max_
         return (seed_id, url, at, 0, None, {}, b"", 0, False, hops, True, code)
 
     while True:
-        scheme = urlsplit(at).scheme
-        if scheme not in ("http", "https"):
-            return refused("unsupported_scheme")
+        if code := guarded(at):
+            return refused(code)
         try:
             status, headers, body = client.get(at)
         except TimeoutError:
@@ -92,7 +127,7 @@ def fetch(client: Client, seed_id: int, url: str, max_body: int = MAX_BODY, max_
         if len(hops) > max_hops:
             return refused("redirect_limit")
         following = urljoin(at, location)
-        if scheme == "https" and following.startswith("http:"):
+        if at.lower().startswith("https:") and following.lower().startswith("http:"):
             return refused("scheme_downgrade")
         at = following
     plain, error = inflate(body, first(headers, "content-encoding"))

@@ -1,7 +1,8 @@
 """Structured Streaming twins: extraction of arriving pages, windowed audit counts, rolling quotas, health.
 
-Stateful operators are keyed, use event time, and keep the same state class as the batch folds, so a stream
-that is read to its end gives the batch result. A key's state is its open window or its last outcomes.
+Stateful operators are keyed and keep the same state class as the batch folds, so a stream that is read to its end gives the
+batch result. A key's state is its open window or its last outcomes; a tenant's state goes once the watermark has passed its
+window, and the states of models are as few as models.
 """
 
 from __future__ import annotations
@@ -43,23 +44,32 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
 QUOTA_STATE = "at array<bigint>, n array<bigint>"
 
 
-def quota_stream(requests: DataFrame, limit: int = 300, window_ms: int = 60_000) -> DataFrame:
-    """Admissions of a stream of requests (tenant, request_id, at_ms, seeds); the state is the open window."""
+def quota_stream(requests: DataFrame, limit: int = 300, window_ms: int = 60_000, lateness: str = "10 minutes") -> DataFrame:
+    """Admissions of a stream of requests (tenant, request_id, at_ms, seeds); the state is the open window.
+
+    The state of an idle tenant is removed when all of it has expired, which changes no result; rows later than ``lateness`` are dropped.
+    """
 
     def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         at, n = state.get if state.exists else ([], [])
         quota = Quota(list(zip(at, n, strict=True)), 0, int(sum(n)))
         rows = pd.concat(list(batches)).sort_values(["at_ms", "request_id"])  # one trigger's rows of one tenant
         made = [quota.ask(int(r.at_ms), int(r.seeds), limit, window_ms) for r in rows.itertuples()]
         open_ = quota.admitted[quota.head :]
         state.update(([int(a) for a, _ in open_], [int(k) for _, k in open_]))
+        # expired once the watermark is past the last admission's window
+        state.setTimeoutTimestamp(max(int(rows["at_ms"].max()) + window_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({
             "tenant": rows["tenant"].to_numpy(), "request_id": rows["request_id"].to_numpy(), "ok": [m["ok"] for m in made], "used": [m["used"] for m in made],
         })
 
     kind = requests.schema["tenant"].dataType.simpleString()
-    return requests.groupBy("tenant").applyInPandasWithState(
-        admit, f"tenant {kind}, request_id long, ok boolean, used long", QUOTA_STATE, "append", GroupStateTimeout.NoTimeout
+    narrow = requests.select("tenant", "request_id", "at_ms", "seeds", F.timestamp_millis("at_ms").alias("ts")).withWatermark("ts", lateness)
+    return narrow.groupBy("tenant").applyInPandasWithState(
+        admit, f"tenant {kind}, request_id long, ok boolean, used long", QUOTA_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -77,7 +87,7 @@ def health_stream(outcomes: DataFrame) -> DataFrame:
         yield pd.DataFrame({"model": rows["model"].to_numpy(), "seq": rows["seq"].to_numpy(), "demotion": demotions})
 
     kind = outcomes.schema["model"].dataType.simpleString()
-    return outcomes.groupBy("model").applyInPandasWithState(
+    return outcomes.select("model", "seq", "outcome").groupBy("model").applyInPandasWithState(
         record, f"model {kind}, seq long, demotion int", HEALTH_STATE, "append", GroupStateTimeout.NoTimeout
     )
 

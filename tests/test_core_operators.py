@@ -98,11 +98,95 @@ def test_token_bucket(spark):
 
 def test_batch_runner(spark):
     rows = [(1, i, f"h{i}", [f"h{i}", "victim"], 1, 100) for i in range(4)] + [(1, 4, "victim", ["victim"], 1, 100), (2, 0, "a", ["a"], 99, 50_000), (2, 1, "a", ["a"], 5, 10_000), (2, 2, "a", ["a"], 1, 1)]
-    df = spark.createDataFrame(rows, "b int, ord int, host string, hosts array<string>, bytes long, duration_ms long")
+    df = spark.createDataFrame(rows, "b int, ord int, host string, hosts array<string>, bytes long, duration_ms long").selectExpr("*", "cast(null as double) AS cost", "false AS renders")
     got = {(r.b, r.ord): (r.outcome, r.reason) for r in folds.run_batch(df, "b", ["ord"], host_cap=3, per_seed=1, cap=200, wall_ms=55_000).collect()}
     assert got[1, 3] == ("ran", None) and got[1, 4] == ("skipped", "bulk_per_host_cap") and got[2, 1] == ("ran", None) and got[2, 2] == ("skipped", "bulk_deadline_exceeded")
 
 
+def slow_bucket(times, burst, refill):
+    """Tokens as they drip, one request after the other."""
+    tokens, at, out = float(burst), times[0], []
+    for t in times:
+        now = max(t, at)
+        tokens, at = min(burst, tokens + (now - at) / refill), now
+        if tokens < 1:
+            at = now + round((1 - tokens) * refill)
+            tokens = 1.0
+        tokens -= 1
+        out.append(at)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 100])
+def test_sums_and_rates_in_stretches(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(k % 3, i, rng.randrange(0, 4_000) * (k % 3 + 1), rng.randrange(0, 50)) for i, k in enumerate(rng.choices(range(3), k=200))]
+    df = spark.createDataFrame(rows, "h int, i int, at long, n long")
+    got = {r.i: r.start_ms for r in folds.request_starts(df, "h", "at", ["i"], 3, 16, chunk).collect()}
+    sums = {r.i: r.bytes_before for r in folds.running_bytes(df, "h", "i", "n", 5, 900, chunk).collect()}
+    for h in range(3):
+        own = sorted((r for r in rows if r[0] == h), key=lambda r: (r[2], r[1]))
+        assert [got[r[1]] for r in own] == slow_bucket([r[2] for r in own], 3, 16)
+        total = 0
+        for r in sorted(own, key=lambda r: r[1]):
+            assert sums[r[1]] == total
+            total += r[3]
+
+
+def slow_batch(rows, host_cap, per_seed, cap, wall, delay, cost_seed, cost_cap, render_cap, render_bytes):
+    """The schedule of one batch, rule by rule."""
+    clock = size = rendered = 0
+    cost, raw, ended, counts, closed, starts, out = 0.0, False, False, {}, set(), {}, []
+    for host, hosts, n, ms, price, wants in rows:
+        if clock >= wall:
+            out.append(("bulk_deadline_exceeded", None, False, False))
+            continue
+        if ended:
+            out.append(("bulk_budget_exceeded", None, False, False))
+            continue
+        if host in closed or counts.get(host, 0) >= host_cap:
+            out.append(("bulk_per_host_cap", None, False, False))
+            continue
+        asked = [*starts.get(host, []), clock]
+        begin = slow_bucket(asked, 2, delay)[-1]
+        if begin >= wall:
+            out.append(("bulk_deadline_exceeded", None, False, False))
+            continue
+        if size + per_seed > cap:
+            ended = True
+            out.append(("bulk_budget_exceeded", None, False, False))
+            continue
+        starts[host] = asked
+        pays = price is not None and not raw and cost + cost_seed <= cost_cap
+        draws = wants and rendered < render_cap and size + per_seed + render_bytes <= cap
+        rendered += draws
+        clock, size, ended = begin + ms, size + n, size + n > cap
+        if pays:
+            cost += price
+            raw = cost > cost_cap
+        for h in set(hosts):
+            counts[h] = counts.get(h, 0) + 1
+            if h != host and counts[h] >= host_cap:
+                closed.add(h)
+        out.append((None, begin, pays, bool(draws)))
+    return out
+
+
+def test_batch_runner_is_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for b in range(20):
+        for k in range(60):
+            host = f"h{rng.randrange(6)}"
+            rows.append((b, k, host, [host, f"h{rng.randrange(8)}"], rng.randrange(0, 40), rng.randrange(0, 3_000), rng.choice([None, 0.25, 0.5]), rng.random() < 0.3))
+    df = spark.createDataFrame(rows, "b int, ord int, host string, hosts array<string>, bytes long, duration_ms long, cost double, renders boolean")
+    found = folds.run_batch(df, "b", ["ord"], 9, 30, 800, 45_000, 2, 1_000, 0.25, 4.0, 5, 100).orderBy("b", "ord").collect()
+    for b in range(20):
+        mine = [(r.reason, r.started_ms, r.transformed, r.rendered) for r in found if r.b == b]
+        assert mine == slow_batch([r[2:] for r in rows if r[0] == b], 9, 30, 800, 45_000, 1_000, 0.25, 4.0, 5, 100)
+    assert {r.reason for r in found} == {None, "bulk_deadline_exceeded", "bulk_budget_exceeded", "bulk_per_host_cap"}
+
+
 def test_folds_carry_state_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
@@ -167,16 +251,16 @@ def test_records(spark):
     assert [(r.tier, r.gate.reason, r.access.reason) for r in got] == [v[1:] for v in PAGES.values()]
     assert got[2].content_kind == "job" and got[2].result == "Do things" and got[0].title == "T"
     plan = extract.records(extract.extract(extract.fetches_from_pages(df)))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1  # both scans of a page in one evaluation
+    assert plan.count("ArrowEvalPython") == 2  # other charsets, then both scans of a page in one evaluation
     rendered = spark.createDataFrame([(1, "<body><p>" + "now there is text " * 10 + "</p></body>")], "seed_id long, dom_html string")
     after = {r.seed_id: r.tier for r in extract.with_rendered(extract.records(extract.extract(extract.fetches_from_pages(df))), rendered).collect()}
     assert after == {0: "1", 1: "3", 2: "1", 3: "1", 4: "render-blocked"}
 
 
 def test_decoding(spark):
-    rows = [(b"caf\xe9", "text/html; charset=ISO-8859-1"), ("é".encode(), None), (b'<meta charset="latin1">\xe9', "text/html"), (b"a\xffb", "text/plain"), (b"", None)]
+    rows = [(b"caf\xe9", "text/html; charset=ISO-8859-1"), ("é".encode(), None), (b'<meta charset="latin1">\xe9', "text/html"), (b"a\xffb", "text/plain"), (b"", None), ("я".encode("koi8-r"), "text/html; charset=KOI8-R"), (b"\x80", "text/html; charset=ascii"), ("日".encode("shift_jis"), "text/html; charset=x-sjis")]
     df = spark.createDataFrame([(bytearray(b), c) for b, c in rows], "b binary, c string")
-    assert [r[0] for r in df.select(extract.decoded(F.col("b"), F.col("c"))).collect()] == ["café", "é", '<meta charset="latin1">é', "a�b", ""]
+    assert [r[0] for r in df.select(extract.decoded(F.col("b"), F.col("c"))).collect()] == ["café", "é", '<meta charset="latin1">é', "a�b", "", "я", "€", "日"]
 
 
 def recorded():
@@ -192,6 +276,10 @@ def test_fetching(spark):
     assert got[1][6] == b"<p>hi</p>" and got[2][2] == "https://a/1" and got[2][9] == [("https://a/2", 302)]
     assert [got[k][11] for k in (3, 4, 6, 9)] == ["scheme_downgrade", "redirect_limit", "unsupported_encoding", "network_error"]
     assert got[5][6] == b"zipped" and got[8][3] == 304 and fetches.fetch(recorded(), 1, "ftp://x")[11] == "unsupported_scheme"
+    for url, code in (("http://127.0.0.1/", "private_address"), ("http://[::1]/", "private_address"), ("https://a:22/", "blocked_port"), ("https://localhost/", "private_address"), ("https://x:y@a/1", "userinfo_url")):
+        assert fetches.fetch(recorded(), 1, url)[11] == code
+    hop = fetches.Recorded({"https://a/": (302, {"location": ["https://10.0.0.7/x"]}, b"")})
+    assert fetches.fetch(hop, 1, "https://a/")[11] == "private_address"
     df = spark.createDataFrame([(k, f"https://a/{k}") for k in (1, 2, 3)], "seed_id long, url string")
     answers = recorded().answers
     rows = {r.seed_id: r for r in fetches.fetch_table(df, lambda: fetches.Recorded(answers)).collect()}
