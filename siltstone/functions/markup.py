@@ -157,6 +157,7 @@ class Page:
             else:
                 self._add("void" if name in VOID or m[3].endswith("/") else "open", name, m[0], m[3])
         self.off = [k == "inert" for k in self.kind]
+        self.put = [" " if k in ("inert", "comment") else "" for k in self.kind]  # what stands for a masked token
 
     def _add(self, kind: str, name: str, raw: str, own: str = "") -> None:
         self.kind.append(kind)
@@ -190,7 +191,9 @@ class Page:
         for k, kind in enumerate(self.kind):
             if kind == "open":
                 if depth < 0 and hides(self.own[k]):
-                    depth = len(stack)
+                    depth, self.put[k] = len(stack), " "
+                elif depth >= 0:
+                    self.put[k] = ""
                 stack.append(self.name[k])
                 held[self.name[k]] = held.get(self.name[k], 0) + 1
             elif kind == "close" and held.get(self.name[k]):
@@ -202,7 +205,11 @@ class Page:
                 if depth >= len(stack):
                     depth = -1
                     self.off[k] = True
-            if depth >= 0 or kind == "void" and hides(self.own[k]):
+            elif depth >= 0:
+                self.put[k] = ""
+            elif kind == "void" and hides(self.own[k]):
+                self.off[k], self.put[k] = True, " "
+            if depth >= 0:
                 self.off[k] = True
 
     def drop(self, *names: str) -> None:
@@ -211,10 +218,11 @@ class Page:
             depth = 0
             for k, own in enumerate(self.name):
                 if own == name and not self.off[k] and self.kind[k] in ("open", "close"):
+                    self.put[k] = " " if self.kind[k] == "open" and not depth else ""
                     depth += 1 if self.kind[k] == "open" else -1 if depth else 0
                     self.off[k] = True
                 elif depth:
-                    self.off[k] = True
+                    self.off[k], self.put[k] = True, ""
 
     def elements(self, name: str) -> list[tuple[int, int]]:
         """Spans of tokens inside the elements of a name: the first close ends one, without a close it runs to the end."""
@@ -248,7 +256,7 @@ class Page:
         return out
 
     def html(self, span: tuple[int, int]) -> str:
-        return "".join(" " if self.off[k] and self.kind[k] in ("open", "inert", "comment") else "" if self.off[k] else self.raw[k] for k in range(*span))
+        return "".join(self.put[k] if self.off[k] else self.raw[k] for k in range(*span))
 
     def text(self, span: tuple[int, int]) -> str:
         """Visible text of a span; of a drawing only its painted text elements."""
