@@ -111,3 +111,16 @@ def compared_sets(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     sides = marked.where(F.col(value).isNotNull()).groupBy(value).agg(F.bit_or("side").alias("side"))
     count = lambda n: F.coalesce(F.count_if(F.col("side") == n), F.lit(0))
     return sides.agg(count(1).alias("left_only"), count(2).alias("right_only"), count(3).alias("common"))
+
+
+def audit_rows(rows: DataFrame, batch: str) -> DataFrame:
+    """What an audit log keeps of batches of rows (ord, status, code, bytes): a row per seed, one per failure, and a summary per batch.
+
+    Columns: kind, the batch, ord (null for a summary), outcome, code, n and bytes. Append it to the log's table.
+    """
+    seeds = rows.select(F.lit("seed").alias("kind"), batch, "ord", F.col("status").alias("outcome"), "code", F.lit(1).cast("long").alias("n"), F.col("bytes").cast("long").alias("bytes"))
+    failed = seeds.where("outcome = 'fail'").withColumn("kind", F.lit("failure"))
+    counts = [F.count_if(F.col("status") == s) for s in ("fail", "partial")]
+    summary = rows.groupBy(batch).agg(batch_status(*counts, F.count("*")).alias("outcome"), F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
+    summary = summary.select(F.lit("summary").alias("kind"), batch, F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"), "outcome", F.lit(None).cast("string").alias("code"), "n", "bytes")
+    return seeds.unionByName(failed).unionByName(summary)

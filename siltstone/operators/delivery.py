@@ -22,10 +22,10 @@ def field(c: Column) -> Column:
     return F.replace(F.regexp_extract(quoted, r'(?s)^\{"v":"(.*)"\}$', 1), F.lit("--"), F.lit("\\u002d\\u002d"))
 
 
-def text_payload(final_url: Column, tier: Column, code: Column, body: Column, is_json: Column) -> Column:
-    """A provenance comment and the body; a JSON body stands alone."""
+def text_payload(final_url: Column, tier: Column, code: Column, body: Column, is_json: Column, cut: Column | None = None) -> Column:
+    """A provenance comment and the body; a JSON body stands alone, unless it was cut off."""
     head = F.concat(F.lit("<!-- source: "), field(final_url), F.lit(" tier: "), tier, F.lit(" code: "), code.cast("string"), F.lit(" -->"))
-    return F.when(is_json, body).otherwise(F.concat_ws("\n\n", head, body))
+    return F.when(is_json if cut is None else is_json & ~cut, body).otherwise(F.concat_ws("\n\n", head, body))
 
 
 def debug_lines(attempts: Column) -> Column:

@@ -119,6 +119,22 @@ def in_ranges(df: DataFrame, address_col: str, ranges: DataFrame) -> DataFrame:
     return numbered.join(small(octets), "__o").where(F.col("__v").between(F.col("low"), F.col("high"))).drop("__v", "__o", "low", "high")
 
 
+def address_ranges_v6(spark, blocks: list[str] = urls.PRIVATE_V6) -> DataFrame:
+    """(cidr, low, high) of IPv6 blocks; ends as 32 hexadecimal digits."""
+    import ipaddress
+
+    nets = [ipaddress.ip_network(b) for b in blocks]
+    return spark.createDataFrame([(str(n), f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for n in nets], "cidr string, low string, high string")
+
+
+def in_ranges_v6(df: DataFrame, address_col: str, ranges: DataFrame) -> DataFrame:
+    """Rows of ``df`` joined with the ranges that hold their IPv6 address: by equality of the first octet, as ``in_ranges``."""
+    first = lambda c: F.conv(F.substring(c, 1, 2), 16, 10).cast("int")
+    octets = ranges.select("cidr", "low", "high", F.explode(F.sequence(first("low"), first("high"))).alias("__o"))
+    numbered = df.withColumn("__v", urls.v6_hex(F.col(address_col))).withColumn("__o", first("__v"))
+    return numbered.join(small(octets), "__o").where(F.col("__v").between(F.col("low"), F.col("high"))).drop("__v", "__o", "low", "high")
+
+
 def with_default(df: DataFrame, key: str, profiles: DataFrame, value: str, default: str) -> DataFrame:
     """Equi lookup of ``profiles`` (key, value) with a default."""
     found = small(profiles.groupBy(key).agg(F.max(value).alias(value)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import classify, html, markup, nodes, text, urls
-from siltstone.operators import batches, boards, folds, lookups, models, policy, schema, shaping
+from siltstone.operators import batches, boards, delivery, folds, lookups, models, policy, schema, shaping
 
 from .tables import table
 
@@ -279,6 +279,13 @@ def address_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", urls.is_private(a).alias("private"), urls.is_local_name(a).alias("local"), urls.ip_version(a).cast("long").alias("version"))
 
 
+def ipv6_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reserved ranges that hold IPv6 addresses made from ids."""
+    forms = F.array(_text("fd00::", F.hex("k")), _text("2001:4860::", F.hex("k")), _text("::ffff:10.0.0.", F.pmod("k", F.lit(200))), _text("fe80::", F.hex("k")), _text("[2001:db8::", F.hex("k"), "]"), F.lit("not an address"))
+    rows = _events(spark, sf_dir).select("event_id", F.element_at(forms, (F.pmod("v", F.lit(6)) + 1).cast("int")).alias("a"))
+    return lookups.in_ranges_v6(rows, "a", lookups.address_ranges_v6(spark)).select("event_id", "cidr")
+
+
 def redacted_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys in queries and fragments: reasons, and addresses without their values."""
     url = F.element_at(F.array(
@@ -351,6 +358,62 @@ def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def redirect_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hops of redirects: targets of five forms against a base, what they resolve to, and the hosts that a fetch touched."""
+    base = F.when(F.pmod("u", F.lit(2)) == 0, "https://www.shop.example/a/b").otherwise("http://www.shop.example/a/b")
+    target = F.element_at(F.array(
+        _text("/x", F.col("k")), _text("y", F.col("k")), _text("//cdn.example/z", F.col("k")), _text("http://other.example/", F.col("k")), _text("https://other.example/", F.col("k")),
+    ), (F.pmod("v", F.lit(5)) + 1).cast("int"))
+    resolved = html.resolve(urls.part(base, "scheme"), urls.host(base), urls.part(base, "path"), target)
+    key = lambda u: lookups.host_key(F.when(urls.host(u) == "www.shop.example", "shop.example"), urls.host(u), u)
+    touched = batches.egress_union(key(base), F.array(key(resolved)), key(base), F.when(F.pmod("k", F.lit(3)) == 0, F.array(F.lit("render.example"), F.lit("shop.example"))))
+    return _events(spark, sf_dir).select("event_id", resolved.alias("resolved"), urls.redirect_error(base, resolved).alias("error"), F.array_join(touched, ",").alias("touched"))
+
+
+def rendered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shell pages, some of which a renderer has filled."""
+    from siltstone.operators.extract import extract, fetches_from_pages, records, with_rendered
+
+    e = _events(spark, sf_dir)
+    shell = F.pmod("i", F.lit(3)) == 0
+    pages = e.select("event_id", _text("https://h/", F.col("i")).alias("url"), F.when(shell, '<div id="root"></div><script>x</script>').otherwise(F.concat(F.lit("<p>"), F.repeat(F.lit("word "), 20), F.lit("</p>"))).alias("html"))
+    dom = e.where(F.pmod("i", F.lit(2)) == 0).select(F.col("event_id").alias("seed_id"), F.concat(F.lit("<main>"), F.repeat(_text("filled ", F.col("k"), " "), 9), F.lit("</main>")).alias("dom_html"))
+    found = with_rendered(records(extract(fetches_from_pages(pages, "event_id"))), dom)
+    return found.select(F.col("seed_id").alias("event_id"), "tier", "resolved_via", "record_status", F.length("result").cast("long").alias("n"), F.col("access.reason").alias("access"))
+
+
+def model_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is shown of conversations' turns, and what it is asked."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"), "role")
+    title = F.when(F.col("role") == "user", F.concat(F.lit("T"), F.col("turn").cast("string")))
+    content = models.prompt(F.col("t"), title, F.when(F.pmod("turn", F.lit(2)) == 0, "about"), F.when(F.pmod("conv_id", F.lit(3)) == 0, '{"a":1}'))
+    asked = models.request_text(F.when(F.pmod("turn", F.lit(2)) == 0, "extract").otherwise("summary"), F.lit("sum up"), F.when(F.pmod("conv_id", F.lit(2)) == 0, '{"type":"object"}'), F.when(F.pmod("turn", F.lit(3)) == 0, F.lit(200)), content, F.lit("n0nce"))
+    return rows.select("conv_id", "turn", F.sha2(asked.cast("binary"), 256).alias("asked_hash"))
+
+
+def delivered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivery of single records: lean JSON, text with its provenance, attempts, actions."""
+    e = _events(spark, sf_dir)
+    url = _text("https://h/", F.col("i"), "?a=--b")
+    attempts = F.transform(F.sequence(F.lit(1), F.pmod("k", F.lit(3)).cast("int") + 1), lambda x: F.struct(
+        x.cast("string").alias("step"), F.lit("ok").alias("outcome"), F.when(x == 1, F.lit(200)).alias("status"), F.when(x == 2, F.col("event_type")).alias("reason")
+    ))
+    action = F.struct(F.lit("abort").alias("type"), F.col("event_type").alias("reason"), F.lit("GET").alias("method"), F.lit(None).cast("string").alias("resource"), F.lit("u").alias("url"))
+    is_json = F.pmod("u", F.lit(2)) == 0
+    return e.select(
+        "event_id", delivery.lean_json(F.col("k").alias("k"), F.when(F.pmod("i", F.lit(2)) == 0, F.col("event_type")).alias("kind")).alias("lean"),
+        delivery.text_payload(url, F.lit("1"), F.lit(200), F.lit("body"), is_json, F.pmod("v", F.lit(3)) == 0).alias("payload"), delivery.debug_lines(attempts).alias("debug"),
+        delivery.action_label(action).alias("action"),
+    )
+
+
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select(
+        "u", F.col("i").alias("ord"), F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "view", "partial").otherwise("pass").alias("status"), F.col("event_type").alias("code"), F.col("v").alias("bytes")
+    )
+    return batches.audit_rows(rows, "u")
+
+
 def board_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rosters of parts as boards: capped jobs, counts and titles."""
     parts = table(spark, sf_dir, "part").select(F.lower(F.regexp_replace("p_brand", "#", "")).alias("board"), "p_partkey")
@@ -361,7 +424,7 @@ def board_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     status_texts, response_headers, forward_plans, blocked_resources, oversized_batches, render_units, longest_texts, longest_text, customer_supplier_nations, output_modes, rows_not_run,
     free_models, completions, finalised_answers, schema_failures, nested_pages, streamed_pages, state_roundtrip, linked_nodes, title_choice, pin_captions, lean_structures, bot_walls,
-    render_reasons, error_split, address_families, redacted_addresses, embedded_boards, capped_html, tracker_free_texts, seed_classes, client_profiles, render_pool_log, page_parts, board_titles,
+    render_reasons, error_split, address_families, ipv6_ranges, redacted_addresses, embedded_boards, capped_html, tracker_free_texts, seed_classes, client_profiles, render_pool_log, page_parts, redirect_hops, rendered_records, model_prompts, delivered_rows, audit_rows, board_titles,
 )}
 
 _STATUS = ", ".join(f"({k}, '{v.replace(chr(39), chr(39) * 2)}')" for k, v in text.STATUS_TEXT.items())
@@ -422,6 +485,7 @@ SQL = {
         WHEN v * 5 >= 4096 AND shown >= 100 THEN 'extraction-gap' WHEN v * 5 < 2048 AND shown < 100 THEN 'empty-dom' ELSE 'unknown' END AS reason, CASE WHEN event_type = 'view' THEN 'read' ELSE 'transform' END AS scope FROM r""",
     "error_split": f"""WITH {_E} SELECT event_id, CASE WHEN i % 2 = 0 THEN event_type ELSE '' END AS errors, CASE WHEN i % 2 = 0 THEN 'schema_knob_extracted' ELSE 'schema_knob_extracted,' || event_type END AS warnings FROM e""",
     "address_families": f"""WITH {_E} SELECT event_id, v % 8 IN (0, 2, 3) AS private, v % 8 IN (4, 6) AS local, CAST(CASE WHEN v % 8 IN (0, 1, 2, 3) THEN 6 WHEN v % 8 = 5 THEN 4 ELSE 0 END AS BIGINT) AS version FROM e""",
+    "ipv6_ranges": f"""WITH {_E}, r AS (SELECT event_id, CASE v % 6 WHEN 0 THEN 'fc00::/7' WHEN 2 THEN '::ffff:0:0/96' WHEN 3 THEN 'fe80::/10' WHEN 4 THEN '2001:db8::/32' END AS cidr FROM e) SELECT * FROM r WHERE cidr IS NOT NULL""",
     "redacted_addresses": f"""WITH {_E} SELECT event_id, CASE WHEN v % 4 IN (0, 3) THEN 'signed_or_tokenized_url' END AS query, CASE WHEN v % 4 IN (1, 3) THEN 'signed_or_tokenized_url' END AS fragment,
         CASE v % 4 WHEN 0 THEN 'https://a.example/p?id=' || k || '&access_token=%5BREDACTED%5D' WHEN 1 THEN 'https://a.example/p#access_token=%5BREDACTED%5D' WHEN 2 THEN 'https://a.example/p?id=' || k ELSE 'https://a.example/#/r?access_token=%5BREDACTED%5D' END AS shown FROM e""",
     "embedded_boards": f"""WITH {_E} SELECT event_id, CASE v % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'ashby' END AS platform, CASE WHEN v % 3 < 2 THEN 'org' || u END AS token,
@@ -440,6 +504,24 @@ SQL = {
             UNION ALL SELECT u, r, event_id, ok, CASE WHEN es AND ok THEN a + v ELSE a END, CASE WHEN NOT es AND ok THEN b + v ELSE b END
             FROM (SELECT n.*, p.a, p.b, CASE WHEN es THEN p.a < 6000 ELSE p.b + v <= 9000 END AS ok FROM p JOIN n ON n.u = p.u AND n.r = p.r + 1))
         SELECT event_id, fits, a AS essential_bytes, b AS other_bytes FROM p WHERE r > 0""",
+    "redirect_hops": f"""WITH {_E}, b AS (SELECT *, CASE WHEN u % 2 = 0 THEN 'https' ELSE 'http' END AS s FROM e), r AS (SELECT *, CASE v % 5 WHEN 0 THEN s || '://www.shop.example/x' || k WHEN 1 THEN s || '://www.shop.example/a/y' || k
+            WHEN 2 THEN s || '://cdn.example/z' || k WHEN 3 THEN 'http://other.example/' || k ELSE 'https://other.example/' || k END AS resolved FROM b)
+        SELECT event_id, resolved, CASE WHEN s = 'https' AND v % 5 = 3 THEN 'scheme_downgrade' END AS error,
+            'shop.example' || CASE v % 5 WHEN 2 THEN ',cdn.example' WHEN 3 THEN ',other.example' WHEN 4 THEN ',other.example' ELSE '' END || CASE WHEN k % 3 = 0 THEN ',render.example' ELSE '' END AS touched FROM r""",
+    "rendered_records": f"""WITH {_E}, r AS (SELECT *, i % 3 = 0 AS shell, i % 2 = 0 AS drawn FROM e)
+        SELECT event_id, CASE WHEN NOT shell THEN '1' WHEN drawn THEN '3' ELSE 'render-blocked' END AS tier, CASE WHEN shell AND NOT drawn THEN 'tier1-shell-gate' ELSE 'tier1-html' END AS resolved_via,
+            CASE WHEN shell AND NOT drawn THEN 'fail' ELSE 'pass' END AS record_status, CAST(CASE WHEN NOT shell THEN 99 WHEN drawn THEN 9 * length('filled ' || k || ' ') - 1 ELSE 0 END AS BIGINT) AS n,
+            CASE WHEN shell AND NOT drawn THEN 'js-required' ELSE 'none' END AS access FROM r""",
+    "model_prompts": """WITH c AS (SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN role = 'user' THEN 'Title: T' || turn END, CASE WHEN turn % 2 = 0 THEN 'Description: about' END, coalesce(text, ''),
+            CASE WHEN conv_id % 3 = 0 THEN 'Structured data:' || chr(10) || '{"a":1}' END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS c FROM conversations)
+        SELECT conv_id, turn, sha256('Request: sum up' || CASE WHEN turn % 3 = 0 THEN ' Use at most 200 tokens.' ELSE '' END || CASE WHEN turn % 2 = 0 THEN chr(10) || 'Answer with JSON only' ||
+            CASE WHEN conv_id % 2 = 0 THEN ' that meets this schema: {"type":"object"}' ELSE '' END || '.' ELSE '' END || chr(10) || chr(10) || '<<<CONTENT n0nce>>>' || chr(10) || c || chr(10) || '<<<END n0nce>>>') AS asked_hash FROM c""",
+    "delivered_rows": f"""WITH {_E} SELECT event_id, '{{"k":' || k || CASE WHEN i % 2 = 0 THEN ',"kind":"' || event_type || '"' ELSE '' END || '}}' AS lean,
+        CASE WHEN u % 2 = 0 AND v % 3 <> 0 THEN 'body' ELSE '<!-- source: https://h/' || i || '?a=\\u002d\\u002db tier: 1 code: 200 -->' || chr(10) || chr(10) || 'body' END AS payload,
+        '1 ok 200' || CASE WHEN k % 3 >= 1 THEN chr(10) || '2 ok ' || event_type ELSE '' END || CASE WHEN k % 3 = 2 THEN chr(10) || '3 ok' ELSE '' END AS debug, 'abort:' || event_type || ':GET:u' AS action FROM e""",
+    "audit_rows": f"""WITH {_E}, s AS (SELECT u, i AS ord, CASE event_type WHEN 'error' THEN 'fail' WHEN 'view' THEN 'partial' ELSE 'pass' END AS outcome, event_type AS code, v AS bytes FROM e)
+        SELECT 'seed' AS kind, u, ord, outcome, code, CAST(1 AS BIGINT) AS n, bytes FROM s UNION ALL SELECT 'failure', u, ord, outcome, code, 1, bytes FROM s WHERE outcome = 'fail'
+        UNION ALL SELECT 'summary', u, NULL, CASE WHEN count(*) FILTER (outcome = 'fail') = count(*) THEN 'fail' WHEN count(*) FILTER (outcome <> 'pass') = 0 THEN 'pass' ELSE 'partial' END, NULL, count(*), CAST(sum(bytes) AS BIGINT) FROM s GROUP BY u""",
     "page_parts": """WITH p AS (SELECT *, '<ul CLASS="a" data-k="' || p_partkey || '">' AS ul, '<li class=''x'' class=''y''>' || p_brand || '</li>' AS one, '<li hidden>' || p_type || '<b>!</b></li>' AS two,
             '<nav>n<nav>' || p_partkey || '</nav>m</nav>' AS nav, '<svg><text>' || p_name || '</text><defs><text>no</text></defs></svg>' AS svg FROM part)
         SELECT p_partkey, CAST(2 AS BIGINT) AS items, 'x' AS class, length(p_brand) + 5 AS between, CAST(p_partkey AS VARCHAR) AS data_k, p_brand || '|' || p_type || '<b>!</b>' AS contents,
