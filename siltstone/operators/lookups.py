@@ -123,8 +123,8 @@ def address_ranges_v6(spark, blocks: list[str] = urls.PRIVATE_V6) -> DataFrame:
     """(cidr, low, high) of IPv6 blocks; ends as 32 hexadecimal digits."""
     import ipaddress
 
-    nets = [ipaddress.ip_network(b) for b in blocks]
-    return spark.createDataFrame([(str(n), f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for n in nets], "cidr string, low string, high string")
+    nets = [(b, ipaddress.ip_network(b)) for b in blocks]
+    return spark.createDataFrame([(b, f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for b, n in nets], "cidr string, low string, high string")
 
 
 def in_ranges_v6(df: DataFrame, address_col: str, ranges: DataFrame) -> DataFrame:
