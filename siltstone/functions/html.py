@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import urls
-from .core import let
+from .core import let, lookup
 from .text import collapse
 
 # Named character references and what they stand for.
@@ -24,6 +24,7 @@ ENTITIES = {
     "euml": "ë", "igrave": "ì", "iacute": "í", "icirc": "î", "iuml": "ï", "ntilde": "ñ", "ograve": "ò", "oacute": "ó", "ocirc": "ô", "otilde": "õ",
     "ouml": "ö", "oslash": "ø", "ugrave": "ù", "uacute": "ú", "ucirc": "û", "uuml": "ü", "yacute": "ý", "yuml": "ÿ", "szlig": "ß",
 }
+_NAMED = {name: value for name, value in ENTITIES.items() if name != "amp"}
 # Ids of elements that scripts fill, and names of framework state.
 APP_ROOTS = ("__next", "app", "gatsby-focus-wrapper", "root", "svelte")
 STATE_KEYS = ("__NEXT_DATA__", "__NUXT_DATA__", "__INITIAL_STATE__", "__PRELOADED_STATE__", "__APOLLO_STATE__")
@@ -48,9 +49,13 @@ def tag_count(c: Column, tag: str) -> Column:
 
 def attribute(attrs: Column, name: str) -> Column:
     """First value of an attribute, with references decoded; null where absent."""
+    return decode(_raw_attribute(attrs, name))
+
+
+def _raw_attribute(attrs: Column, name: str) -> Column:
     pattern = rf"""(?is)(?:^|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     value = lambda a: F.concat(*[F.regexp_extract(a, pattern, k) for k in (1, 2, 3)])
-    return let(attrs, lambda a: F.when(a.rlike(pattern), decode(value(a))))
+    return let(attrs, lambda a: F.when(a.rlike(pattern), value(a)))
 
 
 def elements(c: Column, tag: str) -> Column:
@@ -113,10 +118,9 @@ def decode(c: Column) -> Column:
 
 
 def _decode(c: Column) -> Column:
-    out = c
-    for name, value in ENTITIES.items():
-        if name != "amp":
-            out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
+    names = F.array_distinct(F.regexp_extract_all(c, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+    put = lambda text, n: F.coalesce(F.replace(text, F.concat(F.lit("&"), n, F.lit(";")), lookup(_NAMED, n)), text)
+    out = F.aggregate(names, c, put)
     return F.regexp_replace(let(out, _decode_numbers), r"(?i)&(?:amp|#38|#x26);", "&")
 
 
@@ -238,26 +242,25 @@ def srcset_first(c: Column) -> Column:
 MAX_IMAGE_TAGS = 200
 
 
-def image_candidates(c: Column, json_ld_images: Column | None = None) -> Column:
-    """Addresses of images: Open Graph first, then those of JSON-LD, then img and source elements, in order."""
-    og = open_graph(c)
-    keys = [F.get(F.array(og[k]), F.lit(0)) for k in ("og:image", "og:image:url", "og:image:secure_url")]
-    first = lambda a, *names: F.coalesce(*[attribute(a, n) for n in names])
+def image_candidates(c: Column, json_ld_images: Column | None = None, tags_: Column | None = None) -> Column:
+    """Addresses of images: Open Graph first (of ``tags_``, the page's meta map), then those of JSON-LD, then img and source elements, in order."""
+    keys = let(meta(c) if tags_ is None else tags_, lambda og: F.transform(F.array(*[F.lit(k) for k in ("og:image", "og:image:url", "og:image:secure_url")]), lambda k: F.try_element_at(og, k)))
+    first = lambda a, *names: decode(F.coalesce(*[_raw_attribute(a, n) for n in names]))
     tags = lambda name: F.slice(start_tags(c, name), 1, MAX_IMAGE_TAGS)
     marked = F.concat(
         F.transform(tags("img"), lambda a: first(a, "src", "data-src", "data-lazy-src")), F.transform(tags("source"), lambda a: srcset_first(first(a, "srcset", "data-srcset")))
     )
     linked = F.array().cast("array<string>") if json_ld_images is None else json_ld_images
-    return F.filter(F.array_compact(F.concat(F.array(*keys), linked, marked)), lambda u: F.trim(u) != "")
+    return F.filter(F.array_compact(F.concat(F.coalesce(keys, F.array().cast("array<string>")), linked, marked)), lambda u: F.trim(u) != "")
 
 
-def images(c: Column, page_url: Column, json_ld_images: Column | None = None) -> Column:
+def images(c: Column, page_url: Column, json_ld_images: Column | None = None, tags_: Column | None = None) -> Column:
     """Up to ``MAX_IMAGES`` distinct http addresses of a page's images, resolved, without fragments, credentials and internal hosts."""
     clean = lambda u: F.regexp_replace(F.regexp_replace(u, "#.*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@", "$1")
     base = F.struct(urls.part(page_url, "scheme").alias("s"), urls.host(page_url).alias("h"), urls.part(page_url, "path").alias("p"))
-    absolute = let(base, lambda b: F.transform(image_candidates(c, json_ld_images), lambda u: clean(resolve(b["s"], b["h"], b["p"], F.trim(u)))))
+    absolute = let(base, lambda b: F.transform(image_candidates(c, json_ld_images, tags_), lambda u: clean(resolve(b["s"], b["h"], b["p"], F.trim(u)))))
     usable = F.filter(
-        absolute, lambda u: F.coalesce(urls.part(u, "scheme").isin("http", "https") & ~urls.is_internal_image_host(urls.host(u)) & (F.length(u) <= MAX_IMAGE_URL), F.lit(False))
+        absolute, lambda u: F.coalesce(urls.part(u, "scheme").isin("http", "https") & (F.length(u) <= MAX_IMAGE_URL) & ~let(urls.host(u), urls.is_internal_image_host), F.lit(False))
     )
     return F.slice(F.array_distinct(usable), 1, MAX_IMAGES)
 

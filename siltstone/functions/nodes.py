@@ -40,21 +40,22 @@ def text_at(node: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(node, path, "variant")) == "STRING", F.try_variant_get(node, path, "string"))
 
 
-def field(node: Column, name: str) -> Column:
-    """A text field, trimmed; longer ones end in an ellipsis; null if blank or no text."""
+def field(node: Column, *names: str) -> Column:
+    """The first of some text fields that is not blank, trimmed; a longer one ends in an ellipsis; null if there is none."""
     cut = lambda v: F.when(F.length(v) > MAX_FIELD, F.concat(F.substring(v, 1, MAX_FIELD - 1), F.lit("…"))).otherwise(v)
-    return let(F.nullif(F.trim(text_at(node, f"$.{name}")), F.lit("")), cut)
+    return let(F.coalesce(*[F.nullif(F.trim(text_at(node, f"$.{n}")), F.lit("")) for n in names]), cut)
 
 
-def harvest(node: Column, lead: bool = False) -> Column:
-    """The text that a content node carries, by the order of fields of its type; null if none."""
+def harvest(node: Column, lead: bool | Column = False) -> Column:
+    """The text that a content node carries, by the order of fields of its type; null if none. As a lead, an article gives its headline first."""
     return let(types(node), lambda own: _harvest(node, own, lead))
 
 
-def _harvest(node: Column, own: Column, lead: bool) -> Column:
+def _harvest(node: Column, own: Column, lead: bool | Column) -> Column:
     has = lambda *names: F.arrays_overlap(own, F.array(*[F.lit(n) for n in names]))
-    f = lambda *names: F.coalesce(*[field(node, n) for n in names])
-    article = f("headline", "description", "articleBody") if lead else f("articleBody", "headline", "description")
+    f = lambda *names: field(node, *names)
+    short, whole = ("headline", "description", "articleBody"), ("articleBody", "headline", "description")
+    article = f(*(short if lead else whole)) if isinstance(lead, bool) else F.when(lead, f(*short)).otherwise(f(*whole))
     steps = F.try_variant_get(node, "$.recipeInstructions", "array<string>")
     how = F.try_variant_get(node, "$.recipeInstructions", "array<struct<text string>>")
     instructions = F.coalesce(
@@ -80,34 +81,43 @@ def _harvest(node: Column, own: Column, lead: bool) -> Column:
 MAX_DEPTH = 4
 
 
-def _many(v: Column, path: str) -> Column:
-    """Nodes at a path: an array's, arrays inside it opened twice, or a single one."""
-    none = F.array().cast("array<variant>")
-    listed = lambda x, at: F.try_variant_get(x, at, "array<variant>")
-    opened = lambda a: F.flatten(F.transform(a, lambda x: F.coalesce(listed(x, "$"), F.array(x))))
-    one = F.when(F.try_variant_get(v, path, "map<string,variant>").isNotNull(), F.array(F.try_variant_get(v, path, "variant")))
-    return F.coalesce(opened(opened(listed(v, path))), one, none)
+def _nodes(value: Column) -> Column:
+    """Nodes of a Variant: an array's, arrays inside it opened twice, or a single one."""
+    listed = lambda x: F.try_variant_get(x, "$", "array<variant>")
+    opened = lambda a: F.flatten(F.transform(a, lambda x: F.coalesce(listed(x), F.array(x))))
+    one = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.array(value))
+    return F.coalesce(opened(opened(listed(value))), one, F.array().cast("array<variant>"))
+
+
+def _below(v: Column, keys: tuple[str, ...]) -> Column:
+    """Nodes under some keys of a node, in the order of the keys."""
+    found = lambda m: F.array_compact(F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.try_element_at(m, k)))
+    held = let(F.try_variant_get(v, "$", "map<string,variant>"), found)
+    return F.coalesce(F.flatten(F.transform(held, _nodes)), F.array().cast("array<variant>"))
 
 
 def roots(texts: Column) -> Column:
     """The nodes of JSON texts, in order."""
-    return F.flatten(F.transform(texts, lambda t: let(F.try_parse_json(t), lambda v: _many(v, "$"))))
+    return F.flatten(F.transform(texts, lambda t: let(F.try_parse_json(t), _nodes)))
 
 
-def nested(texts: Column, ends: Callable[[Column], Column] | None = None) -> Column:
-    """Variant nodes of JSON texts, depth first: each node, then its graph, then its links. Nodes for which ``ends`` holds are not entered."""
-    paths = ['$["@graph"]', *[f"$.{link}" for link in LINKS]]
+def walked(texts: Column) -> Column:
+    """array<struct(depth, node)> of JSON texts, depth first: each node, then its graph, then its links."""
 
     def branch(v: Column, depth: int) -> Column:
+        own = F.array(F.struct(F.lit(depth).alias("depth"), v.alias("node")))
         if depth == MAX_DEPTH - 1:
-            return F.array(v)
-        below = F.flatten(F.transform(F.concat(*[_many(v, p) for p in paths]), lambda x: branch(x, depth + 1)))
-        whole = F.concat(F.array(v), below)
-        return whole if ends is None else F.when(ends(v), F.array(v)).otherwise(whole)
+            return own
+        return F.concat(own, F.flatten(F.transform(_below(v, ("@graph", *LINKS)), lambda x: branch(x, depth + 1))))
 
     return F.flatten(F.transform(roots(texts), lambda r: branch(r, 0)))
 
 
+def nested(texts: Column) -> Column:
+    """Variant nodes of JSON texts, depth first."""
+    return F.transform(walked(texts), lambda n: n["node"])
+
+
 def is_posting(v: Column) -> Column:
     return F.array_contains(types(v), "socialmediaposting")
 
@@ -118,46 +128,74 @@ def bearing_types(v: Column, is_pin: Column) -> Column:
     return F.filter(types(v), lambda t: t.isin(*CONTENT_TYPES) & carries(t))
 
 
-def bearing(texts: Column, is_pin: Column) -> Column:
-    """Nodes of a content type that carry text; what hangs below such a node is not looked at."""
+def bearing_of(found: Column, is_pin: Column) -> Column:
+    """The nodes among ``walked`` ones that carry text; what hangs below such a node is not looked at."""
     ok = lambda v: harvest(v).isNotNull() | (is_pin & is_posting(v) & field(v, "articleBody").isNotNull())
-    return F.filter(nested(texts, ok), ok)
+    marked = F.transform(found, lambda n: F.struct(n["depth"].alias("depth"), n["node"].alias("node"), F.coalesce(ok(n["node"]), F.lit(False)).alias("ok")))
+    # the depth of the bearing node that is being passed over, or one that nothing lies below
+    start = F.struct(F.array().cast("array<variant>").alias("kept"), F.lit(MAX_DEPTH).alias("under"))
+
+    def step(s: Column, n: Column) -> Column:
+        inside = n["depth"] > s["under"]
+        return F.struct(
+            F.when(~inside & n["ok"], F.array_append(s["kept"], n["node"])).otherwise(s["kept"]).alias("kept"),
+            F.when(inside, s["under"]).when(n["ok"], n["depth"]).otherwise(F.lit(MAX_DEPTH)).alias("under"),
+        )
+
+    return F.aggregate(marked, start, step, lambda s: s["kept"])
+
+
+def bearing(texts: Column, is_pin: Column) -> Column:
+    return bearing_of(walked(texts), is_pin)
+
+
+def postings_of(found: Column) -> Column:
+    """All social posts among ``walked`` nodes."""
+    return F.filter(F.transform(found, lambda n: n["node"]), is_posting)
 
 
 def postings(texts: Column) -> Column:
-    """All social posts among the nodes."""
-    return F.filter(nested(texts), is_posting)
+    return postings_of(walked(texts))
 
 
-def pin_caption(texts: Column, url: Column) -> Column:
+def pin_caption_of(found: Column, url: Column) -> Column:
     """On a pin's page the body of the post that refers to the pin, else of the first post."""
     pin = urls.pin_id(url)
     refs = lambda v: F.array_compact(F.array(*[text_at(v, p) for p in ('$["@id"]', "$.url", "$.mainEntityOfPage", '$.mainEntityOfPage["@id"]', "$.mainEntityOfPage.url")]))
     own = lambda v: F.exists(refs(v), lambda r: urls.is_pin_page(r) & (urls.pin_id(r) == pin))
-    chosen = lambda found: F.coalesce(F.get(F.filter(found, own), F.lit(0)), F.get(found, F.lit(0)))
-    return F.when(urls.is_pin_page(url), let(let(postings(texts), chosen), lambda v: field(v, "articleBody")))
+    chosen = lambda posts: F.coalesce(F.get(F.filter(posts, own), F.lit(0)), F.get(posts, F.lit(0)))
+    return F.when(urls.is_pin_page(url), let(let(postings_of(found), chosen), lambda v: field(v, "articleBody")))
 
 
-def lead(found: Column, texts: Column, url: Column, has_text: Column) -> Column:
+def pin_caption(texts: Column, url: Column) -> Column:
+    return pin_caption_of(walked(texts), url)
+
+
+def lead(found: Column, walked_: Column, url: Column, has_text: Column) -> Column:
     """What structured data puts before a page's text: the first content node's text, else a pin's caption; markup removed.
 
-    ``found`` are the bearing nodes; where the page has text of its own, an article gives its headline rather than its body.
+    ``found`` are the bearing nodes among the ``walked`` ones; where the page has text of its own, an article gives its headline
+    rather than its body.
     """
-    first = F.filter(found, lambda v: F.exists(types(v), lambda t: t.isin(*[c for c in CONTENT_TYPES if c != "socialmediaposting"])))
-    harvested = F.get(F.transform(first, lambda v: F.when(has_text, harvest(v, True)).otherwise(harvest(v))), F.lit(0))
+    first = F.get(F.filter(found, is_content), F.lit(0))
     plain = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), "(?i)&[a-z]+;", " "), r"\s+", " "))
-    return plain(F.coalesce(harvested, pin_caption(texts, url)))
+    return plain(F.coalesce(let(first, lambda v: harvest(v, has_text)), pin_caption_of(walked_, url)))
+
+
+def is_content(v: Column) -> Column:
+    """Whether a node has a content type other than that of social posts."""
+    return F.exists(types(v), lambda t: t.isin(*[c for c in CONTENT_TYPES if c != "socialmediaposting"]))
 
 
 def candidates(texts: Column) -> Column:
     """Top nodes and the nodes of their graphs, in order."""
-    return F.flatten(F.transform(roots(texts), lambda v: F.concat(F.array(v), _many(v, '$["@graph"]'))))
+    return F.flatten(F.transform(roots(texts), lambda v: F.concat(F.array(v), _below(v, ("@graph",)))))
 
 
 def preferred_title(raw: Column, texts: Column) -> Column:
     """A page's title: that of its structured data, unless the page's own title holds it."""
     named = lambda v: F.coalesce(*[F.nullif(F.trim(text_at(v, f"$.{n}")), F.lit("")) for n in ("title", "name", "headline")])
-    content = lambda v: F.exists(types(v), lambda t: t.isin(*[c for c in CONTENT_TYPES if c != "socialmediaposting"])) & harvest(v).isNotNull()
+    content = lambda v: is_content(v) & harvest(v).isNotNull()
     found = F.get(F.array_compact(F.transform(F.filter(candidates(texts), content), named)), F.lit(0))
     return let(F.struct(raw.alias("raw"), found.alias("own")), lambda t: F.when(t["own"].isNull() | F.coalesce(F.lower(t["raw"]).contains(F.lower(t["own"])), F.lit(False)), t["raw"]).otherwise(t["own"]))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .core import lookup
+
 ELLIPSIS = "…"
 # Lengths at which texts are cut for delivery.
 EXCERPT, SNIPPET, SEED_SNIPPET, SEED_CONTENT, TITLE = 3000, 2000, 500, 8000, 140
@@ -142,8 +144,7 @@ STATUS_TEXT = {
 
 def status_text(status: Column) -> Column:
     """Reason phrase of an HTTP status, '' for an unknown one."""
-    known = F.create_map(*[F.lit(x) for pair in STATUS_TEXT.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, status.cast("int")), F.lit(""))
+    return F.coalesce(lookup(STATUS_TEXT, status.cast("int")), F.lit(""))
 
 
 def is_redirect(status: Column) -> Column:

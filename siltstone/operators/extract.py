@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import classify, html, markup, nodes, text, urls
+from siltstone.functions.core import lookup
 
 MAX_BODY, MAX_CHARS = 5 * 1024 * 1024, 5_000_000
 NO_ERRORS = "array<struct<code: string, message: string>>"
@@ -51,7 +52,7 @@ def decoded(body: Column, content_type: Column) -> Column:
     head = F.make_valid_utf8(F.substring(body, 1, 1024))
     prescan = F.lower(F.regexp_extract(F.regexp_replace(head, r"(?s)<!--.*?-->", ""), r"""(?i)<meta\b[^>]*?charset\s*=\s*["']?([A-Za-z0-9_-]+)""", 1))
     name = F.coalesce(text.charset(content_type), F.when(text.is_html_type(content_type), F.nullif(prescan, F.lit(""))), F.lit("utf-8"))
-    other = F.try_element_at(F.create_map(*[F.lit(x) for pair in CHARSETS.items() for x in pair]), name)
+    other = lookup(CHARSETS, name)
 
     @F.arrow_udf("string")
     def decode(bodies: pa.Array, codecs: pa.Array) -> pa.Array:
@@ -74,6 +75,7 @@ def extract(fetches: DataFrame) -> DataFrame:
     page = page.withColumns({
         "text": F.when(is_html, F.col("scope.text")).otherwise(F.col("source")),
         "json_ld": F.col("embedded.json_ld"), "state": F.col("embedded.state"), "state_keys": F.map_keys("embedded.state"),
+        "raw_title": F.when(is_html, html.title(F.col("source"))),
         "canonical_url": F.when(is_html, html.canonical_link(F.col("source"))),
         "meta": F.when(is_html, html.meta(F.col("source"))),
         "script_count": html.tag_count(F.col("source"), "script"),
@@ -84,16 +86,17 @@ def extract(fetches: DataFrame) -> DataFrame:
             F.when(F.length("whole") > MAX_CHARS, F.array(F.struct(F.lit("extract_truncated").alias("code"), F.lit(f"Extraction input capped at {MAX_CHARS} chars").alias("message")))).otherwise(F.array().cast(NO_ERRORS)),
         ),
     })
+    page = page.withColumn("walked", F.when(F.size("json_ld") > 0, nodes.walked(F.col("json_ld"))).otherwise(F.array().cast("array<struct<depth: int, node: variant>>")))
     linked = lambda value, kind: F.when(F.size("json_ld") > 0, value).otherwise(F.array().cast(kind))
     page = page.withColumns({
-        "title": F.when(is_html, F.when(F.size("json_ld") > 0, nodes.preferred_title(html.title(F.col("source")), F.col("json_ld"))).otherwise(html.title(F.col("source")))),
-        "images": F.when(is_html, html.images(F.col("source"), F.coalesce("final_url", "url"), linked(nodes.image_addresses(F.col("json_ld")), "array<string>"))),
-        "bearing": linked(nodes.bearing(F.col("json_ld"), F.col("is_pin")), "array<variant>"),
+        "title": F.when(F.size("json_ld") > 0, nodes.preferred_title(F.col("raw_title"), F.col("json_ld"))).otherwise(F.col("raw_title")),
+        "images": F.when(is_html, html.images(F.col("source"), F.coalesce("final_url", "url"), linked(nodes.image_addresses(F.col("json_ld")), "array<string>"), F.col("meta"))),
+        "bearing": linked(nodes.bearing_of(F.col("walked"), F.col("is_pin")), "array<variant>"),
     })
     page = page.withColumns({"text_length": F.length("text"), "word_count": text.word_count(F.col("text"))})
     page = page.withColumns({
         "bearing_types": F.flatten(F.transform("bearing", lambda v: nodes.bearing_types(v, F.col("is_pin")))),
-        "lead": F.when(F.size("json_ld") > 0, nodes.lead(F.col("bearing"), F.col("json_ld"), F.coalesce("final_url", "url"), _substantial(F.col("text"), F.col("word_count")))),
+        "lead": F.when(F.size("json_ld") > 0, nodes.lead(F.col("bearing"), F.col("walked"), F.coalesce("final_url", "url"), _substantial(F.col("text"), F.col("word_count")))),
         "paywalled": F.when(F.size("json_ld") > 0, nodes.is_paywalled(F.col("json_ld"))).otherwise(False),
         "structured": classify.usable_structure(F.col("bearing"), F.col("state_keys")),
         "bot": classify.bot_signal(classify.bot_evidence(F.col("headers"), F.col("source"), F.col("status"))),
@@ -107,7 +110,7 @@ def extract(fetches: DataFrame) -> DataFrame:
             F.col("status"), F.col("content_type"), F.col("gate.reason"), F.col("json_ld"), F.col("state_keys"), F.coalesce(F.size("meta"), F.lit(0))
         ),
         "content_sha256": text.sha256(F.col("whole")),
-    }).drop("bearing", "embedded", "whole")
+    }).drop("bearing", "walked", "raw_title", "embedded", "whole")
 
 
 def records(extracted: DataFrame, output: str = "raw", fetched_at: str = "1970-01-01T00:00:00.000Z") -> DataFrame:

@@ -221,7 +221,7 @@ def linked_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nodes.bearing(texts, F.lit(False))
     return e.select(
         "event_id", F.array_join(F.flatten(F.transform(found, lambda v: nodes.bearing_types(v, F.lit(False)))), ",").alias("types"),
-        nodes.lead(found, texts, F.lit("https://x/"), F.lit(True)).alias("lead"),
+        nodes.lead(found, nodes.walked(texts), F.lit("https://x/"), F.lit(True)).alias("lead"),
     )
 
 
