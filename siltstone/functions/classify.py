@@ -27,6 +27,7 @@ CREDENTIALS = (
     r"\bAZURE_CLIENT_SECRET\s*=\s*[A-Za-z0-9._~+/=-]{30,}\b",
 )
 HEADER_DUMPS = (r"(?i)authorization:\s*(?:bearer|basic)\s+[A-Za-z0-9._~+/=-]{8,}", r"(?i)set-cookie:\s*[^=\s;]{1,64}=[^;\s<]{16,}")
+# Fixed value: an address in a text.
 URL_IN_TEXT = r"""(?i)(https?://(?:[^\s"'<>)\]\[@/]+(?::[^\s"'<>)\]\[@/]*)?@)?\[[^\]\s]{1,79}\](?::\d{1,5})?(?:[/?#][^\s"'<>]*)?|https?://[^\s"'<>]{1,512})"""
 URL_SCAN_CHARS = 500_000
 
@@ -194,26 +195,50 @@ def required_scope(output: Column) -> Column:
     return F.when(output == "raw", "read").otherwise("transform")
 
 
-def _any(c: Column, patterns: tuple[str, ...]) -> Column:
+#: What a text must hold for one of ``CREDENTIALS`` to match, by pattern, and in small letters for ``HEADER_DUMPS`` and the first of them.
+CREDENTIAL_MARKS = (
+    (), ("gho_", "ghp_", "ghs_", "ghu_"), ("github_pat_",), ("sk-ant-",), ("sk-",), ("AKIA",), ("xoxb-", "xoxp-"), ("AIza",), ("glpat-",), ("eyJ",), ("AWS_SECRET_ACCESS_KEY",),
+    ("AWS_SESSION_TOKEN",), ("AZURE_CLIENT_SECRET",),
+)
+FOLDED_MARKS, DUMP_MARKS = ("private key",), ("authorization:", "set-cookie:")
+
+
+def _holds(c: Column, marks: tuple[str, ...]) -> Column:
     out = F.lit(False)
-    for p in patterns:
-        out = out | c.rlike(p)
+    for m in marks:
+        out = out | c.contains(m)
+    return out
+
+
+def _credential(c: Column, low: Column) -> Column:
+    """Whether a text holds a credential; plain searches come before patterns, since hardly any text passes them."""
+    out = _holds(low, FOLDED_MARKS) & c.rlike(CREDENTIALS[0])
+    for pattern, marks in zip(CREDENTIALS[1:], CREDENTIAL_MARKS[1:], strict=True):
+        out = out | (_holds(c, marks) & c.rlike(pattern))
     return out
 
 
 def sensitive_reason(content: Column, source_url: Column | None = None) -> Column:
     """Why a text must not leave: source address, credentials, header dumps, then addresses in the text; null if none."""
     body = F.coalesce(content, F.lit(""))
-    found = [F.when(_any(body, CREDENTIALS), "content_credential_signal"), F.when(_any(body, HEADER_DUMPS), "content_header_dump")]
+
+    def scan(low: Column) -> Column:
+        dump = F.lit(False)
+        for pattern, mark in zip(HEADER_DUMPS, DUMP_MARKS, strict=True):
+            dump = dump | (low.contains(mark) & body.rlike(pattern))
+        return F.when(_credential(body, low), "content_credential_signal").when(dump, "content_header_dump")
+
+    found = [let(F.lower(body), scan)]
     if source_url is not None:
         own = F.coalesce(urls.signed_reason(source_url), urls.internal_reason(source_url))
-        found = [own, F.when(_any(F.coalesce(source_url, F.lit("")), CREDENTIALS), "source_credential_signal"), *found]
+        address = F.coalesce(source_url, F.lit(""))
+        found = [own, F.when(_credential(address, F.lower(address)), "source_credential_signal"), *found]
     every = F.transform(F.regexp_extract_all(F.substring(body, 1, URL_SCAN_CHARS), F.lit(URL_IN_TEXT), F.lit(0)), _trim_prose)
     reason = lambda u: F.coalesce(
         urls.signed_reason(u, urls.CREDENTIAL_KEYS), urls.fragment_reason(u), urls.password_reason(u), urls.loopback_reason(u), urls.internal_reason(u, True)
     )
     first = F.get(F.filter(F.transform(every, reason), lambda r: r.isNotNull()), F.lit(0))
-    return F.coalesce(*found, F.when(first.isNotNull(), F.concat(F.lit("content_embedded_"), first)))
+    return F.coalesce(*found, F.when(body.contains("://"), F.when(first.isNotNull(), F.concat(F.lit("content_embedded_"), first))))
 
 
 def _trim_prose(url: Column) -> Column:
