@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.shipping import ship
 
-from . import decontaminate, embedding_join, html_main, line_dedup, ngram_join, packing, quality, secret_scan, sharding, warc
+from . import conversations, decontaminate, embedding_join, html_main, line_dedup, merkle, ngram_join, oracles, packing, quality, quality_rules, secret_scan, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,20 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.documents_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality_rules.with_verdict(quality_rules.ledger(docs))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_join": op1_embedding_join,
@@ -78,6 +92,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_ngram_join": op9_ngram_join,
         "op10_html_main": op10_html_main,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
@@ -105,6 +122,9 @@ ORACLES = {
         o AS (SELECT p.id AS u, q.id AS v, p.n AS pn, q.n AS qn, count(*) AS shared FROM g p JOIN g q ON p.t = q.t AND p.id <> q.id GROUP BY ALL),
         links AS (SELECT u, v FROM o WHERE 100 * shared >= 85 * (pn + qn - shared)), nodes AS (SELECT id FROM k), {_REACH}
         SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM k JOIN component USING (id)""",
+    "op11_conversation_repair": oracles.CONVERSATIONS,
+    "op12_merkle_manifest": oracles.MANIFEST,
+    "op13_quality_rules": oracles.RULES,
     # Menus, adverts and footers go from the body, what is left is the text: the stored pages have no other boilerplate.
     "op10_html_main": r"""WITH b AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<body[^>]*>(.*?)(?:</body>|$)', 1), '(?is)<!--.*?-->|<(?:script|style)[^>]*>.*?</(?:script|style)>', '', 'g') AS h FROM pages),
         k AS (SELECT page_id, url, regexp_replace(h, '(?is)<nav>.*?</nav>|<footer>.*?(?:</footer>|$)|<div class="ad">.*?</div>', '<hr>', 'g') AS h FROM b),
