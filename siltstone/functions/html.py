@@ -28,6 +28,8 @@ _NAMED = {name: value for name, value in ENTITIES.items() if name != "amp"}
 # Ids of elements that scripts fill, and names of framework state.
 APP_ROOTS = ("__next", "app", "gatsby-focus-wrapper", "root", "svelte")
 STATE_KEYS = ("__NEXT_DATA__", "__NUXT_DATA__", "__INITIAL_STATE__", "__PRELOADED_STATE__", "__APOLLO_STATE__")
+# Elements whose content is not page text.
+INERT = ("script", "style", "template", "noscript", "svg")
 MAX_IMAGES, MAX_IMAGE_URL = 12, 2048
 
 # possessive runs: Java's matcher recurses for every turn of a group that it may have to give back
@@ -60,7 +62,7 @@ def _raw_attribute(attrs: Column, name: str) -> Column:
 
 def elements(c: Column, tag: str) -> Column:
     """Content of every element of a name; the first close ends it, without one it runs to the end."""
-    return F.regexp_extract_all(_html(c), F.lit(rf"(?is)<{tag}(?:\s{_ATTRS})?>(.*?)(?:</{tag}(?=[\s/>])[^>]*>|\z)"), F.lit(1))
+    return F.regexp_extract_all(_html(c), F.lit(rf"(?is)<{tag}(?:\s{_ATTRS})?>(.*?)(?:</{tag}(?=[\s/>])[^>]*+(?:>|\z)|\z)"), F.lit(1))
 
 
 def without_comments(c: Column) -> Column:
@@ -69,9 +71,14 @@ def without_comments(c: Column) -> Column:
 
 
 def without(c: Column, *tags: str) -> Column:
-    """Elements of these names removed with their content; an unterminated one keeps its content."""
-    names = "|".join(tags)
-    return F.regexp_replace(c, rf"(?is)<({names})(?:\s{_ATTRS})?>.*?</\1(?=[\s/>])[^>]*>", " ")
+    """Elements of these names removed with their content, name by name; an unterminated one keeps its content.
+
+    Where a name has no further end tag, one match takes the rest of the page, so no start tag looks for its end in vain twice.
+    """
+    for tag in tags:
+        start = rf"<{tag}(?:\s{_ATTRS})?>"
+        c = F.regexp_replace(c, rf"(?is){start}.*?</{tag}(?=[\s/>])[^>]*+(?:>|\z)|({start}.*+)\z", " $1")
+    return c
 
 
 def without_tags(c: Column) -> Column:
@@ -81,7 +88,7 @@ def without_tags(c: Column) -> Column:
 def without_hidden(c: Column) -> Column:
     """Elements with ``hidden`` or ``display:none`` removed, where they hold no element of their own name."""
     hidden = r"""(?:\shidden(?=[\s>=/])|style\s*=\s*(?:"[^"]*display\s*:\s*none[^"]*"|'[^']*display\s*:\s*none[^']*'))"""
-    return F.regexp_replace(c, rf"(?is)<([a-z][a-z0-9]*)(?=[\s>])(?=[^>]*?{hidden}){_ATTRS}>(?:[^<]++|<(?!\1[\s>]|/\1\s*>))*+</\1\s*>", " ")
+    return F.regexp_replace(c, rf"(?is)<([a-z][a-z0-9]*)(?=[\s>])(?={_ATTRS}>)(?=[^>]*?{hidden}){_ATTRS}>(?:[^<]++|<(?!\1[\s>]|/\1\s*>))*+</\1\s*>", " ")
 
 
 def hidden_classes(c: Column) -> Column:
@@ -96,7 +103,7 @@ def hidden_classes(c: Column) -> Column:
 
 def without_classes(c: Column, classes: Column) -> Column:
     """Elements with one of the classes removed, where they hold no element of their own name."""
-    before = r"""(?is)<([a-z][a-z0-9]*)(?=[\s>])(?=[^>]*?\sclass\s*=\s*["']?(?:[^"'>]*\s)?(?:"""
+    before = rf"""(?is)<([a-z][a-z0-9]*)(?=[\s>])(?={_ATTRS}>)(?=[^>]*?\sclass\s*=\s*["']?(?:[^"'>]*\s)?(?:"""
     after = rf""")(?=[\s"'>])){_ATTRS}>(?:[^<]++|<(?!\1[\s>]|/\1\s*>))*+</\1\s*>"""
     pattern = F.concat(F.lit(before), F.array_join(classes, "|"), F.lit(after))
     return F.when(F.size(classes) > 0, F.regexp_replace(c, pattern, F.lit(" "))).otherwise(c)
@@ -104,10 +111,16 @@ def without_classes(c: Column, classes: Column) -> Column:
 
 def capped(c: Column, n: int) -> Column:
     """The first n characters; a cut inside a tag, or inside a script or the like, moves back before it."""
+
+    def before(head: Column, tag: str) -> Column:
+        """Length of what precedes the first start tag of a name that has no end tag of its name after it."""
+        pattern = rf"(?is)^((?:.*</{tag}(?=[\s>]))?+.*?)<{tag}(?=[\s>])"
+        return F.when(head.rlike(pattern), F.length(F.regexp_extract(head, pattern, 1)))
+
     def cut(x: Column) -> Column:
         head = F.regexp_replace(F.substring(x, 1, n), r"(?s)<[^<>]{0,30}$", "")
-        inert = r"(?is)<(script|style|template|noscript|svg)(?=[\s>])(?:[^<]++|<(?!/\1[\s>]))*+$"
-        return F.when(F.length(x) <= n, x).otherwise(F.regexp_replace(head, inert, ""))
+        kept = lambda h: F.substring(h, F.lit(1), F.least(F.length(h), *[before(h, t) for t in INERT]))
+        return F.when(F.length(x) <= n, x).otherwise(let(head, kept))
 
     return let(_html(c), cut)
 
@@ -144,7 +157,7 @@ def glue_numbers(c: Column) -> Column:
 
 def body(c: Column) -> Column:
     """Content of the body, to the end where it is not closed; the page without its head where there is none."""
-    found = lambda x: F.regexp_extract(x, rf"(?is)<body(?:\s{_ATTRS})?>(.*?)(?:</body(?=[\s/>])[^>]*>|\z)", 1)
+    found = lambda x: F.regexp_extract(x, rf"(?is)<body(?:\s{_ATTRS})?>(.*?)(?:</body(?=[\s/>])[^>]*+(?:>|\z)|\z)", 1)
     return let(_html(c), lambda x: F.when(x.rlike(r"(?is)<body[\s>]"), found(x)).otherwise(without(x, "head")))
 
 
@@ -182,11 +195,10 @@ def meta(c: Column) -> Column:
         lambda a: F.struct(F.lower(F.trim(F.coalesce(attribute(a, "property"), attribute(a, "name")))).alias("key"), attribute(a, "content").alias("value")),
     )
     valid = F.filter(pairs, lambda p: p["key"].isNotNull() & (p["key"] != "") & p["value"].isNotNull())
-    return F.aggregate(
-        valid,
-        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
-        lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.create_map(p["key"], p["value"])),
-    )
+    placed = F.array_sort(F.transform(valid, lambda p, k: F.struct(p["key"].alias("key"), k.alias("at"), p["value"].alias("value"))))
+    # of equal keys, which now lie side by side, the last
+    last = let(placed, lambda all_: F.filter(all_, lambda p, k: ~F.get(all_, k + 1)["key"].eqNullSafe(p["key"])))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
 
 
 def open_graph(c: Column) -> Column:
@@ -200,7 +212,7 @@ def plain_meta(c: Column) -> Column:
 def scripts(c: Column, media_type: str) -> Column:
     """array<struct(id, text)> of the scripts of a media type."""
     found = F.transform(
-        F.regexp_extract_all(_html(c), F.lit(rf"(?is)(<script(?=[\s/>]){_ATTRS}>.*?)(?:</script(?=[\s/>])[^>]*>|\z)"), F.lit(1)),
+        F.regexp_extract_all(_html(c), F.lit(rf"(?is)(<script(?=[\s/>]){_ATTRS}>.*?)(?:</script(?=[\s/>])[^>]*+(?:>|\z)|\z)"), F.lit(1)),
         lambda s: F.struct(
             F.regexp_extract(s, rf"(?is)^<script({_ATTRS})>", 1).alias("attrs"), F.regexp_extract(s, rf"(?is)^<script{_ATTRS}>(.*)$", 1).alias("text")
         ),
@@ -209,12 +221,18 @@ def scripts(c: Column, media_type: str) -> Column:
     return F.transform(F.filter(found, lambda s: own(s) == media_type), lambda s: F.struct(attribute(s["attrs"], "id").alias("id"), s["text"].alias("text")))
 
 
+def without_cdata(c: Column) -> Column:
+    """A script's text without CDATA marks around it, and without the comment marks around these."""
+    trimmed = lambda x: F.regexp_replace(x, r"\A\s++|(?<!\s)\s++\z", "")
+    opened = F.regexp_replace(trimmed(c), r"\A(?://)?+\s*+(?:/\*)?+\s*+<!\[CDATA\[\s*+(?:\*/)?+", "")
+    closed = r"\]\]>\s*+(?:\*/)?\z"
+    ended = lambda x: trimmed(F.regexp_replace(trimmed(F.regexp_replace(trimmed(F.regexp_replace(x, closed, "")), r"/\*\z", "")), r"//\z", ""))
+    return let(opened, lambda x: F.when(x.rlike(closed), ended(x)).otherwise(trimmed(x)))
+
+
 def json_ld(c: Column) -> Column:
     """array of the JSON texts of a page's JSON-LD scripts that parse, CDATA marks removed."""
-    texts = F.transform(
-        scripts(c, "application/ld+json"),
-        lambda s: F.trim(F.regexp_replace(s["text"], r"(?s)^\s*(?://)?\s*(?:/\*)?\s*<!\[CDATA\[\s*(?:\*/)?|\s*(?://)?\s*(?:/\*)?\s*\]\]>\s*(?:\*/)?\s*$", "")),
-    )
+    texts = F.transform(scripts(c, "application/ld+json"), lambda s: without_cdata(s["text"]))
     return F.filter(texts, lambda t: F.try_parse_json(t).isNotNull())
 
 

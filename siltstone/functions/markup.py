@@ -365,6 +365,20 @@ def safe_json(text: str) -> tuple[str | None, list[tuple[str, str]]]:
 ASSIGNED = re.compile("(?:(?:window|globalThis|self)\\s*\\.\\s*)?(" + "|".join(k for k in STATE_KEYS if k != "__NEXT_DATA__") + ")\\s*=\\s*")
 
 
+OPENED = re.compile(r"(?://)?+\s*+(?:/\*)?+\s*+<!\[CDATA\[\s*+(?:\*/)?+")
+CLOSED = re.compile(r"\]\]>\s*+(?:\*/)?\Z")
+
+
+def without_cdata(text: str) -> str:
+    """A script's text without CDATA marks around it, and without the comment marks around these."""
+    text = text.strip()
+    if m := OPENED.match(text):
+        text = text[m.end() :]
+    if m := CLOSED.search(text):
+        text = text[: m.start()].rstrip().removesuffix("/*").rstrip().removesuffix("//")
+    return text.strip()
+
+
 def embedded(source: str) -> dict:
     """JSON-LD texts, application state by key, and errors of both."""
     linked, state, errors, unnamed = [], {}, [], 0
@@ -373,8 +387,7 @@ def embedded(source: str) -> dict:
         media = own.get("type", "").split(";")[0].strip().lower()
         found: list[tuple[str, str]] = []
         if media == "application/ld+json":
-            clean = re.sub(r"(?s)^\s*(?://)?\s*(?:/\*)?\s*<!\[CDATA\[\s*(?:\*/)?|\s*(?://)?\s*(?:/\*)?\s*\]\]>\s*(?:\*/)?\s*$", "", content).strip()
-            value, issues = safe_json(clean)
+            value, issues = safe_json(without_cdata(content))
             linked += [value] if value is not None else []
             errors += [("invalid_json_ld" if code == "invalid_json" else code, message) for code, message in issues]
         elif media == "application/json" and content.strip():

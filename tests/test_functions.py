@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +245,58 @@ def test_image_flood_keeps_source_tags(spark):
     page = "".join(f'<img src="/{k}.png">' for k in range(500)) + '<source srcset="last.webp 1x">'
     found = spark.createDataFrame([(page,)], "h string").select(html.image_candidates(F.col("h"))).first()[0]
     assert len(found) == 201 and found[199:] == ["/199.png", "last.webp"]
+
+
+FLOODS = {
+    "blanks": lambda n: '<script type="application/ld+json">' + " " * n + '{"a":' + " " * n + "1}" + " " * n + "</script>",
+    "cdata": lambda n: '<script type="application/ld+json">//<![CDATA[ {"a":1}' + " " * n + "]]> " * (n // 4) + "</script>",
+    "scripts": lambda n: "<script>" * (n // 8),
+    "quotes": lambda n: '<script "' * (n // 9),
+    "ends": lambda n: "<script>" + "</script " * (n // 9),
+    "metas": lambda n: '<meta name="a" content="b">' * (n // 27),
+    "styles": lambda n: "<style >" * (n // 8),
+    "mixed": lambda n: "<script><style></script><p hidden>" * (n // 34),
+}
+
+
+@pytest.mark.parametrize("name", FLOODS)
+def test_floods_of_a_megabyte_are_read_in_linear_time(spark, name):
+    text = FLOODS[name](1_000_000)
+    df = spark.createDataFrame([(text,)], "h string").repartition(1)
+    shown = [html.json_ld, html.visible_text, html.meta, lambda c: html.capped(c, len(text) - 10), html.title]
+    df.select(*[f(F.lit("")) for f in shown]).collect()  # compile
+    for f in shown:
+        began = time.time()
+        df.select(f(F.col("h")).alias("x")).collect()
+        assert time.time() - began < 5
+
+
+def test_cdata_marks(spark):
+    cases = {
+        '  {"a":1} \n': '{"a":1}', '<![CDATA[{"a":1}]]>': '{"a":1}', '// <![CDATA[\n{"a":1}\n// ]]>\n': '{"a":1}', '/*<![CDATA[*/ {"a":1} /*]]>*/': '{"a":1}',
+        ' {"a":"]]>"} ': '{"a":"]]>"}', "]]>": "", "<![CDATA[": "", "": "", '{"a":"//"}': '{"a":"//"}',
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "c string").select("c", html.without_cdata(F.col("c")).alias("x")).collect()
+    assert {r.c: r.x for r in rows} == cases == {c: markup.without_cdata(c) for c in cases}
+
+
+def test_elements_without_end_keep_their_content(spark):
+    page = "a<script>1</script>b<style>2</style><script>3<b>c</b><style>4</style>"
+    assert spark.range(1).select(html.without(F.lit(page), "script", "style")).first()[0].split() == ["a", "b", "<script>3<b>c</b>"]
+
+
+def test_cuts_before_open_parts(spark):
+    pages = {"<p>a</p><script>x</script><style>": "<p>a</p><script>x</script>", "<p><script>1<style>2</script>3": "<p><script>1", "ab <scr": "ab ", "<svg><g></svg>ab": "<svg><g></svg>ab"}
+    for page, want in pages.items():
+        assert spark.range(1).select(html.capped(F.lit(page + "z" * 9), len(page))).first()[0] == want
+
+
+def test_equality_of_json_at_any_depth(spark):
+    same = [('{"a":1}', {"a": 1.0}, True), ('{"a":[1,{"b":2e0}]}', {"a": [1.0, {"b": 2}]}, True), ('"1"', 1, False), ('{"a":"1.0 x"}', {"a": "1 x"}, False), ("-0", 0, True)]
+    same += [('{"1":1}', {"1.0": 1}, False), ('{"b":null,"a":"\\"2.0\\""}', {"a": '"2.0"', "b": None}, True), ("[1,2]", [2, 1], False), ("1.5", 1.5, True), ("true", 1, False)]
+    for text, value, want in same:
+        v = F.try_parse_json(F.lit(text))
+        assert spark.range(1).select(schema.equals(v, value)).first()[0] is want, (text, value)
+        assert spark.range(1).select(schema.failure(v, {"enum": [value]}).isNull()).first()[0] is want
+    unique = lambda t: spark.range(1).select(schema.failure(F.try_parse_json(F.lit(t)), {"uniqueItems": True}).isNull()).first()[0]
+    assert not unique("[1, 1.0]") and not unique('[{"a":[1]},{"a":[1.0]}]') and unique('[1, "1", 2]')
