@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import urls
+from siltstone.functions.core import let
 from siltstone.functions.text import first_text, iso_time
 
 JOB_CAP = 500
@@ -84,6 +85,51 @@ def _lever_pay(j: Column) -> Column:
     return F.coalesce(first_text(j["salaryDescriptionPlain"]), shown)
 
 
+_ROSTERS = (("ashby", ASHBY_SCHEMA, "jobs"), ("greenhouse", GREENHOUSE_SCHEMA, "jobs"), ("lever", LEVER_SCHEMA, None))
+
+
+def _listed(platform: str, schema: str, path: str | None, body: Column) -> Column:
+    """The jobs of a roster that are listed, as the platform gives them; null for text that is no roster."""
+    parsed = F.from_json(body, schema)
+    listed = parsed[path] if path else parsed
+    return F.filter(listed, lambda j: F.coalesce(j["isListed"], F.lit(True))) if platform == "ashby" else listed
+
+
+def _fields(platform: str, j: Column) -> list[Column]:
+    """A job of a platform in the fields that all platforms have."""
+    if platform == "ashby":
+        pay = F.when(F.coalesce(j["shouldDisplayCompensationOnJobPostings"], F.lit(False)), first_text(j["compensation"]["scrapeableCompensationSalarySummary"], j["compensation"]["compensationTierSummary"]))
+        return _job(
+            id=first_text(j["id"]), title=first_text(j["title"]), url=first_text(j["jobUrl"], j["applyUrl"]), location=first_text(j["location"]),
+            department=first_text(j["department"]), team=first_text(j["team"]), employment_type=first_text(j["employmentType"]),
+            workplace_type=first_text(j["workplaceType"]), remote=j["isRemote"], published_at=first_text(j["publishedAt"]), compensation=pay,
+        )
+    if platform == "greenhouse":
+        return _job(
+            id=j["id"], title=first_text(j["title"]), url=first_text(j["absolute_url"]), location=first_text(j["location"]["name"]),
+            published_at=first_text(j["first_published"], j["updated_at"]),
+        )
+    c = j["categories"]
+    return _job(
+        id=first_text(j["id"]), title=first_text(j["text"]), url=first_text(j["hostedUrl"]), location=first_text(c["location"]),
+        department=first_text(c["department"]), team=first_text(c["team"]), employment_type=first_text(c["commitment"]),
+        workplace_type=first_text(j["workplaceType"]), published_at=iso_time(j["createdAt"]), compensation=_lever_pay(j),
+    )
+
+
+def roster(platform: Column, body: Column, cap: int = JOB_CAP) -> Column:
+    """array<struct(ord, job_count, truncated, and the job's fields)> of a board's list, as ``jobs`` gives them; empty for other platforms and texts."""
+    found = []
+    for name, schema, path in _ROSTERS:
+        def rows(listed: Column, name: str = name) -> Column:
+            own = lambda j, k: F.struct(k.cast("long").alias("ord"), F.size(listed).cast("long").alias("job_count"), (F.size(listed) > cap).alias("truncated"), *_fields(name, j))
+            kept = F.filter(F.transform(F.slice(listed, 1, cap), own), lambda j: j["__any"])
+            return F.transform(kept, lambda j: F.struct(*[j[c].alias(c) for c in ("ord", "job_count", "truncated", *FIELDS)]))
+
+        found.append(F.when(platform == name, let(_listed(name, schema, path, body), rows)))
+    return F.coalesce(*found)
+
+
 def jobs(boards: DataFrame, json_col: str = "body", cap: int = JOB_CAP) -> DataFrame:
     """Jobs of boards (platform, board, body): platform, board, ord, job_count, truncated, and the job's fields.
 
@@ -91,34 +137,10 @@ def jobs(boards: DataFrame, json_col: str = "body", cap: int = JOB_CAP) -> DataF
     and jobs without any name are dropped after. One board's roster is one row of the input, so bounded.
     """
     out = None
-    for platform, schema, path in (("ashby", ASHBY_SCHEMA, "jobs"), ("greenhouse", GREENHOUSE_SCHEMA, "jobs"), ("lever", LEVER_SCHEMA, None)):
-        parsed = F.from_json(json_col, schema)
-        listed = parsed[path] if path else parsed
-        if platform == "ashby":
-            listed = F.filter(listed, lambda j: F.coalesce(j["isListed"], F.lit(True)))
-        own = boards.where(F.col("platform") == platform).select("platform", "board", listed.alias("__jobs"))
+    for platform, schema, path in _ROSTERS:
+        own = boards.where(F.col("platform") == platform).select("platform", "board", _listed(platform, schema, path, F.col(json_col)).alias("__jobs"))
         rows = own.select("platform", "board", F.size("__jobs").cast("long").alias("job_count"), F.posexplode("__jobs").alias("ord", "j"))
-        j = F.col("j")
-        if platform == "ashby":
-            pay = F.when(F.coalesce(j["shouldDisplayCompensationOnJobPostings"], F.lit(False)), first_text(j["compensation"]["scrapeableCompensationSalarySummary"], j["compensation"]["compensationTierSummary"]))
-            job = _job(
-                id=first_text(j["id"]), title=first_text(j["title"]), url=first_text(j["jobUrl"], j["applyUrl"]), location=first_text(j["location"]),
-                department=first_text(j["department"]), team=first_text(j["team"]), employment_type=first_text(j["employmentType"]),
-                workplace_type=first_text(j["workplaceType"]), remote=j["isRemote"], published_at=first_text(j["publishedAt"]), compensation=pay,
-            )
-        elif platform == "greenhouse":
-            job = _job(
-                id=j["id"], title=first_text(j["title"]), url=first_text(j["absolute_url"]), location=first_text(j["location"]["name"]),
-                published_at=first_text(j["first_published"], j["updated_at"]),
-            )
-        else:
-            c = j["categories"]
-            job = _job(
-                id=first_text(j["id"]), title=first_text(j["text"]), url=first_text(j["hostedUrl"]), location=first_text(c["location"]),
-                department=first_text(c["department"]), team=first_text(c["team"]), employment_type=first_text(c["commitment"]),
-                workplace_type=first_text(j["workplaceType"]), published_at=iso_time(j["createdAt"]), compensation=_lever_pay(j),
-            )
-        rows = rows.where(F.col("ord") < cap).select("platform", "board", F.col("ord").cast("long"), "job_count", (F.col("job_count") > cap).alias("truncated"), *job)
+        rows = rows.where(F.col("ord") < cap).select("platform", "board", F.col("ord").cast("long"), "job_count", (F.col("job_count") > cap).alias("truncated"), *_fields(platform, F.col("j")))
         rows = rows.where("__any").drop("__any")
         out = rows if out is None else out.unionByName(rows)
     return out

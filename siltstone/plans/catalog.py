@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import batch_queries, fold_queries, host_queries, page_queries, roundtrip_queries, rule_queries
+from . import batch_queries, fold_queries, host_queries, page_queries, roundtrip_queries, rule_queries, sql_queries
 
-_MODULES = (page_queries, host_queries, batch_queries, fold_queries, roundtrip_queries, rule_queries)
+_MODULES = (page_queries, host_queries, batch_queries, fold_queries, roundtrip_queries, rule_queries, sql_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
