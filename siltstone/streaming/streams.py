@@ -1,21 +1,16 @@
 """Structured Streaming twins: extraction of arriving pages, windowed audit counts, rolling quotas, health.
 
-Stateful operators are keyed and keep the same state class as the batch folds, so a stream that is read to its end gives the
+Stateful operators are keyed and keep the same state class as the batch folds (``keyed.py``), so a stream that is read to its end gives the
 batch result. A key's state is its open window or its last outcomes; a tenant's state goes once the watermark has passed its
-window, and the states of models are as few as models.
+window, a model's when it has had no outcome for a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from siltstone.operators.folds import Health, Quota
+from .keyed import HealthFold, QuotaFold, keyed_fold
 
 
 def page_stream(pages: DataFrame) -> DataFrame:
@@ -41,60 +36,28 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
     )
 
 
-QUOTA_STATE = "at array<bigint>, n array<bigint>"
-
-
 def quota_stream(requests: DataFrame, limit: int = 300, window_ms: int = 60_000, lateness: str = "10 minutes") -> DataFrame:
-    """Admissions of a stream of requests (tenant, request_id, at_ms, seeds); the state is the open window.
+    """Admissions of a stream of requests (tenant, request_id, at_ms, seeds), decided as they arrive; the state is the open window.
 
-    The state of an idle tenant is removed when all of it has expired, which changes no result; rows later than ``lateness`` are dropped.
+    The requests of one trigger are taken in order of time. The state of an idle tenant is removed once the watermark has passed its last admission's window,
+    which changes no result; rows later than ``lateness`` are dropped.
     """
-
-    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, n = state.get if state.exists else ([], [])
-        quota = Quota(list(zip(at, n, strict=True)), 0, int(sum(n)))
-        rows = pd.concat(list(batches)).sort_values(["at_ms", "request_id"])  # one trigger's rows of one tenant
-        made = [quota.ask(int(r.at_ms), int(r.seeds), limit, window_ms) for r in rows.itertuples()]
-        open_ = quota.admitted[quota.head :]
-        state.update(([int(a) for a, _ in open_], [int(k) for _, k in open_]))
-        # expired once the watermark is past the last admission's window
-        state.setTimeoutTimestamp(max(int(rows["at_ms"].max()) + window_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({
-            "tenant": rows["tenant"].to_numpy(), "request_id": rows["request_id"].to_numpy(), "ok": [m["ok"] for m in made], "used": [m["used"] for m in made],
-        })
-
     kind = requests.schema["tenant"].dataType.simpleString()
     narrow = requests.select("tenant", "request_id", "at_ms", "seeds", F.timestamp_millis("at_ms").alias("ts")).withWatermark("ts", lateness)
-    return narrow.groupBy("tenant").applyInPandasWithState(
-        admit, f"tenant {kind}, request_id long, ok boolean, used long", QUOTA_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
-
+    return keyed_fold(narrow, "tenant", QuotaFold(limit, window_ms), f"tenant {kind}, request_id long, ok boolean, used long")
 
-HEALTH_STATE = "recent array<boolean>, streak int, demotion int"
 
+def health_stream(outcomes: DataFrame, forget_ms: int = 7 * 24 * 3600 * 1000, lateness: str = "10 minutes") -> DataFrame:
+    """Demotion after every outcome of a stream (model, seq, outcome and, for states that expire, at_ms).
 
-def health_stream(outcomes: DataFrame) -> DataFrame:
-    """Demotion after every outcome of a stream (model, seq, outcome)."""
-
-    def record(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        health = Health(*_plain(state.get)) if state.exists else Health()
-        rows = pd.concat(list(batches)).sort_values("seq")
-        demotions = [health.record(o) for o in rows["outcome"]]
-        state.update((health.recent, health.streak, health.demotion))
-        yield pd.DataFrame({"model": rows["model"].to_numpy(), "seq": rows["seq"].to_numpy(), "demotion": demotions})
-
+    With times, a model begins anew once the watermark is ``forget_ms`` past its last outcome; without, its state stays.
+    """
     kind = outcomes.schema["model"].dataType.simpleString()
-    return outcomes.select("model", "seq", "outcome").groupBy("model").applyInPandasWithState(
-        record, f"model {kind}, seq long, demotion int", HEALTH_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def _plain(state: tuple[Any, ...]) -> tuple[list[bool], int, int]:
-    recent, streak, demotion = state
-    return [bool(x) for x in recent], int(streak), int(demotion)
+    timed = "at_ms" in outcomes.columns
+    rows = outcomes.select("model", "seq", "outcome", *(["at_ms"] if timed else []))
+    if timed:
+        rows = rows.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", lateness)
+    return keyed_fold(rows, "model", HealthFold(forget_ms if timed else None), f"model {kind}, seq long, demotion int")
 
 
 def append_audit(stream: DataFrame, path: str, checkpoint: str):
