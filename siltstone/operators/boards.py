@@ -146,6 +146,29 @@ def jobs(boards: DataFrame, json_col: str = "body", cap: int = JOB_CAP) -> DataF
     return out
 
 
+#: Bytes of a roster; a caller's own limit counts where it is smaller.
+MAX_ROSTER = 8 * 1024 * 1024
+
+
+def board_bodies(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Fetched rosters (platform, board, status, body as bytes, truncated, rejected) as texts: ``body``, ``digest`` and ``dropped``.
+
+    A roster counts only whole: refused fetches, statuses other than 2xx, bodies that were cut or exceed the limit, and texts that are no JSON have a null body
+    and digest, and the first of these reasons in ``dropped``. The digest is the SHA-256 of the bytes.
+    """
+    limit = MAX_ROSTER if max_bytes is None else min(MAX_ROSTER, max_bytes)
+    shown = F.make_valid_utf8(F.regexp_replace(F.make_valid_utf8(F.col("body")), "^\\ufeff", ""))
+    reason = (
+        F.when(F.coalesce("rejected", F.lit(False)), "rejected")
+        .when(~F.coalesce(F.col("status").between(200, 299), F.lit(False)), "status")
+        .when(F.coalesce("truncated", F.lit(False)) | (F.length("body") > limit), "truncated")
+        .when(F.try_parse_json(shown).isNull(), "not_json")
+    )
+    made = responses.withColumn("__dropped", reason).withColumn("__digest", F.sha2("body", 256))
+    kept = lambda c: F.when(F.col("__dropped").isNull(), c)
+    return made.withColumns({"body": kept(shown), "digest": kept(F.col("__digest")), "dropped": F.col("__dropped")}).drop("__dropped", "__digest")
+
+
 def envelopes(rows: DataFrame) -> DataFrame:
     """One row per board: job_count, truncated, kept jobs and a title."""
     label = F.initcap("platform")

@@ -92,6 +92,21 @@ def board_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def board_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rosters fetched for boards of parts, some of which fail, joined with the jobs that they hold."""
+    parts = table(spark, sf_dir, "part").withColumn("board", F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / 50).cast("string")))
+    one = F.concat(F.lit('{"id":"j'), F.col("p_partkey").cast("string"), F.lit('","text":"'), F.col("p_name"), F.lit('"}'))
+    listed = parts.groupBy("board").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("j")))), lambda x: x["j"]).alias("jobs"), F.min("p_partkey").alias("k"))
+    end = F.when(F.col("k") % 7 == 3, "").otherwise("]")
+    fetched = listed.select(
+        F.lit("lever").alias("platform"), "board", F.concat(F.lit("["), F.array_join("jobs", ","), end).cast("binary").alias("body"), F.when(F.col("k") % 5 == 0, 404).otherwise(200).alias("status"),
+        (F.col("k") % 11 == 1).alias("truncated"), (F.col("k") % 13 == 2).alias("rejected"),
+    )
+    found = boards.board_bodies(fetched, max_bytes=2_000)
+    counts = boards.jobs(found.where("body is not null")).groupBy("board").agg(F.count("*").alias("n_jobs"), F.max("id").alias("last_id"))
+    return found.join(counts, "board", "left").select("board", "dropped", "digest", F.coalesce("n_jobs", F.lit(0)).alias("n_jobs"), "last_id")
+
+
 def board_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of boards, list endpoints and single jobs, made from ids."""
     forms = [
@@ -138,7 +153,7 @@ def capped_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "jsonld_roundtrip": jsonld_roundtrip, "meta_roundtrip": meta_roundtrip, "hidden_roundtrip": hidden_roundtrip, "image_roundtrip": image_roundtrip,
-    "board_roundtrip": board_roundtrip, "board_tokens": board_tokens, "props_schema_check": props_schema_check, "provenance_hash": provenance_hash,
+    "board_roundtrip": board_roundtrip, "board_fetches": board_fetches, "board_tokens": board_tokens, "props_schema_check": props_schema_check, "provenance_hash": provenance_hash,
     "conversation_prompts": conversation_prompts, "capped_bodies": capped_bodies,
 }
 
@@ -153,6 +168,11 @@ SQL = {
         '([€£¥₹$])\s+(\d[\d ,]*)\s*\.\s*(\d{{1,4}})', '\1\2.\3', 'g'), '(\d)\s+\.(\d)', '\1.\2', 'g'), '(\d)\s+([€£¥₹])', '\1\2', 'g') AS text FROM documents""",
     "image_roundtrip": """SELECT o_orderkey, 'https://cdn.example.com/' || o_orderkey || '.png https://example.com/a/' || o_orderkey || '.jpg https://example.com/dir/b.webp' AS images
         FROM orders""",
+    "board_fetches": """WITH g AS (SELECT p_brand || '-' || p_partkey // 50 AS board, min(p_partkey) AS k, count(*) AS n, max('j' || p_partkey) AS last,
+            string_agg('{"id":"j' || p_partkey || '","text":"' || p_name || '"}', ',' ORDER BY p_partkey) AS jobs FROM part GROUP BY ALL),
+        b AS (SELECT *, '[' || jobs || CASE WHEN k % 7 = 3 THEN '' ELSE ']' END AS body FROM g),
+        d AS (SELECT *, CASE WHEN k % 13 = 2 THEN 'rejected' WHEN k % 5 = 0 THEN 'status' WHEN k % 11 = 1 OR strlen(body) > 2000 THEN 'truncated' WHEN k % 7 = 3 THEN 'not_json' END AS dropped FROM b)
+        SELECT board, dropped, CASE WHEN dropped IS NULL THEN sha256(body) END AS digest, CASE WHEN dropped IS NULL THEN n ELSE 0 END AS n_jobs, CASE WHEN dropped IS NULL THEN last END AS last_id FROM d""",
     "board_roundtrip": """WITH p AS (SELECT *, p_brand || '-' || (p_partkey // 1000) AS board, (['ashby', 'greenhouse', 'lever'])[p_partkey % 3 + 1] AS platform FROM part),
         l AS (SELECT *, row_number() OVER (PARTITION BY platform, board ORDER BY p_partkey) - 1 AS ord, count(*) OVER (PARTITION BY platform, board) AS n FROM p WHERE platform <> 'ashby' OR p_size <> 7)
         SELECT platform, board, ord, n AS job_count, n > 10 AS truncated, CAST(p_partkey AS VARCHAR) AS id, p_name AS title, 'https://j/' || p_partkey AS url,

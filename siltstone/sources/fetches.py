@@ -1,9 +1,10 @@
 """A Python data source of HTTP responses, with a client that can be replaced.
 
-``spark.read.format("responses").option("client", "package.module:factory").load()`` runs one client per
-partition of seeds. Seeds come from JSON lines in the option ``seeds`` or a file that Spark reads; results
-are rows, refusals too: nothing is raised for a bad address. Tests use a recorded client; no network is
-opened unless a client does it.
+``spark.read.format("responses").option("client", "package.module:factory").load(path)`` runs one client per
+partition of seeds. Seeds are Parquet files under a path, also by platform, or JSON lines in the option ``seeds``; results
+are rows, refusals too: nothing is raised for a bad address. Platforms choose files; as a stream, the source reads
+files as they arrive and goes on from its last offset. Tests use a recorded client; no network is opened unless a client does it.
+Planning lists the path with pyarrow, so it must be one that pyarrow opens; ``fetch_table`` takes seeds that Spark reads from anywhere.
 """
 
 from __future__ import annotations
@@ -12,15 +13,19 @@ import gzip
 import importlib
 import ipaddress
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Protocol
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import unquote, urljoin, urlsplit
 
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from siltstone.functions import urls
+from siltstone.shipping import ship
 
 SCHEMA = (
     "seed_id long, url string, final_url string, status int, content_type string, headers map<string,array<string>>, body binary, bytes long, "
@@ -137,43 +142,143 @@ def fetch(client: Client, seed_id: int, url: str, max_body: int = MAX_BODY, max_
     return (seed_id, url, at, status, first(headers, "content-type") or None, headers, plain[:max_body], min(len(plain), max_body), cut or error is not None, hops, False, None)
 
 
+class Seeds:
+    """A folder of Parquet files of seeds (seed_id, url), as Spark writes them, also in folders ``platform=...``.
+
+    Only names and row counts are read for planning; executors read the seeds.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def files(self) -> list[str]:
+        """Files in order of their names, which for a stream must ascend as files arrive."""
+        system, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+        names = [f.path[len(root.rstrip("/")) + 1 :] for f in found if f.is_file and f.path.endswith(".parquet")]
+        return sorted((n for n in names if not any(part.startswith(("_", ".")) for part in n.split("/"))), key=lambda n: n.rsplit("/", 1)[-1])
+
+    def open(self, name: str) -> pq.ParquetFile:
+        system, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        return pq.ParquetFile(system.open_input_file(f"{root.rstrip('/')}/{name}"))
+
+    @staticmethod
+    def platform(name: str) -> str | None:
+        found = re.search(r"(?:^|/)platform=([^/]*)/", name)
+        return unquote(found[1]) if found and found[1] != "__HIVE_DEFAULT_PARTITION__" else None
+
+
 class _Part(InputPartition):
-    def __init__(self, seeds: list[tuple[int, str]]) -> None:
-        super().__init__(len(seeds))
-        self.seeds = seeds
+    """Row groups of one file of seeds, or seeds themselves where they came as an option."""
+
+    def __init__(self, seeds: list[tuple[int, str]] | None = None, path: str = "", name: str = "", groups: tuple[int, ...] = ()) -> None:
+        super().__init__(name)
+        self.seeds, self.path, self.name, self.groups = seeds, path, name, groups
+
+
+def _answered(factory: str, partition: _Part) -> Iterator[tuple]:
+    module, _, name = factory.partition(":")
+    client = getattr(importlib.import_module(module), name)()
+    if partition.seeds is not None:
+        for seed_id, url in partition.seeds:
+            yield (*fetch(client, seed_id, url), None)
+        return
+    file, platform = Seeds(partition.path).open(partition.name), Seeds.platform(partition.name)
+    for group in partition.groups:
+        for batch in file.iter_batches(batch_size=1024, row_groups=[group], columns=["seed_id", "url"]):
+            for seed_id, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield (*fetch(client, seed_id, url or ""), platform)
 
 
 class _Reader(DataSourceReader):
+    """Reads all seeds, or those of some platforms, whose files alone are planned.
+
+    The option ``platforms`` (JSON array) names them. With ``pushdown=true`` equalities on ``platform`` do so, too; Spark 4.1 keeps what was pushed
+    for later queries of the same DataFrame that have no filter, so this is for a DataFrame that one query uses.
+    """
+
     def __init__(self, options: dict[str, str]) -> None:
-        self.factory = options["client"]
-        self.seeds = [(int(s["seed_id"]), s["url"]) for s in map(json.loads, options["seeds"].splitlines()) if s]
+        self.factory, self.path = options["client"], options.get("path")
+        self.seeds = [(int(s["seed_id"]), s["url"]) for s in map(json.loads, options.get("seeds", "").splitlines()) if s]
         self.parts = max(1, int(options.get("partitions", "4")))
+        self.platforms: set[str | None] | None = set(json.loads(options["platforms"])) if "platforms" in options else None
+        self.pushes = options.get("pushdown", "false").lower() == "true"
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if self.pushes and self.path and wanted is not None and f.attribute == ("platform",):
+                self.platforms = wanted if self.platforms is None else self.platforms & wanted
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(self.seeds[k :: self.parts]) for k in range(min(self.parts, max(1, len(self.seeds))))]
+        if not self.path:
+            return [_Part(self.seeds[k :: self.parts]) for k in range(min(self.parts, max(1, len(self.seeds))))]
+        return planned(self.path, [n for n in Seeds(self.path).files() if self.platforms is None or Seeds.platform(n) in self.platforms])
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        module, _, name = self.factory.partition(":")
-        client = getattr(importlib.import_module(module), name)()
-        for seed_id, url in partition.seeds:
-            yield fetch(client, seed_id, url)
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        return _answered(self.factory, partition)
+
+
+def planned(path: str, names: list[str], groups: int = 1) -> list[InputPartition]:
+    """A partition for every ``groups`` row groups of each file."""
+    seeds, out = Seeds(path), []
+    for name in names:
+        n = seeds.open(name).num_row_groups
+        out += [_Part(path=path, name=name, groups=tuple(range(k, min(n, k + groups)))) for k in range(0, n, groups)]
+    return out or [_Part([])]
+
+
+class _StreamReader(DataSourceStreamReader):
+    """Reads files of seeds as they arrive; the offset is the name of the last file that was read."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.factory, self.path = options["client"], options["path"]
+        self.most = int(options.get("maxFilesPerTrigger", "1000"))
+        self.at: str | None = None
+
+    def initialOffset(self) -> dict:
+        return {"file": ""}
+
+    def latestOffset(self) -> dict:
+        after = [n for n in map(_base, Seeds(self.path).files()) if n > (self.at or "")][: self.most]
+        self.at = after[-1] if after else self.at or ""
+        return {"file": self.at}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = max(self.at or "", end["file"])
+        return planned(self.path, [n for n in Seeds(self.path).files() if start["file"] < _base(n) <= end["file"]])
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        return _answered(self.factory, partition)
+
+
+def _base(name: str) -> str:
+    return name.rsplit("/", 1)[-1]
 
 
 class Responses(DataSource):
-    """The data source ``responses``."""
+    """The data source ``responses``: option ``client``, and ``path`` (a folder of seeds) or ``seeds`` (JSON lines)."""
 
     @classmethod
     def name(cls) -> str:
         return "responses"
 
     def schema(self) -> str:
-        return SCHEMA
+        return f"{SCHEMA}, platform string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(self.options)
+
 
 def register(spark: SparkSession) -> None:
+    """Make the source known; filters are offered to Python sources only if the session says so."""
+    ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Responses)
 
 
