@@ -290,13 +290,15 @@ def revealed_boundaries(c: Column) -> Column:
 
 
 def resolve(base_scheme: Column, base_host: Column, base_path: Column, target: Column) -> Column:
-    """An address against a base: absolute, protocol-relative, rooted and relative forms."""
+    """An address against a base: absolute, protocol-relative, rooted, query and relative forms; ``weburl.joined`` does all that the standard says."""
     root = F.concat(base_scheme, F.lit("://"), base_host)
+    at = F.when(base_path == "", "/").otherwise(base_path)
     return (
         F.when(target.rlike("(?i)^[a-z][a-z0-9+.-]*:"), target)
         .when(target.startswith("//"), F.concat(base_scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
-        .otherwise(F.concat(root, F.regexp_replace(F.when(base_path == "", "/").otherwise(base_path), "[^/]*$", ""), target))
+        .when(target.rlike(r"^[?#]"), F.concat(root, at, target))
+        .otherwise(F.concat(root, F.regexp_replace(at, "[^/]*$", ""), target))
     )
 
 

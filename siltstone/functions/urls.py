@@ -37,7 +37,6 @@ LOOPBACK_KEYS = ("code", "refresh_token", "token", "key", "auth")
 MAX_BULK_URL = 2048
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*):[/\\]*(?:([^/\\?#@]*)@)?(\[[^\]]*\]|[^/\\?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
-_DEFAULT_PORT = {"http": "80", "https": "443"}
 
 
 def _clean(url: Column) -> Column:
@@ -62,29 +61,17 @@ def bare_host(url: Column) -> Column:
 
 
 def canonical(url: Column, upgrade: bool = True) -> Column:
-    """The canonical address: lower-case host, no default port, fragment or user, ``https`` if ``upgrade``."""
-    scheme = F.when(F.lit(upgrade) & (part(url, "scheme") == "http"), "https").otherwise(part(url, "scheme"))
-    default = F.when(scheme == "http", "80").when(scheme == "https", "443").otherwise("")
-    # a port that was the default of the scheme before the upgrade is dropped as well
-    was = F.when(part(url, "scheme") == "http", "80").when(part(url, "scheme") == "https", "443").otherwise("")
-    port = part(url, "port")
-    shown = F.when((port == "") | (port == default) | (port == was), "").otherwise(F.concat(F.lit(":"), port))
-    path = F.when(part(url, "path") == "", "/").otherwise(F.translate(part(url, "path"), "\\", "/"))
-    blanks = lambda c: F.replace(c, F.lit(" "), F.lit("%20"))
-    query = F.when(part(url, "query") == "?", "?").otherwise(part(url, "query"))
-    return F.concat(scheme, F.lit("://"), host(url), shown, blanks(path), blanks(query))
+    """The canonical address by the URL standard, without fragment and user, ``https`` if ``upgrade``; what is no web address stays as it is."""
+    from .weburl import href
+
+    return F.coalesce(href(url, upgrade), _clean(url))
 
 
 def url_error(url: Column) -> Column:
     """Why an input address is refused: crlf_url, invalid_url, unsupported_scheme, userinfo_url; null if accepted."""
-    raw = F.coalesce(url, F.lit(""))
-    return (
-        F.when(raw.rlike(r"(?i)[\r\n]|%0d|%0a"), "crlf_url")
-        .when(~_clean(url).rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), "invalid_url")
-        .when(~part(url, "scheme").isin("http", "https"), "unsupported_scheme")
-        .when(part(url, "userinfo") != "", "userinfo_url")
-        .when((host(url) == "") | host(url).rlike(r"[\s<>^|%]"), "invalid_url")
-    )
+    from .weburl import address_error
+
+    return address_error(url)
 
 
 def bulk_url_error(url: Column) -> Column:
@@ -198,8 +185,12 @@ def _has_suffix(h: Column, suffixes: tuple[str, ...]) -> Column:
 
 def internal_reason(url: Column, allow_loopback: bool = False, extra: tuple[str, ...] = ()) -> Column:
     """``internal_host`` for a loopback, internal or private host; null otherwise."""
+    from .weburl import parsed
+
+    # the host as clients will read it: 0x7f.1 is 127.0.0.1
+    read = F.coalesce(F.regexp_replace(parsed(url)["host"], r"\.+$", ""), bare_host(url))
     inside = lambda h: _has_suffix(h, (*INTERNAL_SUFFIXES, *extra)) | is_private(h)
-    return let(bare_host(url), lambda h: F.when(is_loopback(h), None if allow_loopback else "internal_host").when(inside(h), "internal_host"))
+    return let(read, lambda h: F.when(is_loopback(h), None if allow_loopback else "internal_host").when(inside(h), "internal_host"))
 
 
 def is_internal_image_host(name: Column) -> Column:

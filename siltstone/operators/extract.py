@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions import classify, html, markup, nodes, text, urls
+from siltstone.functions import classify, html, markup, nodes, text, urls, weburl
 from siltstone.functions.core import lookup
 
 MAX_BODY, MAX_CHARS = 5 * 1024 * 1024, 5_000_000
@@ -61,6 +61,20 @@ def decoded(body: Column, content_type: Column) -> Column:
     return F.coalesce(decode(F.when(other.isNotNull(), body), F.when(body.isNotNull(), other)), F.make_valid_utf8(body))
 
 
+def with_canonical(page: DataFrame) -> DataFrame:
+    """``page`` (link, final_url, url, errors) with ``canonical_url``: the link against the page's address, without fragment and user.
+
+    A link that cannot be read is an error row. Step by step, since Spark resolves what is nested in one expression level by level.
+    """
+    base = page.withColumn("__base", weburl.parsed(F.when(F.col("link").isNotNull(), F.coalesce("final_url", "url"))))
+    found = base.withColumn("__link", weburl.parsed(F.when(F.col("link").isNotNull(), weburl.resolved(F.col("__base"), F.col("link")))))
+    bad = F.col("link").isNotNull() & (F.col("__base.error").isNotNull() | F.col("__link.error").isNotNull())
+    error = F.struct(F.lit("invalid_canonical_url").alias("code"), F.lit("Canonical URL could not be parsed safely").alias("message"))
+    return found.withColumns({
+        "canonical_url": F.when(F.col("link").isNotNull() & ~bad, weburl.shown(F.col("__link"))), "errors": F.when(bad, F.array_append("errors", error)).otherwise(F.col("errors")),
+    }).drop("__base", "__link")
+
+
 def extract(fetches: DataFrame) -> DataFrame:
     """One row per response with title, text, structured data, gate evidence and verdicts.
 
@@ -76,7 +90,7 @@ def extract(fetches: DataFrame) -> DataFrame:
         "text": F.when(is_html, F.col("scope.text")).otherwise(F.col("source")),
         "json_ld": F.col("embedded.json_ld"), "state": F.col("embedded.state"), "state_keys": F.map_keys("embedded.state"),
         "raw_title": F.when(is_html, html.title(F.col("source"))),
-        "canonical_url": F.when(is_html, html.canonical_link(F.col("source"))),
+        "link": F.when(is_html, F.nullif(html.canonical_link(F.col("source")), F.lit(""))),
         "meta": F.when(is_html, html.meta(F.col("source"))),
         "script_count": html.tag_count(F.col("source"), "script"),
         "app_root_found": html.has_app_root(F.col("source")),
@@ -86,6 +100,7 @@ def extract(fetches: DataFrame) -> DataFrame:
             F.when(F.length("whole") > MAX_CHARS, F.array(F.struct(F.lit("extract_truncated").alias("code"), F.lit(f"Extraction input capped at {MAX_CHARS} chars").alias("message")))).otherwise(F.array().cast(NO_ERRORS)),
         ),
     })
+    page = with_canonical(page)
     page = page.withColumn("walked", F.when(F.size("json_ld") > 0, nodes.walked(F.col("json_ld"))).otherwise(F.array().cast("array<struct<depth: int, node: variant>>")))
     linked = lambda value, kind: F.when(F.size("json_ld") > 0, value).otherwise(F.array().cast(kind))
     page = page.withColumns({
@@ -110,7 +125,7 @@ def extract(fetches: DataFrame) -> DataFrame:
             F.col("status"), F.col("content_type"), F.col("gate.reason"), F.col("json_ld"), F.col("state_keys"), F.coalesce(F.size("meta"), F.lit(0))
         ),
         "content_sha256": text.sha256(F.col("whole")),
-    }).drop("bearing", "walked", "raw_title", "embedded", "whole")
+    }).drop("bearing", "walked", "raw_title", "embedded", "whole", "link")
 
 
 def records(extracted: DataFrame, output: str = "raw", fetched_at: str = "1970-01-01T00:00:00.000Z") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import urls
+from siltstone.functions import urls, weburl
 from siltstone.operators import lookups, shaping
 
 from .tables import table
@@ -94,7 +94,23 @@ def ipv4_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.in_ranges(rows, "ip", lookups.address_ranges(spark)).select("o_orderkey", "ip", "cidr")
 
 
+def url_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in the forms that only the URL standard reads alike: numbers as hosts, dot segments, ports, percent-encoding, names beyond ASCII."""
+    v = F.expr("(o_orderkey * 2654435761L) % 4294967296L")
+    key, lit = F.col("o_orderkey").cast("string"), F.lit
+    forms = [
+        F.concat(lit("http://0x"), F.hex(v), lit("/")), F.concat(lit("http://0"), F.conv(v.cast("string"), 10, 8)),
+        F.concat(lit("https://"), F.shiftright(v, 24).cast("string"), lit("."), v.bitwiseAND(0xFFFFFF).cast("string"), lit("/a")),
+        F.concat(lit(" HTTP:\\\\EXAMPLE.com:080/"), key, lit("/./b/../%2e%2E/"), key, lit("/c/..?q='"), key, lit("' é#f")), F.concat(lit("http://256.1.1."), key, lit("/")),
+        F.concat(lit("http://bü"), key, lit(".example/é/"), key), F.concat(lit("https://u:p@h.example/"), key), F.concat(lit("https://h.example:"), key, lit("00/x")),
+    ]
+    url = F.element_at(F.array(*forms), (F.col("o_orderkey") % len(forms) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", url.alias("url"))
+    return rows.select("o_orderkey", weburl.parsed(F.col("url")).alias("p"), weburl.address_error(F.col("url")).alias("error")).select("o_orderkey", weburl.shown(F.col("p")).alias("href"), "error")
+
+
 QUERIES = {
+    "url_standard": url_standard,
     "url_normalized": url_normalized, "url_verdicts": url_verdicts, "url_dedupe_first": url_dedupe_first, "host_top_n": host_top_n, "host_cut": host_cut,
     "registrable_domains": registrable, "bulk_shape": bulk_shape, "bulk_disclosure": bulk_disclosure, "tracker_filter": tracker_filter,
     "tracker_flags": tracker_flags, "ipv4_private": ipv4_private, "ipv4_ranges": ipv4_ranges,
@@ -109,6 +125,13 @@ _H = r"""h AS (SELECT page_id AS ord, regexp_replace(regexp_replace(url, '^http:
 _FIRST = "f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1)"
 
 SQL = {
+    "url_standard": r"""WITH v AS (SELECT *, (o_orderkey * 2654435761) % 4294967296 AS v, CAST(o_orderkey AS VARCHAR) AS k, o_orderkey % 8 AS f, 124 * (2 + length(CAST(o_orderkey AS VARCHAR))) + 1 AS delta FROM orders),
+        w AS (SELECT *, (v >> 24) || '.' || ((v >> 16) & 255) || '.' || ((v >> 8) & 255) || '.' || (v & 255) AS ip, (delta - 1) // 35 AS q, 'abcdefghijklmnopqrstuvwxyz0123456789' AS d FROM v),
+        x AS (SELECT *, 'xn--b' || k || '-' || substr(d, CAST(2 + (delta - 1) % 35 AS BIGINT), 1) || CASE WHEN q < 1 THEN substr(d, CAST(q + 1 AS BIGINT), 1)
+            ELSE substr(d, CAST(2 + (q - 1) % 35 AS BIGINT), 1) || substr(d, CAST((q - 1) // 35 + 1 AS BIGINT), 1) END AS label FROM w)
+        SELECT o_orderkey, CASE f WHEN 0 THEN 'http://' || ip || '/' WHEN 1 THEN 'http://' || ip || '/' WHEN 2 THEN 'https://' || ip || '/a' WHEN 3 THEN 'http://example.com/' || k || '/?q=%27' || k || '%27%20%C3%A9'
+            WHEN 5 THEN 'http://' || label || '.example/%C3%A9/' || k WHEN 6 THEN 'https://h.example/' || k WHEN 7 THEN CASE WHEN o_orderkey <= 655 THEN 'https://h.example:' || k || '00/x' END END AS href,
+            CASE WHEN f = 4 OR (f = 7 AND o_orderkey > 655) THEN 'invalid_url' WHEN f = 6 THEN 'userinfo_url' END AS error FROM x""",
     "url_normalized": r"""SELECT page_id, regexp_replace(regexp_replace(url, '^http:', 'https:'), '#.*$', '') AS canonical, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host,
         regexp_replace(url, '[?#].*$', '') AS public, CASE WHEN length(url) > 2048 THEN 'url_too_long' ELSE 'ok' END AS verdict, false AS blocked, false AS pin FROM pages""",
     "url_verdicts": """SELECT doc_id, CASE doc_id % 10 WHEN 1 THEN 'unsupported_scheme' WHEN 2 THEN 'userinfo_url' WHEN 3 THEN 'invalid_url' WHEN 4 THEN 'crlf_url' WHEN 8 THEN 'invalid_url' ELSE 'ok' END AS verdict,

@@ -95,10 +95,23 @@ def guarded(url: str) -> str | None:
         return "invalid_url"
     if port in urls.BLOCKED_PORTS:
         return "blocked_port"
-    name = host.rstrip(".").lower()
+    name = dotted(host.rstrip(".").lower())
     return None if name != "localhost" and not name.endswith(".localhost") and is_public(name) else "private_address"
 
 
+def dotted(host: str) -> str:
+    """A host of 1 to 4 numbers in any base as clients read it; other hosts as they are."""
+    parts = host.split(".")
+    if len(parts) > 4 or not all(re.fullmatch(r"0x[0-9a-f]*|[0-9]+", p) for p in parts):
+        return host
+    try:
+        *front, last = [int(p[2:] or "0", 16) if p.startswith("0x") else int(p, 8 if p.startswith("0") else 10) for p in parts]
+        value = sum(n << (24 - 8 * k) for k, n in enumerate(front)) + last
+        return str(ipaddress.IPv4Address(value)) if all(n < 256 for n in front) and last < 256 ** (4 - len(front)) else host
+    except ValueError:
+        return host
+
+
 def is_public(address: str) -> bool:
     """Whether an address literal lies in no private or reserved range; true for names."""
     try:
