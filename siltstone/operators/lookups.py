@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions import urls
+from siltstone.functions import urls, weburl
+from siltstone.functions.core import let
 
 MAX_RULES = 100_000
 MAX_HOST = 253
@@ -74,25 +75,41 @@ def suffix_rules(spark, rules: list[str] = SUFFIXES) -> DataFrame:
     return spark.createDataFrame(rows, "suffix string, labels int, kind string")
 
 
-def registrable_domains(df: DataFrame, host_col: str, rules: DataFrame | None = None, name: str = "domain") -> DataFrame:
+def read_suffix_list(spark, path: str, private: bool = True) -> DataFrame:
+    """Rules (suffix, labels, kind) of a public-suffix list in its published format, names beyond ASCII in their ASCII form.
+
+    ``//`` begins a comment line, a rule ends at the first white space, and rules after the mark of the private section are left out unless ``private``. The list is one file of
+    some 300 KB, read as one row.
+    """
+    whole = F.regexp_replace("value", "\\A\ufeff", "")
+    lines = F.split(whole if private else F.regexp_replace(whole, r"(?s)===BEGIN PRIVATE DOMAINS===.*?(?:===END PRIVATE DOMAINS===|\z)", ""), "\n")
+    rule = spark.read.text(path, wholetext=True).select(F.explode(lines).alias("line")).select(F.regexp_extract("line", r"^\s*(\S*)", 1).alias("rule")).where("rule != '' and rule not like '//%'")
+    kind = F.when(F.col("rule").startswith("!"), "exception").when(F.col("rule").startswith("*."), "wildcard").otherwise("exact")
+    name = weburl.ascii_host(F.regexp_replace("rule", r"^(?:!|\*\.)|\.$", ""))
+    return rule.select(name.alias("suffix"), kind.alias("kind")).distinct().select("suffix", F.size(F.split("suffix", r"\.")).alias("labels"), "kind")
+
+
+def registrable_domains(df: DataFrame, host_col: str, rules: DataFrame | None = None, name: str = "domain", unlisted: bool = False) -> DataFrame:
     """``df`` with each host's registrable domain: its public suffix and one label more.
 
     The longest matching rule wins, exceptions before all; null for an address literal, a single label, a
-    public suffix itself and an unknown suffix. Hosts are looked up once each.
+    public suffix itself and an unknown suffix, which with ``unlisted`` is its last label. Hosts are looked up once each, in their ASCII form, by one equality
+    join of their parents with the rules, of which there may be any number.
     """
     rules = rules if rules is not None else suffix_rules(df.sparkSession)
-    hosts = df.select(F.lower(F.col(host_col)).alias("__h")).distinct().where((urls.ip_version(F.col("__h")) == 0) & F.col("__h").contains("."))
-    plain = F.regexp_replace("__h", r"\.$", "")
-    parents = hosts.withColumn("__n", F.size(F.split(plain, r"\."))).select("__h", "__n", F.explode(suffixes(plain)).alias("suffix"))
+    hosts = df.select(F.col(host_col).alias("__o")).distinct().withColumn("__h", weburl.ascii_host(F.regexp_replace("__o", r"\.$", "")))
+    hosts = hosts.where((urls.ip_version(F.col("__h")) == 0) & F.col("__h").contains(".") & (F.length("__h") <= MAX_HOST) & ~F.col("__h").rlike(r"^\.|\.\.|\.$"))
+    parents = hosts.select("__o", "__h", F.posexplode(suffixes(F.col("__h"))).alias("__k", "suffix"))
     hits = parents.join(small(rules), "suffix")
     # labels of the public suffix: a wildcard takes one more, an exception one less
     span = F.col("labels") + F.when(F.col("kind") == "wildcard", 1).when(F.col("kind") == "exception", -1).otherwise(0)
-    best = (
-        hits.groupBy("__h", "__n").agg(F.max_by(span, F.struct((F.col("kind") == "exception").cast("int"), span)).alias("__s")).where(F.col("__n") > F.col("__s"))
-    )
-    labels = F.split(F.regexp_replace("__h", r"\.$", ""), r"\.")
-    known = best.select("__h", F.array_join(F.slice(labels, F.col("__n") - F.col("__s"), F.col("__s") + 1), ".").alias(name))
-    return df.drop(name).join(known, F.lower(F.col(host_col)) == F.col("__h"), "left").drop("__h")
+    best = hits.groupBy("__o", "__h").agg(F.max_by(span, F.struct((F.col("kind") == "exception").cast("int"), span)).alias("__s"))
+    if unlisted:
+        rest = hosts.join(best.select("__o"), "__o", "left_anti").where(~F.col("__h").endswith(".local"))
+        best = best.unionByName(rest.withColumn("__s", F.lit(1)))
+    labels = F.split("__h", r"\.")
+    known = best.where(F.size(labels) > F.col("__s")).select("__o", F.array_join(F.slice(labels, F.size(labels) - F.col("__s"), F.col("__s") + 1), ".").alias(name))
+    return df.drop(name).join(known, F.col(host_col) == F.col("__o"), "left").drop("__o")
 
 
 def host_key(domain: Column, host: Column, url: Column) -> Column:
@@ -108,15 +125,31 @@ def address_ranges(spark, blocks: list[str] = urls.PRIVATE_V4) -> DataFrame:
     return spark.createDataFrame([(str(n), int(n.network_address), int(n.broadcast_address)) for n in nets], "cidr string, low long, high long")
 
 
-def in_ranges(df: DataFrame, address_col: str, ranges: DataFrame) -> DataFrame:
-    """Rows of ``df`` joined with the ranges that hold their IPv4 address.
+def _prefix(digits: Column, bits: Column) -> Column:
+    """The first bits of hexadecimal digits: whole digits, then the masked rest of one."""
+    rest = lambda r: F.when(r > 0, F.lower(F.hex((F.conv(F.substring(digits, F.floor(bits / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int")).bitwiseAND(F.get(F.array(*[F.lit(m) for m in (15, 8, 12, 14)]), r))))).otherwise("")
+    return F.concat(F.substring(digits, F.lit(1), F.floor(bits / 4).cast("int")), let((bits % 4).cast("int"), rest))
 
-    A range join by equality: a range is entered under each /8 it touches (at most 256 entries a range),
-    so no pair of rows is compared that does not share the first octet.
+
+def _in_blocks(df: DataFrame, address_col: str, digits: Column, ranges: DataFrame, low: Column) -> DataFrame:
+    """Rows joined with the blocks that hold their address, by equality of (prefix length, prefix).
+
+    Each distinct address is looked up under every length that the blocks have (at most 33, or 129), so a block is one row whatever its size, and no key
+    holds more than the addresses inside one block. Blocks are broadcast within ``MAX_RULES`` and joined by shuffle beyond.
     """
-    octets = ranges.select("cidr", "low", "high", F.explode(F.sequence(F.shiftright("low", 24), F.shiftright("high", 24))).alias("__o"))
-    numbered = df.withColumn("__v", urls.v4_number(F.col(address_col))).withColumn("__o", F.shiftright("__v", 24))
-    return numbered.join(small(octets), "__o").where(F.col("__v").between(F.col("low"), F.col("high"))).drop("__v", "__o", "low", "high")
+    bits = F.split_part("cidr", F.lit("/"), F.lit(2)).cast("int")
+    blocks = ranges.select("cidr", bits.alias("__bits"), _prefix(low, bits).alias("__prefix")).distinct()
+    lengths = [r[0] for r in blocks.select("__bits").distinct().orderBy("__bits").collect()]  # at most 129 numbers
+    known = df.select(F.col(address_col).alias("__a")).distinct().withColumn("__d", digits).where("__d is not null")
+    under = known.withColumn("__bits", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))).withColumn("__prefix", _prefix(F.col("__d"), F.col("__bits")))
+    found = under.join(small(blocks), ["__bits", "__prefix"]).select("__a", "cidr")
+    return df.join(found, F.col(address_col) == F.col("__a")).drop("__a")
+
+
+def in_ranges(df: DataFrame, address_col: str, ranges: DataFrame) -> DataFrame:
+    """Rows of ``df`` joined with the ranges (cidr, low, high) that hold their IPv4 address: one equality join."""
+    eight = lambda n: F.lpad(F.lower(F.hex(n)), 8, "0")
+    return _in_blocks(df, address_col, eight(urls.v4_number(F.col("__a"))), ranges, eight(F.col("low")))
 
 
 def address_ranges_v6(spark, blocks: list[str] = urls.PRIVATE_V6) -> DataFrame:
@@ -128,11 +161,8 @@ def address_ranges_v6(spark, blocks: list[str] = urls.PRIVATE_V6) -> DataFrame:
 
 
 def in_ranges_v6(df: DataFrame, address_col: str, ranges: DataFrame) -> DataFrame:
-    """Rows of ``df`` joined with the ranges that hold their IPv6 address: by equality of the first octet, as ``in_ranges``."""
-    first = lambda c: F.conv(F.substring(c, 1, 2), 16, 10).cast("int")
-    octets = ranges.select("cidr", "low", "high", F.explode(F.sequence(first("low"), first("high"))).alias("__o"))
-    numbered = df.withColumn("__v", urls.v6_hex(F.col(address_col))).withColumn("__o", first("__v"))
-    return numbered.join(small(octets), "__o").where(F.col("__v").between(F.col("low"), F.col("high"))).drop("__v", "__o", "low", "high")
+    """Rows of ``df`` joined with the ranges that hold their IPv6 address: one equality join, as ``in_ranges``."""
+    return _in_blocks(df, address_col, urls.v6_hex(F.col("__a")), ranges, F.col("low"))
 
 
 def with_default(df: DataFrame, key: str, profiles: DataFrame, value: str, default: str) -> DataFrame:

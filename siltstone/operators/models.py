@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from siltstone.functions.core import let
 from siltstone.functions.text import token_estimate
 
+from .lookups import small
 
-#: Models that a catalogue may have; it travels as one array.
+#: Models that a catalogue may have where all that fit are listed; it travels as one array.
 MAX_MODELS = 20_000
 
 
@@ -47,20 +54,96 @@ def fitting(requests: DataFrame, models: DataFrame) -> DataFrame:
     return found.select(*requests.columns, "__m.*")
 
 
+#: A stair of a class: with room for this many tokens or fewer, these models are the best, in order.
+_BEST = "struct<order: struct<a: double, b: double, c: double, d: string, e: string>, provider: string, model: string>"
+_STAIRS = f"class string, kind int, stairs array<struct<least: bigint, best: array<{_BEST}>>>"
+
+
+def _stairs(keep: int):
+    """The stairs of one class: models come by room, the largest first, and a stair begins where the ``keep`` best ones change."""
+
+    kind = to_arrow_type(T.StructType.fromDDL(_STAIRS)["stairs"].dataType)
+
+    def build(group: pa.Table) -> pa.Table:
+        found = group.sort_by([("room", "descending")]).to_pylist()
+        best: list[tuple] = []
+        stairs: list[dict] = []
+        for row in found:
+            order = row["best"]["order"]
+            entry = (tuple((v is not None, v) for v in order.values()), row["best"]["provider"] or "", row["best"]["model"], row["best"])
+            at = bisect.bisect_left(best, entry[:3], key=lambda e: e[:3])
+            if at >= keep:
+                continue
+            best.insert(at, entry)
+            del best[keep:]
+            if not stairs or stairs[-1]["least"] != row["room"]:
+                stairs.append({"least": row["room"]})
+            stairs[-1]["best"] = [e[3] for e in best]
+        return pa.table({"class": group["class"][:1], "kind": group["kind"][:1], "stairs": pa.array([stairs], kind)})
+
+    return build
+
+
+def _at(stairs: Column, need: Column) -> Column:
+    """The best models with room for ``need``, found by halving: along the stairs the room falls."""
+    start = F.struct(F.lit(0).alias("low"), F.coalesce(F.size(stairs), F.lit(0)).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        enough = lambda m: F.coalesce(F.get(stairs, m)["least"] >= need, F.lit(False))
+        after = lambda m: F.when(enough(m), F.struct((m + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), m.alias("high")))
+        return F.when(s["low"] < s["high"], let(middle, after)).otherwise(s)
+
+    return let(F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve), lambda s: F.when(s["low"] > 0, F.get(stairs, s["low"] - 1)["best"]))
+
+
+def _class(provider: Column, model: Column, json: Column, local: Column) -> Column:
+    """What requests and models must have in common, as text; a null provider or model is an open one."""
+    return F.to_json(F.struct(provider.alias("p"), model.alias("m"), json.alias("j"), local.alias("l")))
+
+
 def choose(requests: DataFrame, models: DataFrame) -> DataFrame:
-    """One row per request: the chosen provider and model, or ``none`` and why."""
-    best = requests.withColumn("__models", _catalogue(models)).withColumn("__best", F.get(F.filter("__models", _fits), F.lit(0)))
+    """One row per request: the chosen provider and model, or ``none`` and why.
+
+    A model has room for a request if its context holds the input and the smaller of reserve and longest output; that is, if its context less its output holds the
+    input, or its context the input and the reserve. So a request asks twice for the best model with room for so many tokens, in its class (provider, model, JSON and
+    local, each given or open). A class answers with stairs, found by halving: a request costs a logarithm of the catalogue's size, whatever that is, and no pairs
+    are formed. Stairs keep as many models as the longest list of exclusions can remove, and one. Models without a name are not chosen.
+    """
+    static = F.when(F.col("local"), 0.45).otherwise(0.0) + F.when(F.col("free"), 0.0).otherwise(0.25) + F.col("cost_weight")
+    order = F.struct(
+        (F.col("rank") + F.col("demotion")).cast("double").alias("a"), F.col("demotion").cast("double").alias("b"), static.cast("double").alias("c"), F.lower("m_model").alias("d"), F.col("m_model").alias("e")
+    )
+    named = models.where("m_model is not null")
+    ranked = named.select("*", F.struct(order.alias("order"), F.col("m_provider").alias("provider"), F.col("m_model").alias("model")).alias("best"))
+    none, yes = F.lit(None).cast("string"), lambda c: F.coalesce(F.col(c), F.lit(False))
+    classes = [
+        F.when((yes("supports_json") if j else F.lit(True)) & (yes("local") if l else F.lit(True)), _class(p, m, F.lit(j), F.lit(l)))
+        for p in (F.col("m_provider"), none) for m in (F.col("m_model"), none) for j in (False, True) for l in (False, True)
+    ]
+    rooms = [F.struct(F.lit(k).alias("kind"), room.cast("long").alias("room")) for k, room in enumerate((F.col("context") - F.col("max_output"), F.col("context")))]
+    entered = ranked.withColumn("class", F.explode(F.array_compact(F.array_distinct(F.array(*classes))))).withColumn("r", F.explode(F.array(*rooms)))
+    entered = entered.select("class", "r.kind", "r.room", "best").where("room is not null")
+    # two numbers: names that a request excludes, and models of one name
+    excluded = requests.agg(F.max(F.size(F.array_distinct(F.coalesce("exclude", F.array().cast("array<string>")))))).first()[0] or 0
+    alike = named.groupBy("m_model").count().agg(F.max("count")).first()[0]
+    stairs = entered.groupBy("class", "kind").applyInArrow(_stairs(excluded * (alike or 1) + 1), _STAIRS)
+    two = stairs.groupBy("class").agg(*[F.max(F.when(F.col("kind") == k, F.col("stairs"))).alias(f"__s{k}") for k in (0, 1)])
+    wanted = requests.withColumn("class", _class(F.col("provider"), F.col("model"), F.coalesce(F.col("task") == "extract", F.lit(True)), F.coalesce("local_only", F.lit(False))))
+    found = wanted.join(small(two), "class", "left")
+    needs = (F.col("input_tokens"), F.col("input_tokens") + F.col("reserve"))
+    allowed = lambda best: F.get(F.filter(best, lambda m: ~F.coalesce(F.array_contains("exclude", m["model"]), F.lit(False))), F.lit(0))
+    best = F.array_min(F.array_compact(F.array(*[allowed(_at(F.col(f"__s{k}"), need)) for k, need in enumerate(needs)])))
     why = (
-        F.when(F.size("__models") == 0, "unconfigured")
+        F.when(F.lit(models.isEmpty()), "unconfigured")
         .when(F.coalesce("local_only", F.lit(False)), "sensitive_content_no_local_provider")
         .when(F.col("provider").isNotNull(), "provider_unconfigured")
         .when(F.col("model").isNotNull(), "model_unavailable")
         .otherwise("no_model_fit")
     )
-    return best.select(
-        *requests.columns, F.coalesce("__best.m_provider", F.lit("none")).alias("chosen_provider"), F.col("__best.m_model").alias("chosen_model"),
-        F.when(F.col("__best").isNull(), why).alias("reason"),
-    )
+    return found.withColumn("__best", best).select(
+        *requests.columns, F.coalesce("__best.provider", F.lit("none")).alias("chosen_provider"), F.col("__best.model").alias("chosen_model"), F.when(F.col("__best").isNull(), why).alias("reason")
+    )
 
 
 def is_free_text_model(price: Column, model: Column, takes: Column, gives: Column) -> Column:

@@ -109,7 +109,36 @@ def url_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", weburl.parsed(F.col("url")).alias("p"), weburl.address_error(F.col("url")).alias("error")).select("o_orderkey", weburl.shown(F.col("p")).alias("href"), "error")
 
 
+def suffix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registrable domains of hosts made of orders under rules made of parts: exact, wildcard and exception rules, names beyond ASCII."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), (F.col("p_partkey") % 4).alias("f"))
+    name = F.element_at(F.array(F.concat(F.lit("e"), "k"), F.concat(F.lit("co.e"), "k"), F.concat(F.lit("w"), "k"), F.concat(F.lit("bü"), "k")), F.col("f").cast("int") + 1)
+    rules = part.select(weburl.ascii_host(name).alias("suffix"), F.when(F.col("f") == 2, "wildcard").otherwise("exact").alias("kind"))
+    rules = rules.unionByName(part.where("f = 2").select(F.concat(F.lit("city.w"), "k").alias("suffix"), F.lit("exception").alias("kind")))
+    rules = rules.withColumn("labels", F.size(F.split("suffix", r"\.")))
+    o, n = F.col("o_orderkey"), table(spark, sf_dir, "part").count()
+    key = (o % n).cast("string")
+    form = F.element_at(F.array(*[F.concat(F.lit(a), key, F.lit(b)) for a, b in (("a.b.e", ""), ("x.co.e", "."), ("a.b.c.W", ""), ("x.city.w", ""), ("a.BÜ", ""), ("none", ""))]), (F.col("o_custkey") % 6 + 1).cast("int"))
+    hosts = table(spark, sf_dir, "orders").select("o_orderkey", form.alias("host"))
+    return lookups.registrable_domains(hosts, "host", rules).select("o_orderkey", "domain")
+
+
+def address_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made of orders and the blocks, from /0 to /32 and made of parts, that hold them."""
+    o, p = F.col("o_orderkey"), F.col("p_partkey")
+    number = (o * 2654435761) % 4294967296
+    dotted = lambda v: F.concat_ws(".", *[F.shiftright(v, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
+    bits = (p % 33).cast("int")
+    size = F.element_at(F.array(*[F.lit(1 << (32 - n)) for n in range(33)]), bits + 1)
+    low = F.floor(((p * 40503 * 65537) % 4294967296) / size).cast("long") * size
+    blocks = table(spark, sf_dir, "part").select(F.concat(dotted(low), F.lit("/"), bits.cast("string")).alias("cidr"), low.alias("low"), (low + size - 1).alias("high")).distinct()
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", dotted(number).alias("address"))
+    found = lookups.in_ranges(rows, "address", blocks).groupBy("o_orderkey").agg(F.count("*").alias("n_blocks"), F.max(F.split_part("cidr", F.lit("/"), F.lit(2)).cast("int")).alias("longest"))
+    return found
+
+
 QUERIES = {
+    "suffix_table": suffix_table, "address_blocks": address_blocks,
     "url_standard": url_standard,
     "url_normalized": url_normalized, "url_verdicts": url_verdicts, "url_dedupe_first": url_dedupe_first, "host_top_n": host_top_n, "host_cut": host_cut,
     "registrable_domains": registrable, "bulk_shape": bulk_shape, "bulk_disclosure": bulk_disclosure, "tracker_filter": tracker_filter,
@@ -125,6 +154,15 @@ _H = r"""h AS (SELECT page_id AS ord, regexp_replace(regexp_replace(url, '^http:
 _FIRST = "f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1)"
 
 SQL = {
+    "suffix_table": """WITH p AS (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS k, o_custkey % 6 AS f FROM orders), q AS (SELECT *, k % 4 AS r, 124 * (2 + length(CAST(k AS VARCHAR))) + 1 AS delta,
+            'abcdefghijklmnopqrstuvwxyz0123456789' AS d FROM p),
+        x AS (SELECT *, 'xn--b' || k || '-' || substr(d, CAST(2 + (delta - 1) % 35 AS BIGINT), 1) || CASE WHEN (delta - 1) // 35 < 1 THEN substr(d, CAST((delta - 1) // 35 + 1 AS BIGINT), 1)
+            ELSE substr(d, CAST(2 + ((delta - 1) // 35 - 1) % 35 AS BIGINT), 1) || substr(d, CAST(((delta - 1) // 35 - 1) // 35 + 1 AS BIGINT), 1) END AS label FROM q WHERE true)
+        SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_partkey = k) THEN CASE WHEN f = 0 AND r = 0 THEN 'b.e' || k WHEN f = 1 AND r = 0 THEN 'co.e' || k WHEN f = 1 AND r = 1 THEN 'x.co.e' || k WHEN f = 2 AND r = 2 THEN 'b.c.w' || k
+            WHEN f = 3 AND r = 2 THEN 'city.w' || k WHEN f = 4 AND r = 3 THEN 'a.' || label END END AS domain FROM x""",
+    "address_blocks": """WITH b AS (SELECT DISTINCT ((p_partkey * 40503 * 65537) % 4294967296) >> (32 - p_partkey % 33) AS prefix, p_partkey % 33 AS bits FROM part),
+        l AS (SELECT DISTINCT bits FROM b)
+        SELECT o_orderkey, count(*) AS n_blocks, CAST(max(bits) AS INTEGER) AS longest FROM orders, l JOIN b USING (bits) WHERE ((o_orderkey * 2654435761) % 4294967296) >> (32 - bits) = prefix GROUP BY o_orderkey""",
     "url_standard": r"""WITH v AS (SELECT *, (o_orderkey * 2654435761) % 4294967296 AS v, CAST(o_orderkey AS VARCHAR) AS k, o_orderkey % 8 AS f, 124 * (2 + length(CAST(o_orderkey AS VARCHAR))) + 1 AS delta FROM orders),
         w AS (SELECT *, (v >> 24) || '.' || ((v >> 16) & 255) || '.' || ((v >> 8) & 255) || '.' || (v & 255) AS ip, (delta - 1) // 35 AS q, 'abcdefghijklmnopqrstuvwxyz0123456789' AS d FROM v),
         x AS (SELECT *, 'xn--b' || k || '-' || substr(d, CAST(2 + (delta - 1) % 35 AS BIGINT), 1) || CASE WHEN q < 1 THEN substr(d, CAST(q + 1 AS BIGINT), 1)
