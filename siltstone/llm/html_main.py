@@ -10,10 +10,10 @@ Branches of an importance under ``LEAST_IMPORTANCE`` are removed from each page.
 so mirrored pages do not make an article look like boilerplate.
 
 Names shift what the tree says: an element one of whose names is made of words for menus, headers, footers, sidebars, adverts,
-notices or reader comments and of words for layout only goes in any case, as do elements that HTML itself or their role marks
+notices or reader comments and of words for layout only goes in any case (inside an article few of these words count, and none on running text), as do elements that HTML itself or their role marks
 so; where such a word stands among others, an importance under ``LEAST_NAMED`` is enough. Some boilerplate differs on every
 page (menus that name other pages), and the articles of mirrored pages are alike, so entropy alone is not enough either
-way: all of the page's articles (or ``main``) are taken where they hold half of the text that is left, and plain
+way: ``main``, or all of the page's articles, are taken where they hold half of the text that is left, and plain
 paragraphs, headings, lists and tables, and what holds half of a page's text, are never removed for their importance.
 
 Scale: pages are parsed by a map; a page gives each of its features once, features are counted with a map-side combine, so a
@@ -75,6 +75,15 @@ NEUTRAL = frozenset(
     heading icon icons count thread tree meta info message reader user post posts article articles blog web center first last id""".split()
 )
 
+#: Words that mean no text of an article even inside one; the others, such as "notice" or "discussion", are also used for parts of the text.
+STRONG = frozenset(
+    """ad ads adsense adsbygoogle advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo promos promoted cookie cookies consent
+    gdpr newsletter subscribe subscription signup share sharing sharebar social sidebar sidenav related recommended recommendations trending nav navbar navi
+    topnav breadcrumb breadcrumbs pagination pager footer comment comments commentlist disqus respond widget widgets""".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+#: Elements that hold running text.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr thead tbody tfoot blockquote pre figcaption caption".split())
 #: Names that also describe the layout of wrappers, and names of wrappers that hold an article's text.
 LAYOUTS = frozenset("ad ads aside banner header menu modal nav overlay promo search share sidebar social toc widget widgets".split())
 WRAPPERS = frozenset("article content main body text story post entry page layout wrapper container".split())
@@ -96,6 +105,8 @@ class Page:
         self.style: list[str] = ["#root"]  # presentation: tag, role and classes
         self.names: list[frozenset[str]] = [frozenset()]
         self.named: list[frozenset[str]] = [frozenset()]  # words for boilerplate of names that say nothing else
+        self.strong: list[frozenset[str]] = [frozenset()]  # those that hold inside an article: of classes, and of ids for comments
+        self.within: list[bool] = [False]  # an article or main, or inside one
         self.role: list[str] = [""]
         self.parent: list[int] = [-1]
         self.events: list[int | str] = [0]
@@ -163,7 +174,7 @@ class Page:
         close(0)
 
     def _element(self, name: str, attributes: str, parent: int) -> int:
-        classes, role, names, named = "", "", set(), set()
+        classes, role, names, named, strong = "", "", set(), set(), set()
         if attributes and "=" in attributes:
             for key, *values in ATTRIBUTE.findall(attributes):
                 value = html_library.unescape("".join(values))
@@ -175,12 +186,15 @@ class Page:
                         names |= parts
                         if all(p in DROPPED_NAMES or p in NEUTRAL or p.isdigit() or len(p) == 1 for p in parts):
                             named |= parts & DROPPED_NAMES
+                            strong |= parts & (STRONG if key.lower() == "class" else COMMENTS)
                     if key.lower() == "class":
                         classes = ".".join(sorted(value.split()))
         self.tag.append(name)
         self.style.append(f"{name}/{role}/{classes}")
         self.names.append(frozenset(names))
         self.named.append(frozenset(named))
+        self.strong.append(frozenset(strong))
+        self.within.append(self.within[parent] or name in ("article", "main") or role == "main")
         self.role.append(role)
         self.parent.append(parent)
         return len(self.tag) - 1
@@ -249,24 +263,21 @@ class Page:
     def dropped(self, k: int, whole: int) -> bool:
         """Whether an element's tag, role or names mark it as no part of an article's text.
 
-        A wrapper's names do not count where it holds half of the ``whole`` text.
+        A wrapper's names do not count where it holds half of the ``whole`` text, nor does a form that does. Inside an article or main
+        few names count, and none on elements of running text.
         """
+        if self.tag[k] == "form" or self.role[k] in ("form", "search"):
+            return 2 * self.length[k] < whole
         if self.tag[k] in DROPPED or self.role[k] in DROPPED_ROLES:
             return True
-        found = self.named[k]
-        if (found <= {"header"} and (found or self.tag[k] == "header")) and self._in_article(k):
+        inside = k > 0 and self.within[self.parent[k]]
+        found = self.strong[k] if inside else self.named[k]
+        if inside and (self.tag[k] in TEXTUAL or self.tag[k] == "header"):
             return False
         if found:
-            return not (found <= LAYOUTS and self.names[k] & WRAPPERS and 2 * self.length[k] >= whole)
+            return not (self.named[k] <= LAYOUTS and self.names[k] & WRAPPERS and 2 * self.length[k] >= whole)
         return self.tag[k] == "header"
 
-    def _in_article(self, k: int) -> bool:
-        while k > 0:
-            k = self.parent[k]
-            if self.tag[k] == "article":
-                return True
-        return False
-
     def key(self) -> int:
         """What tells pages apart: the main text as it is without the style tree, or all text where there is none."""
         return xxhash.xxh3_64_intdigest(self.text() or repr([feature for _, feature, _ in self.texts]))
@@ -276,8 +287,8 @@ class Page:
         return self.tag[k] not in INLINE and k > 0 and (self.tag[k] not in PLAIN or self.style[k].count("/") == 2 and not self.style[k].endswith("/"))
 
     def roots(self) -> list[int]:
-        """The elements that hold the main text, in page order: all outermost articles, where they hold half of the
-        text of main (or of the body) that is kept; else main and the articles outside it, by the same rule; else the body.
+        """The elements that hold the main text, in page order: main and the articles outside it, where they hold half of the text of
+        the body that is kept; without main all outermost articles, by the same rule; else the body.
         """
         count = len(self.tag)
         whole, body = self.length[0], 0
@@ -311,10 +322,10 @@ class Page:
         size = lambda ks: sum(kept[k] for k in ks)
         # main and the articles outside it; articles around it count as a whole
         wide = sorted([k for k in mains if not within["article"][k]] + [k for k in articles if not within["main"][k]])
-        if articles and 2 * size(articles) >= size(wide if mains else [0]) and 2 * size(articles) >= kept[0]:
-            return articles
         if mains and 2 * size(wide) >= kept[0]:
             return wide
+        if articles and 2 * size(articles) >= kept[0]:
+            return articles
         return [body if kept[body] == kept[0] else 0]
 
     def text(self) -> str:

@@ -33,6 +33,8 @@ from .storage import Scratch
 
 LENGTH = 2048
 SEPARATOR = 0
+#: Characters of white space in a row from which a text goes through the file's own library.
+LONG_BLANK = 10_000
 #: Pieces packed together; a group's rows are some 60 bytes each.
 GROUP = 40_000
 #: Half-empty sequences (one a group) that are packed together.
@@ -50,9 +52,9 @@ def default_tokenizer() -> str:
 def encoder(path: str):
     """text -> list of ids, as the file's own library gives them without special tokens around a text.
 
-    Texts that hold an added token of the file (such as its end-of-text mark) go through that library; others
-    through one that needs a quarter of the time and gives the same ids (a test compares them). Ids are the
-    merge ranks in such files.
+    Texts that hold an added token of the file (such as its end-of-text mark) or very long white space, which the faster library's
+    pattern cannot take back, go through that library; others through one that needs a quarter of the time and gives the same ids (a test
+    compares them). Ids are the merge ranks in such files.
     """
     import public_tokenizers
     import tiktoken
@@ -66,10 +68,9 @@ def encoder(path: str):
     special = {t["content"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    if not special:
-        return fast
     own = tokenizers.Tokenizer.from_file(path)
-    holds = re.compile("|".join(map(re.escape, sorted(special))), re.I).search  # tokens that match in any case, too
+    # tokens that match in any case, too
+    holds = re.compile("|".join([*map(re.escape, sorted(special)), rf"\s{{{LONG_BLANK}}}"]), re.I).search
 
     def encode(text: str) -> list[int]:
         return own.encode(text, add_special_tokens=False).ids if holds(text) else fast(text)
