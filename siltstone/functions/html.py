@@ -31,6 +31,8 @@ STATE_KEYS = ("__NEXT_DATA__", "__NUXT_DATA__", "__INITIAL_STATE__", "__PRELOADE
 # Elements whose content is not page text.
 INERT = ("script", "style", "template", "noscript", "svg")
 MAX_IMAGES, MAX_IMAGE_URL = 12, 2048
+# Rewrites of prices and decimals that markup has split.
+NUMBER_GLUE = ((r"([€£¥₹$])\s+(\d[\d ,]*)\s*\.\s*(\d{1,4})", "$1$2.$3"), (r"(\d)\s+\.(\d)", "$1.$2"), (r"(\d)\s+([€£¥₹])", "$1$2"))
 
 # possessive runs: Java's matcher recurses for every turn of a group that it may have to give back
 _ATTRS = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
@@ -150,9 +152,9 @@ def _decode_numbers(c: Column) -> Column:
 
 def glue_numbers(c: Column) -> Column:
     """Prices and decimals that markup has split, put together."""
-    out = F.regexp_replace(c, r"([€£¥₹$])\s+(\d[\d ,]*)\s*\.\s*(\d{1,4})", "$1$2.$3")
-    out = F.regexp_replace(out, r"(\d)\s+\.(\d)", "$1.$2")
-    return F.regexp_replace(out, r"(\d)\s+([€£¥₹])", "$1$2")
+    for pattern, put in NUMBER_GLUE:
+        c = F.regexp_replace(c, pattern, put)
+    return c
 
 
 def body(c: Column) -> Column:

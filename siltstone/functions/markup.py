@@ -19,15 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .html import ENTITIES, STATE_KEYS
+from .html import ENTITIES, NUMBER_GLUE, STATE_KEYS
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^<>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 REFERENCE = re.compile(r"&(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z][A-Za-z0-9]*));")
 BLANKS = re.compile("[ \\t\\n\\x0b\\f\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+")
-GLUE = [
-    (re.compile(r"([€£¥₹$])\s+(\d[\d ,]*)\s*\.\s*(\d{1,4})"), r"\1\2.\3"), (re.compile(r"(\d)\s+\.(\d)"), r"\1.\2"), (re.compile(r"(\d)\s+([€£¥₹])"), r"\1\2"),
-]
+GLUE = [(re.compile(pattern), put.replace("$", "\\")) for pattern, put in NUMBER_GLUE]
+# The call by which a page's own script reveals a streamed part.
 REVEAL = re.compile(r"\$RC\s*\([^)]*\)")
 DECLARED = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*([^;!]*)")
 # Elements without content, elements whose content is no markup, and names of elements that hold a page's text.
@@ -98,13 +97,17 @@ def rules(css: str) -> Iterator[tuple[str, str]]:
         last = m.end()
 
 
+# Media that are no screen.
+NO_SCREEN = "print|speech|tv|tty"
+
+
 def hidden_classes(styles: list[tuple[dict[str, str], str]]) -> set[str]:
     """Classes that the style elements of a screen hide by a selector of the class alone; the last rule of a class counts."""
     last: dict[str, bool] = {}
     for own, css in styles:
         media = own.get("media", "").strip().lower()
-        screen = not media or re.search(r"\bnot\s+(?:print|speech|tv|tty)\b", media) or not re.search(r"\bnot\s+screen\b", media) and (
-            re.search(r"\b(?:screen|all)\b", media) or not re.search(r"\b(?:print|speech|tv|tty)\b", media)
+        screen = not media or re.search(rf"\bnot\s+(?:{NO_SCREEN})\b", media) or not re.search(r"\bnot\s+screen\b", media) and (
+            re.search(r"\b(?:screen|all)\b", media) or not re.search(rf"\b(?:{NO_SCREEN})\b", media)
         )
         if not screen or own.get("type", "").strip().lower() not in ("", "text/css"):
             continue

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import SEED_SNIPPET, clip, printable
+from siltstone.functions import classify, urls
+from siltstone.functions.text import SEED_SNIPPET, SNIPPET, clip, printable, rtrim
 
+# What follows the length of a result that was cut.
+SNIPPET_NOTE = " characters total — snippeted in this lean payload; the full text is delivered in the tool result's content[0].text (the canonical MCP content channel).]"
 TEXT_CAP, JSON_CAP = 50_000, 25_000
 COMPACT_URL, COMPACT_FAILURES = 100, 30
 
@@ -36,6 +39,47 @@ def debug_lines(attempts: Column) -> Column:
     return F.array_join(first_and_last(F.transform(attempts, line)), "\n")
 
 
+def snippet(c: Column) -> Column:
+    """The start of a long result, with a note of its length."""
+    note = F.concat(F.lit("\n\n[… "), F.length(c).cast("string"), F.lit(SNIPPET_NOTE))
+    return F.when(F.length(c) <= SNIPPET, c).otherwise(F.concat(rtrim(F.substring(c, 1, SNIPPET)), note))
+
+
+def record_payload(rows: DataFrame, output: str = "raw", debug: bool = False, version: str = "1") -> Column:
+    """The JSON payload of records as ``extract.records`` makes them: fixed keys in a fixed order, null ones left out, credentials in addresses redacted.
+
+    A failed record's error rows are its errors, all others are warnings. ``debug`` adds attempts, redirects, structured data and hashes.
+    """
+    has = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    tier, code = F.col("tier"), F.col("status")
+    where = F.struct(tier.alias("tier"), F.col("resolved_via").alias("resolvedVia"), code.alias("code"), F.col("bytes").alias("bytes"))
+    more = []
+    if debug:
+        linked = F.struct(F.col("json_ld").alias("jsonLd"), F.col("meta").alias("meta"), F.col("state_keys").alias("stateKeys"))
+        more = [has("attempts").alias("attempts"), F.col("redirects").alias("redirects"), F.col("content_type").alias("httpContentType"), linked.alias("structured"), F.col("content_sha256").alias("contentSha256"), F.col("provenance_hash").alias("provenanceHash")]
+    return lean_json(
+        F.lit(version).alias("schemaVersion"), (F.col("record_status") != "fail").alias("ok"), F.col("record_status").alias("status"), urls.redact_query(F.col("url")).alias("url"),
+        urls.redact_query(F.col("final_url")).alias("finalUrl"), F.col("title").alias("title"), F.lit(output).alias("output"), F.col("content_kind").alias("contentType"), snippet(F.col("result")).alias("result"),
+        tier.alias("tier"), code.alias("code"), F.col("code_text").alias("codeText"), F.col("bytes").alias("bytes"), F.col("resolved_via").alias("resolvedVia"), has("platform").alias("platform"),
+        F.col("gate.js_required").alias("jsRequired"), F.col("access").alias("access"), F.col("quality").alias("contentQuality"), where.alias("provenance"),
+        classify.warnings(tier, F.col("errors")).alias("warnings"), F.col("images").alias("images"), classify.fatal_errors(tier, F.col("errors")).alias("errors"), *more,
+    )
+
+
+def debug_block(rows: DataFrame) -> Column:
+    """How a record came about, as text: its verdicts, its attempts, its transform (struct provider, model, reason, in_tokens, out_tokens) and the hash of its content."""
+    shown = lambda name: F.coalesce((F.col(name) if name in rows.columns else F.lit(None)).cast("string"), F.lit("0"))
+    first = F.concat(
+        F.lit("tier: "), F.col("tier"), F.lit("  resolvedVia: "), F.coalesce("resolved_via", F.lit("")), F.lit("  status: "), shown("status"), F.lit("  bytes: "), shown("bytes"), F.lit("  durationMs: "), shown("duration_ms"),
+        F.lit("  jsRequired: "), F.coalesce(F.col("gate.js_required"), F.lit(False)).cast("string"),
+    )
+    t = lambda name: F.col(f"transform.{name}").cast("string")
+    part = lambda before, c, after="": F.coalesce(F.concat(F.lit(before), c, F.lit(after)), F.lit(""))
+    made = F.concat(F.lit("transform: "), t("provider"), part(" ", t("model")), part(" (", t("reason"), ")"), part(" in=", t("in_tokens")), part(" out=", t("out_tokens"))) if "transform" in rows.columns else F.lit(None).cast("string")
+    attempts = F.nullif(debug_lines(F.col("attempts")), F.lit("")) if "attempts" in rows.columns else F.lit(None).cast("string")
+    return F.concat_ws("\n", F.lit("--- debug ---"), first, attempts, made, F.concat(F.lit("contentSha256: "), F.col("content_sha256")))
+
+
 def action_label(a: Column) -> Column:
     return F.concat_ws(":", a["type"], a["reason"], a["method"], a["resource"], a["url"])
 

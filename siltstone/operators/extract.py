@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import classify, html, markup, nodes, text, urls, weburl
-from siltstone.functions.core import lookup
+from siltstone.functions.core import let, lookup
 
 MAX_BODY, MAX_CHARS = 5 * 1024 * 1024, 5_000_000
 NO_ERRORS = "array<struct<code: string, message: string>>"
@@ -43,15 +43,37 @@ CHARSETS = {
 }
 
 
+def prescan(body: Column) -> Column:
+    """The charset that a meta element among the first 1024 bytes declares, in lower case; null without one.
+
+    Its ``charset`` attribute, else ``charset=`` in the ``content`` of one with ``http-equiv`` content-type; what looks like either inside another attribute's value or a comment
+    is none, and a meta element that does not end before the cut ends the search.
+    """
+    head = F.lower(F.regexp_replace(F.decode(F.substring(body, 1, 1024), "ISO-8859-1"), r"[^\x00-\x7F]", "_"))
+    plain = F.regexp_replace(head, r"(?s)<!--.*?(?:-->|\z)", " ")
+    metas = F.regexp_extract_all(plain, F.lit(r"""(?s)<meta(?=[\s/>]|\z)(?:((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|.*\z)"""), F.lit(1))
+    pair = r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?"""
+
+    def declared(attributes: Column) -> Column:
+        def of(pairs: Column) -> Column:
+            value = lambda name: F.get(F.transform(F.filter(pairs, lambda p: F.regexp_extract(p, pair, 1) == name), lambda p: F.concat(*[F.regexp_extract(p, pair, k) for k in (2, 3, 4)])), F.lit(0))
+            old = F.regexp_extract(value("content"), r"charset\s*=\s*([a-z0-9][a-z0-9_:.+\-]*)", 1)
+            return F.coalesce(F.nullif(value("charset"), F.lit("")), F.nullif(F.when(F.trim(value("http-equiv")) == "content-type", old), F.lit("")))
+
+        # a slash where a name could begin ends the attributes
+        before = lambda found: F.slice(found, F.lit(1), F.array_position(found, "/") - 1)
+        return let(let(F.array_append(F.regexp_extract_all(attributes, F.lit(f"(/|{pair})"), F.lit(1)), F.lit("/")), before), of)
+
+    return F.get(F.array_compact(F.transform(metas, declared)), F.lit(0))
+
+
 def decoded(body: Column, content_type: Column) -> Column:
     """Bytes as text: the header's charset, else a meta charset among the first 1024 bytes, else UTF-8.
 
     Unknown names go through UTF-8; bad bytes become replacement characters. Only bodies in another charset than UTF-8 leave
     the JVM.
     """
-    head = F.make_valid_utf8(F.substring(body, 1, 1024))
-    prescan = F.lower(F.regexp_extract(F.regexp_replace(head, r"(?s)<!--.*?-->", ""), r"""(?i)<meta\b[^>]*?charset\s*=\s*["']?([A-Za-z0-9_-]+)""", 1))
-    name = F.coalesce(text.charset(content_type), F.when(text.is_html_type(content_type), F.nullif(prescan, F.lit(""))), F.lit("utf-8"))
+    name = F.coalesce(text.charset(content_type), F.when(text.is_html_type(content_type), prescan(body)), F.lit("utf-8"))
     other = lookup(CHARSETS, name)
 
     @F.arrow_udf("string")

@@ -15,6 +15,8 @@ from siltstone.functions.text import token_estimate
 
 from .lookups import small
 
+# Words in the names and tags of models that do not write prose.
+CODING, OTHER_MEDIA = r"\b(?:code|coder|coding)\b", "image|text-to-image|diffusion|tts|speech|audio|whisper|rerank|embed"
 #: Models that a catalogue may have where all that fit are listed; it travels as one array.
 MAX_MODELS = 20_000
 
@@ -149,7 +151,7 @@ def choose(requests: DataFrame, models: DataFrame) -> DataFrame:
 def is_free_text_model(price: Column, model: Column, takes: Column, gives: Column) -> Column:
     """Whether a listed model is free and writes prose from text: no coding, image, sound, ranking or embedding model."""
     tags = F.lower(F.concat_ws(" ", F.coalesce(model, F.lit("")), F.coalesce(gives, F.lit(""))))
-    other = tags.rlike(r"\b(?:code|coder|coding)\b") | tags.rlike("image|text-to-image|diffusion|tts|speech|audio|whisper|rerank|embed")
+    other = tags.rlike(CODING) | tags.rlike(OTHER_MEDIA)
     return F.coalesce(price == "0", F.lit(False)) & F.coalesce(takes, F.lit("text")).contains("text") & ~other
 
 

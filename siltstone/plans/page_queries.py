@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import classify, html, markup, text
+from siltstone.operators import delivery
 from siltstone.operators.extract import extract, fetches_from_pages, records
 
 from .tables import table
@@ -99,12 +100,32 @@ def sensitive_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(classify.sensitive_reason(F.col("t")), F.lit("none")).alias("reason"))
 
 
+def page_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the delivered JSON of every page, and the block that says how it came about."""
+    rows = records(_extracted(spark, sf_dir))
+    made = rows.select(F.col("seed_id").alias("page_id"), delivery.record_payload(rows, debug=True).alias("p"), delivery.debug_block(rows).alias("debug"))
+    key = lambda path: F.get_json_object("p", path)
+    return made.select(
+        "page_id", key("$.ok").alias("ok"), key("$.status").alias("status"), key("$.contentType").alias("content_kind"), F.length(key("$.result")).cast("long").alias("result_chars"), key("$.provenance.resolvedVia").alias("via"),
+        key("$.access.reason").alias("reason"), key("$.contentSha256").alias("sha256"), key("$.jsRequired").alias("js"), key("$.schemaVersion").alias("version"), key("$.errors").alias("errors"), "debug",
+    )
+
+
 QUERIES = {
+    "page_payloads": page_payloads,
     "page_main_text": page_main_text, "page_title": page_title, "page_evidence": page_evidence, "page_records": page_records, "content_hash": content_hash,
     "token_estimate": token_estimate, "excerpts": excerpts, "quality_flags": quality_flags, "sensitive_texts": sensitive_texts,
 }
 
 SQL = {
+    "page_payloads": _ARTICLE + r""",
+        m AS (SELECT *, length(text) >= 80 OR (CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(text, '\s+')) END) >= 12 OR length(text) >= 20 AS content, len(regexp_extract_all(html, '(?i)<meta[^>]*\s(?:name|property)=')) AS metas FROM t),
+        g AS (SELECT *, CASE WHEN NOT content THEN 'tier1-shell-gate' WHEN metas > 0 THEN 'tier1-meta' ELSE 'tier1-html' END AS via, regexp_replace(substr(text, 1, 2000), '[\s\p{Z}]+$', '') AS head FROM m)
+        SELECT page_id, CASE WHEN content THEN 'true' ELSE 'false' END AS ok, CASE WHEN content THEN 'pass' ELSE 'fail' END AS status, CASE WHEN content THEN 'unknown' ELSE 'spa' END AS content_kind,
+            CASE WHEN length(text) <= 2000 THEN length(text) ELSE length(head) + 5 + length(CAST(length(text) AS VARCHAR)) + 153 END AS result_chars, via, CASE WHEN content THEN 'none' ELSE 'js-required' END AS reason,
+            sha256(html) AS sha256, CASE WHEN content THEN 'false' ELSE 'true' END AS js, '1' AS version, '[]' AS errors,
+            '--- debug ---' || chr(10) || 'tier: ' || CASE WHEN content THEN '1' ELSE 'render-blocked' END || '  resolvedVia: ' || via || '  status: 200  bytes: ' || strlen(html) || '  durationMs: 0  jsRequired: ' ||
+            CASE WHEN content THEN 'false' ELSE 'true' END || chr(10) || 'contentSha256: ' || sha256(html) AS debug FROM g""",
     "page_main_text": _ARTICLE + r"""SELECT page_id, 'article' AS landmark, text, CAST(length(text) AS BIGINT) AS text_length,
         CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split_regex(text, '\s+')) END AS BIGINT) AS word_count FROM t""",
     "page_title": r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(

@@ -300,3 +300,31 @@ def test_equality_of_json_at_any_depth(spark):
         assert spark.range(1).select(schema.failure(v, {"enum": [value]}).isNull()).first()[0] is want
     unique = lambda t: spark.range(1).select(schema.failure(F.try_parse_json(F.lit(t)), {"uniqueItems": True}).isNull()).first()[0]
     assert not unique("[1, 1.0]") and not unique('[{"a":[1]},{"a":[1.0]}]') and unique('[1, "1", 2]')
+
+
+PRESCANS = {
+    b'<meta charset="utf-8">': "utf-8", b"<META CHARSET=Windows-1252 >": "windows-1252", b"<meta charset='x'><meta charset='y'>": "x", b"<metadata charset=a><meta charset=b>": "b",
+    b'<meta data-charset="a"><meta name="charset=b" content="charset=c">': None, b'<meta http-equiv="Content-Type" content="text/html; charset = ISO-8859-2">': "iso-8859-2",
+    b'<meta content="text/html; charset=a" http-equiv=refresh>': None, b"<!-- <meta charset=a> --><meta charset=b>": "b", b"<!-- <meta charset=a>": None, b'<meta charset="utf-8" data="x>': None,
+    b'<meta charset=a/><meta name="x" charset>': "a/", b"\xff\xfe<meta charset=a>": "a", b"": None, b" " * 1020 + b"<meta charset=a>": None, b"<p charset=a>": None, b'<meta x="> charset=b"><meta/charset=c>': None,
+    b"<meta charset=\"\" http-equiv='content-type' content='charset=q'>": "q",
+}
+
+
+def test_charset_prescan(spark):
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(PRESCANS)], "i int, b binary").select("i", extract.prescan(F.col("b")).alias("x")).orderBy("i").collect()
+    assert dict(zip(PRESCANS, [r.x for r in rows])) == PRESCANS
+
+
+def test_record_payload(spark):
+    from siltstone.operators import delivery
+
+    pages = spark.createDataFrame([(1, "https://h.example/?token=abc&x=1", "<title>T</title><article>" + "word " * 900 + "</article>"), (2, "https://h.example/", "<div id=root></div><script></script>")], "page_id long, url string, html string")
+    rows = extract.records(extract.extract(extract.fetches_from_pages(pages)))
+    rows = rows.withColumn("transform", F.struct(F.lit("none").alias("provider"), F.lit(None).cast("string").alias("model"), F.lit("failed").alias("reason"), F.lit(3).alias("in_tokens"), F.lit(None).cast("int").alias("out_tokens")))
+    got = rows.select(delivery.record_payload(rows).alias("p"), delivery.record_payload(rows, debug=True).alias("d"), delivery.debug_block(rows).alias("b")).collect()
+    one, two = (json.loads(r.p) for r in got)
+    assert one["ok"] is True and one["url"] == "https://h.example/?token=%5BREDACTED%5D&x=1" and one["provenance"]["code"] == 200 and one["title"] == "T" and "platform" not in one and one["result"].startswith("word word")
+    assert "[… 4499 characters total — snippeted" in one["result"] and len(one["result"]) < 2200 and list(one)[:4] == ["schemaVersion", "ok", "status", "url"]
+    assert two["ok"] is False and two["status"] == "fail" and "contentSha256" not in two and len(json.loads(got[1].d)["contentSha256"]) == 64
+    assert got[0].b.split("\n")[0] == "--- debug ---" and "transform: none (failed) in=3" in got[0].b.split("\n")
