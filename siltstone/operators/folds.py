@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.core import let
+
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], init: Callable[[], Any], step: Callable[[Any, dict], dict], added: str, uses: list[str] | None = None) -> DataFrame:
     """``df`` with the columns ``added`` (DDL) that ``step(state, row)`` returns for every row, key by key, in order.
@@ -125,8 +127,8 @@ def model_health(df: DataFrame, model: str, order: list[str], outcome: str) -> D
 # --- budgets ---------------------------------------------------------------------------------------------------
 
 MIB = 1024 * 1024
-#: Rows of a key that one task sums where sums need no feedback.
-CHUNK = 100_000
+#: Rows that one task sums where sums need no feedback, and stretches at most.
+CHUNK, MAX_STRETCHES = 100_000, 2_000
 
 
 @dataclass
@@ -170,11 +172,24 @@ def sequential_budget(
     return ordered_fold(df, [batch], order, Budget, step, BUDGET, [bytes_col, cost_col])
 
 
-def chunked(df: DataFrame, key: str, order: str, rows: int) -> Column:
-    """A number that deals the rows of every key into stretches of a whole-number ``order`` column, about ``rows`` each where it is even."""
-    least, most, n, keys = df.agg(F.min(order), F.max(order), F.count("*"), F.approx_count_distinct(key)).first()
-    width = max(1, ((most or 0) - (least or 0) + 1) * rows // max(1, n))
-    return F.floor((F.col(order) - (least or 0)) / width).cast("long")
+def chunked(df: DataFrame, order: str, rows: int) -> Column:
+    """A number that deals rows into stretches of a whole-number ``order`` column, about ``rows`` each however unevenly its values lie.
+
+    Stretches end at quantiles of all rows, of which there are at most ``MAX_STRETCHES``; a key with many rows has its share of them. Nulls are in the first one.
+    """
+    most = min(MAX_STRETCHES, -(-df.count() // rows))
+    ends = sorted(set(df.approxQuantile(order, [k / most for k in range(1, most)], 0.25 / most))) if most > 1 else []
+    if not ends:
+        return F.lit(0).cast("long")
+    value, bounds = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))), F.array(*[F.lit(x) for x in ends])
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        step = lambda m: F.when(F.get(bounds, m) <= value, F.struct((m + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), m.alias("high")))
+        return F.when(s["low"] < s["high"], let(middle, step)).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(ends)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(ends).bit_length())), start, halve)["low"].cast("long")
 
 
 def running_bytes(df: DataFrame, batch: str, order: str, bytes_col: str, per_seed: int, cap: int, chunk: int = CHUNK) -> DataFrame:
@@ -183,7 +198,7 @@ def running_bytes(df: DataFrame, batch: str, order: str, bytes_col: str, per_see
     Sums of stretches of a batch are put in order first, and rows are summed within their stretch, so a batch of any size is
     many tasks. ``order`` is a whole number.
     """
-    dealt = df.withColumn("__c", chunked(df, batch, order, chunk))
+    dealt = df.withColumn("__c", chunked(df, order, chunk))
     sums = dealt.groupBy(batch, "__c").agg(F.coalesce(F.sum(bytes_col), F.lit(0)).alias("__s"))
     upto = F.coalesce(F.sum("__s").over(Window.partitionBy(batch).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select(F.col(batch).alias("__b"), F.col("__c").alias("__d"), upto.alias("__o"))
@@ -229,7 +244,7 @@ def request_starts(df: DataFrame, host: str, at_ms: str, order: list[str] | None
     a host of any size is many tasks. Times are whole milliseconds.
     """
     ties = [at_ms, *(order or [])]
-    dealt = df.withColumn("__c", chunked(df, host, at_ms, chunk))
+    dealt = df.withColumn("__c", chunked(df, at_ms, chunk))
     local = Window.partitionBy(host, "__c").orderBy(*ties)
     numbered = dealt.withColumn("__i", F.row_number().over(local))
     debt = F.col(at_ms) - F.col("__i") * refill_ms

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import lookups, models
+from siltstone.operators import folds, lookups, models
 
 LIST = """// a comment
 // ===BEGIN ICANN DOMAINS===
@@ -144,3 +144,13 @@ def test_choice_among_many_models(spark):
     assert {k: (r.chosen_provider, r.chosen_model) for k, r in got.items()} == {r["request_id"]: slow_choice(r, catalogue) or ("none", None) for r in requests}
     assert all((r.reason is None) == (r.chosen_model is not None) for r in got.values())
     assert {r.reason for r in models.choose(rs, ms.limit(0)).collect()} == {"unconfigured"} and models.choose(rs.limit(0), ms).count() == 0
+
+
+def test_stretches_follow_the_rows(spark):
+    rows = [(k,) for k in range(4000)] + [(10**14,), (None,), (-(10**14),)] + [(77,)] * 500
+    df = spark.createDataFrame(rows, "at long")
+    sizes = {r.c: r["count"] for r in df.groupBy(folds.chunked(df, "at", 200).alias("c")).count().collect()}
+    assert len(sizes) >= 18 and max(sizes.values()) <= 1000 and sorted(sizes.values())[-2] <= 450
+    spans = df.where("at is not null").groupBy(folds.chunked(df, "at", 200).alias("c")).agg(F.min("at").alias("a"), F.max("at").alias("b")).orderBy("c").collect()
+    assert all(x.b < y.a for x, y in zip(spans, spans[1:]))
+    assert df.limit(0).select(folds.chunked(df.limit(0), "at", 5)).count() == 0
