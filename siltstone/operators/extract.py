@@ -175,6 +175,71 @@ def records(extracted: DataFrame, output: str = "raw", fetched_at: str = "1970-0
     })
 
 
+ATTEMPTS = "array<struct<step: int, tier: string, outcome: string, duration_ms: bigint, reason: string, status: int, bytes: bigint>>"
+RENDERS = (
+    "seed_id long, rendered boolean, code string, message string, status int, content_type string, dom_html string, render_ms long, egress_bytes long, hosts array<string>, "
+    "actions array<struct<type: string, outcome: string, reason: string, method: string, resource: string, url: string>>"
+)
+# Names of the ways in which a page was resolved.
+BY_RENDER, NO_RENDER, BLOCKED = "tier3-playwright", "render-unavailable", "render-blocked"
+
+
+def _attempt(tier: Column, outcome: Column, reason: Column, ms: Column | None = None, status: Column | None = None, size: Column | None = None) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        F.lit(3).alias("step"), tier.alias("tier"), outcome.alias("outcome"), F.coalesce(ms, F.lit(0)).cast("long").alias("duration_ms") if ms is not None else F.lit(0).cast("long").alias("duration_ms"), reason.alias("reason"),
+        (none if status is None else status).cast("int").alias("status"), (none if size is None else size).cast("long").alias("bytes"),
+    )
+
+
+def after_rendering(records_: DataFrame, renders: DataFrame, allowed: Column, available: bool = True) -> DataFrame:
+    """Records after the decision about rendering, with ``attempts``, ``egress_bytes`` and ``egress_hosts``.
+
+    Pages that need no script stay. A shell page is ``render-blocked`` where rendering is not ``allowed``, and ``render-unavailable`` where there is no renderer or it says so. A render that
+    failed or showed nothing is an error row; one that the server answered with an error keeps the verdict of its answer; any other becomes the record, tier 3, behind the
+    errors and attempts of the first one. ``renders`` (``RENDERS``): what a renderer made of seeds, one row each at most; a seed that it did not reach counts as a failed render. Bytes of the
+    first fetch and of the render are added up in every case.
+    """
+    base = records_ if "attempts" in records_.columns else records_.withColumn("attempts", F.array().cast(ATTEMPTS))
+    keep = [c for c in base.columns if c not in ("egress_bytes", "egress_hosts")]
+    made = renders.select("seed_id", F.struct(*[c for c in renders.columns if c != "seed_id"]).alias("__r")).where(F.lit(available))
+    needs, may, ok = F.col("tier") == "render-blocked", F.coalesce(allowed, F.lit(False)), F.coalesce("__r.rendered", F.lit(False))
+    tried = base.select(*keep).join(made, "seed_id", "left").withColumn("__kind", F.when(~needs, "done").when(~may, "blocked").when(ok, "shown").otherwise("failed"))
+    fetched = tried.where("__kind = 'shown'").select(
+        "seed_id", "url", "final_url", F.coalesce("__r.status", "status").alias("status"), F.coalesce("__r.content_type", F.lit("text/html")).alias("content_type"),
+        F.coalesce("__r.dom_html", F.lit("")).cast("binary").alias("body"), F.octet_length(F.coalesce("__r.dom_html", F.lit(""))).cast("long").alias("bytes"), "redirects", F.array().cast(NO_ERRORS).alias("errors"),
+    )
+    page = records(extract(fetched))
+    own = [c for c in keep if c in page.columns and c != "seed_id"]
+    both = tried.join(page.select("seed_id", F.struct(*own).alias("__p")), "seed_id", "left")
+    empty = F.col("__p.gate.js_required") & (F.trim("__p.result") == "")
+    code = F.when(F.lit(not available), "render_unavailable").otherwise(F.coalesce("__r.code", F.lit("render_error")))
+    both = both.withColumn("__kind", F.when((F.col("__kind") == "failed") & (code == "render_unavailable"), "absent").when((F.col("__kind") == "shown") & empty, "empty").otherwise(F.col("__kind")))
+    kind, bad = F.col("__kind"), F.col("__p.status") >= 400
+    none = F.array().cast(ATTEMPTS)
+    controls = F.transform(F.coalesce("__r.actions", F.array().cast(dict(renders.dtypes)["actions"])), lambda a: _attempt(F.lit("3"), F.coalesce(a["outcome"], F.lit("block")), F.concat_ws(":", a["type"], a["reason"], a["method"], a["resource"], a["url"])))
+    ms = F.col("__r.render_ms")
+    rendered = _attempt(F.lit("3"), F.when(bad, "error").otherwise("ok"), F.when(bad, "http-error").otherwise("rendered"), ms, F.col("__p.status"), F.col("__p.bytes"))
+    lost = _attempt(F.when(kind == "absent", NO_RENDER).otherwise("error"), F.lit("error" if available else "block"), F.when(kind == "empty", "render_empty").when(F.lit(not available), "render port unconfigured").otherwise(code), ms)
+    attempts = (
+        F.when(kind == "done", none).when(kind == "blocked", F.array(_attempt(F.lit(BLOCKED), F.lit("block"), F.lit("allowRender=false"))))
+        .when(kind == "shown", F.concat(F.array(rendered), controls)).otherwise(F.concat(controls, F.array(lost)))
+    )
+    message = F.when(kind == "empty", "Render produced no content (empty shell)").otherwise(F.coalesce("__r.message", F.lit("Tier-3 render failed" if available else "Tier-3 render is not configured")))
+    error = F.array(F.struct(F.when(kind == "empty", "render_empty").otherwise(code).alias("code"), message.alias("message")))
+    errors = F.when(kind.isin("done", "blocked"), F.col("errors")).when(kind == "shown", F.concat("errors", "__p.errors")).otherwise(F.concat("errors", error))
+    taken = {c: F.when(kind == "shown", F.col(f"__p.{c}")).otherwise(F.col(c)) for c in own}
+    via = F.when(kind == "blocked", BLOCKED).when(kind == "absent", NO_RENDER).when(kind.isin("failed", "empty") | ((kind == "shown") & ~bad), BY_RENDER)
+    tier = F.when(kind == "absent", NO_RENDER).when(kind.isin("failed", "empty"), "error").when((kind == "shown") & ~bad, "3")
+    ran = ~kind.isin("done", "blocked")
+    taken |= {
+        "attempts": F.concat("attempts", attempts), "errors": errors, "tier": F.coalesce(tier, taken["tier"]), "resolved_via": F.coalesce(via, taken["resolved_via"]),
+        "egress_bytes": F.coalesce("bytes", F.lit(0)) + F.when(ran, F.coalesce("__r.egress_bytes", F.lit(0))).otherwise(0), "egress_hosts": F.when(ran, F.coalesce("__r.hosts", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")),
+    }
+    out = both.select(*[taken.get(c, F.col(c)).alias(c) for c in (*keep, "egress_bytes", "egress_hosts")])
+    return out.withColumn("record_status", classify.record_status(F.col("tier"), F.col("status"), F.col("result"), F.col("errors"), F.lit(None).cast("string")))
+
+
 def _substantial(body: Column, words: Column) -> Column:
     return (F.length(F.trim(body)) >= 80) | (words >= 12)
 

@@ -382,6 +382,27 @@ def rendered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("seed_id").alias("event_id"), "tier", "resolved_via", "record_status", F.length("result").cast("long").alias("n"), F.col("access.reason").alias("access"))
 
 
+def render_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shell pages that may not be rendered, were not reached, failed, showed nothing, an error page or their text."""
+    from siltstone.operators.extract import after_rendering, extract, fetches_from_pages, records
+
+    e = _events(spark, sf_dir)
+    pages = e.select("event_id", _text("https://h/", F.col("i")).alias("url"), F.when(F.pmod("i", F.lit(4)) > 0, '<div id="root"></div><script>x</script>').otherwise(F.concat(F.lit("<p>"), F.repeat(F.lit("word "), 20))).alias("html"))
+    way, texts = F.pmod("i", F.lit(7)), F.concat(F.lit("<main>"), F.repeat(_text("filled ", F.col("k"), " "), 9), F.lit("</main>"))
+    renders = e.where(way > 0).select(
+        F.col("event_id").alias("seed_id"), (way > 2).alias("rendered"), F.when(way == 1, "render_unavailable").when(way == 2, "timeout").alias("code"), F.when(way == 2, "too slow").alias("message"),
+        F.when(way == 4, 503).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"), F.when(way == 3, '<div id="root"></div>').otherwise(texts).alias("dom_html"), F.col("k").cast("long").alias("render_ms"),
+        (F.col("k") * 10).cast("long").alias("egress_bytes"), F.array(_text("cdn", F.col("k"), ".example")).alias("hosts"),
+        F.array(F.struct(F.lit("abort").alias("type"), F.lit(None).cast("string").alias("outcome"), F.lit("ad").alias("reason"), F.lit("GET").alias("method"), F.lit(None).cast("string").alias("resource"), F.lit("u").alias("url"))).alias("actions"),
+    )
+    allowed = F.pmod("seed_id", F.lit(3)) > 0
+    found = after_rendering(records(extract(fetches_from_pages(pages, "event_id"))), renders, allowed)
+    return found.select(
+        F.col("seed_id").alias("event_id"), "tier", "resolved_via", "record_status", F.array_join(F.transform("attempts", lambda a: F.concat_ws(" ", a["tier"], a["outcome"], a["duration_ms"].cast("string"), a["reason"])), ";").alias("attempts"),
+        F.array_join(F.transform("errors", lambda x: x["code"]), ",").alias("codes"), (F.col("egress_bytes") - F.when(F.size("attempts") == 0, F.col("bytes")).otherwise(39)).alias("more"), F.array_join("egress_hosts", ",").alias("hosts"),
+    )
+
+
 def model_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a model is shown of conversations' turns, and what it is asked."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"), "role")
@@ -424,7 +445,7 @@ def board_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     status_texts, response_headers, forward_plans, blocked_resources, oversized_batches, render_units, longest_texts, longest_text, customer_supplier_nations, output_modes, rows_not_run,
     free_models, completions, finalised_answers, schema_failures, nested_pages, streamed_pages, state_roundtrip, linked_nodes, title_choice, pin_captions, lean_structures, bot_walls,
-    render_reasons, error_split, address_families, ipv6_ranges, redacted_addresses, embedded_boards, capped_html, tracker_free_texts, seed_classes, client_profiles, render_pool_log, page_parts, redirect_hops, rendered_records, model_prompts, delivered_rows, audit_rows, board_titles,
+    render_reasons, error_split, address_families, ipv6_ranges, redacted_addresses, embedded_boards, capped_html, tracker_free_texts, seed_classes, client_profiles, render_pool_log, page_parts, redirect_hops, rendered_records, render_outcomes, model_prompts, delivered_rows, audit_rows, board_titles,
 )}
 
 _STATUS = ", ".join(f"({k}, '{v.replace(chr(39), chr(39) * 2)}')" for k, v in text.STATUS_TEXT.items())
@@ -512,6 +533,15 @@ SQL = {
         SELECT event_id, CASE WHEN NOT shell THEN '1' WHEN drawn THEN '3' ELSE 'render-blocked' END AS tier, CASE WHEN shell AND NOT drawn THEN 'tier1-shell-gate' ELSE 'tier1-html' END AS resolved_via,
             CASE WHEN shell AND NOT drawn THEN 'fail' ELSE 'pass' END AS record_status, CAST(CASE WHEN NOT shell THEN 99 WHEN drawn THEN 9 * length('filled ' || k || ' ') - 1 ELSE 0 END AS BIGINT) AS n,
             CASE WHEN shell AND NOT drawn THEN 'js-required' ELSE 'none' END AS access FROM r""",
+    "render_outcomes": f"""WITH {_E}, r AS (SELECT *, i % 4 > 0 AS shell, event_id % 3 > 0 AS allowed, i % 7 AS way FROM e)
+        SELECT event_id, CASE WHEN NOT shell THEN '1' WHEN NOT allowed THEN 'render-blocked' WHEN way = 1 THEN 'render-unavailable' WHEN way IN (0, 2, 3) THEN 'error' WHEN way = 4 THEN '1' ELSE '3' END AS tier,
+            CASE WHEN NOT shell THEN 'tier1-html' WHEN NOT allowed THEN 'render-blocked' WHEN way = 1 THEN 'render-unavailable' WHEN way = 4 THEN 'tier1-error' ELSE 'tier3-playwright' END AS resolved_via,
+            CASE WHEN NOT shell OR (allowed AND way > 4) THEN 'pass' ELSE 'fail' END AS record_status,
+            CASE WHEN NOT shell THEN '' WHEN NOT allowed THEN 'render-blocked block 0 allowRender=false' WHEN way = 0 THEN 'error error 0 render_error' WHEN way = 1 THEN '3 block 0 abort:ad:GET:u;render-unavailable error ' || k || ' render_unavailable'
+                WHEN way = 2 THEN '3 block 0 abort:ad:GET:u;error error ' || k || ' timeout' WHEN way = 3 THEN '3 block 0 abort:ad:GET:u;error error ' || k || ' render_empty'
+                WHEN way = 4 THEN '3 error ' || k || ' http-error;3 block 0 abort:ad:GET:u' ELSE '3 ok ' || k || ' rendered;3 block 0 abort:ad:GET:u' END AS attempts,
+            CASE WHEN NOT shell OR NOT allowed THEN '' ELSE (['render_error', 'render_unavailable', 'timeout', 'render_empty', 'http_error', '', ''])[way + 1] END AS codes,
+            CAST(CASE WHEN NOT shell OR NOT allowed OR way = 0 THEN 0 ELSE k * 10 END AS BIGINT) AS more, CASE WHEN shell AND allowed AND way > 0 THEN 'cdn' || k || '.example' ELSE '' END AS hosts FROM r""",
     "model_prompts": """WITH c AS (SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN role = 'user' THEN 'Title: T' || turn END, CASE WHEN turn % 2 = 0 THEN 'Description: about' END, coalesce(text, ''),
             CASE WHEN conv_id % 3 = 0 THEN 'Structured data:' || chr(10) || '{"a":1}' END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS c FROM conversations)
         SELECT conv_id, turn, sha256('Request: sum up' || CASE WHEN turn % 3 = 0 THEN ' Use at most 200 tokens.' ELSE '' END || CASE WHEN turn % 2 = 0 THEN chr(10) || 'Answer with JSON only' ||

@@ -154,3 +154,18 @@ def test_stretches_follow_the_rows(spark):
     spans = df.where("at is not null").groupBy(folds.chunked(df, "at", 200).alias("c")).agg(F.min("at").alias("a"), F.max("at").alias("b")).orderBy("c").collect()
     assert all(x.b < y.a for x, y in zip(spans, spans[1:]))
     assert df.limit(0).select(folds.chunked(df.limit(0), "at", 5)).count() == 0
+
+
+def test_rendering_keeps_attempts(spark):
+    from siltstone.operators import extract
+
+    html = "<div id=root></div><script></script>"
+    pages = spark.createDataFrame([(k, f"https://h.example/{k}", html if k else "<p>" + "word " * 30) for k in range(5)], "page_id long, url string, html string")
+    rows = extract.records(extract.extract(extract.fetches_from_pages(pages))).withColumn("own", F.lit(1))
+    renders = spark.createDataFrame([(1, True, None, None, 200, "text/html", "<main>" + "shown " * 30 + "</main>", 7, 100, ["cdn.example"], []), (2, True, None, None, None, None, None, 3, None, None, None)], extract.RENDERS)
+    got = {r.seed_id: r for r in extract.after_rendering(rows, renders, F.col("seed_id") != 4).collect()}
+    assert [got[k].tier for k in range(5)] == ["1", "3", "error", "error", "render-blocked"] and all(r.own == 1 for r in got.values())
+    assert [len(got[k].attempts) for k in range(5)] == [0, 1, 1, 1, 1] and got[1].result.startswith("shown") and got[1].egress_bytes == len(html) + 100 and got[1].egress_hosts == ["cdn.example"]
+    assert [e.code for e in got[2].errors] == ["render_empty"] and [e.code for e in got[3].errors] == ["render_error"] and got[4].attempts[0].reason == "allowRender=false"
+    gone = extract.after_rendering(rows, renders, F.lit(True), available=False).collect()
+    assert sorted(r.tier for r in gone) == ["1"] + ["render-unavailable"] * 4 and all(r.attempts[0].reason == "render port unconfigured" for r in gone if r.tier != "1")
