@@ -40,10 +40,47 @@ def text_at(node: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(node, path, "variant")) == "STRING", F.try_variant_get(node, path, "string"))
 
 
+def _cut(v: Column) -> Column:
+    return F.when(F.length(v) > MAX_FIELD, F.concat(F.substring(v, 1, MAX_FIELD - 1), F.lit("…"))).otherwise(v)
+
+
 def field(node: Column, *names: str) -> Column:
     """The first of some text fields that is not blank, trimmed; a longer one ends in an ellipsis; null if there is none."""
-    cut = lambda v: F.when(F.length(v) > MAX_FIELD, F.concat(F.substring(v, 1, MAX_FIELD - 1), F.lit("…"))).otherwise(v)
-    return let(F.coalesce(*[F.nullif(F.trim(text_at(node, f"$.{n}")), F.lit("")) for n in names]), cut)
+    return let(F.coalesce(*[F.nullif(F.trim(text_at(node, f"$.{n}")), F.lit("")) for n in names]), _cut)
+
+
+#: Entries of an array that are read.
+MAX_ENTRIES = 50
+
+
+def _asked(q: Column) -> Column:
+    """A question and its accepted answer as one text; null without either."""
+    ask, answer = field(q, "name"), F.coalesce(field(q, "acceptedAnswer.text"), field(q, "acceptedAnswer"))
+    said = lambda p: F.when(p["q"].isNotNull() & p["a"].isNotNull(), F.concat(F.lit("Q: "), p["q"], F.lit(" A: "), p["a"])).when(p["q"].isNotNull(), F.concat(F.lit("Q: "), p["q"])).otherwise(p["a"])
+    return let(F.struct(ask.alias("q"), answer.alias("a")), said)
+
+
+def _entries(node: Column, *names: str) -> Column:
+    """The first entries of an array field, or its single value; of several fields the first that is there."""
+    value = F.coalesce(*[F.try_variant_get(node, f"$.{n}", "variant") for n in names])
+    return let(value, lambda v: F.slice(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(v.isNotNull(), F.array(v))), 1, MAX_ENTRIES))
+
+
+def _joined(texts: Column, by: str) -> Column:
+    return F.nullif(F.array_join(F.array_compact(texts), by), F.lit(""))
+
+
+def _questions(node: Column) -> Column:
+    """The questions of a page of questions, each with its answer."""
+    return _joined(F.transform(_entries(node, "mainEntity"), _asked), "  ")
+
+
+def _steps(node: Column, name: str) -> Column:
+    """Instructions: texts, steps by their text or name, a list around them, and the steps of one level of sections."""
+    own = lambda v: F.when(F.schema_of_variant(v) == "STRING", let(F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit("")), _cut))
+    step = lambda v: F.coalesce(own(v), field(v, "text"), field(v, "name"))
+    inner = lambda v: _joined(F.transform(_entries(v, "itemListElement", "step"), step), " · ")
+    return _joined(F.transform(_entries(node, name), lambda v: F.coalesce(own(v), field(v, "text"), inner(v), field(v, "name"))), " · ")
 
 
 def harvest(node: Column, lead: bool | Column = False) -> Column:
@@ -56,23 +93,15 @@ def _harvest(node: Column, own: Column, lead: bool | Column) -> Column:
     f = lambda *names: field(node, *names)
     short, whole = ("headline", "description", "articleBody"), ("articleBody", "headline", "description")
     article = f(*(short if lead else whole)) if isinstance(lead, bool) else F.when(lead, f(*short)).otherwise(f(*whole))
-    steps = F.try_variant_get(node, "$.recipeInstructions", "array<string>")
-    how = F.try_variant_get(node, "$.recipeInstructions", "array<struct<text string>>")
-    instructions = F.coalesce(
-        F.nullif(F.array_join(F.transform(how, lambda s: s["text"]), " · "), F.lit("")), F.nullif(F.array_join(steps, " · "), F.lit("")), field(node, "recipeInstructions")
-    )
-    pairs = F.try_variant_get(node, "$.mainEntity", "array<struct<name string, acceptedAnswer struct<text string>>>")
-    faq = F.nullif(F.array_join(F.transform(pairs, lambda q: F.concat_ws("  ", q["name"], q["acceptedAnswer"]["text"])), " · "), F.lit(""))
-    how_steps = F.try_variant_get(node, "$.step", "array<struct<text string>>")
     return (
         F.when(has("socialmediaposting"), F.lit(None).cast("string"))
         .when(has(*ARTICLE_TYPES), article)
         .when(has("jobposting"), f("description", "title"))
         .when(has("review"), f("reviewBody", "description"))
-        .when(has("recipe"), F.coalesce(instructions, field(node, "description")))
-        .when(has("howto"), F.coalesce(field(node, "description"), F.nullif(F.array_join(F.transform(how_steps, lambda s: s["text"]), " · "), F.lit(""))))
-        .when(has("faqpage"), F.coalesce(faq, field(node, "description")))
-        .when(has("question"), F.coalesce(F.nullif(F.concat_ws("  ", field(node, "name"), F.try_variant_get(node, "$.acceptedAnswer.text", "string")), F.lit("")), field(node, "description")))
+        .when(has("recipe"), F.coalesce(_steps(node, "recipeInstructions"), field(node, "description")))
+        .when(has("howto"), F.coalesce(field(node, "description"), _steps(node, "step")))
+        .when(has("faqpage"), F.coalesce(_questions(node), field(node, "description")))
+        .when(has("question"), F.coalesce(_asked(node), field(node, "description")))
         .when(has(*CONTENT_TYPES), field(node, "description"))
     )
 

@@ -70,12 +70,11 @@ def test_ten_thousand_rules(spark, monkeypatch):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 4)))
     rules = {rng.choice(["", "", "*.", "!"]) + ".".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(10_000)}
-    ascii_ = {".".join(y if y.isascii() or y == "*" else "xn--" + y.encode("punycode").decode() for y in r.removeprefix("!").split(".")) for r in rules}
     rules = {("!" if r.startswith("!") else "") + ".".join(y if y.isascii() else "xn--" + y.encode("punycode").decode() for y in r.removeprefix("!").split(".")) for r in rules}
     rules = {r for r in rules if not r.startswith("!") or r.count(".")}
     hosts = [".".join(word() for _ in range(rng.randrange(1, 5))) for _ in range(2_000)] + ["hot.abc"] * 2_000
     got = lookups.registrable_domains(spark.createDataFrame([(h,) for h in hosts], "host string"), "host", lookups.suffix_rules(spark, sorted(rules))).collect()
-    assert len(got) == len(hosts) and ascii_
+    assert len(got) == len(hosts)
 
     def want(host):
         # of several rules the longest counts, exceptions before all

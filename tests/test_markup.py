@@ -93,7 +93,7 @@ def test_schema_messages(spark):
     cases = [
         ({"type": ["integer", "null"]}, '"x"', "$ must be integer or null"), ({"properties": {"a": {"items": {"type": "string"}}}}, '{"a":["x",3]}', "$.a[1] must be string"),
         ({"additionalProperties": {"type": "number"}}, '{"b":1,"c":"x"}', "$.c must be number"), ({"allOf": [{"minimum": 3}, {"maximum": 1}]}, "2", "$ must be >= 3"),
-        ({"oneOf": [{"minimum": 1}, {"minimum": 2}]}, "3", "$ must match exactly one oneOf schema"), ({"not": {"const": {"a": 1, "b": [1.0]}}}, '{"b":[1],"a":1}', None),
+        ({"oneOf": [{"minimum": 1}, {"minimum": 2}]}, "3", "$ must match exactly one oneOf schema"), ({"not": {"const": {"a": 1, "b": [1.0]}}}, '{"b":[1],"a":1}', "$ must not match the not schema"),
         ({"const": 1.0}, "1", None), ({"minimum": 2, "exclusiveMinimum": True}, "2", "$ must be > 2"), ({"items": False}, "[1]", "$[0] is not allowed by false schema"), (False, "1", "$ is not allowed by false schema"),
         ({"type": "string", "pattern": "(a+)+$"}, '"aaa"', "$ schema pattern may cause catastrophic backtracking"), ({"required": ["a"]}, "[]", None), ({}, "{bad", "$ is not valid JSON"),
         ({"uniqueItems": True}, "[1,2,1]", "$ items must be unique"), ({"minProperties": 1}, "{}", "$ must have at least 1 properties"),

@@ -102,3 +102,17 @@ def test_canonical_links(spark, href, want, errors):
     page = spark.createDataFrame([(1, "https://h.example/d/e", f"<link rel='x CANONICAL' href='{href}'><p>t")], "page_id long, url string, html string")
     row = extract.extract(extract.fetches_from_pages(page)).select("canonical_url", "errors").first()
     assert row.canonical_url == want and [e.code for e in row.errors] == ["invalid_canonical_url"] * errors
+
+
+def test_harvest_of_questions_and_steps(spark):
+    from siltstone.functions import nodes
+
+    cases = {
+        '{"@type":"FAQPage","mainEntity":[{"name":"A?","acceptedAnswer":{"text":" b "}},{"name":"C?"},{"acceptedAnswer":"d"},3,{}]}': "Q: A? A: b  Q: C?  d",
+        '{"@type":"FAQPage","mainEntity":{"name":"A?"}}': "Q: A?", '{"@type":"FAQPage","description":"x"}': "x", '{"@type":"Question","name":"Q","acceptedAnswer":{"text":"a"}}': "Q: Q A: a",
+        '{"@type":"Recipe","recipeInstructions":" mix "}': "mix", '{"@type":"Recipe","recipeInstructions":["a","",{"text":"b"},{"name":"c"},{"name":"s","itemListElement":[{"text":"d"},"e"]},null]}': "a · b · c · d · e",
+        '{"@type":"Recipe","recipeInstructions":{"@type":"ItemList","itemListElement":[{"text":"a"},{"name":"b"}]}}': "a · b", '{"@type":"HowTo","step":[{"text":"a"}]}': "a", '{"@type":"HowTo","description":"d","step":["a"]}': "d",
+        '{"@type":"Recipe","recipeInstructions":[' + ",".join(f'"{k}"' for k in range(60)) + "]}": " · ".join(map(str, range(50))), '{"@type":"Recipe"}': None,
+        '{"@type":"Recipe","recipeInstructions":["' + "x" * 5000 + '"]}': "x" * 4095 + "…", '{"@type":"Movie","name":"n"}': None, '{"@type":"Review","reviewBody":"r"}': "r",
+    }
+    assert dict(zip(cases, column(spark, list(cases), lambda c: nodes.harvest(F.try_parse_json(c))))) == cases
