@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import classify, html, markup, nodes, text, urls
 from siltstone.operators import batches, boards, delivery, folds, lookups, models, policy, schema, shaping
 
-from .tables import table
+from .tables import spread, table
 
 
 
@@ -349,12 +349,15 @@ def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<ul CLASS="a" data-k="'), key, F.lit("\"><li class='x' class='y'>"), F.col("p_brand"), F.lit("</li><li hidden>"), F.col("p_type"), F.lit("<b>!</b></li></ul><nav>n<nav>"), key,
         F.lit("</nav>m</nav><svg><text>"), F.col("p_name"), F.lit("</text><defs><text>no</text></defs></svg><!-- c --><script>x</script>"),
     )
-    tags = markup.start_tags(page, "li")
-    return table(spark, sf_dir, "part").select(
+    parts = markup.together(
+        page, items=markup.start_tags_reading("li"), lists=markup.start_tags_reading("ul"), contents=markup.elements_reading("li"), without=markup.without_reading("nav", "svg"),
+        seen=markup.without_hidden_reading(), live=markup.without_inert_reading(), drawn=markup.drawing_text_reading(), text=markup.visible_reading(),
+    )
+    tags = F.col("p.items")
+    return spread(spark, sf_dir, "part").select("p_partkey", parts.alias("p")).select(
         "p_partkey", F.size(tags).cast("long").alias("items"), tags[0]["attrs"]["class"].alias("class"), (tags[1]["start"] - tags[0]["end"]).cast("long").alias("between"),
-        markup.first_attribute(page, "ul", "data-k", "class", "a").alias("data_k"), F.array_join(markup.elements(page, "li"), "|").alias("contents"),
-        markup.without(page, "nav", "svg").alias("without"), markup.without_hidden(page).alias("seen"), markup.without_inert(page).alias("live"), markup.drawing_text(page).alias("drawn"),
-        markup.visible(page).alias("text"),
+        markup.attribute_where(F.col("p.lists"), "data-k", "class", "a").alias("data_k"), F.array_join("p.contents", "|").alias("contents"),
+        "p.without", "p.seen", "p.live", "p.drawn", "p.text",
     )
 
 
