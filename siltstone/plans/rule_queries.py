@@ -12,10 +12,10 @@ from .tables import spread, table
 
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Events with a few numbers to build rows from: k (of props), i (id), u (user), v (cents)."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").select("event_id", "event_type", k.alias("k"), F.col("event_id").alias("i"), F.col("user_id").alias("u"), F.floor(F.col("value") * 100).cast("long").alias("v"))
+    return read(spark, sf_dir, "events").select("event_id", "event_type", k.alias("k"), F.col("event_id").alias("i"), F.col("user_id").alias("u"), F.floor(F.col("value") * 100).cast("long").alias("v"))
 
 
 _E = "e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id AS i, user_id AS u, CAST(floor(value * 100) AS BIGINT) AS v FROM events)"
@@ -141,7 +141,7 @@ def finalised_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with and without a fence, JSON or not, against a schema."""
     body = _text('{"k": ', F.col("k"), "}")
     answer = F.when(F.pmod("v", F.lit(5)) == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.pmod("v", F.lit(5)) == 1, "no json").when(F.pmod("v", F.lit(5)) == 2, '{"q": 1}').otherwise(body)
-    made = _events(spark, sf_dir).select("event_id", models.finalised(answer, F.pmod("i", F.lit(3)) != 0, ANSWER, F.lit(None).cast("long")).alias("f"))
+    made = _events(spark, sf_dir, spread).select("event_id", models.finalised(answer, F.pmod("i", F.lit(3)) != 0, ANSWER, F.lit(None).cast("long")).alias("f"))
     return made.select("event_id", "f.outcome", "f.issue", "f.result")
 
 
@@ -161,7 +161,7 @@ def schema_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("event_type") == "view", "ab1").when(F.col("event_type") == "error", "LOUD").otherwise(F.col("event_type"))
     score = F.when(F.pmod("i", F.lit(4)) == 0, "null").otherwise(F.col("k").cast("string"))
     value = _text('{"id":', F.col("i"), ',"name":"', name, '","tags":', tags, ',"score":', score, extra, "}")
-    made = _events(spark, sf_dir).select("event_id", schema.outcome(value, PERSON).alias("o"))
+    made = _events(spark, sf_dir, spread).select("event_id", schema.outcome(value, PERSON).alias("o"))
     return made.select("event_id", "o.valid", "o.message")
 
 

@@ -1,10 +1,12 @@
 """Work that is heavy by row is done once a row and by tasks whose number grows with the rows."""
 
+import json
 import re
 
 from pyspark.sql import functions as F
 
 from siltstone.functions import markup
+from siltstone.operators import schema
 from siltstone.plans import catalog, tables
 
 
@@ -38,3 +40,29 @@ def test_spread_grows_with_rows(spark, tmp_path, monkeypatch):
     assert tables.spread(spark, str(tmp_path), "t").rdd.getNumPartitions() == min(5, 2 * cores)
     monkeypatch.setattr(tables, "MOST_ROWS", 100)
     assert tables.spread(spark, str(tmp_path), "t").rdd.getNumPartitions() == 50
+
+
+def test_schema_reads_a_value_once(spark, sf_dir):
+    assert plan(catalog.queries()["schema_failures"](spark, sf_dir)).count("map<string,variant>") <= 3
+    shown = plan(spark.range(1).select(schema.valid(F.try_parse_json(F.col("id").cast("string")), {"enum": [{"a": [1, "x", None]}, 1.0, True, "t"]}).alias("v")))
+    assert "regexp_extract_all" not in shown  # constants are compared by parts, not printed for every row
+
+
+def test_constants_of_all_kinds(spark):
+    constants = [None, True, 0, -0.0, 1e20, "1", "", [], {}, [1, [2.0]], {"a": {"b": None}, "c": []}, list(range(70)), 10**30, 1e305]
+    texts = ["null", "true", "false", "0", "-0", "0.0", "1e20", "100000000000000000000", '"1"', '""', "[]", "{}", "[1.0,[2]]", "[1,[2],3]", '{"c":[],"a":{"b":null}}', '{"a":{"b":1},"c":[]}',
+             str(list(range(70))), str(10**30), "1e30", "1e305", "1"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("v", F.try_parse_json("t"))
+    got = rows.select(*[schema.equals(F.col("v"), c).alias(f"c{n}") for n, c in enumerate(constants)], "k").orderBy("k").collect()
+    same = lambda a, b: type(a) is type(b) and (len(a) == len(b) and all(map(same, a, b)) if isinstance(a, list) else a.keys() == b.keys() and all(same(a[k], b[k]) for k in a) if isinstance(a, dict) else a == b)
+    floats = lambda x: [floats(y) for y in x] if isinstance(x, list) else {k: floats(y) for k, y in x.items()} if isinstance(x, dict) else float(x) if type(x) is int else x
+    for r in got:
+        for n, c in enumerate(constants):
+            assert bool(r[f"c{n}"]) is same(floats(json.loads(texts[r.k])), floats(c)), (texts[r.k], c)
+
+
+def test_deep_schemas_stay_small(spark):
+    rule = {"type": "integer"}
+    for _ in range(12):
+        rule = {"allOf": [rule], "minimum": 1}
+    assert [spark.range(n, n + 1).select(schema.valid(F.try_parse_json(F.col("id").cast("string")), rule)).first()[0] for n in (0, 1)] == [False, True]
