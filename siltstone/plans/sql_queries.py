@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone import sql_names
 
-from .tables import table
+from .tables import spread, table
 
 
 def sql_html_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def sql_validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         """SELECT o_orderkey, v.valid, v.message FROM (SELECT o_orderkey, validate_json('order', '{{"key": ' || o_orderkey || ', "price": ' || CAST(o_totalprice AS DECIMAL(12, 2)) || ', "line": ['
             || o_orderkey % 5 || ', ' || o_custkey % 5 || '.0], "status": "' || o_orderstatus || '", "nested": {{"a": [' || o_custkey % 2 || ', {{"b": 2.0}}]}}}}') AS v FROM {orders})""",
-        orders=table(spark, sf_dir, "orders"),
+        orders=spread(spark, sf_dir, "orders"),
     )
 
 
