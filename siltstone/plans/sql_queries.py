@@ -28,7 +28,7 @@ def sql_json_ld_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                 named_struct('mainEntity', named_struct('about', named_struct('@type', p_type, 'size', p_size))))))) || '\\n//]]></script><script type="application/ld+json">[[[' || p_size || ', {{"name": "'
                 || p_type || '"}}]]]</script>' AS html FROM {part})
         SELECT p_partkey, n.script, n.path, n.depth, array_join(n.types, ',') AS types, n.id, n.name FROM pages, LATERAL json_ld_nodes(html) n""",
-        part=table(spark, sf_dir, "part"),
+        part=spread(spark, sf_dir, "part"),
     )
 
 
@@ -56,7 +56,7 @@ def sql_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM (SELECT o_orderkey, classify(CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'O' THEN 'render-blocked' ELSE 'error' END, CASE WHEN o_custkey % 7 = 0 THEN 404 WHEN o_custkey % 11 = 0 THEN 503 ELSE 200 END,
             CASE WHEN o_orderkey % 5 = 0 THEN '  ' WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END, CAST(o_totalprice AS BIGINT), o_orderkey % 3 = 0,
             CASE WHEN o_custkey % 4 = 0 THEN array(named_struct('code', 'max_bytes', 'message', 'm')) ELSE array() END) AS c FROM {orders})""",
-        orders=table(spark, sf_dir, "orders"),
+        orders=spread(spark, sf_dir, "orders"),
     )
 
 

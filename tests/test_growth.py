@@ -66,3 +66,13 @@ def test_deep_schemas_stay_small(spark):
     for _ in range(12):
         rule = {"allOf": [rule], "minimum": 1}
     assert [spark.range(n, n + 1).select(schema.valid(F.try_parse_json(F.col("id").cast("string")), rule)).first()[0] for n in (0, 1)] == [False, True]
+
+
+def test_narrow_tables_are_dealt(spark, sf_dir):
+    for name in ("meta_roundtrip", "sql_json_ld_nodes", "sql_validate_json", "schema_failures"):
+        assert "Repartition" in plan(catalog.queries()[name](spark, sf_dir)), name
+
+
+def test_meta_elements_are_read_once(spark, sf_dir):
+    shown = plan(catalog.queries()["meta_roundtrip"](spark, sf_dir))
+    assert shown.count("<meta(?=") == 1
