@@ -194,7 +194,7 @@ def meta(c: Column) -> Column:
     """map of lower-case property or name to content; the last of a key counts."""
     pairs = F.transform(
         start_tags(c, "meta"),
-        lambda a: F.struct(F.lower(F.trim(F.coalesce(attribute(a, "property"), attribute(a, "name")))).alias("key"), attribute(a, "content").alias("value")),
+        lambda a: F.struct(F.lower(F.trim(decode(F.coalesce(_raw_attribute(a, "property"), _raw_attribute(a, "name"))))).alias("key"), attribute(a, "content").alias("value")),
     )
     valid = F.filter(pairs, lambda p: p["key"].isNotNull() & (p["key"] != "") & p["value"].isNotNull())
     placed = F.array_sort(F.transform(valid, lambda p, k: F.struct(p["key"].alias("key"), k.alias("at"), p["value"].alias("value"))))
@@ -203,12 +203,22 @@ def meta(c: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
 
 
+def open_graph_of(tags: Column) -> Column:
+    """The Open Graph part of a page's ``meta``."""
+    return F.map_filter(tags, lambda k, v: k.startswith("og:"))
+
+
+def plain_meta_of(tags: Column) -> Column:
+    """The rest of a page's ``meta``."""
+    return F.map_filter(tags, lambda k, v: ~k.startswith("og:"))
+
+
 def open_graph(c: Column) -> Column:
-    return F.map_filter(meta(c), lambda k, v: k.startswith("og:"))
+    return open_graph_of(meta(c))
 
 
 def plain_meta(c: Column) -> Column:
-    return F.map_filter(meta(c), lambda k, v: ~k.startswith("og:"))
+    return plain_meta_of(meta(c))
 
 
 def scripts(c: Column, media_type: str) -> Column:

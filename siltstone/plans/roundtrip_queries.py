@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import html, nodes, text
 from siltstone.operators import boards, extract, schema
 
-from .tables import table
+from .tables import spread, table
 
 
 def _escaped(c):
@@ -33,15 +33,14 @@ def jsonld_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def meta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes of parts as meta elements: quoting, references and last-wins."""
-    parts = table(spark, sf_dir, "part")
+    parts = spread(spark, sf_dir, "part")
     page = F.concat(
         F.lit('<meta property="og:title" content="old"><meta content="'), _escaped(F.concat(F.col("p_name"), F.lit(' & "x" <'))), F.lit('" property="og:title">'),
         F.lit("<meta name='Brand' content='"), _escaped(F.col("p_brand")), F.lit("'><meta name=size content="), F.col("p_size").cast("string"), F.lit("><link rel='alternate canonical' href='/p?a=1&amp;b=2'>"),
     )
-    m = html.meta(page)
-    return parts.select(
-        "p_partkey", html.open_graph(page)["og:title"].alias("title"), html.plain_meta(page)["brand"].alias("brand"), m["size"].alias("size"), F.size(m).cast("long").alias("n"),
-        html.canonical_link(page).alias("canonical"),
+    m = F.col("m")
+    return parts.select("p_partkey", html.meta(page).alias("m"), html.canonical_link(page).alias("canonical")).select(
+        "p_partkey", html.open_graph_of(m)["og:title"].alias("title"), html.plain_meta_of(m)["brand"].alias("brand"), m["size"].alias("size"), F.size(m).cast("long").alias("n"), "canonical",
     )
 
 
@@ -56,7 +55,7 @@ def hidden_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image addresses from Open Graph and markup, resolved, internal ones dropped, each once."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(spark, sf_dir, "orders")
     key = F.col("o_orderkey").cast("string")
     page = F.concat(
         F.lit('<meta property="og:image" content="https://cdn.example.com/'), key, F.lit('.png"><img src="/a/'), key, F.lit('.jpg"><img src="//cdn.example.com/'), key,
