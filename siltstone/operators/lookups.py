@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import urls, weburl
-from siltstone.functions.core import let
 
 MAX_RULES = 100_000
 MAX_HOST = 253
@@ -125,25 +124,35 @@ def address_ranges(spark, blocks: list[str] = urls.PRIVATE_V4) -> DataFrame:
     return spark.createDataFrame([(str(n), int(n.network_address), int(n.broadcast_address)) for n in nets], "cidr string, low long, high long")
 
 
-def _prefix(digits: Column, bits: Column) -> Column:
-    """The first bits of hexadecimal digits: whole digits, then the masked rest of one."""
-    rest = lambda r: F.when(r > 0, F.lower(F.hex((F.conv(F.substring(digits, F.floor(bits / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int")).bitwiseAND(F.get(F.array(*[F.lit(m) for m in (15, 8, 12, 14)]), r))))).otherwise("")
-    return F.concat(F.substring(digits, F.lit(1), F.floor(bits / 4).cast("int")), let((bits % 4).cast("int"), rest))
+def _bits(digits: Column) -> Column:
+    """Hexadecimal digits, in eights, as a text of zeros and ones, of which every prefix is a substring."""
+    eights = F.regexp_extract_all(digits, F.lit("(.{8})"), F.lit(1))
+    return F.when(digits.isNotNull(), F.array_join(F.transform(eights, lambda x: F.lpad(F.conv(x, 16, 2), 32, "0")), ""))
 
 
 def _in_blocks(df: DataFrame, address_col: str, digits: Column, ranges: DataFrame, low: Column) -> DataFrame:
     """Rows joined with the blocks that hold their address, by equality of (prefix length, prefix).
 
-    Each distinct address is looked up under every length that the blocks have (at most 33, or 129), so a block is one row whatever its size, and no key
-    holds more than the addresses inside one block. Blocks are broadcast within ``MAX_RULES`` and joined by shuffle beyond.
+    An address is looked up under every length that the blocks have (at most 33, or 129), so a block is one row whatever its size. Lengths with few
+    blocks, in all at most ``MAX_RULES``, are broadcast: the shortest are among them, whose blocks hold so many addresses that one task would get them all, and nearly
+    all hits are theirs. The others are hashed by shuffle, with each distinct address once; memory holds blocks only, never addresses.
     """
     bits = F.split_part("cidr", F.lit("/"), F.lit(2)).cast("int")
-    blocks = ranges.select("cidr", bits.alias("__bits"), _prefix(low, bits).alias("__prefix")).distinct()
-    lengths = [r[0] for r in blocks.select("__bits").distinct().orderBy("__bits").collect()]  # at most 129 numbers
-    known = df.select(F.col(address_col).alias("__a")).distinct().withColumn("__d", digits).where("__d is not null")
-    under = known.withColumn("__bits", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))).withColumn("__prefix", _prefix(F.col("__d"), F.col("__bits")))
-    found = under.join(small(blocks), ["__bits", "__prefix"]).select("__a", "cidr")
-    return df.join(found, F.col(address_col) == F.col("__a")).drop("__a")
+    blocks = ranges.select("cidr", bits.alias("__bits"), F.substring(_bits(low), F.lit(1), bits).alias("__prefix")).distinct()
+    few, many, total = [], [], 0
+    for n, count in sorted((tuple(r) for r in blocks.where("__bits is not null").groupBy("__bits").count().collect()), key=lambda r: r[0]):  # at most 129 rows
+        (few if total + count <= MAX_RULES else many).append(n)
+        total += count if few and few[-1] == n else 0
+    def under(rows: DataFrame, lengths: list[int], join: str) -> DataFrame:
+        known = rows.withColumn("__p", _bits(digits)).where("__p is not null")
+        keyed = known.withColumn("__bits", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))).withColumn("__prefix", F.substring("__p", F.lit(1), F.col("__bits")))
+        return keyed.join(blocks.where(F.col("__bits").isin(*lengths)).hint(join), ["__bits", "__prefix"]).drop("__bits", "__prefix", "__p")
+
+    found = under(df.withColumn("__a", F.col(address_col)), few, "broadcast").drop("__a").select(*df.columns, "cidr")
+    if many:
+        hits = under(df.select(F.col(address_col).alias("__a")).distinct(), many, "shuffle_hash")
+        found = found.unionByName(df.join(hits, F.col(address_col) == F.col("__a")).select(*df.columns, "cidr"))
+    return found
 
 
 def in_ranges(df: DataFrame, address_col: str, ranges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import urls, weburl
 from siltstone.operators import lookups, shaping
 
-from .tables import table
+from .tables import spread, table
 
 # Listed domains that occur among the stored hosts, as a replaceable rule table for the queries.
 LISTED = ("thther.example.com", "thth.example.net", "ththth.example.net", "ththis.example.org", "tionsh.example.net")
@@ -132,7 +132,7 @@ def address_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.element_at(F.array(*[F.lit(1 << (32 - n)) for n in range(33)]), bits + 1)
     low = F.floor(((p * 40503 * 65537) % 4294967296) / size).cast("long") * size
     blocks = table(spark, sf_dir, "part").select(F.concat(dotted(low), F.lit("/"), bits.cast("string")).alias("cidr"), low.alias("low"), (low + size - 1).alias("high")).distinct()
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", dotted(number).alias("address"))
+    rows = spread(spark, sf_dir, "orders").select("o_orderkey", dotted(number).alias("address"))
     found = lookups.in_ranges(rows, "address", blocks).groupBy("o_orderkey").agg(F.count("*").alias("n_blocks"), F.max(F.split_part("cidr", F.lit("/"), F.lit(2)).cast("int")).alias("longest"))
     return found
 

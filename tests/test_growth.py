@@ -76,3 +76,24 @@ def test_narrow_tables_are_dealt(spark, sf_dir):
 def test_meta_elements_are_read_once(spark, sf_dir):
     shown = plan(catalog.queries()["meta_roundtrip"](spark, sf_dir))
     assert shown.count("<meta(?=") == 1
+
+
+def test_short_blocks_are_not_shuffled(spark, sf_dir, tmp_path, monkeypatch):
+    import duckdb
+    from siltstone.operators import lookups
+
+    con = duckdb.connect()
+    for name in ("orders", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    wanted = sorted(con.execute(catalog.oracle_sql()["address_blocks"]).fetchall())
+    for most in (0, 40, 10_000):
+        monkeypatch.setattr(lookups, "MAX_RULES", most)
+        found = catalog.queries()["address_blocks"](spark, sf_dir)
+        assert sorted(tuple(r) for r in found.select("o_orderkey", "n_blocks", "longest").collect()) == wanted
+        # with room for 40 blocks the shortest lengths are broadcast, the others joined by shuffle
+        assert ("strategy=broadcast" in plan(found)) is (most > 0)
+        if most == 40:
+            text = plan(found)
+            assert "Union" in text and "[0,1,2" in text.replace(" ", "")
+    none = spark.createDataFrame([], "cidr string, low long, high long")
+    assert lookups.in_ranges(spark.createDataFrame([("1.2.3.4",)], "a string"), "a", none).count() == 0
