@@ -179,7 +179,7 @@ def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose article is a skeleton and whose text is streamed into a hidden part that a script reveals."""
-    e = _events(spark, sf_dir)
+    e = _events(spark, sf_dir, spread)
     text_ = F.repeat(_text("line ", F.col("k"), " of text. "), (F.pmod("u", F.lit(9)) + 1).cast("int"))
     shown = F.pmod("i", F.lit(2)) == 0
     page = F.concat(
@@ -191,7 +191,7 @@ def streamed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State in scripts with and without an id and in assigned globals, unsafe keys, and JSON that cannot be read."""
-    e = _events(spark, sf_dir)
+    e = _events(spark, sf_dir, spread)
     page = F.concat(
         F.lit('<script type="application/json" id="__NEXT_DATA__">{"k":'), F.col("k").cast("string"), F.lit('}</script><script type="application/json">[1,{"__proto__":2,"b":'), F.col("u").cast("string"),
         F.lit('}]</script><script>var x; window.__INITIAL_STATE__ = {"a":"}","n":[{"v":'), F.col("v").cast("string"), F.lit('}]}; go()</script><script type="application/ld+json">'),
@@ -211,7 +211,7 @@ def _linked(value) -> F.Column:
 
 def linked_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content nodes at depths one to five of a chain of links: found up to the fourth level; nothing below a content node counts."""
-    e = _events(spark, sf_dir)
+    e = _events(spark, sf_dir, spread)
     inner = _text('{"@type":["Thing","Article"],"headline":"H', F.col("i"), '","about":{"@type":"Product","description":"below"}}')
     wrap = lambda c, link: F.concat(F.lit('{"@type":"WebPage","' + link + '":'), c, F.lit("}"))
     deep = inner
@@ -242,7 +242,7 @@ def pin_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lean_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _text('{"@type":"Article","articleBody":"long","n":', F.col("k"), ',"author":{"description":"gone"},"list":[{"description":"x"},{"b":', F.col("u"), "}]}")
-    return _events(spark, sf_dir).select("event_id", markup.lean_structure(F.when(F.pmod("i", F.lit(5)) == 0, '{"description":"all"}').otherwise(data)).alias("lean"))
+    return _events(spark, sf_dir, spread).select("event_id", markup.lean_structure(F.when(F.pmod("i", F.lit(5)) == 0, '{"description":"all"}').otherwise(data)).alias("lean"))
 
 
 def bot_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +377,7 @@ def rendered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shell pages, some of which a renderer has filled."""
     from siltstone.operators.extract import extract, fetches_from_pages, records, with_rendered
 
-    e = _events(spark, sf_dir)
+    e = _events(spark, sf_dir, spread)
     shell = F.pmod("i", F.lit(3)) == 0
     pages = e.select("event_id", _text("https://h/", F.col("i")).alias("url"), F.when(shell, '<div id="root"></div><script>x</script>').otherwise(F.concat(F.lit("<p>"), F.repeat(F.lit("word "), 20), F.lit("</p>"))).alias("html"))
     dom = e.where(F.pmod("i", F.lit(2)) == 0).select(F.col("event_id").alias("seed_id"), F.concat(F.lit("<main>"), F.repeat(_text("filled ", F.col("k"), " "), 9), F.lit("</main>")).alias("dom_html"))
@@ -389,7 +389,7 @@ def render_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shell pages that may not be rendered, were not reached, failed, showed nothing, an error page or their text."""
     from siltstone.operators.extract import after_rendering, extract, fetches_from_pages, records
 
-    e = _events(spark, sf_dir)
+    e = _events(spark, sf_dir, spread)
     pages = e.select("event_id", _text("https://h/", F.col("i")).alias("url"), F.when(F.pmod("i", F.lit(4)) > 0, '<div id="root"></div><script>x</script>').otherwise(F.concat(F.lit("<p>"), F.repeat(F.lit("word "), 20))).alias("html"))
     way, texts = F.pmod("i", F.lit(7)), F.concat(F.lit("<main>"), F.repeat(_text("filled ", F.col("k"), " "), 9), F.lit("</main>"))
     renders = e.where(way > 0).select(

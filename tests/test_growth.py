@@ -69,7 +69,7 @@ def test_deep_schemas_stay_small(spark):
 
 
 def test_narrow_tables_are_dealt(spark, sf_dir):
-    for name in ("meta_roundtrip", "sql_json_ld_nodes", "sql_validate_json", "schema_failures"):
+    for name in ("meta_roundtrip", "sql_json_ld_nodes", "sql_validate_json", "schema_failures", "state_roundtrip", "rendered_records"):
         assert "Repartition" in plan(catalog.queries()[name](spark, sf_dir)), name
 
 
