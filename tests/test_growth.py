@@ -97,3 +97,16 @@ def test_short_blocks_are_not_shuffled(spark, sf_dir, tmp_path, monkeypatch):
             assert "Union" in text and "[0,1,2" in text.replace(" ", "")
     none = spark.createDataFrame([], "cidr string, low long, high long")
     assert lookups.in_ranges(spark.createDataFrame([("1.2.3.4",)], "a string"), "a", none).count() == 0
+
+
+def test_batches_become_arrow_by_slices(monkeypatch):
+    import pyarrow as pa
+
+    alive = []
+    read = lambda t: alive.append(t) or t + "!"
+    monkeypatch.setattr(markup, "SLICE", 2)
+    sizes, make = [], pa.array
+    monkeypatch.setattr(markup.pa, "array", lambda values, kind: sizes.append(len(values)) or make(values, kind))
+    texts = make(["a", None, "c", "d", "e"], pa.string())
+    assert markup._column(texts, pa.string(), read).to_pylist() == ["a!", "!", "c!", "d!", "e!"] and sizes == [2, 2, 1]
+    assert markup._column(texts.slice(0, 0), pa.string(), read).to_pylist() == []
