@@ -78,6 +78,8 @@ def decoded(body: Column, content_type: Column) -> Column:
 
     @F.arrow_udf("string")
     def decode(bodies: pa.Array, codecs: pa.Array) -> pa.Array:
+        if codecs.null_count == len(codecs):
+            return pa.nulls(len(codecs), pa.string())
         return pa.array([None if c.as_py() is None else b.as_py().decode(c.as_py(), "replace") for b, c in zip(bodies, codecs, strict=True)], pa.string())
 
     return F.coalesce(decode(F.when(other.isNotNull(), body), F.when(body.isNotNull(), other)), F.make_valid_utf8(body))
@@ -88,8 +90,9 @@ def with_canonical(page: DataFrame) -> DataFrame:
 
     A link that cannot be read is an error row. Step by step, since Spark resolves what is nested in one expression level by level.
     """
-    base = page.withColumn("__base", weburl.parsed(F.when(F.col("link").isNotNull(), F.coalesce("final_url", "url"))))
-    found = base.withColumn("__link", weburl.parsed(F.when(F.col("link").isNotNull(), weburl.resolved(F.col("__base"), F.col("link")))))
+    # most pages have none, and a null address goes through all steps of reading unless it is left out here
+    base = page.withColumn("__base", F.when(F.col("link").isNotNull(), weburl.parsed(F.coalesce("final_url", "url"))))
+    found = base.withColumn("__link", F.when(F.col("link").isNotNull(), weburl.parsed(weburl.resolved(F.col("__base"), F.col("link")))))
     bad = F.col("link").isNotNull() & (F.col("__base.error").isNotNull() | F.col("__link.error").isNotNull())
     error = F.struct(F.lit("invalid_canonical_url").alias("code"), F.lit("Canonical URL could not be parsed safely").alias("message"))
     return found.withColumns({
@@ -182,6 +185,8 @@ RENDERS = (
 )
 # Names of the ways in which a page was resolved.
 BY_RENDER, NO_RENDER, BLOCKED = "tier3-playwright", "render-unavailable", "render-blocked"
+#: Prefix of a first record's columns beside those of the rendered page.
+FIRST = "__first_"
 
 
 def _attempt(tier: Column, outcome: Column, reason: Column, ms: Column | None = None, status: Column | None = None, size: Column | None = None) -> Column:
@@ -192,6 +197,21 @@ def _attempt(tier: Column, outcome: Column, reason: Column, ms: Column | None =
     )
 
 
+def _again(tried: DataFrame, shown: Column, body: Column, columns: list[str], **fetched: Column) -> DataFrame:
+    """``tried`` with what the extraction of ``body`` gives where ``shown``; its own ``columns`` get the prefix ``FIRST``.
+
+    Rows that are not shown stay in the same plan as empty texts of no address, which cost next to nothing, so the first extraction below runs once: rows read out, left out and put
+    together again would be extracted for every one of these.
+    """
+    none = F.array().cast(NO_ERRORS)
+    answer = {
+        "url": F.col("url"), "final_url": F.col("final_url"), "status": F.col("status"), "content_type": F.lit("text/html"), "body": body.cast("binary"), "redirects": F.col("redirects"), "errors": none, **fetched,
+    }
+    answer = {c: F.when(shown, v) for c, v in answer.items()} | {"content_type": F.when(shown, answer["content_type"]).otherwise("text/plain")}
+    kept = [F.col(c).alias(FIRST + c) for c in columns] + [c for c in tried.columns if c not in columns]
+    return records(extract(tried.select(*kept, F.col("seed_id"), *[v.alias(c) for c, v in answer.items()])))
+
+
 def after_rendering(records_: DataFrame, renders: DataFrame, allowed: Column, available: bool = True) -> DataFrame:
     """Records after the decision about rendering, with ``attempts``, ``egress_bytes`` and ``egress_hosts``.
 
@@ -205,21 +225,23 @@ def after_rendering(records_: DataFrame, renders: DataFrame, allowed: Column, av
     made = renders.select("seed_id", F.struct(*[c for c in renders.columns if c != "seed_id"]).alias("__r")).where(F.lit(available))
     needs, may, ok = F.col("tier") == "render-blocked", F.coalesce(allowed, F.lit(False)), F.coalesce("__r.rendered", F.lit(False))
     tried = base.select(*keep).join(made, "seed_id", "left").withColumn("__kind", F.when(~needs, "done").when(~may, "blocked").when(ok, "shown").otherwise("failed"))
-    fetched = tried.where("__kind = 'shown'").select(
-        "seed_id", "url", "final_url", F.coalesce("__r.status", "status").alias("status"), F.coalesce("__r.content_type", F.lit("text/html")).alias("content_type"),
-        F.coalesce("__r.dom_html", F.lit("")).cast("binary").alias("body"), F.octet_length(F.coalesce("__r.dom_html", F.lit(""))).cast("long").alias("bytes"), "redirects", F.array().cast(NO_ERRORS).alias("errors"),
-    )
-    page = records(extract(fetched))
+    dom = F.coalesce("__r.dom_html", F.lit(""))
+    if available:
+        page = _again(
+            tried, F.col("__kind") == "shown", dom, keep, status=F.coalesce("__r.status", "status"), content_type=F.coalesce("__r.content_type", F.lit("text/html")), bytes=F.octet_length(dom).cast("long"),
+        )
+    else:  # nothing is shown
+        page = tried.select("*", *[F.col(c).alias(FIRST + c) for c in keep])
+    first = lambda c: F.col(FIRST + c)
     own = [c for c in keep if c in page.columns and c != "seed_id"]
-    both = tried.join(page.select("seed_id", F.struct(*own).alias("__p")), "seed_id", "left")
-    empty = F.col("__p.gate.js_required") & (F.trim("__p.result") == "")
+    empty = F.col("gate.js_required") & (F.trim("result") == "")
     code = F.when(F.lit(not available), "render_unavailable").otherwise(F.coalesce("__r.code", F.lit("render_error")))
-    both = both.withColumn("__kind", F.when((F.col("__kind") == "failed") & (code == "render_unavailable"), "absent").when((F.col("__kind") == "shown") & empty, "empty").otherwise(F.col("__kind")))
-    kind, bad = F.col("__kind"), F.col("__p.status") >= 400
+    both = page.withColumn("__kind", F.when((F.col("__kind") == "failed") & (code == "render_unavailable"), "absent").when((F.col("__kind") == "shown") & empty, "empty").otherwise(F.col("__kind")))
+    kind, bad = F.col("__kind"), F.col("status") >= 400
     none = F.array().cast(ATTEMPTS)
     controls = F.transform(F.coalesce("__r.actions", F.array().cast(dict(renders.dtypes)["actions"])), lambda a: _attempt(F.lit("3"), F.coalesce(a["outcome"], F.lit("block")), F.concat_ws(":", a["type"], a["reason"], a["method"], a["resource"], a["url"])))
     ms = F.col("__r.render_ms")
-    rendered = _attempt(F.lit("3"), F.when(bad, "error").otherwise("ok"), F.when(bad, "http-error").otherwise("rendered"), ms, F.col("__p.status"), F.col("__p.bytes"))
+    rendered = _attempt(F.lit("3"), F.when(bad, "error").otherwise("ok"), F.when(bad, "http-error").otherwise("rendered"), ms, F.col("status"), F.col("bytes"))
     lost = _attempt(F.when(kind == "absent", NO_RENDER).otherwise("error"), F.lit("error" if available else "block"), F.when(kind == "empty", "render_empty").when(F.lit(not available), "render port unconfigured").otherwise(code), ms)
     attempts = (
         F.when(kind == "done", none).when(kind == "blocked", F.array(_attempt(F.lit(BLOCKED), F.lit("block"), F.lit("allowRender=false"))))
@@ -227,16 +249,16 @@ def after_rendering(records_: DataFrame, renders: DataFrame, allowed: Column, av
     )
     message = F.when(kind == "empty", "Render produced no content (empty shell)").otherwise(F.coalesce("__r.message", F.lit("Tier-3 render failed" if available else "Tier-3 render is not configured")))
     error = F.array(F.struct(F.when(kind == "empty", "render_empty").otherwise(code).alias("code"), message.alias("message")))
-    errors = F.when(kind.isin("done", "blocked"), F.col("errors")).when(kind == "shown", F.concat("errors", "__p.errors")).otherwise(F.concat("errors", error))
-    taken = {c: F.when(kind == "shown", F.col(f"__p.{c}")).otherwise(F.col(c)) for c in own}
+    errors = F.when(kind.isin("done", "blocked"), first("errors")).when(kind == "shown", F.concat(first("errors"), "errors")).otherwise(F.concat(first("errors"), error))
+    taken = {c: F.when(kind == "shown", F.col(c)).otherwise(first(c)) for c in own}
     via = F.when(kind == "blocked", BLOCKED).when(kind == "absent", NO_RENDER).when(kind.isin("failed", "empty") | ((kind == "shown") & ~bad), BY_RENDER)
     tier = F.when(kind == "absent", NO_RENDER).when(kind.isin("failed", "empty"), "error").when((kind == "shown") & ~bad, "3")
     ran = ~kind.isin("done", "blocked")
     taken |= {
-        "attempts": F.concat("attempts", attempts), "errors": errors, "tier": F.coalesce(tier, taken["tier"]), "resolved_via": F.coalesce(via, taken["resolved_via"]),
-        "egress_bytes": F.coalesce("bytes", F.lit(0)) + F.when(ran, F.coalesce("__r.egress_bytes", F.lit(0))).otherwise(0), "egress_hosts": F.when(ran, F.coalesce("__r.hosts", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")),
+        "attempts": F.concat(first("attempts"), attempts), "errors": errors, "tier": F.coalesce(tier, taken["tier"]), "resolved_via": F.coalesce(via, taken["resolved_via"]),
+        "egress_bytes": F.coalesce(first("bytes"), F.lit(0)) + F.when(ran, F.coalesce("__r.egress_bytes", F.lit(0))).otherwise(0), "egress_hosts": F.when(ran, F.coalesce("__r.hosts", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")),
     }
-    out = both.select(*[taken.get(c, F.col(c)).alias(c) for c in (*keep, "egress_bytes", "egress_hosts")])
+    out = both.select(*[(taken[c] if c in taken else first(c)).alias(c) for c in (*keep, "egress_bytes", "egress_hosts")])
     return out.withColumn("record_status", classify.record_status(F.col("tier"), F.col("status"), F.col("result"), F.col("errors"), F.lit(None).cast("string")))
 
 
@@ -247,17 +269,15 @@ def _substantial(body: Column, words: Column) -> Column:
 def with_rendered(records_: DataFrame, rendered: DataFrame) -> DataFrame:
     """Records of shell pages replaced by what a renderer found (seed_id, dom_html); 4xx records stay.
 
-    ``rendered`` holds the pages that were rendered; the DOM goes through the same extraction.
+    ``rendered`` holds the pages that were rendered, one row each; the DOM goes through the same extraction.
     """
-    wanted = records_.where("tier = 'render-blocked'").select("seed_id", "url", "final_url", "status", "redirects", "errors")
-    fetched = wanted.join(rendered, "seed_id").select(
-        "seed_id", "url", "final_url", "status", F.lit("text/html").alias("content_type"), F.col("dom_html").cast("binary").alias("body"),
-        F.length("dom_html").cast("long").alias("bytes"), "redirects", "errors",
-    )
-    promoted = records(extract(fetched)).withColumn("tier", F.lit("3"))
+    made = rendered.select(F.col("seed_id").alias("__seed"), F.struct("dom_html").alias("__made"))
+    tried = records_.join(made, (F.col("seed_id") == F.col("__seed")) & (F.col("tier") == "render-blocked"), "left").drop("__seed")
+    shown, dom, columns = F.col("__made").isNotNull(), F.col("__made.dom_html"), records_.columns
+    page = _again(tried, shown, dom, columns, bytes=F.length(dom).cast("long"), errors=F.col("errors"))
     # errors of the first attempt come before those of the rendered page
-    promoted = promoted.withColumn("errors", F.array_distinct("errors"))
-    return records_.join(promoted.select("seed_id"), "seed_id", "left_anti").unionByName(promoted)
+    taken = {"tier": F.lit("3"), "errors": F.array_distinct("errors")}
+    return page.select(*[(F.when(shown, taken.get(c, F.col(c))).otherwise(F.col(FIRST + c)) if c in page.columns else F.col(FIRST + c)).alias(c) for c in columns])
 
 
 def tracker_free(body: Column, main_host: Column, listed: list[str]) -> Column:

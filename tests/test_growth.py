@@ -110,3 +110,43 @@ def test_batches_become_arrow_by_slices(monkeypatch):
     texts = make(["a", None, "c", "d", "e"], pa.string())
     assert markup._column(texts, pa.string(), read).to_pylist() == ["a!", "!", "c!", "d!", "e!"] and sizes == [2, 2, 1]
     assert markup._column(texts.slice(0, 0), pa.string(), read).to_pylist() == []
+
+
+def test_pages_are_extracted_once_before_rendering(spark, sf_dir):
+    for name in ("rendered_records", "render_outcomes"):
+        shown = plan(catalog.queries()[name](spark, sf_dir))
+        # one scan of the stored page and one of the rendered, one join of both
+        assert len(re.findall(r"\bscan\(", shown)) == 4 and len(re.findall(r"\bdecode\(\w+#", shown)) <= 2 and len(re.findall(r"\bJoin\b", shown)) == 1, name
+
+
+def test_rendering_keeps_rows(spark):
+    from siltstone.operators import extract
+
+    shell, full = "<div id=root></div><script></script>", "<p>" + "word " * 30
+    pages = spark.createDataFrame([(1, "https://h/1", shell), (1, "https://h/2", full), (2, "https://h/3", full), (3, "https://h/4", shell), (None, "https://h/5", shell), (4, "https://h/6", shell)], "page_id long, url string, html string")
+    dom = spark.createDataFrame([(1, "<main>" + "shown " * 30 + "</main>"), (2, "<main>not wanted</main>"), (3, None), (None, "<main>of nobody</main>")], "seed_id long, dom_html string")
+    rows = extract.records(extract.extract(extract.fetches_from_pages(pages)))
+    found = extract.with_rendered(rows.withColumn("own", F.lit("x")), dom)
+    assert found.columns == [*rows.columns, "own"] and [f.dataType for f in found.schema][:-1] == [f.dataType for f in rows.schema]
+    got = {r.url[-1]: r for r in found.collect()}
+    # a full page stays beside a shell of its id, one row each; a DOM that is null is an empty page
+    assert {k: (r.tier, r.result[:5], r.own) for k, r in got.items()} == {"1": ("3", "shown", "x"), "2": ("1", "word ", "x"), "3": ("1", "word ", "x"), "4": ("3", "", "x"), "5": ("render-blocked", "", "x"), "6": ("render-blocked", "", "x")}
+    assert got["1"].content_type == "text/html" and got["2"].content_type == "text/html; charset=utf-8" and got["6"].bytes == len(shell)
+
+
+def test_canonical_links_are_read_where_there_are_any(spark):
+    from siltstone.operators import extract
+
+    rows = [(1, "https://h/a", None, "/b#c"), (2, "https://h/a", None, None), (3, "no address", None, "/b"), (4, "https://h/a", "https://g/", "http://[bad"), (5, None, None, None), (6, "https://h/a", "https://g/x/", "y")]
+    page = spark.createDataFrame(rows, "i int, url string, final_url string, link string").withColumn("errors", F.array().cast(extract.NO_ERRORS))
+    found = extract.with_canonical(page)
+    got = [(r.canonical_url, [e.code for e in r.errors]) for r in found.orderBy("i").collect()]
+    assert got == [("https://h/b", []), (None, []), (None, ["invalid_canonical_url"]), (None, ["invalid_canonical_url"]), (None, []), ("https://g/x/y", [])]
+
+
+def test_empty_pages_are_read_once_a_batch():
+    import pyarrow as pa
+
+    asked = []
+    read = lambda t: asked.append(t) or t + "!"
+    assert markup._column(pa.array(["", None, "a", "", None], pa.string()), pa.string(), read).to_pylist() == ["!", "!", "a!", "!", "!"] and asked == ["", "a"]
